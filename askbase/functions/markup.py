@@ -33,10 +33,14 @@ def element_pattern(tag: str) -> str:
 
 
 def html_container(html, tag: str, cls: str) -> Column:
-    """H1: inner HTML of the first matching element, null when there is none."""
-    h = _c(html)
+    """H1: inner HTML of the first matching element, null when there is none.
+
+    One regex pass over the page finds the whole element (never empty when
+    it matches); the inner part is then cut from that short match only.
+    """
     pat = container_pattern(tag, cls)
-    return F.when(h.rlike(pat), F.regexp_extract(h, pat, 1))
+    whole = F.regexp_extract(_c(html), pat, 0)
+    return F.when(whole != "", F.regexp_extract(whole, pat, 1))
 
 
 def decode_entities(x) -> Column:
@@ -61,11 +65,14 @@ def html_rows_cells(container, row_tag: str = "tr", cell_tag: str = "td") -> Col
     return F.filter(cells, lambda r: F.size(r) > 0)
 
 
+HREF_PATTERN = r'(?is)href\s*=\s*"([^"]*)"'
+
+
 def link_rows(html, row_tag: str = "li") -> Column:
     """H2 for link lists: each ``<li>`` gives the cells (href, label) of its anchor."""
     rows = F.regexp_extract_all(_c(html), F.lit(element_pattern(row_tag)), 1)
     cells = F.transform(rows, lambda r: F.filter(
-        F.array(strip_text(decode_entities(F.regexp_extract(r, r"(?is)href\s*=\s*\"([^\"]*)\"", 1))),
+        F.array(strip_text(decode_entities(F.regexp_extract(r, HREF_PATTERN, 1))),
                 cell_text(r)),
         lambda s: s != ""))
     return F.filter(cells, lambda r: F.size(r) > 0)

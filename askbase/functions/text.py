@@ -19,7 +19,7 @@ LATIN1_HIGH = "[\u0080-ÿ]"
 BLANK_CLASS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 UNICODE_BLANK = "^" + BLANK_CLASS + "+|" + BLANK_CLASS + "+$"
 # A word or a single non-blank non-word character (our own tokenizer rule).
-WORD_OR_PUNCT = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+WORD_OR_PUNCT = r"[\p{L}\p{N}_]+|[^\s\x{0B}\p{Z}\p{L}\p{N}_]"
 
 
 def _c(x) -> Column:

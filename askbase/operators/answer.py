@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from askbase import constants as K
 from askbase.functions import calendar as D
-from askbase.functions.text import utf8_clean
+from askbase.functions.text import strip_text, utf8_clean
 from askbase.operators import gate as G
-from askbase.operators.knowledge import flatten_intents, label_decode, label_index
+from askbase.operators.knowledge import KnowledgeBase, label_decode
 from askbase.operators.routing import WEB, Profile, route_expr
 
 # Response rows per broadcast; above it the (tag, ordinal) lookup is a shuffle join.
@@ -31,13 +31,16 @@ def md5_bucket(*parts) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
 
 
-def tag_response_table(qa: DataFrame) -> tuple[DataFrame, DataFrame]:
+def tag_response_table(qa: DataFrame, strip_tags: bool = False) -> tuple[DataFrame, DataFrame]:
     """(tag -> n_rows) and (tag, ordinal) -> response, ordinals in document
-    order, so R1 draws uniformly over rows (duplicates count)."""
-    counts = qa.groupBy(F.col("Tag").alias("tag")).agg(F.count(F.lit(1)).alias("n_rows"))
-    w = Window.partitionBy("Tag").orderBy("intent_pos", "pattern_pos", "response_pos")
-    rows = qa.select(F.col("Tag").alias("tag"), (F.row_number().over(w) - 1).alias("ord"),
-                     F.col("Response").alias("response"))
+    order, so R1 draws uniformly over rows (duplicates count).  The tag is
+    the raw one (the reference compares raw tags) unless ``strip_tags``."""
+    tag = strip_text("Tag") if strip_tags else F.col("Tag")
+    t = qa.withColumn("_tag", tag)
+    counts = t.groupBy(F.col("_tag").alias("tag")).agg(F.count(F.lit(1)).alias("n_rows"))
+    w = Window.partitionBy("_tag").orderBy("intent_pos", "pattern_pos", "response_pos")
+    rows = t.select(F.col("_tag").alias("tag"), (F.row_number().over(w) - 1).alias("ord"),
+                    F.col("Response").alias("response"))
     return counts, rows
 
 
@@ -65,11 +68,11 @@ def responses_for_tag(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag"
 
 
 def choose_response(preds: DataFrame, qa: DataFrame, key_col: str = "question_id",
-                    tag_col: str = "pred_tag", seed: str = "42") -> DataFrame:
+                    tag_col: str = "pred_tag", seed: str = "42", strip_tags: bool = False) -> DataFrame:
     """One response per row, uniform over the tag's response rows, chosen
     by md5(seed:key) so retries and replays agree.  Adds ``n_rows`` (null =
     tag unknown) and ``response``."""
-    counts, rows = tag_response_table(qa)
+    counts, rows = tag_response_table(qa, strip_tags)
     n = qa.count()
     out = preds.join(F.broadcast(counts.withColumnRenamed("tag", tag_col)), tag_col, "left")
     out = out.withColumn("_ord", F.when(F.col("n_rows") > 0,
@@ -89,18 +92,22 @@ def fixture_predict(labels: DataFrame, seed: str = "7") -> Callable[[DataFrame],
     return predict
 
 
-def answer_questions(questions: DataFrame, intents: DataFrame, profile: Profile = WEB,
+def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
                      predict: Callable[[DataFrame], DataFrame] | None = None,
                      menus: DataFrame | None = None, choice_seed: str = "42",
-                     index: G.PatternIndex | None = None) -> DataFrame:
+                     index: G.PatternIndex | None = None, strip_tags: bool = False) -> DataFrame:
     """The whole decision per question.
 
-    ``questions``: ``question_id, text, as_of``.  ``menus``: ``menu_date,
+    ``questions``: ``question_id, text, as_of``; ``kb``: a ``KnowledgeBase``
+    or an intents table.  ``menus``: ``menu_date,
     menu`` (one row per day).  Output: ``question_id, route, gate_passed,
-    tag, answer, is_unknown, reason``.
+    tag, answer, is_unknown, reason``.  A tag stored with surrounding blanks
+    never matches its (stripped) predicted label, as in the reference;
+    ``strip_tags=True`` compares stripped tags instead.
     """
-    qa = flatten_intents(intents)
-    labels = label_index(qa)
+    if not isinstance(kb, KnowledgeBase):
+        kb = KnowledgeBase(kb)
+    qa, labels = kb.qa, kb.labels
     if predict is None:
         predict = fixture_predict(labels)
 
@@ -109,7 +116,7 @@ def answer_questions(questions: DataFrame, intents: DataFrame, profile: Profile
 
     if profile.threshold is not None:
         if index is None:
-            index = G.build_pattern_index(qa)
+            index = kb.pattern_index()
         q = q.withColumn("qkey", F.when(F.col("route").isNull(),
                                         G.token_sort_key(F.lower("text"))))
         passed = G.passing_keys(q.filter(F.col("qkey").isNotNull()), index, profile.threshold)
@@ -122,7 +129,7 @@ def answer_questions(questions: DataFrame, intents: DataFrame, profile: Profile
     q = predict(q)
     q = label_decode(q, labels, "pred_id")
     q = q.withColumn("pred_tag", F.when(F.col("gate_passed"), F.col("pred_tag")))
-    q = choose_response(q, qa, "question_id", "pred_tag", choice_seed)
+    q = choose_response(q, qa, "question_id", "pred_tag", choice_seed, strip_tags)
 
     if menus is not None:
         m = menus.select(F.col("menu_date").alias("_d"), F.col("menu").alias("_menu"))

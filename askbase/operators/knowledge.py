@@ -92,9 +92,12 @@ def label_encode(qa: DataFrame, labels: DataFrame, strip: bool = True) -> DataFr
 
 
 def label_decode(preds: DataFrame, labels: DataFrame, id_col: str = "pred_id",
-                 unseen: str | None = "unseen_tag") -> DataFrame:
-    """Class id -> tag; ids outside the table map to ``unseen``."""
-    lab = labels.select(F.col("label_id").alias(id_col), F.col("tag").alias("pred_tag"))
+                 unseen: str | None = "unseen_tag", stripped: bool = True) -> DataFrame:
+    """Class id -> label.  A model trained on this table knows the
+    *stripped* labels (``stripped=True``, the reference's behaviour); ids
+    outside the table map to ``unseen``."""
+    lab = labels.select(F.col("label_id").alias(id_col),
+                        F.col("label" if stripped else "tag").alias("pred_tag"))
     out = preds.join(F.broadcast(lab), id_col, "left")
     if unseen is not None:
         out = out.withColumn("pred_tag", F.coalesce("pred_tag", F.lit(unseen)))
@@ -106,3 +109,32 @@ def tags_without_responses(intents: DataFrame) -> DataFrame:
     all_tags = intents.select(F.col("tag")).distinct()
     flat_tags = flatten_intents(intents, lenient=True).select(F.col("Tag").alias("tag")).distinct()
     return all_tags.join(flat_tags, "tag", "left_anti")
+
+
+class KnowledgeBase:
+    """The knowledge base flattened once and kept for every question batch.
+
+    ``qa`` is persisted (memory, spilling to disk); derived tables (labels,
+    pattern index) are built lazily from it.  Lineage back to the source
+    intents is kept, so a lost executor recomputes its blocks.
+    """
+
+    def __init__(self, intents: DataFrame, lenient: bool = False, persist: bool = True):
+        from pyspark import StorageLevel
+        self.intents = intents
+        qa = flatten_intents(intents, lenient)
+        self.qa = qa.persist(StorageLevel.MEMORY_AND_DISK) if persist else qa
+        self._labels = None
+        self._index = None
+
+    @property
+    def labels(self) -> DataFrame:
+        if self._labels is None:
+            self._labels = label_index(self.qa)
+        return self._labels
+
+    def pattern_index(self, max_bytes: int | None = None):
+        if self._index is None:
+            from askbase.operators.gate import build_pattern_index
+            self._index = build_pattern_index(self.qa, max_bytes)
+        return self._index

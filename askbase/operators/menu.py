@@ -13,10 +13,11 @@ def daily_menu(pages: DataFrame, html_col: str = "html", container=K.MENU_CONTAI
     """H1 -> H4 per page: ``menu`` text, or the fixed sentence when the page
     has no container; ``menu_error`` flags a one-cell row (the reference
     raises there, we keep the row and report it)."""
-    box = H.html_container(F.col(html_col), *container)
-    rows = H.trim_header_footer(H.html_rows_cells(box, row_tag, cell_tag))
-    return (pages.withColumn("_rows", rows)
-            .withColumn("menu", F.when(box.isNull(), F.lit(K.MENU_UNAVAILABLE))
+    # Each stage is its own column so no page is scanned twice.
+    return (pages.withColumn("_box", H.html_container(F.col(html_col), *container))
+            .withColumn("_cells", H.html_rows_cells("_box", row_tag, cell_tag))
+            .withColumn("_rows", H.trim_header_footer("_cells"))
+            .withColumn("menu", F.when(F.col("_box").isNull(), F.lit(K.MENU_UNAVAILABLE))
                         .otherwise(H.menu_text("_rows")))
-            .withColumn("menu_error", F.when(box.isNotNull(), H.menu_error("_rows")))
-            .drop("_rows"))
+            .withColumn("menu_error", F.when(F.col("_box").isNotNull(), H.menu_error("_rows")))
+            .drop("_box", "_cells", "_rows"))

@@ -119,7 +119,8 @@ def rows_cells(box: str, row_tag: str = "tr", cell_tag: str = "td") -> str:
 
 
 def link_rows(html: str) -> str:
-    href = f"regexp_extract(r, {lit(r'(?is)href\\s*=\\s*\"([^\"]*)\"'.replace(chr(92)*2, chr(92)))}, 1)"
+    from askbase.functions.markup import HREF_PATTERN
+    href = f"regexp_extract(r, {lit(HREF_PATTERN)}, 1)"
     return (f"list_filter(list_transform(regexp_extract_all({html}, {lit(element_re('li'))}, 1), "
             f"lambda r: list_filter([{strip(decode(href))}, {cell_text('r')}], lambda s: s <> '')), "
             f"lambda r: len(r) > 0)")
@@ -196,28 +197,71 @@ def with_ctes(needed: list[str], body: str, extra: list[tuple[str, str]] | None
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
 
-# ---------------------------------------------------------------- queries
-
-def answer_questions_sql(profile: str = "web") -> str:
+# ---------------------------------------------------------------- more CTEs
+
+CTES.update({
+    "chat": ([], """SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'bot' ELSE role END AS role,
+  CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS text FROM conversations WHERE role <> 'system'"""),
+    "pred": ([], """SELECT vec_id, label, (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::INTEGER
+  AS pred FROM embeddings"""),
+    "vec": ([], """SELECT vec_id, list_transform(embedding[1:10], lambda v: v::DOUBLE) AS logits FROM embeddings"""),
+    "req": ([], """SELECT event_id, user_id AS chat_id, ts, CASE event_id % 10 WHEN 7 THEN '{}'
+  WHEN 8 THEN '{"question": null}' WHEN 9 THEN '{"question": ' ELSE concat('{"question": "', event_type, '"}') END
+  AS body FROM events"""),
+    "msg": ([], """SELECT event_id, user_id AS chat_id, ts, CASE event_id % 5 WHEN 0 THEN concat('/echo ', event_type)
+  WHEN 1 THEN NULL WHEN 2 THEN concat('hey /echo a', chr(10), 'b') ELSE event_type END AS text FROM events"""),
+    "unk": ([], f"""SELECT (row_number() OVER (ORDER BY fq))::BIGINT AS id, text AS question,
+  CASE WHEN (row_number() OVER (ORDER BY fq)) % 2 = 0 THEN NULL
+       WHEN (row_number() OVER (ORDER BY fq)) % 5 = 0 THEN '' ELSE fb END AS answer
+  FROM (SELECT text, min(question_id) AS fq, arg_min(p_brand, question_id) AS fb FROM
+        (SELECT p_partkey AS question_id, {Q_TEXT} AS text, p_brand FROM part WHERE p_partkey % 8 IN (5, 6))
+        GROUP BY text)"""),
+    "utter": ([], """SELECT user_id AS utterance_id, event_id AS seq, event_type = 'purchase' AS is_final,
+  event_type AS text FROM events"""),
+    "pred_tags": (["pred", "labels"], """SELECT pred.vec_id, pred.label, pred.pred AS pred_id,
+  coalesce(labels.label, 'unseen_tag') AS pred_tag FROM pred LEFT JOIN labels ON labels.label_id = pred.pred"""),
+    "export": (["unk"], """SELECT (id - 1)::INTEGER AS intent_pos, 'custom_tag' AS tag, [question] AS patterns,
+  [CASE WHEN answer IS NULL OR answer = '' THEN '' ELSE answer END] AS responses, '' AS context_set FROM unk"""),
+    "pk2": (["qa"], f"""SELECT pkey, arg_min("Pattern", pos) AS first_pattern, min(pos) AS first_pos FROM
+  (SELECT {key('lower("Pattern")')} AS pkey, "Pattern", intent_pos::BIGINT * 1000000 + pattern_pos AS pos FROM qa)
+  GROUP BY pkey"""),
+    "tokens": (["chat"], r"""SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text),
+  '[\p{L}\p{N}_]+|[^\s\x{0B}\p{Z}\p{L}\p{N}_]', 0), lambda t: NOT list_contains(['?', '!', ',', '.'], t)) AS toks
+  FROM chat"""),
+})
+
+
+def flatten_sql(src: str) -> str:
+    """P1 over an intents relation named ``src``."""
+    return f"""SELECT patterns[pattern_pos + 1] AS "Pattern", tag AS "Tag", responses[response_pos + 1] AS "Response",
+  intent_pos, pattern_pos, response_pos FROM (
+    SELECT *, unnest(range(len(responses)))::INTEGER AS response_pos FROM (
+      SELECT *, unnest(range(len(patterns)))::INTEGER AS pattern_pos FROM {src}))"""
+
+
+def answer_ctes(src: str, profile: str = "web", tag: str = "") -> list[tuple[str, str]]:
+    """J6 over a relation ``src`` (question_id, text, as_of); last CTE: ans{tag}."""
     thr = K.THRESHOLD_WEB if profile == "web" else K.THRESHOLD_LOCAL
-    extra = [
-        ("qr", f"SELECT *, {route('lower(text)', profile)} AS route FROM q"),
-        ("qk", f"SELECT DISTINCT {key('lower(text)')} AS qkey FROM qr WHERE route IS NULL"),
-        ("passed", f"SELECT qkey FROM qk WHERE EXISTS (SELECT 1 FROM pk WHERE {score('qkey', 'pkey')} >= {thr})"),
-        ("g", f"""SELECT qr.*, CASE WHEN route IS NULL THEN EXISTS (SELECT 1 FROM passed
-              WHERE passed.qkey = {key('lower(qr.text)')}) END AS gate_passed FROM qr"""),
-        ("p", f"""SELECT g.*, CASE WHEN gate_passed THEN coalesce(l.tag, 'unseen_tag') END AS pred_tag
-              FROM g LEFT JOIN labels l ON l.label_id =
-              {md5_bucket("'7'", 'CAST(g.question_id AS VARCHAR)')} % ((SELECT count(*) FROM labels) + 1)"""),
-        ("c", f"""SELECT p.*, tc.n_rows, o.response FROM p
-              LEFT JOIN tag_counts tc ON tc.tag = p.pred_tag
-              LEFT JOIN qa_ord o ON o.tag = p.pred_tag
-               AND o.ord = {md5_bucket("'42'", 'CAST(p.question_id AS VARCHAR)')} % tc.n_rows"""),
-        ("r", """SELECT c.*, CASE WHEN route IS NOT NULL THEN NULL WHEN NOT gate_passed THEN 'no_match'
+    t = tag
+    routed = route("lower(coalesce(text, ''))", profile)
+    return [
+        (f"qr{t}", f"SELECT question_id, coalesce(text, '') AS text, as_of, "
+                   f"{routed} AS route FROM {src}"),
+        (f"qk{t}", f"SELECT DISTINCT {key('lower(text)')} AS qkey FROM qr{t} WHERE route IS NULL"),
+        (f"passed{t}", f"SELECT qkey FROM qk{t} WHERE EXISTS (SELECT 1 FROM pk WHERE {score('qkey', 'pkey')} >= {thr})"),
+        (f"g{t}", f"""SELECT qr{t}.*, CASE WHEN route IS NULL THEN EXISTS (SELECT 1 FROM passed{t}
+              WHERE passed{t}.qkey = {key(f'lower(qr{t}.text)')}) END AS gate_passed FROM qr{t}"""),
+        (f"p{t}", f"""SELECT g{t}.*, CASE WHEN gate_passed THEN coalesce(l.label, 'unseen_tag') END AS pred_tag
+              FROM g{t} LEFT JOIN labels l ON l.label_id =
+              {md5_bucket("'7'", f'CAST(g{t}.question_id AS VARCHAR)')} % ((SELECT count(*) FROM labels) + 1)"""),
+        (f"c{t}", f"""SELECT p{t}.*, tc.n_rows, o.response FROM p{t}
+              LEFT JOIN tag_counts tc ON tc.tag = p{t}.pred_tag
+              LEFT JOIN qa_ord o ON o.tag = p{t}.pred_tag
+               AND o.ord = {md5_bucket("'42'", f'CAST(p{t}.question_id AS VARCHAR)')} % tc.n_rows"""),
+        (f"r{t}", f"""SELECT c{t}.*, CASE WHEN route IS NOT NULL THEN NULL WHEN NOT gate_passed THEN 'no_match'
               WHEN n_rows IS NULL THEN 'unknown_tag' WHEN n_rows = 0 THEN 'no_response' END AS reason,
-              m.menu FROM c LEFT JOIN menus m ON m.menu_date = CAST(c.as_of AS DATE)"""),
-    ]
-    body = f"""SELECT question_id, route, gate_passed, pred_tag AS tag,
+              m.menu FROM c{t} LEFT JOIN menus m ON m.menu_date = CAST(c{t}.as_of AS DATE)"""),
+        (f"ans{t}", f"""SELECT question_id, route, gate_passed, pred_tag AS tag,
   CASE WHEN route = 'meal' THEN coalesce(menu, {lit(K.MENU_UNAVAILABLE)})
        WHEN route = 'date' THEN {today('as_of')}
        WHEN route = 'time' THEN {time_str('as_of')}
@@ -225,12 +269,259 @@ def answer_questions_sql(profile: str = "web") -> str:
        WHEN route = 'tomorrow' THEN {tomorrow('as_of')}
        WHEN reason IS NOT NULL THEN {lit(K.FALLBACK_ANSWER)}
        ELSE response END AS answer,
-  reason IS NOT NULL AS is_unknown, reason
-FROM r"""
-    return with_ctes(["q", "labels", "tag_counts", "qa_ord", "pk", "menus"], body, extra)
+  reason IS NOT NULL AS is_unknown, reason FROM r{t}"""),
+    ]
+
+
+ANSWER_BASE = ["labels", "tag_counts", "qa_ord", "pk", "menus"]
+
+
+def answer_sql(src_cte: str, body: str, profile: str = "web", extra_src=None) -> str:
+    needed = ANSWER_BASE + ([src_cte] if src_cte in CTES else [])
+    return with_ctes(needed, body, (extra_src or []) + answer_ctes(src_cte, profile))
+
+
+def cells_explode(rows_expr: str, src: str = "pages") -> str:
+    return f"""SELECT page_id, row_pos, (cell_pos - 1)::INTEGER AS cell_pos, cells[cell_pos] AS cell FROM (
+  SELECT page_id, row_pos, cells, unnest(range(1, len(cells) + 1)) AS cell_pos FROM (
+    SELECT page_id, (row_pos - 1)::INTEGER AS row_pos, rws[row_pos] AS cells FROM (
+      SELECT page_id, rws, unnest(range(1, len(rws) + 1)) AS row_pos FROM (
+        SELECT page_id, {rows_expr} AS rws FROM {src}))))"""
+
+
+def _intents_scalar(src: str) -> str:
+    return (f"SELECT intent_pos, tag, array_to_string(patterns, '|') AS patterns, "
+            f"array_to_string(responses, '|') AS responses, context_set FROM {src}")
+
+
+def _req_parsed() -> tuple[str, str]:
+    return ("reqp", """SELECT event_id, chat_id, ts,
+  CASE WHEN NOT json_valid(body) THEN NULL WHEN NOT list_contains(json_keys(body), 'question') THEN ''
+       ELSE json_extract_string(body, '$.question') END AS question,
+  CASE WHEN NOT json_valid(body) THEN 'malformed request'
+       WHEN list_contains(json_keys(body), 'question') AND json_extract_string(body, '$.question') IS NULL
+       THEN 'null question' END AS error FROM req""")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "answer_questions": answer_questions_sql("web"),
+    qa_cols = 'SELECT "Pattern", "Tag", "Response", intent_pos, pattern_pos, response_pos FROM qa'
+    thr = K.THRESHOLD_WEB
+    month_names = "[" + ", ".join(lit(n) for n in K.MONTH_NAMES_TR) + "]"
+    out = {
+        # sources
+        "read_intents": with_ctes(["kb"], _intents_scalar("kb")),
+        "read_intents_document": with_ctes(["kb"], _intents_scalar("kb")),
+        "write_qa_records": with_ctes(["qa"], qa_cols),
+        "read_qa_records": with_ctes(["qa"], qa_cols),
+        "scan_unknown": with_ctes(["unk"], "SELECT id, question, answer FROM unk"),
+        "export_intents": with_ctes(["export"], _intents_scalar("export")),
+        "write_intents": with_ctes(["export"], flatten_sql("export")),
+        "append_question_log": with_ctes(["q"], "SELECT text AS \"Question\" FROM q WHERE question_id % 8 IN (5, 6) "
+                                               "UNION ALL SELECT text FROM q WHERE question_id % 8 IN (5, 6)"),
+        "parse_requests": with_ctes(["req"], "SELECT event_id, chat_id, question, error FROM reqp", [_req_parsed()]),
+        "format_replies": answer_sql("q", "SELECT question_id, json_object('answer', answer)::VARCHAR AS reply FROM ans"),
+        # reshaping
+        "flatten_intents": with_ctes(["qa"], qa_cols),
+        "flatten_intents_lenient": with_ctes(["kb"], flatten_sql("kbn"), [
+            ("kbn", "SELECT * FROM kb WHERE intent_pos % 3 <> 1")]),
+        "append_qa": with_ctes(["qa"], qa_cols),
+        "preview": with_ctes(["qa"], qa_cols + " ORDER BY intent_pos, pattern_pos, response_pos LIMIT 5"),
+        "pattern_scan": with_ctes(["qa"], 'SELECT lower("Pattern") AS pattern_lower, intent_pos, pattern_pos, '
+                                          'response_pos FROM qa'),
+        # routing
+        "keyword_any": with_ctes(["chat"], "SELECT conv_id, turn, " + ", ".join(
+            f"{contains_any('lower(text)', ph)} AS {r}" for r, ph in [
+                (K.ROUTE_MEAL, K.MEAL_PHRASES_WEB), (K.ROUTE_DATE, K.DATE_PHRASES), (K.ROUTE_TIME, K.TIME_PHRASES),
+                (K.ROUTE_WEEKDAY, K.WEEKDAY_PHRASES), (K.ROUTE_TOMORROW, K.TOMORROW_PHRASES)]) + " FROM chat"),
+        "route_intent": with_ctes(["q"], f"SELECT question_id, {route('lower(text)')} AS route FROM q"),
+        "route_profiles": with_ctes(["q"], f"""SELECT question_id, 'web' AS profile, {route('lower(text)', 'web')} AS route,
+  {K.THRESHOLD_WEB} AS threshold FROM q UNION ALL SELECT question_id, 'local', {route('lower(text)', 'local')},
+  {K.THRESHOLD_LOCAL} FROM q"""),
+        "nonempty_input": with_ctes(["chat"], "SELECT * FROM chat WHERE text <> ''"),
+        "final_only": with_ctes(["utter"], "SELECT utterance_id, seq, text FROM utter WHERE is_final"),
+        "final_only_latest": with_ctes(["utter"], "SELECT utterance_id, arg_max(text, seq) AS text, max(seq) AS seq "
+                                                  "FROM utter GROUP BY utterance_id"),
+        "command_match": with_ctes(["msg"], "SELECT event_id, chat_id, regexp_extract(text, '/echo (.+)', 1) AS reply "
+                                            "FROM msg WHERE regexp_matches(text, '/echo (.+)')"),
+        # text
+        "casefold_lower": with_ctes(["chat"], "SELECT conv_id, turn, lower(text) AS text_lower FROM chat"),
+        "token_sort_key": with_ctes(["chat"], f"SELECT conv_id, turn, {key('text')} AS sort_key FROM chat"),
+        "tokenize_clean": with_ctes(["tokens"], "SELECT conv_id, turn, array_to_string(toks, ' ') AS tokens, "
+                                                "len(toks) AS n_tokens FROM tokens"),
+        "strip_text": with_ctes(["kb"], f"""SELECT intent_pos, raw, {strip('raw')} AS stripped FROM (
+  SELECT intent_pos, CASE WHEN intent_pos % 2 = 1 THEN concat(' ' || chr(9), tag, chr(160) || ' ') ELSE tag END AS raw FROM kb)"""),
+        "utf8_clean": with_ctes(["chat"], "SELECT conv_id, turn, text AS clean FROM chat"),
+        # similarity
+        "token_sort_ratio_indel": with_ctes(["q"], f"""SELECT question_id, {score('qk', 'pk')} AS score FROM (
+  SELECT q.question_id, {key('lower(q.text)')} AS qk, {key('lower(p.p_name)')} AS pk
+  FROM q JOIN part p ON p.p_partkey = q.question_id)"""),
+        "fuzzy_gate": with_ctes(["q", "pk"], f"""SELECT question_id, t AS threshold,
+  EXISTS (SELECT 1 FROM pk WHERE {score(key('lower(q.text)'), 'pkey')} >= t) AS passed
+  FROM q, (VALUES ({K.THRESHOLD_WEB}), ({K.THRESHOLD_LOCAL})) th(t)"""),
+        "candidate_prune": with_ctes(["q", "pk"], f"""SELECT qkey, count(*) AS n_candidates FROM
+  (SELECT DISTINCT {key('lower(text)')} AS qkey FROM q) qk, pk
+  WHERE {ratio('least(length(qkey), length(pkey))', 'length(qkey) + length(pkey)')} >= {thr}
+    AND {ratio(bag_common('qkey', 'pkey'), 'length(qkey) + length(pkey)')} >= {thr}
+  GROUP BY qkey"""),
+        "first_match": with_ctes(["q", "pk2"], f"""SELECT question_id, arg_min(first_pattern, first_pos) AS pattern,
+  arg_min(sc, first_pos) AS score FROM (
+    SELECT q.question_id, pk2.first_pattern, pk2.first_pos, {score(key('lower(q.text)'), 'pk2.pkey')} AS sc
+    FROM q, pk2) WHERE sc >= {thr} GROUP BY question_id"""),
+        # lookups
+        "tag_known": with_ctes(["pred_tags", "tag_counts"], """SELECT vec_id, pred_tag,
+  pred_tag IN (SELECT tag FROM tag_counts) AS known FROM pred_tags"""),
+        "responses_for_tag": with_ctes(["pred_tags", "qa"], """SELECT vec_id, pred_tag, "Response" AS response,
+  count(*) AS n_rows FROM pred_tags JOIN qa ON qa."Tag" = pred_tags.pred_tag GROUP BY ALL"""),
+        "no_response": with_ctes(["kb"], """SELECT DISTINCT tag FROM kbe WHERE tag NOT IN (SELECT "Tag" FROM fl)""", [
+            ("kbe", "SELECT * REPLACE (CASE WHEN intent_pos = 2 THEN []::VARCHAR[] ELSE responses END AS responses) FROM kb"),
+            ("fl", flatten_sql("kbe"))]),
+        "label_encode_join": with_ctes(["qa", "labels"], f"""SELECT qa.*, l.labels FROM qa LEFT JOIN
+  (SELECT label, max(label_id) AS labels FROM labels GROUP BY label) l ON l.label = {strip('qa."Tag"')}"""),
+        "label_decode": with_ctes(["vec", "labels"], """SELECT vec_id, pred_id, coalesce(label, 'unseen_tag') AS pred_tag
+  FROM (SELECT vec_id, (list_position(logits, list_max(logits)) - 1)::INTEGER AS pred_id FROM vec) v
+  LEFT JOIN labels ON labels.label_id = v.pred_id"""),
+        "answer_questions": answer_sql("q", "SELECT * FROM ans"),
+        "answer_questions_local": answer_sql("q", "SELECT * FROM ans", "local"),
+        # aggregates
+        "distinct_tags": with_ctes(["qa"], """SELECT "Tag" AS tag, first.i AS first_intent_pos, first.p AS first_pattern_pos,
+  first.r AS first_response_pos FROM (SELECT "Tag", min({'i': intent_pos, 'p': pattern_pos, 'r': response_pos}) AS first
+  FROM qa GROUP BY "Tag")"""),
+        "label_index": with_ctes(["labels"], """SELECT label_id, tag, label, max(label_id) OVER (PARTITION BY label)
+  AS label2id, (count(*) OVER ())::INTEGER AS num_labels FROM labels"""),
+        "accuracy": with_ctes(["pred"], "SELECT round(avg((label = pred)::INTEGER::DOUBLE), 9) AS \"Accuracy\" FROM pred"),
+        "macro_prf": with_ctes(["pred"], """SELECT round(sum(tp)::DOUBLE / sum(tp + fn), 9) AS "Accuracy",
+  round(avg(f1), 9) AS "F1", round(avg(pr), 9) AS "Precision", round(avg(rc), 9) AS "Recall" FROM (
+  SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END AS f1 FROM (
+    SELECT cls, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS pr,
+           CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS rc FROM (
+      SELECT cls, sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn FROM (
+        SELECT label AS cls, (label = pred)::INTEGER AS tp, 0 AS fp, (label <> pred)::INTEGER AS fn FROM pred
+        UNION ALL SELECT pred, 0, (label <> pred)::INTEGER, 0 FROM pred) GROUP BY cls)))"""),
+        "confusion_counts": with_ctes(["pred"], "SELECT label, pred, count(*) AS n FROM pred GROUP BY label, pred"),
+        "best_checkpoint": """SELECT arg_min(event_id, (value, event_id)) AS step, min(value) AS loss
+  FROM events WHERE event_id % 50 = 0""",
+        "choose_response": with_ctes(["pred_tags", "tag_counts", "qa_ord"], f"""SELECT p.vec_id, p.pred_tag, o.response
+  FROM pred_tags p LEFT JOIN tag_counts tc ON tc.tag = p.pred_tag LEFT JOIN qa_ord o ON o.tag = p.pred_tag
+  AND o.ord = {md5_bucket("'42'", 'CAST(p.vec_id AS VARCHAR)')} % tc.n_rows"""),
+        "train_test_split": with_ctes(["chat"], f"""SELECT conv_id, turn, CASE WHEN rn < ceil(0.25 * n) THEN 'test'
+  ELSE 'train' END AS split FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY h, k) - 1 AS rn,
+  count(*) OVER () AS n FROM (SELECT conv_id, turn, concat_ws(':', conv_id, turn) AS k,
+  {md5_bucket("'123'", "concat_ws(':', conv_id, turn)")} AS h FROM chat))"""),
+        "train_test_split_scale": with_ctes(["chat"], f"""SELECT conv_id, turn,
+  CASE WHEN {md5_bucket("'123'", "concat_ws(':', conv_id, turn)")} < {int(0.25 * (1 << 32))} THEN 'test'
+  ELSE 'train' END AS split FROM chat"""),
+        "split_leakage": with_ctes(["qa"], f"""SELECT count(*) AS n_test,
+  count(*) FILTER (WHERE "Pattern" IN (SELECT "Pattern" FROM s WHERE split = 'train')) AS n_leaked
+  FROM s WHERE split = 'test'""", [("s", f"""SELECT "Pattern", CASE WHEN rn < ceil(0.25 * n) THEN 'test'
+  ELSE 'train' END AS split FROM (SELECT "Pattern", row_number() OVER (ORDER BY h, k) - 1 AS rn,
+  count(*) OVER () AS n FROM (SELECT "Pattern", concat_ws(':', intent_pos, pattern_pos, response_pos) AS k,
+  {md5_bucket("'123'", "concat_ws(':', intent_pos, pattern_pos, response_pos)")} AS h FROM qa))""")]),
+        "chat_latest_first": with_ctes(["chat"], """SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id
+  ORDER BY turn DESC) - 1)::INTEGER AS display_pos FROM chat"""),
+        # classification
+        "softmax_scores": with_ctes(["vec"], """SELECT vec_id, (class_id - 1)::INTEGER AS class_id,
+  round(ex[class_id] / list_reduce(ex, lambda a, b: a + b), 9) AS prob FROM (
+    SELECT vec_id, ex, unnest(range(1, len(ex) + 1)) AS class_id FROM (
+      SELECT vec_id, list_transform(logits, lambda v: exp(v - list_max(logits))) AS ex FROM vec))"""),
+        "argmax_label": with_ctes(["vec"], """SELECT vec_id, (list_position(logits, list_max(logits)) - 1)::INTEGER
+  AS pred_id FROM vec"""),
+        "score_batch": with_ctes(["vec", "pred"], """SELECT vec_id, (list_position(sc, list_max(sc)) - 1)::INTEGER AS pred_id,
+  round(list_max(sc), 6) AS best_score FROM (
+    SELECT vec_id, list_transform(w, lambda row: list_reduce(list_transform(range(1, len(logits) + 1),
+      lambda i: logits[i] * row[i]), lambda a, b: a + b, 0.0::DOUBLE)) AS sc FROM vec,
+    (SELECT list(c ORDER BY label) AS w FROM (
+       SELECT label, list(m ORDER BY d) AS c FROM (
+         SELECT label, d, avg(logits[d]) AS m FROM (
+           SELECT vec.logits, pred.label, unnest(range(1, 11)) AS d FROM vec JOIN pred USING (vec_id))
+         GROUP BY label, d) GROUP BY label)))"""),
+        # dates
+        "tr_month_name": f"SELECT event_id, {month_names}[month(ts)] AS month_name FROM events",
+        "tr_day_name": f"""SELECT event_id, {day_tr('d')} AS day_name FROM (
+  SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'Funday' ELSE dayname(ts) END AS d FROM events)""",
+        "today_sentence": f"SELECT event_id, {today('ts')} AS sentence FROM events",
+        "weekday_sentence": f"SELECT event_id, {today('ts')} || '.' AS sentence FROM events",
+        "tomorrow_sentence": f"SELECT event_id, {tomorrow('ts')} AS sentence FROM events",
+        "time_string": f"SELECT event_id, {time_str('ts')} AS time FROM events",
+        # html
+        "html_container": f"""SELECT page_id, CASE WHEN w <> '' THEN regexp_extract(w, {lit(container_re('div', 'ad'))}, 1)
+  END AS inner FROM (SELECT page_id, regexp_extract(html, {lit(container_re('div', 'ad'))}, 0) AS w FROM pages)""",
+        "html_rows_cells": cells_explode(link_rows("html")),
+        "trim_header_footer": cells_explode(trim_hf(link_rows("html"))),
+        "menu_text": f"SELECT page_id, {menu_text(trim_hf(link_rows('html')))} AS menu FROM pages",
+        "daily_menu": f"SELECT page_id, {daily_menu('html')} AS menu FROM pages",
+        # unknowns
+        "log_unknown": with_ctes(["q"], """SELECT (row_number() OVER (ORDER BY arrival, question))::BIGINT AS id,
+  question, NULL::VARCHAR AS answer FROM (SELECT text AS question, min(question_id) AS arrival FROM q
+  WHERE text IS NOT NULL GROUP BY text)"""),
+        "unknown_sites": answer_sql("q", "SELECT question_id, reason FROM ans WHERE is_unknown"),
+        "fallback_answer": answer_sql("q", "SELECT question_id, answer FROM ans WHERE is_unknown"),
+        "merge_answered": with_ctes(["kb", "export"], flatten_sql("m"), [(
+            "m", """SELECT intent_pos, tag, patterns, responses, context_set FROM kb UNION ALL
+  SELECT (intent_pos + (SELECT max(intent_pos) FROM kb) + 1)::INTEGER, tag, patterns, responses, context_set
+  FROM export""")]),
+        # chat
+        "role_flag": with_ctes(["chat"], "SELECT conv_id, turn, role = 'user' AS is_user, role = 'bot' AS speakable FROM chat"),
     }
+    # request / message flows share the answer CTEs
+    reqp = [_req_parsed()]
+    req_src = ("reqq", "SELECT event_id AS question_id, question AS text, ts AS as_of FROM reqp WHERE error IS NULL")
+    out["append_turns"] = with_ctes(ANSWER_BASE + ["req"], """SELECT chat_id, (k * 2 + i)::BIGINT AS turn, role, text FROM (
+  SELECT chat_id, row_number() OVER (PARTITION BY chat_id ORDER BY ts, event_id) - 1 AS k, question, answer
+  FROM reqp JOIN ans ON ans.question_id = reqp.event_id WHERE error IS NULL),
+  (VALUES (0, 'user'), (1, 'bot')) v(i, role0) CROSS JOIN LATERAL (SELECT role0 AS role,
+  CASE WHEN i = 0 THEN question ELSE answer END AS text)""", reqp + [req_src] + answer_ctes("reqq"))
+    out["error_reply"] = with_ctes(ANSWER_BASE + ["req"], f"""SELECT event_id, chat_id,
+  CASE WHEN error IS NOT NULL THEN {lit(K.BOT_ERROR_MESSAGE)} ELSE answer END AS reply
+  FROM reqp LEFT JOIN ans ON ans.question_id = reqp.event_id""", reqp + [req_src] + answer_ctes("reqq"))
+    msg_src = ("msgq", "SELECT event_id AS question_id, coalesce(text, '') AS text, ts AS as_of FROM msg")
+    out["message_fanout"] = with_ctes(ANSWER_BASE + ["msg"], """SELECT event_id, chat_id, 'echo' AS kind,
+  regexp_extract(text, '/echo (.+)', 1) AS reply FROM msg WHERE regexp_matches(text, '/echo (.+)')
+  UNION ALL SELECT event_id, chat_id, 'answer', answer FROM msg JOIN ans ON ans.question_id = msg.event_id""",
+                                      [msg_src] + answer_ctes("msgq"))
+    out["missing_text"] = with_ctes(ANSWER_BASE + ["msg"], """SELECT event_id, '' AS question, answer, is_unknown
+  FROM msg JOIN ans ON ans.question_id = msg.event_id WHERE msg.text IS NULL""", [msg_src] + answer_ctes("msgq"))
+    out["stream_answers"] = with_ctes(ANSWER_BASE + ["msg"], """SELECT event_id, chat_id, answer
+  FROM msg JOIN ans ON ans.question_id = msg.event_id""", [msg_src] + answer_ctes("msgq"))
+    out["stream_unknown"] = with_ctes(ANSWER_BASE + ["msg"], """SELECT (row_number() OVER (ORDER BY arrival, question))::BIGINT
+  AS id, question, NULL::VARCHAR AS answer FROM (SELECT coalesce(text, '') AS question, min(event_id) AS arrival
+  FROM msg JOIN ans ON ans.question_id = msg.event_id WHERE is_unknown GROUP BY coalesce(text, ''))""",
+                                      [msg_src] + answer_ctes("msgq"))
+    out["stream_turns"] = with_ctes(ANSWER_BASE + ["msg"], """SELECT chat_id, (row_number() OVER (PARTITION BY chat_id
+  ORDER BY ts, event_id, i) - 1)::BIGINT AS turn, role, text FROM (
+  SELECT chat_id, ts, event_id, 0 AS i, 'user' AS role, coalesce(text, '') AS text FROM msg
+  UNION ALL SELECT chat_id, ts, event_id, 1, 'bot', answer FROM msg JOIN ans ON ans.question_id = msg.event_id)""",
+                                    [msg_src] + answer_ctes("msgq"))
+    return out
+
+
+def bag_common(a: str, b: str) -> str:
+    """Multiset intersection size of the characters of two strings."""
+    return (f"list_sum(list_transform(list_distinct(string_split({a}, '')), lambda ch: least("
+            f"len(list_filter(string_split({a}, ''), lambda x: x = ch)), "
+            f"len(list_filter(string_split({b}, ''), lambda x: x = ch)))))")
+
+
+def _encode_ctes() -> list[tuple[str, str]]:
+    return [
+        ("tk", "SELECT conv_id, turn, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM tokens"),
+        ("vocab", "SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM "
+                  "(SELECT token, count(*) AS n FROM tk GROUP BY token)"),
+        ("ids", f"SELECT conv_id, turn, list(id ORDER BY pos)[1:{K.MAX_LEN_TRAIN}] AS ids FROM tk "
+                "JOIN vocab USING (token) GROUP BY conv_id, turn"),
+        ("base", "SELECT c.conv_id, c.turn, c.role, coalesce(ids.ids, []::BIGINT[]) AS ids FROM chat c "
+                 "LEFT JOIN ids USING (conv_id, turn)"),
+        ("mx", "SELECT max(len(ids)) AS L FROM base"),
+    ]
+
+
+_base_oracle = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811 - extends the table above
+    out = _base_oracle()
+    out["encode_pad"] = with_ctes(["tokens"], """SELECT conv_id, turn,
+  array_to_string(list_concat(ids, list_resize([]::BIGINT[], L - len(ids), 0)), ' ') AS ids,
+  L::INTEGER AS padded_len, len(ids)::INTEGER AS n_tokens FROM base, mx""", _encode_ctes())
+    out["zip_examples"] = with_ctes(["tokens"], """SELECT conv_id, turn,
+  CASE WHEN role = 'user' THEN 0 ELSE 1 END AS labels, len(ids)::INTEGER AS n_tokens FROM base""", _encode_ctes())
+    return out
