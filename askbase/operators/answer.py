@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from askbase import constants as K
 from askbase.functions import calendar as D
 from askbase.functions.text import strip_text, utf8_clean
 from askbase.operators import gate as G
-from askbase.operators.knowledge import KnowledgeBase, label_decode
+from askbase.operators.indexing import group_rank
+from askbase.operators.knowledge import ORDER, KnowledgeBase, label_decode
 from askbase.operators.routing import WEB, Profile, route_expr
 
 # Response rows per broadcast; above it the (tag, ordinal) lookup is a shuffle join.
@@ -36,11 +37,9 @@ def tag_response_table(qa: DataFrame, strip_tags: bool = False) -> tuple[DataFra
     order, so R1 draws uniformly over rows (duplicates count).  The tag is
     the raw one (the reference compares raw tags) unless ``strip_tags``."""
     tag = strip_text("Tag") if strip_tags else F.col("Tag")
-    t = qa.withColumn("_tag", tag)
-    counts = t.groupBy(F.col("_tag").alias("tag")).agg(F.count(F.lit(1)).alias("n_rows"))
-    w = Window.partitionBy("_tag").orderBy("intent_pos", "pattern_pos", "response_pos")
-    rows = t.select(F.col("_tag").alias("tag"), (F.row_number().over(w) - 1).alias("ord"),
-                    F.col("Response").alias("response"))
+    t = qa.select(tag.alias("tag"), F.col("Response").alias("response"), *ORDER)
+    counts = t.groupBy("tag").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = group_rank(t, ["tag"], [F.col(c) for c in ORDER], "ord").select("tag", "ord", "response")
     return counts, rows
 
 
@@ -95,7 +94,8 @@ def fixture_predict(labels: DataFrame, seed: str = "7") -> Callable[[DataFrame],
 def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
                      predict: Callable[[DataFrame], DataFrame] | None = None,
                      menus: DataFrame | None = None, choice_seed: str = "42",
-                     index: G.PatternIndex | None = None, strip_tags: bool = False) -> DataFrame:
+                     index: G.PatternIndex | None = None, strip_tags: bool = False,
+                     carry: tuple[str, ...] = ()) -> DataFrame:
     """The whole decision per question.
 
     ``questions``: ``question_id, text, as_of``; ``kb``: a ``KnowledgeBase``
@@ -103,7 +103,8 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
     menu`` (one row per day).  Output: ``question_id, route, gate_passed,
     tag, answer, is_unknown, reason``.  A tag stored with surrounding blanks
     never matches its (stripped) predicted label, as in the reference;
-    ``strip_tags=True`` compares stripped tags instead.
+    ``strip_tags=True`` compares stripped tags instead.  ``carry`` names
+    input columns passed through to the output (no join back needed).
     """
     if not isinstance(kb, KnowledgeBase):
         kb = KnowledgeBase(kb)
@@ -150,5 +151,5 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
               .when(F.col("reason").isNotNull(), F.lit(K.FALLBACK_ANSWER))
               .otherwise(utf8_clean("response")))
     q = q.withColumn("reason", reason)
-    return q.select("question_id", "route", "gate_passed", F.col("pred_tag").alias("tag"),
+    return q.select("question_id", *carry, "route", "gate_passed", F.col("pred_tag").alias("tag"),
                     answer.alias("answer"), F.col("reason").isNotNull().alias("is_unknown"), "reason")

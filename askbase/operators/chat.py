@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from askbase import constants as K
+from askbase.operators.indexing import group_rank
 
 
 def nonempty_input(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -53,8 +54,7 @@ def append_turns(replies: DataFrame, key_col: str = "chat_id", order_cols=("ts",
     """G1: each successful reply adds two rows, user then bot; a failure adds
     none.  Turn numbers are 2k and 2k+1 for the k-th success of the chat."""
     ok = replies.filter(F.col("error").isNull())
-    w = Window.partitionBy(key_col).orderBy(*order_cols)
-    ok = ok.withColumn("_k", F.row_number().over(w) - 1)
+    ok = group_rank(ok, [key_col], [F.col(c) for c in order_cols], "_k")
     pair = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("text"), F.lit(0).alias("i")),
                    F.struct(F.lit("bot").alias("role"), F.col("answer").alias("text"), F.lit(1).alias("i")))
     return ok.select(key_col, "_k", F.explode(pair).alias("m")).select(

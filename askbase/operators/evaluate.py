@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from askbase import constants as K
-from askbase.operators.indexing import dense_index
+from askbase.operators.indexing import dense_index, group_rank
 
 
 def accuracy(preds: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -100,5 +100,5 @@ def split_leakage(split_df: DataFrame, col: str = "Pattern") -> DataFrame:
 
 def chat_latest_first(chat: DataFrame) -> DataFrame:
     """Display position from the newest turn, per conversation."""
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    return chat.withColumn("display_pos", (F.row_number().over(w) - 1).cast("int"))
+    r = group_rank(chat, ["conv_id"], [F.col("turn").desc()], "display_pos")
+    return r.withColumn("display_pos", F.col("display_pos").cast("int"))

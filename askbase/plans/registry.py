@@ -68,8 +68,9 @@ def _answers(spark, sf, questions: DataFrame, profile=R.WEB, kb=None) -> DataFra
 
 
 def _msg_questions(msgs: DataFrame) -> DataFrame:
+    extra = [c for c in msgs.columns if c not in ("event_id", "text", "ts")]
     return msgs.select(F.col("event_id").alias("question_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       F.col("ts").alias("as_of"))
+                       F.col("ts").alias("as_of"), *extra)
 
 
 # ------------------------------------------------------------------ sources
@@ -628,9 +629,9 @@ def q_error_reply(spark, sf):
 
 def _message_answers(spark, sf, msgs=None):
     msgs = msgs if msgs is not None else X.messages(spark, sf)
-    ans = _answers(spark, sf, _msg_questions(msgs))
-    return msgs.select("event_id", "chat_id").join(
-        ans.select(F.col("question_id").alias("event_id"), "answer", "is_unknown"), "event_id")
+    q = _msg_questions(msgs)
+    ans = A.answer_questions(q, _kb(spark, sf), R.WEB, menus=X.menus(spark, sf), carry=("chat_id",))
+    return ans.select(F.col("question_id").alias("event_id"), "chat_id", "answer", "is_unknown")
 
 
 @register("message_fanout")

@@ -39,11 +39,12 @@ def message_stream(spark: SparkSession, sf_dir: str, max_files: int | None = Non
 
 
 def _answer_batch(batch: DataFrame, kb: KN.KnowledgeBase, menus: DataFrame | None, profile) -> DataFrame:
-    q = batch.select(F.col("event_id").alias("question_id"), F.coalesce("text", F.lit("")).alias("text"),
-                     F.col("ts").alias("as_of"))
-    ans = A.answer_questions(q, kb, profile, menus=menus, index=kb.pattern_index())
-    return batch.select("event_id", "chat_id", "ts", F.coalesce("text", F.lit("")).alias("question")).join(
-        ans.select(F.col("question_id").alias("event_id"), "answer", "is_unknown"), "event_id")
+    q = batch.select(F.col("event_id").alias("question_id"), "chat_id", F.col("ts").alias("as_of"),
+                     F.coalesce("text", F.lit("")).alias("text"))
+    ans = A.answer_questions(q, kb, profile, menus=menus, index=kb.pattern_index(),
+                             carry=("chat_id", "as_of", "text"))
+    return ans.select(F.col("question_id").alias("event_id"), "chat_id", F.col("as_of").alias("ts"),
+                      F.col("text").alias("question"), "answer", "is_unknown")
 
 
 def stream_answers(stream: DataFrame, kb: KN.KnowledgeBase, sink: str, checkpoint: str,
@@ -90,7 +91,7 @@ def stream_turns(stream: DataFrame, kb: KN.KnowledgeBase, sink: str, checkpoint:
 
 def read_turns(spark: SparkSession, sink: str) -> DataFrame:
     """The turn log with R4-style numbering per chat, in event order."""
-    from pyspark.sql import Window
+    from askbase.operators.indexing import group_rank
     rows = spark.read.parquet(sink)
-    w = Window.partitionBy("chat_id").orderBy("ts", "event_id", "i")
-    return rows.select("chat_id", (F.row_number().over(w) - 1).cast("bigint").alias("turn"), "role", "text")
+    r = group_rank(rows, ["chat_id"], [F.col("ts"), F.col("event_id"), F.col("i")], "turn")
+    return r.select("chat_id", "turn", "role", "text")
