@@ -8,7 +8,7 @@ document order survives every shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from askbase.functions.text import strip_text
 
@@ -68,18 +68,19 @@ def label_index(qa: DataFrame, strip: bool = True) -> DataFrame:
 
     Columns: ``label_id, tag, label`` (label = stripped tag when ``strip``),
     ``label2id`` (two tags equal after stripping share the *last* id) and
-    ``num_labels`` (counted before strip-merging).  The window runs over the
-    distinct tags only: one row per class.
+    ``num_labels`` (counted before strip-merging).  Ids come from the
+    distributed dense index over the distinct tags; the inverse map is a
+    grouped max joined back (one row per label).
     """
+    from askbase.operators.indexing import dense_index
     tags = distinct_tags(qa)
-    w = Window.orderBy(F.col("first"))
-    ids = tags.select(
-        (F.row_number().over(w) - 1).cast("int").alias("label_id"), "tag",
+    ids = dense_index(tags, [F.col("first")], "label_id").select(
+        F.col("label_id").cast("int").alias("label_id"), "tag",
         (strip_text("tag") if strip else F.col("tag")).alias("label"))
-    inv = Window.partitionBy("label")
-    return ids.select("label_id", "tag", "label",
-                      F.max("label_id").over(inv).alias("label2id"),
-                      F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).cast("int").alias("num_labels"))
+    inv = ids.groupBy("label").agg(F.max("label_id").alias("label2id"))
+    n = tags.select(F.count(F.lit(1))).scalar()
+    return ids.join(inv, "label").select("label_id", "tag", "label", "label2id",
+                                        n.cast("int").alias("num_labels"))
 
 
 def label_encode(qa: DataFrame, labels: DataFrame, strip: bool = True) -> DataFrame:
