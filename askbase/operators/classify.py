@@ -14,8 +14,11 @@ from pyspark.ml.feature import CountVectorizer, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Model parameters are collected to the driver only under this many numbers.
+# Model parameters are collected to the driver only under this many numbers;
+# up to MAX_INLINE_VALUES they are inlined as literals, beyond that they are
+# joined as a one-row broadcast table.
 MAX_MODEL_VALUES = 50_000_000
+MAX_INLINE_VALUES = 100_000
 
 
 def _c(x) -> Column:
@@ -45,10 +48,17 @@ def dot(a, b) -> Column:
 def linear_scores(df: DataFrame, features: str, weights: list[list[float]], out: str = "scores") -> DataFrame:
     """C4: scores[c] = <features, weights[c]> with the weights inlined as a
     literal (a model is bounded by classes x dimensions, checked here)."""
-    if sum(len(w) for w in weights) > MAX_MODEL_VALUES:
-        raise ValueError("model too large to inline; score with PipelineModel.transform")
-    w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in weights])
-    return df.withColumn(out, F.transform(w, lambda row: dot(features, row)))
+    n_values = sum(len(w) for w in weights)
+    if n_values > MAX_MODEL_VALUES:
+        raise ValueError("model too large for the driver; score with PipelineModel.transform")
+    if n_values <= MAX_INLINE_VALUES:
+        w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in weights])
+        return df.withColumn(out, F.transform(w, lambda row: dot(features, row)))
+    spark = df.sparkSession
+    model = spark.createDataFrame([(0, [[float(v) for v in row] for row in weights])],
+                                  "_k int, _w array<array<double>>")
+    scored = df.withColumn("_k", F.lit(0)).join(F.broadcast(model), "_k")
+    return scored.withColumn(out, F.transform("_w", lambda row: dot(features, row))).drop("_k", "_w")
 
 
 def centroid_weights(df: DataFrame, features: str, label: str) -> list[list[float]]:

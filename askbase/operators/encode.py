@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from askbase.functions.text import tokenize_clean
 from askbase.operators.indexing import dense_index
 
-MAX_BROADCAST_VOCAB = 5_000_000
+MAX_BROADCAST_VOCAB = 1_000_000
 
 
 def vocabulary(tokens: DataFrame, token_col: str = "token") -> DataFrame:

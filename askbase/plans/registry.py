@@ -85,8 +85,8 @@ def q_read_intents(spark, sf):
 @register("read_intents_document")
 def q_read_intents_document(spark, sf):
     path = scratch_path(spark, "intents-doc")
-    SI.write_intents(X.kb_intents(spark, sf), path, "document")
-    return _intents_scalar(SI.read_intents(spark, path, "document"))
+    SI.write_intents(X.kb_intents(spark, sf), path, "documents")
+    return _intents_scalar(SI.read_intents(spark, path, "documents"))
 
 
 @register("write_qa_records")
@@ -119,8 +119,8 @@ def q_export_intents(spark, sf):
 @register("write_intents")
 def q_write_intents(spark, sf):
     path = scratch_path(spark, "export-doc")
-    SI.write_intents(US.with_positions(US.export_intents(X.unknown_table(spark, sf))), path, "document")
-    return KN.flatten_intents(SI.read_intents(spark, path, "document"))
+    SI.write_intents(US.with_positions(US.export_intents(X.unknown_table(spark, sf))), path, "documents")
+    return KN.flatten_intents(SI.read_intents(spark, path, "documents"))
 
 
 @register("append_question_log")

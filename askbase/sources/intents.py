@@ -1,9 +1,12 @@
 """Intents documents and flat QA records.
 
-Two layouts:
+Three layouts:
 
 * ``lines``: one intent per JSON line, with its ``intent_pos``.  Any number
   of files per directory; this is the layout that scales.
+* ``documents``: one ``{"offset": n, "intents": [...]}`` document per line,
+  each holding a bounded chunk of consecutive intents; ``offset`` is the
+  position of its first intent, so order survives any file layout.
 * ``document``: the reference's single ``{"intents": [...]}`` document.
   Reading keeps document order through ``posexplode``; writing one
   document funnels every intent through one task, so it is an opt-in for
@@ -18,6 +21,8 @@ from askbase import schemas
 
 INTENT_FIELDS = ["tag", "patterns", "responses", "context_set"]
 LINE_SCHEMA = T.StructType([T.StructField("intent_pos", T.IntegerType())] + schemas.INTENT.fields)
+CHUNK_SCHEMA = T.StructType([T.StructField("offset", T.LongType())] + schemas.INTENTS_DOC.fields)
+CHUNK_INTENTS = 10_000   # intents per document in the ``documents`` layout
 
 
 def read_intents(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
@@ -28,6 +33,11 @@ def read_intents(spark: SparkSession, path: str, layout: str = "lines") -> DataF
     """
     if layout == "lines":
         return spark.read.schema(LINE_SCHEMA).json(path)
+    if layout == "documents":
+        d = spark.read.schema(CHUNK_SCHEMA).json(path)
+        x = d.select("offset", F.posexplode("intents").alias("_pos", "i"))
+        return x.select((F.col("offset") + F.col("_pos")).cast("int").alias("intent_pos"),
+                        *[F.col("i")[f].alias(f) for f in INTENT_FIELDS])
     docs = (spark.read.schema(schemas.INTENTS_DOC).option("multiLine", True)
             .option("encoding", "UTF-8").json(path)
             .withColumn("_file", F.input_file_name()))
@@ -46,6 +56,15 @@ def write_intents(intents: DataFrame, path: str, layout: str = "lines") -> None:
     if layout == "lines":
         intents.select("intent_pos", *INTENT_FIELDS).write.mode("overwrite").json(path)
         return
+    if layout == "documents":
+        chunk = F.floor(F.col("intent_pos") / F.lit(CHUNK_INTENTS))
+        g = intents.groupBy(chunk.alias("_c")).agg(
+            F.array_sort(F.collect_list(F.struct("intent_pos", *INTENT_FIELDS))).alias("a"))
+        g.select(F.to_json(F.struct(
+            F.col("a")[0]["intent_pos"].cast("long").alias("offset"),
+            F.transform("a", lambda s: F.struct(*[s[f].alias(f) for f in INTENT_FIELDS])).alias("intents")))
+            .alias("value")).write.mode("overwrite").text(path)
+        return
     doc = intents.agg(F.array_sort(F.collect_list(F.struct("intent_pos", *INTENT_FIELDS))).alias("a"))
     doc = doc.select(F.to_json(F.struct(
         F.transform(F.coalesce("a", F.array()), lambda s: F.struct(*[s[f].alias(f) for f in INTENT_FIELDS]))

@@ -105,3 +105,23 @@ def test_stream_equals_batch(spark, sf):
     batch = {(r.question_id, r.answer) for r in
              A.answer_questions(qs, KN.KnowledgeBase(X.kb_intents(spark, sf)), WEB, menus=X.menus(spark, sf)).collect()}
     assert stream == batch
+
+
+def test_documents_layout_keeps_order_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(SI, "CHUNK_INTENTS", 7)
+    rows = [(i, f"t{i % 3}", [f"p{i}"], [f"r{i}"], "") for i in range(50)]
+    df = spark.createDataFrame(rows, "intent_pos int, tag string, patterns array<string>, "
+                                     "responses array<string>, context_set string").repartition(5)
+    path = scratch_path(spark, "t-docs")
+    SI.write_intents(df, path, "documents")
+    back = SI.read_intents(spark, path, "documents").collect()
+    assert sorted((r.intent_pos, r.patterns[0]) for r in back) == [(i, f"p{i}") for i in range(50)]
+
+
+def test_linear_scores_join_path_equals_inline(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, -1.0])], "id int, x array<double>")
+    w = [[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]
+    a = {r.id: r.scores for r in CL.linear_scores(df, "x", w).collect()}
+    monkeypatch.setattr(CL, "MAX_INLINE_VALUES", 1)
+    b = {r.id: r.scores for r in CL.linear_scores(df, "x", w).collect()}
+    assert a == b == {1: [1.0, 1.5, 2.0], 2: [3.0, 1.0, -1.0]}
