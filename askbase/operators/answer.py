@@ -66,13 +66,17 @@ def responses_for_tag(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag"
     return preds.join(r, tag_col, "inner")
 
 
-def choose_response(preds: DataFrame, qa: DataFrame, key_col: str = "question_id",
+def choose_response(preds: DataFrame, qa, key_col: str = "question_id",
                     tag_col: str = "pred_tag", seed: str = "42", strip_tags: bool = False) -> DataFrame:
     """One response per row, uniform over the tag's response rows, chosen
     by md5(seed:key) so retries and replays agree.  Adds ``n_rows`` (null =
-    tag unknown) and ``response``."""
-    counts, rows = tag_response_table(qa, strip_tags)
-    n = qa.count()
+    tag unknown) and ``response``.  ``qa``: a flat QA table or a
+    ``KnowledgeBase`` (whose response table is built once and reused)."""
+    if isinstance(qa, KnowledgeBase):
+        counts, rows, n = qa.response_table(strip_tags)
+    else:
+        counts, rows = tag_response_table(qa, strip_tags)
+        n = rows.count()
     out = preds.join(F.broadcast(counts.withColumnRenamed("tag", tag_col)), tag_col, "left")
     out = out.withColumn("_ord", F.when(F.col("n_rows") > 0,
                                         F.pmod(md5_bucket(F.lit(seed), F.col(key_col)), F.col("n_rows"))))
@@ -130,7 +134,7 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
     q = predict(q)
     q = label_decode(q, labels, "pred_id")
     q = q.withColumn("pred_tag", F.when(F.col("gate_passed"), F.col("pred_tag")))
-    q = choose_response(q, qa, "question_id", "pred_tag", choice_seed, strip_tags)
+    q = choose_response(q, kb, "question_id", "pred_tag", choice_seed, strip_tags)
 
     if menus is not None:
         m = menus.select(F.col("menu_date").alias("_d"), F.col("menu").alias("_menu"))

@@ -85,9 +85,15 @@ def size_index(feats: DataFrame, max_bytes: int | None = None) -> PatternIndex:
     return PatternIndex(feats, max(1, math.ceil(est / max_bytes)))
 
 
-def build_pattern_index(qa: DataFrame, max_bytes: int | None = None) -> PatternIndex:
-    """The gate's pattern side from a flat QA table, sized for broadcast."""
-    return size_index(pattern_features(qa), max_bytes)
+def build_pattern_index(qa: DataFrame, max_bytes: int | None = None, persist: bool = True) -> PatternIndex:
+    """The gate's pattern side from a flat QA table, sized for broadcast.
+    The features are persisted (one row per distinct pattern key), so every
+    question batch reuses the bitmasks instead of rebuilding them."""
+    feats = pattern_features(qa)
+    if persist:
+        from pyspark import StorageLevel
+        feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    return size_index(feats, max_bytes)
 
 
 def _pair_cond(threshold: int, bounds: bool = True) -> Column:

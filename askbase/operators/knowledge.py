@@ -127,6 +127,7 @@ class KnowledgeBase:
         self.qa = qa.persist(StorageLevel.MEMORY_AND_DISK) if persist else qa
         self._labels = None
         self._index = None
+        self._responses = {}
 
     @property
     def labels(self) -> DataFrame:
@@ -134,6 +135,17 @@ class KnowledgeBase:
             self._labels = label_index(self.qa)
         return self._labels
 
+    def response_table(self, strip_tags: bool = False):
+        """(tag -> n_rows, (tag, ordinal) -> response, total rows), built once."""
+        if strip_tags not in self._responses:
+            from pyspark import StorageLevel
+            from askbase.operators.answer import tag_response_table
+            counts, rows = tag_response_table(self.qa, strip_tags)
+            counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+            self._responses[strip_tags] = (counts, rows, rows.count())
+        return self._responses[strip_tags]
+
     def pattern_index(self, max_bytes: int | None = None):
         if self._index is None:
             from askbase.operators.gate import build_pattern_index

@@ -409,7 +409,7 @@ def q_best_checkpoint(spark, sf):
 @register("choose_response")
 def q_choose_response(spark, sf):
     kb = _kb(spark, sf)
-    r = A.choose_response(_pred_tags(spark, sf, kb), kb.qa, "vec_id", "pred_tag")
+    r = A.choose_response(_pred_tags(spark, sf, kb), kb, "vec_id", "pred_tag")
     return r.select("vec_id", "pred_tag", "response")
 
 

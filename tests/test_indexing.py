@@ -5,14 +5,16 @@ from pyspark.sql import Window, functions as F
 from askbase.operators.indexing import dense_index, group_rank
 
 
-def test_group_rank_hot_group_matches_row_number(spark):
+def test_group_rank_hot_group_matches_row_number(spark, monkeypatch):
+    import askbase.operators.indexing as I
+    monkeypatch.setattr(I, "SMALL_ROWS", 100)
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
         # group 0 holds about a third of the rows and spans several partitions
         df = spark.range(3000).select(
             F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97).alias("g"),
             (F.col("id") * 7919 % 3001).alias("o"), F.col("id"))
-        got = group_rank(df, ["g"], [F.col("o"), F.col("id")], "r")
+        got = I.group_rank(df, ["g"], [F.col("o"), F.col("id")], "r")
         want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("o", "id")) - 1)
         a = sorted((r.id, r.r) for r in got.collect())
         b = sorted((r.id, r.r) for r in want.collect())
@@ -26,3 +28,12 @@ def test_dense_index_descending_with_start(spark):
     got = dense_index(df, [F.col("n").desc(), F.col("t")], "i", start=1)
     want = df.withColumn("i", F.row_number().over(Window.orderBy(F.col("n").desc(), "t")))
     assert sorted((r.t, r.i) for r in got.collect()) == sorted((r.t, r.i) for r in want.collect())
+
+
+def test_distributed_path_forced(spark, monkeypatch):
+    import askbase.operators.indexing as I
+    monkeypatch.setattr(I, "SMALL_ROWS", 10)
+    df = spark.range(300).select((F.col("id") % 4).alias("g"), F.col("id"))
+    got = I.group_rank(df, ["g"], [F.col("id").desc()], "r", start=1)
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.col("id").desc())))
+    assert sorted((r.id, r.r) for r in got.collect()) == sorted((r.id, r.r) for r in want.collect())
