@@ -99,7 +99,7 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
                      predict: Callable[[DataFrame], DataFrame] | None = None,
                      menus: DataFrame | None = None, choice_seed: str = "42",
                      index: G.PatternIndex | None = None, strip_tags: bool = False,
-                     carry: tuple[str, ...] = ()) -> DataFrame:
+                     carry: tuple[str, ...] = (), metric: str = "indel") -> DataFrame:
     """The whole decision per question.
 
     ``questions``: ``question_id, text, as_of``; ``kb``: a ``KnowledgeBase``
@@ -109,6 +109,8 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
     never matches its (stripped) predicted label, as in the reference;
     ``strip_tags=True`` compares stripped tags instead.  ``carry`` names
     input columns passed through to the output (no join back needed).
+    ``metric``: ``indel`` (native M1, the default) or ``exact`` (the
+    reference's Ratcliff-Obershelp ratio on the pairs M1 lets through).
     """
     if not isinstance(kb, KnowledgeBase):
         kb = KnowledgeBase(kb)
@@ -124,7 +126,8 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
             index = kb.pattern_index()
         q = q.withColumn("qkey", F.when(F.col("route").isNull(),
                                         G.token_sort_key(F.lower("text"))))
-        passed = G.passing_keys(q.filter(F.col("qkey").isNotNull()), index, profile.threshold)
+        passed = G.passing_keys(q.filter(F.col("qkey").isNotNull()), index, profile.threshold,
+                                metric=metric)
         q = (q.join(passed.withColumn("gate_passed", F.lit(True)), "qkey", "left")
              .withColumn("gate_passed", F.when(F.col("route").isNull(),
                                                F.coalesce("gate_passed", F.lit(False)))))

@@ -115,18 +115,28 @@ def _theta(left: DataFrame, index: PatternIndex, cond: Column, how: str) -> Data
     return out
 
 
-def passing_keys(qkeys: DataFrame, index: PatternIndex, threshold: int, bounds: bool = True) -> DataFrame:
-    """M3 over distinct keys: the question keys for which some pattern passes."""
+def passing_keys(qkeys: DataFrame, index: PatternIndex, threshold: int, bounds: bool = True,
+                 metric: str = "indel") -> DataFrame:
+    """M3 over distinct keys: the question keys for which some pattern passes.
+
+    ``metric="exact"`` is the reference-parity mode: pairs whose native M1
+    score reaches the threshold (M1 >= M2, so no true match is lost) are the
+    only ones scored by the Arrow ``difflib`` UDF; the UDF never sees a pair
+    the bounds exclude."""
     feats = question_features(qkeys.select("qkey").distinct())
+    if metric == "exact":
+        cand = _theta(feats, index, _pair_cond(threshold, bounds), "inner").select("qkey", "pkey")
+        ok = cand.filter(S.exact_score("pkey", "qkey") >= int(threshold))
+        return ok.select("qkey").distinct()
     out = _theta(feats, index, _pair_cond(threshold, bounds), "left_semi").select("qkey")
     return out.distinct() if index.slices > 1 else out
 
 
 def fuzzy_gate(questions: DataFrame, index: PatternIndex, threshold: int,
-               text_col: str = "text", bounds: bool = True) -> DataFrame:
+               text_col: str = "text", bounds: bool = True, metric: str = "indel") -> DataFrame:
     """M3: adds ``qkey`` and ``gate_passed`` to every question row."""
     q = questions.withColumn("qkey", token_sort_key(F.lower(F.col(text_col))))
-    passed = passing_keys(q, index, threshold, bounds).withColumn("gate_passed", F.lit(True))
+    passed = passing_keys(q, index, threshold, bounds, metric).withColumn("gate_passed", F.lit(True))
     return (q.join(passed, "qkey", "left")
             .withColumn("gate_passed", F.coalesce("gate_passed", F.lit(False))))
 

@@ -300,6 +300,23 @@ def q_fuzzy_gate(spark, sf):
     return outs[0].unionByName(outs[1])
 
 
+@register("fuzzy_gate_exact")
+def q_fuzzy_gate_exact(spark, sf):
+    kb = _kb(spark, sf)
+    idx = kb.pattern_index()
+    q = X.questions(spark, sf)
+    outs = [G.fuzzy_gate(q, idx, t, metric="exact").select("question_id", F.lit(t).alias("threshold"),
+                                                          F.col("gate_passed").alias("passed"))
+            for t in (K.THRESHOLD_WEB, K.THRESHOLD_LOCAL)]
+    return outs[0].unionByName(outs[1])
+
+
+@register("answer_questions_exact")
+def q_answer_questions_exact(spark, sf):
+    return A.answer_questions(X.questions(spark, sf), _kb(spark, sf), R.WEB, menus=X.menus(spark, sf),
+                              metric="exact")
+
+
 @register("candidate_prune")
 def q_candidate_prune(spark, sf):
     kb = _kb(spark, sf)

@@ -109,3 +109,26 @@ def test_sliced_index_equals_broadcast(spark, sf):
     a = {r.question_id: r.gate_passed for r in G.fuzzy_gate(q, whole, 55).collect()}
     b = {r.question_id: r.gate_passed for r in G.fuzzy_gate(q, sliced, 55).collect()}
     assert a == b
+
+
+def test_exact_gate_equals_bruteforce_difflib(spark, sf):
+    """Reference-parity mode against a per-question linear scan in Python."""
+    from difflib import SequenceMatcher
+    from askbase.plans import fixtures as X
+    from tests.test_similarity import py_key
+    kb = KnowledgeBase(X.kb_intents(spark, sf))
+    patterns = [r.Pattern for r in kb.qa.select("Pattern").collect()]
+    q = X.questions(spark, sf)
+    got = {r.question_id: r.gate_passed for r in G.fuzzy_gate(q, kb.pattern_index(), 55, metric="exact").collect()}
+
+    def ratio(p, t):
+        a, b = py_key(p.lower()), py_key(t.lower())
+        if a == b:
+            return 100
+        if not a or not b:
+            return 0
+        return int(round(100 * SequenceMatcher(None, a, b).ratio()))
+
+    for r in q.collect():
+        want = any(ratio(p, r.text.lower()) >= 55 for p in patterns)
+        assert got[r.question_id] == want, r.text
