@@ -20,6 +20,7 @@ from askbase.functions.text import strip_text, utf8_clean
 from askbase.operators import gate as G
 from askbase.operators.indexing import group_rank
 from askbase.operators.knowledge import ORDER, KnowledgeBase, label_decode
+from askbase.operators.sizing import sized_broadcast
 from askbase.operators.routing import WEB, Profile, route_expr
 
 # Response rows per broadcast; above it the (tag, ordinal) lookup is a shuffle join.
@@ -47,23 +48,29 @@ def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= MAX_BROADCAST_ROWS else df
 
 
+def _tags(qa, tag_col: str) -> DataFrame:
+    if isinstance(qa, KnowledgeBase):
+        qa = qa.qa
+    return qa.select(F.col("Tag").alias(tag_col)).distinct()
+
+
 def tag_known(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag") -> DataFrame:
     """Predictions whose tag exists in the knowledge base (exact equality)."""
-    tags = qa.select(F.col("Tag").alias(tag_col)).distinct()
-    return preds.join(F.broadcast(tags), tag_col, "left_semi")
+    return preds.join(sized_broadcast(_tags(qa, tag_col)), tag_col, "left_semi")
 
 
 def tag_unknown(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag") -> DataFrame:
     """J1 complement: predictions that fall back."""
-    tags = qa.select(F.col("Tag").alias(tag_col)).distinct()
-    return preds.join(F.broadcast(tags), tag_col, "left_anti")
+    return preds.join(sized_broadcast(_tags(qa, tag_col)), tag_col, "left_anti")
 
 
 def responses_for_tag(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag") -> DataFrame:
     """Every response row of the predicted tag (duplicates kept)."""
+    if isinstance(qa, KnowledgeBase):
+        qa = qa.qa
     r = qa.select(F.col("Tag").alias(tag_col), F.col("Response").alias("response"),
                   "intent_pos", "pattern_pos", "response_pos")
-    return preds.join(r, tag_col, "inner")
+    return preds.join(sized_broadcast(r, MAX_BROADCAST_ROWS), tag_col, "inner")
 
 
 def choose_response(preds: DataFrame, qa, key_col: str = "question_id",
@@ -77,7 +84,7 @@ def choose_response(preds: DataFrame, qa, key_col: str = "question_id",
     else:
         counts, rows = tag_response_table(qa, strip_tags)
         n = rows.count()
-    out = preds.join(F.broadcast(counts.withColumnRenamed("tag", tag_col)), tag_col, "left")
+    out = preds.join(sized_broadcast(counts.withColumnRenamed("tag", tag_col)), tag_col, "left")
     out = out.withColumn("_ord", F.when(F.col("n_rows") > 0,
                                         F.pmod(md5_bucket(F.lit(seed), F.col(key_col)), F.col("n_rows"))))
     rows = rows.withColumnRenamed("tag", tag_col).withColumnRenamed("ord", "_ord")
@@ -141,7 +148,7 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
 
     if menus is not None:
         m = menus.select(F.col("menu_date").alias("_d"), F.col("menu").alias("_menu"))
-        q = q.join(F.broadcast(m), F.to_date("as_of") == F.col("_d"), "left")
+        q = q.join(sized_broadcast(m), F.to_date("as_of") == F.col("_d"), "left")
         menu_answer = F.coalesce(F.col("_menu"), F.lit(K.MENU_UNAVAILABLE))
     else:
         menu_answer = F.lit(K.MENU_UNAVAILABLE)

@@ -75,7 +75,7 @@ def centroid_weights(df: DataFrame, features: str, label: str) -> list[list[floa
     return [rows.get(c, [0.0] * dims) for c in range(n_classes + 1)]
 
 
-def training_pipeline(text_col: str = "text", label_col: str = "label", reg: float = 0.01,
+def classifier_stages(text_col: str = "text", label_col: str = "label", reg: float = 0.01,
                       max_iter: int = 100, vocab: int = 1 << 18) -> Pipeline:
     """Word tokens (same word rule as T3) -> counts -> IDF -> multinomial LR."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", gaps=False,
@@ -89,7 +89,7 @@ def training_pipeline(text_col: str = "text", label_col: str = "label", reg: flo
 
 
 def train_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label", **kw) -> PipelineModel:
-    return training_pipeline(text_col, label_col, **kw).fit(train)
+    return classifier_stages(text_col, label_col, **kw).fit(train)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

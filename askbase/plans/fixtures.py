@@ -6,7 +6,7 @@ table.  The same rules are written in DuckDB SQL in ``plans/oracle.py``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from askbase.session import read_table
 
@@ -41,9 +41,10 @@ def kb_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = part.groupBy(F.col("p_type").alias("tag")).agg(
         F.array_sort(F.collect_set("p_name")).alias("patterns"),
         F.array_sort(F.collect_set("p_brand")).alias("responses"))
-    w = Window.orderBy("tag")
-    return g.select((F.dense_rank().over(w) - 1).cast("int").alias("intent_pos"), "tag",
-                    "patterns", "responses", F.lit("").alias("context_set"))
+    from askbase.operators.indexing import dense_index
+    return dense_index(g, [F.col("tag")], "intent_pos").select(
+        F.col("intent_pos").cast("int").alias("intent_pos"), "tag", "patterns", "responses",
+        F.lit("").alias("context_set"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,18 +108,29 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", role.alias("role"), text.alias("text"))
 
 
+def unknown_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of Q the web answer flow cannot answer: question_id, text."""
+    from askbase.operators.answer import answer_questions
+    from askbase.operators.knowledge import KnowledgeBase
+    from askbase.operators.routing import WEB
+    ans = answer_questions(questions(spark, sf_dir), KnowledgeBase(kb_intents(spark, sf_dir)), WEB,
+                           menus=menus(spark, sf_dir), carry=("text",))
+    return ans.filter(F.col("is_unknown")).select("question_id", "text")
+
+
 def unknown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UNK: the distinct texts of the two question kinds built not to match,
-    dense ids by first question id, answers null / '' / brand."""
-    part = read_table(spark, sf_dir, "part").filter((F.col("p_partkey") % 8).isin(5, 6))
-    q = part.select(F.col("p_partkey").alias("question_id"), F.expr(Q_TEXT_SQL).alias("text"), "p_brand")
+    """UNK: the distinct unknown texts, dense ids by first question id,
+    answer = brand of that part, null when the id is even, '' when it is a
+    multiple of 5."""
+    from askbase.operators.indexing import dense_index
+    part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("question_id"), "p_brand")
+    q = unknown_questions(spark, sf_dir).join(part, "question_id")
     first = q.groupBy("text").agg(F.min_by(F.struct("question_id", "p_brand"), "question_id").alias("f"))
-    w = Window.orderBy("f.question_id")
-    ids = first.select(F.row_number().over(w).cast("bigint").alias("id"), F.col("text").alias("question"),
-                       F.col("f.p_brand").alias("brand"))
+    ids = dense_index(first.select("text", F.col("f.question_id").alias("fq"), F.col("f.p_brand").alias("brand")),
+                      [F.col("fq"), F.col("text")], "id", start=1)
     ans = (F.when(F.col("id") % 2 == 0, F.lit(None).cast("string"))
            .when(F.col("id") % 5 == 0, F.lit("")).otherwise(F.col("brand")))
-    return ids.select("id", "question", ans.alias("answer"))
+    return ids.select(F.col("id").cast("bigint").alias("id"), F.col("text").alias("question"), ans.alias("answer"))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,12 +210,13 @@ CTES.update({
   AS body FROM events"""),
     "msg": ([], """SELECT event_id, user_id AS chat_id, ts, CASE event_id % 5 WHEN 0 THEN concat('/echo ', event_type)
   WHEN 1 THEN NULL WHEN 2 THEN concat('hey /echo a', chr(10), 'b') ELSE event_type END AS text FROM events"""),
-    "unk": ([], f"""SELECT (row_number() OVER (ORDER BY fq))::BIGINT AS id, text AS question,
-  CASE WHEN (row_number() OVER (ORDER BY fq)) % 2 = 0 THEN NULL
-       WHEN (row_number() OVER (ORDER BY fq)) % 5 = 0 THEN '' ELSE fb END AS answer
-  FROM (SELECT text, min(question_id) AS fq, arg_min(p_brand, question_id) AS fb FROM
-        (SELECT p_partkey AS question_id, {Q_TEXT} AS text, p_brand FROM part WHERE p_partkey % 8 IN (5, 6))
-        GROUP BY text)"""),
+    "unk_q": (["ans_q"], """SELECT q.question_id, q.text FROM ans_q a JOIN q USING (question_id)
+  WHERE a.is_unknown"""),
+    "unk": (["unk_q"], """SELECT id::BIGINT AS id, text AS question,
+  CASE WHEN id % 2 = 0 THEN NULL WHEN id % 5 = 0 THEN '' ELSE fb END AS answer
+  FROM (SELECT row_number() OVER (ORDER BY fq, text) AS id, text, fb FROM (
+    SELECT u.text, min(u.question_id) AS fq, arg_min(p.p_brand, u.question_id) AS fb
+    FROM unk_q u JOIN part p ON p.p_partkey = u.question_id GROUP BY u.text))"""),
     "utter": ([], """SELECT user_id AS utterance_id, event_id AS seq, event_type = 'purchase' AS is_final,
   event_type AS text FROM events"""),
     "pred_tags": (["pred", "labels"], """SELECT pred.vec_id, pred.label, pred.pred AS pred_id,
@@ -231,6 +232,13 @@ CTES.update({
 })
 
 
+def _register_answer_ctes():
+    prev = ANSWER_BASE + ["q"]
+    for name, sql in answer_ctes("q", "web", tag="_q"):
+        CTES[name] = (list(prev), sql)
+        prev = [name]
+
+
 def flatten_sql(src: str) -> str:
     """P1 over an intents relation named ``src``."""
     return f"""SELECT patterns[pattern_pos + 1] AS "Pattern", tag AS "Tag", responses[response_pos + 1] AS "Response",
@@ -274,6 +282,7 @@ def answer_ctes(src: str, profile: str = "web", tag: str = "") -> list[tuple[str
 
 
 ANSWER_BASE = ["labels", "tag_counts", "qa_ord", "pk", "menus"]
+_register_answer_ctes()
 
 
 def answer_sql(src_cte: str, body: str, profile: str = "web", extra_src=None) -> str:
@@ -316,8 +325,8 @@ def oracle_sql() -> dict[str, str]:
         "scan_unknown": with_ctes(["unk"], "SELECT id, question, answer FROM unk"),
         "export_intents": with_ctes(["export"], _intents_scalar("export")),
         "write_intents": with_ctes(["export"], flatten_sql("export")),
-        "append_question_log": with_ctes(["q"], "SELECT text AS \"Question\" FROM q WHERE question_id % 8 IN (5, 6) "
-                                               "UNION ALL SELECT text FROM q WHERE question_id % 8 IN (5, 6)"),
+        "append_question_log": with_ctes(["unk_q"], "SELECT text AS \"Question\" FROM unk_q "
+                                                   "UNION ALL SELECT text FROM unk_q"),
         "parse_requests": with_ctes(["req"], "SELECT event_id, chat_id, question, error FROM reqp", [_req_parsed()]),
         "format_replies": answer_sql("q", "SELECT question_id, json_object('answer', answer)::VARCHAR AS reply FROM ans"),
         # reshaping
