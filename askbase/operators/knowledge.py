@@ -147,6 +147,17 @@ class KnowledgeBase:
             self._responses[strip_tags] = (counts, rows, rows.count())
         return self._responses[strip_tags]
 
+    def close(self) -> None:
+        """Release the cached tables (the lineage stays valid)."""
+        self.qa.unpersist()
+        if self._index is not None:
+            self._index.df.unpersist()
+        for counts, rows, _ in self._responses.values():
+            counts.unpersist()
+            rows.unpersist()
+        self._responses.clear()
+        self._index = None
+
     def pattern_index(self, max_bytes: int | None = None):
         if self._index is None:
             from askbase.operators.gate import build_pattern_index

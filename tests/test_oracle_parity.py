@@ -22,10 +22,21 @@ def con(sf):
     return c
 
 
+PYTHON_NODES = ("EvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, sf, con, name):
     df = E.queries()[name](spark, sf)
     rows = [tuple(r) for r in df.collect()]
+    plan = plan_text(df)
+    # SQL-checked operators are native: no Python node, no cartesian product
+    assert not any(n in plan for n in PYTHON_NODES), name
+    assert "CartesianProduct" not in plan, name
     res = con.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
