@@ -30,6 +30,9 @@ DAY_NAMES_TR = {
     "Sunday": "Pazar",
 }
 
+# English weekday names in day-of-week order (1 = Sunday), as strftime('%A') spells them.
+WEEKDAYS_FROM_SUNDAY = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
+
 # --- fixed values: sentences ---
 FALLBACK_ANSWER = "Bu sorunuzu yanıtlayamıyorum, en kısa sürede yanıtlayacağım."
 MENU_UNAVAILABLE = "Günün yemeği bilgisine ulaşılamıyor."

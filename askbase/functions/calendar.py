@@ -1,14 +1,16 @@
 """Turkish date and time answers (D1-D6) on an explicit ``as_of`` column.
 
 The wall clock is never read: every answer is a function of a timestamp
-column, so replays and retries give the same text.
+column, so replays and retries give the same text.  Fields are extracted
+directly (day, month, year, hour, ...), so a ``timestamp_ntz`` column gives
+the same text under any session time zone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from askbase.constants import DAY_NAMES_TR, MONTH_NAMES_TR
+from askbase.constants import DAY_NAMES_TR, MONTH_NAMES_TR, WEEKDAYS_FROM_SUNDAY
 
 
 def _c(x) -> Column:
@@ -28,9 +30,20 @@ def day_name_tr(day) -> Column:
     return F.coalesce(F.try_element_at(m, d), d)
 
 
+def _two(x: Column) -> Column:
+    return F.lpad(x.cast("string"), 2, "0")
+
+
+def english_day_name(ts) -> Column:
+    """Weekday name in English (what ``%A`` gives), from the day of week, so
+    the result never depends on the session time zone."""
+    names = F.array(*[F.lit(d) for d in WEEKDAYS_FROM_SUNDAY])
+    return F.element_at(names, F.dayofweek(_c(ts)))
+
+
 def _date_words(ts: Column) -> list[Column]:
-    return [F.date_format(ts, "dd"), month_name_tr(F.month(ts)), F.date_format(ts, "yyyy"),
-            day_name_tr(F.date_format(ts, "EEEE"))]
+    return [_two(F.dayofmonth(ts)), month_name_tr(F.month(ts)), F.lpad(F.year(ts).cast("string"), 4, "0"),
+            day_name_tr(english_day_name(ts))]
 
 
 def today_sentence(as_of) -> Column:
@@ -50,5 +63,6 @@ def tomorrow_sentence(as_of) -> Column:
 
 
 def time_string(as_of) -> Column:
-    """HH:MM:SS, 24-hour clock."""
-    return F.date_format(_c(as_of), "HH:mm:ss")
+    """HH:MM:SS, 24-hour clock (field extraction, no time-zone cast)."""
+    ts = _c(as_of)
+    return F.concat_ws(":", _two(F.hour(ts)), _two(F.minute(ts)), _two(F.second(ts)))

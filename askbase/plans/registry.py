@@ -528,7 +528,7 @@ def q_tr_month_name(spark, sf):
 
 @register("tr_day_name")
 def q_tr_day_name(spark, sf):
-    day = F.when(F.col("event_id") % 7 == 0, F.lit("Funday")).otherwise(F.date_format("ts", "EEEE"))
+    day = F.when(F.col("event_id") % 7 == 0, F.lit("Funday")).otherwise(D.english_day_name("ts"))
     return _ev(spark, sf).select("event_id", D.day_name_tr(day).alias("day_name"))
 
 
