@@ -100,10 +100,18 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
             .drop("_tokens", "_tf", "_features", "rawPrediction", "probability", "prediction"))
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Persist the fitted pipeline (tokenizer and vocabulary included)."""
+def save_model(model: PipelineModel, path: str, labels: DataFrame | None = None) -> None:
+    """Persist the fitted pipeline (tokenizer and vocabulary included)
+    and, when given, the label table (``label_id, tag, label``) beside it."""
     model.write().overwrite().save(path)
+    if labels is not None:
+        labels.write.mode("overwrite").parquet(path.rstrip("/") + "_labels")
 
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def load_labels(spark, path: str) -> DataFrame:
+    """The label table saved beside a model by ``save_model``."""
+    return spark.read.parquet(path.rstrip("/") + "_labels")

@@ -487,10 +487,14 @@ def q_eval_summary(spark, sf):
 def q_save_load_model(spark, sf):
     model, test = _fit_chat(spark, sf)
     path = scratch_path(spark, "model")
-    CL.save_model(model, path)
+    labels = X.chat(spark, sf).select(F.when(F.col("role") == "user", 0).otherwise(1).cast("int").alias("label_id"),
+                                      F.col("role").alias("tag"), F.col("role").alias("label")).distinct()
+    CL.save_model(model, path, labels)
     again = CL.load_model(path)
+    names = F.broadcast(CL.load_labels(spark, path).select(F.col("label_id").alias("pred"), F.col("tag")))
     a = CL.predict(model, test).select("conv_id", "turn", F.col("pred").alias("pred_saved"))
-    b = CL.predict(again, test).select("conv_id", "turn", F.col("pred").alias("pred_loaded"))
+    b = CL.predict(again, test).join(names, "pred").select("conv_id", "turn", F.col("pred").alias("pred_loaded"),
+                                                             F.col("tag").alias("pred_role"))
     return a.join(b, ["conv_id", "turn"])
 
 

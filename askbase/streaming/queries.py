@@ -3,8 +3,6 @@ return the sink read back as a batch DataFrame."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from askbase.operators import knowledge as KN
 from askbase.plans import fixtures as X
 from askbase.plans.registry import register

@@ -125,3 +125,20 @@ def test_linear_scores_join_path_equals_inline(spark, monkeypatch):
     monkeypatch.setattr(CL, "MAX_INLINE_VALUES", 1)
     b = {r.id: r.scores for r in CL.linear_scores(df, "x", w).collect()}
     assert a == b == {1: [1.0, 1.5, 2.0], 2: [3.0, 1.0, -1.0]}
+
+
+def test_final_only_is_stateless_on_a_stream(spark, sf):
+    """F5 applied to a streaming DataFrame equals the batch result."""
+    from askbase.operators import chat as CH
+    from askbase.plans import fixtures as X
+    from askbase.streaming.answers import EVENTS_SCHEMA
+    ev = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
+    utt = ev.select(F.col("user_id").alias("utterance_id"), F.col("event_id").alias("seq"),
+                    (F.col("event_type") == "purchase").alias("is_final"), F.col("event_type").alias("text"))
+    sink = scratch_path(spark, "t-final-stream")
+    q = (CH.final_only(utt).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", scratch_path(spark, "t-final-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(sink).select("utterance_id", "seq", "text").collect())
+    want = sorted(tuple(r) for r in CH.final_only(X.utterances(spark, sf)).select("utterance_id", "seq", "text").collect())
+    assert got == want and len(got) > 0
