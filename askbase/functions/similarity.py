@@ -46,12 +46,27 @@ def chars_of(s) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+    (A column expression used inside a lambda is re-evaluated per element.)"""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def char_bag(s) -> Column:
-    """map<char, count> of a string."""
-    cs = chars_of(s)
-    d = F.array_distinct(cs)
-    counts = F.transform(d, lambda ch: F.size(F.filter(cs, lambda x: x == ch)))
-    return F.map_from_arrays(d, counts)
+    """map<char, count> of a string.
+
+    The characters are sorted once; each distinct character's count is the
+    gap between its first position and the next distinct character's, found
+    with the native ``array_position`` (no per-comparison lambda)."""
+    def from_sorted(srt):
+        d = F.array_distinct(srt)
+        firsts = F.transform(d, lambda ch: F.array_position(srt, ch))
+
+        def counts(fs):
+            return F.transform(fs, lambda p, i: (F.coalesce(F.try_element_at(fs, i + 2), F.size(srt) + 1) - p)
+                               .cast("int"))
+        return F.map_from_arrays(d, _let(firsts, counts))
+    return _let(F.sort_array(chars_of(s)), from_sorted)
 
 
 def pattern_bitmasks(key, length) -> tuple[Column, Column, Column]:

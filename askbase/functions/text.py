@@ -43,7 +43,7 @@ def token_sort_key(text) -> Column:
     c = F.regexp_replace(_c(text), LATIN1_HIGH, "")
     c = F.lower(F.regexp_replace(c, NON_WORD, " "))
     toks = F.filter(F.split(F.trim(c), " +"), lambda t: t != "")
-    return F.array_join(F.array_sort(toks), " ")
+    return F.array_join(F.sort_array(toks), " ")
 
 
 def tokenize_clean(text) -> Column:

@@ -31,7 +31,7 @@ def encode_pad(df: DataFrame, key_cols: list[str], text_col: str = "text",
     n_vocab = vocab.count()
     v = F.broadcast(vocab) if n_vocab <= MAX_BROADCAST_VOCAB else vocab
     ids = toks.join(v.select("token", "id"), "token").groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
+        F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_p"))
     ids = ids.select(*key_cols, F.slice(F.transform("_p", lambda s: s["id"].cast("int")), 1, max_len).alias("_ids"))
     base = df.select(*key_cols).join(ids, key_cols, "left").withColumn(
         "_ids", F.coalesce("_ids", F.array().cast("array<int>")))

@@ -39,8 +39,8 @@ def kb_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KB: one intent per part type; sorted distinct names and brands."""
     part = read_table(spark, sf_dir, "part")
     g = part.groupBy(F.col("p_type").alias("tag")).agg(
-        F.array_sort(F.collect_set("p_name")).alias("patterns"),
-        F.array_sort(F.collect_set("p_brand")).alias("responses"))
+        F.sort_array(F.collect_set("p_name")).alias("patterns"),
+        F.sort_array(F.collect_set("p_brand")).alias("responses"))
     from askbase.operators.indexing import dense_index
     return dense_index(g, [F.col("tag")], "intent_pos").select(
         F.col("intent_pos").cast("int").alias("intent_pos"), "tag", "patterns", "responses",

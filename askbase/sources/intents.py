@@ -59,13 +59,13 @@ def write_intents(intents: DataFrame, path: str, layout: str = "lines") -> None:
     if layout == "documents":
         chunk = F.floor(F.col("intent_pos") / F.lit(CHUNK_INTENTS))
         g = intents.groupBy(chunk.alias("_c")).agg(
-            F.array_sort(F.collect_list(F.struct("intent_pos", *INTENT_FIELDS))).alias("a"))
+            F.sort_array(F.collect_list(F.struct("intent_pos", *INTENT_FIELDS))).alias("a"))
         g.select(F.to_json(F.struct(
             F.col("a")[0]["intent_pos"].cast("long").alias("offset"),
             F.transform("a", lambda s: F.struct(*[s[f].alias(f) for f in INTENT_FIELDS])).alias("intents")))
             .alias("value")).write.mode("overwrite").text(path)
         return
-    doc = intents.agg(F.array_sort(F.collect_list(F.struct("intent_pos", *INTENT_FIELDS))).alias("a"))
+    doc = intents.agg(F.sort_array(F.collect_list(F.struct("intent_pos", *INTENT_FIELDS))).alias("a"))
     doc = doc.select(F.to_json(F.struct(
         F.transform(F.coalesce("a", F.array()), lambda s: F.struct(*[s[f].alias(f) for f in INTENT_FIELDS]))
         .alias("intents"))).alias("value"))
