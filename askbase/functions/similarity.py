@@ -26,119 +26,94 @@ from pyspark.sql import Column, functions as F, types as T
 WORD_BITS = 62
 FULL_WORD = (1 << WORD_BITS) - 1
 
+# The expressions below are Spark SQL text, parsed once by ``F.expr``: the
+# same trees built through the Column API take hundreds of driver round
+# trips.  Arguments are column names (or SQL expressions).  A value used
+# inside a lambda is bound once with a one-element ``transform`` ("let"),
+# because an expression referenced inside a lambda is re-evaluated per
+# element.
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _shl(x, n) -> Column:
-    """x << n with a column shift amount."""
-    return F.call_function("shiftleft", x, n)
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _shr(x, n) -> Column:
-    return F.call_function("shiftright", x, n)
+def _sql_let(value: str, var: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {var} -> {body}), 1)"
 
 
-def chars_of(s) -> Column:
-    """Characters of a string as an array (empty string -> empty array)."""
-    s = _c(s)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
+def chars_sql(s: str) -> str:
+    return f"IF({s} = '', CAST(array() AS array<string>), split({s}, ''))"
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
-    (A column expression used inside a lambda is re-evaluated per element.)"""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def chars_of(s: str) -> Column:
+    """Characters of a string as an array (empty string -> empty array)."""
+    return F.expr(chars_sql(s))
 
 
-def char_bag(s) -> Column:
-    """map<char, count> of a string.
+def char_bag_sql(s: str) -> str:
+    counts = "transform(fs, (p, i) -> CAST(coalesce(try_element_at(fs, i + 2), size(srt) + 1) - p AS INT))"
+    firsts = "transform(array_distinct(srt), ch -> array_position(srt, ch))"
+    body = f"map_from_arrays(array_distinct(srt), {_sql_let(firsts, 'fs', counts)})"
+    return _sql_let(f"sort_array({chars_sql(s)})", "srt", body)
 
-    The characters are sorted once; each distinct character's count is the
-    gap between its first position and the next distinct character's, found
-    with the native ``array_position`` (no per-comparison lambda)."""
-    def from_sorted(srt):
-        d = F.array_distinct(srt)
-        firsts = F.transform(d, lambda ch: F.array_position(srt, ch))
 
-        def counts(fs):
-            return F.transform(fs, lambda p, i: (F.coalesce(F.try_element_at(fs, i + 2), F.size(srt) + 1) - p)
-                               .cast("int"))
-        return F.map_from_arrays(d, _let(firsts, counts))
-    return _let(F.sort_array(chars_of(s)), from_sorted)
+def char_bag(s: str) -> Column:
+    """map<char, count> of a string: characters sorted once, each distinct
+    character's count is the gap between its first position and the next
+    distinct character's (native ``array_position``, no per-comparison
+    lambda)."""
+    return F.expr(char_bag_sql(s))
 
 
-def pattern_bitmasks(key, length) -> tuple[Column, Column, Column]:
+def pattern_bitmasks(key: str) -> tuple[Column, Column, Column]:
     """(word count, char -> array<bigint> position masks, initial V words)."""
-    key, length = _c(key), _c(length)
-    nw = F.greatest(F.lit(1), F.ceil(length / F.lit(WORD_BITS)).cast("int"))
-    words = F.sequence(F.lit(0), nw - 1)
-    distinct_chars = F.array_distinct(chars_of(key))
-
-    def word_mask(ch, w):
-        lo = w * WORD_BITS
-        hi = F.least(length, lo + WORD_BITS) - 1
-        pos = F.filter(F.sequence(lo, F.greatest(lo, hi)), lambda j: j <= hi)
-        return F.aggregate(
-            pos, F.lit(0).cast("bigint"),
-            lambda acc, j: acc.bitwiseOR(F.when(F.substring(key, j + 1, 1) == ch,
-                                        _shl(F.lit(1).cast("bigint"), j - lo))
-            .otherwise(F.lit(0).cast("bigint"))))
-
-    masks = F.map_from_arrays(
-        distinct_chars,
-        F.transform(distinct_chars, lambda ch: F.transform(words, lambda w: word_mask(ch, w))))
-    init = F.transform(words, lambda w: F.when(
-        w == nw - 1,
-        _shl(F.lit(1).cast("bigint"), length - w * WORD_BITS) - 1,
-    ).otherwise(F.lit(FULL_WORD).cast("bigint")))
-    return nw, masks, init
-
-
-def lcs_length(q_chars, p_len, p_nw, p_masks, p_init) -> Column:
+    n = f"length({key})"
+    nw = f"greatest(1, CAST(ceil({n} / {WORD_BITS}) AS INT))"
+    hi = f"(least({n}, (w + 1) * {WORD_BITS}) - 1)"
+    word_mask = (f"aggregate(filter(sequence(w * {WORD_BITS}, greatest(w * {WORD_BITS}, {hi})), j -> j <= {hi}), "
+                 f"0L, (acc, j) -> acc | IF(substring({key}, j + 1, 1) = ch, shiftleft(1L, j - w * {WORD_BITS}), 0L))")
+    masks_body = f"map_from_arrays(dc, transform(dc, ch -> transform(sequence(0, {nw} - 1), w -> {word_mask})))"
+    masks = _sql_let(f"array_distinct({chars_sql(key)})", "dc", masks_body)
+    init = (f"transform(sequence(0, {nw} - 1), w -> IF(w = {nw} - 1, "
+            f"shiftleft(1L, {n} - w * {WORD_BITS}) - 1, {FULL_WORD}L))")
+    return F.expr(nw), F.expr(masks), F.expr(init)
+
+
+def lcs_sql(q_chars: str, p_len: str, p_nw: str, p_masks: str, p_init: str) -> str:
+    full = f"{FULL_WORD}L"
+    m1 = f"coalesce(element_at(try_element_at({p_masks}, ch), 1), 0L)"
+    # single-word fast path: a bigint accumulator, no arrays
+    v1 = f"aggregate({q_chars}, element_at({p_init}, 1), (v, ch) -> ((v + (v & {m1})) & {full}) | (v & ~{m1}))"
+    lcs1 = f"({p_len} - bit_count({v1} & (shiftleft(1L, {p_len}) - 1)))"
+    # general path: words with carry propagation
+    mw = f"element_at(coalesce(try_element_at({p_masks}, ch), array_repeat(0L, {p_nw})), w + 1)"
+    vw = "element_at(vw, w + 1)"
+    sm = f"({vw} + ({vw} & {mw}) + acc.carry)"
+    wstep = (f"named_struct('carry', shiftright({sm}, {WORD_BITS}), "
+             f"'out', concat(acc.out, array(({sm} & {full}) | ({vw} & ~{mw}))))")
+    stepn = (f"aggregate(sequence(0, {p_nw} - 1), named_struct('carry', 0L, 'out', CAST(array() AS array<bigint>)), "
+             f"(acc, w) -> {wstep}).out")
+    vn = f"aggregate({q_chars}, {p_init}, (vw, ch) -> {stepn})"
+    last_bits = f"({p_len} - ({p_nw} - 1) * {WORD_BITS})"
+    zeros = (f"aggregate(sequence(0, {p_nw} - 1), 0, (acc, w) -> acc + IF(w = {p_nw} - 1, "
+             f"bit_count(element_at(vn, w + 1) & (shiftleft(1L, {last_bits}) - 1)), bit_count(element_at(vn, w + 1))))")
+    lcsn = f"({p_len} - {_sql_let(vn, 'vn', zeros)})"
+    return f"IF({p_nw} = 1, {lcs1}, {lcsn})"
+
+
+def lcs_length(q_chars: str, p_len: str, p_nw: str, p_masks: str, p_init: str) -> Column:
     """LCS of the question characters against a pattern's bitmasks."""
-    q_chars, p_len, p_nw, p_masks, p_init = map(_c, (q_chars, p_len, p_nw, p_masks, p_init))
-    zero = F.lit(0).cast("bigint")
-    full = F.lit(FULL_WORD).cast("bigint")
-
-    # Single-word fast path: a bigint accumulator, no arrays.
-    def step1(v, ch):
-        m = F.coalesce(F.element_at(F.try_element_at(p_masks, ch), F.lit(1)), zero)
-        return ((v + (v.bitwiseAND(m))).bitwiseAND(full)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m)))
-
-    v1 = F.aggregate(q_chars, F.element_at(p_init, 1), step1)
-    last_mask1 = _shl(F.lit(1).cast("bigint"), p_len) - 1
-    lcs1 = p_len - F.bit_count(v1.bitwiseAND(last_mask1))
-
-    # General path: words with carry propagation.
-    words = F.sequence(F.lit(0), p_nw - 1)
-
-    def stepn(vw, ch):
-        mw = F.coalesce(F.try_element_at(p_masks, ch), F.array_repeat(zero, p_nw))
-        init = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("out"))
-
-        def wstep(acc, w):
-            v = F.element_at(vw, w + 1)
-            m = F.element_at(mw, w + 1)
-            s = v + v.bitwiseAND(m) + acc["carry"]
-            nv = s.bitwiseAND(full).bitwiseOR(v.bitwiseAND(F.bitwise_not(m)))
-            return F.struct(_shr(s, F.lit(WORD_BITS)).alias("carry"),
-                            F.concat(acc["out"], F.array(nv)).alias("out"))
-
-        return F.aggregate(words, init, wstep)["out"]
-
-    vn = F.aggregate(q_chars, p_init, stepn)
-    last_bits = p_len - (p_nw - 1) * WORD_BITS
-    zeros_n = F.aggregate(
-        words, F.lit(0),
-        lambda acc, w: acc + F.when(
-            w == p_nw - 1,
-            F.bit_count(F.element_at(vn, w + 1).bitwiseAND(
-                _shl(F.lit(1).cast("bigint"), last_bits) - 1)),
-        ).otherwise(F.bit_count(F.element_at(vn, w + 1))))
-    lcsn = p_len - zeros_n
-    return F.when(p_nw == 1, lcs1).otherwise(lcsn)
+    return F.expr(lcs_sql(q_chars, p_len, p_nw, p_masks, p_init))
+
+
+def ratio_sql(m: str, t: str) -> str:
+    return f"CAST(bround(100.0D * ((2.0D * CAST({m} AS DOUBLE)) / CAST({t} AS DOUBLE)), 0) AS INT)"
 
 
 def ratio_from_matches(matches, total) -> Column:
@@ -150,27 +125,28 @@ def ratio_from_matches(matches, total) -> Column:
 def indel_score(q_key, q_len, q_chars, p_key, p_len, p_nw, p_masks, p_init) -> Column:
     """M1 on precomputed key columns, with the matcher's edge cases:
     equal keys -> 100 (also both empty), one key empty -> 0."""
-    q_key, q_len, p_key, p_len = map(_c, (q_key, q_len, p_key, p_len))
-    lcs = lcs_length(q_chars, p_len, p_nw, p_masks, p_init)
-    return (F.when(q_key == p_key, F.lit(100))
-            .when((q_len == 0) | (p_len == 0), F.lit(0))
-            .otherwise(ratio_from_matches(lcs, q_len + p_len)))
+    lcs = lcs_sql(q_chars, p_len, p_nw, p_masks, p_init)
+    return F.expr(f"CASE WHEN {q_key} = {p_key} THEN 100 WHEN {q_len} = 0 OR {p_len} = 0 THEN 0 "
+                  f"ELSE {ratio_sql(lcs, f'{q_len} + {p_len}')} END")
 
 
-def length_bound(q_len, p_len) -> Column:
+def length_bound(q_len: str, p_len: str) -> Column:
     """Upper bound of M1 from lengths alone (LCS <= min length)."""
-    return ratio_from_matches(F.least(_c(q_len), _c(p_len)), _c(q_len) + _c(p_len))
+    return F.expr(ratio_sql(f"least({q_len}, {p_len})", f"{q_len} + {p_len}"))
+
+
+def bag_common_sql(q_bag: str, p_bag: str) -> str:
+    return (f"aggregate(map_entries({q_bag}), 0, (acc, e) -> acc + "
+            f"least(e.value, coalesce(try_element_at({p_bag}, e.key), 0)))")
 
 
-def bag_common(q_bag, p_bag) -> Column:
+def bag_common(q_bag: str, p_bag: str) -> Column:
     """Size of the multiset intersection of two character bags (>= LCS)."""
-    return F.aggregate(
-        F.map_entries(_c(q_bag)), F.lit(0),
-        lambda acc, e: acc + F.least(e["value"], F.coalesce(F.try_element_at(_c(p_bag), e["key"]), F.lit(0))))
+    return F.expr(bag_common_sql(q_bag, p_bag))
 
 
-def bag_bound(q_bag, q_len, p_bag, p_len) -> Column:
-    return ratio_from_matches(bag_common(q_bag, p_bag), _c(q_len) + _c(p_len))
+def bag_bound(q_bag: str, q_len: str, p_bag: str, p_len: str) -> Column:
+    return F.expr(ratio_sql(bag_common_sql(q_bag, p_bag), f"{q_len} + {p_len}"))
 
 
 # ---------------------------------------------------------------- M2 (exact)

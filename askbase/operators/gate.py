@@ -46,16 +46,15 @@ class PatternIndex:
 
 def question_features(keys: DataFrame, key_col: str = "qkey") -> DataFrame:
     """Per distinct question key: length, characters, character bag."""
-    k = F.col(key_col)
-    return keys.select(k.alias("qkey"), F.length(k).alias("qlen"),
-                       S.chars_of(k).alias("qchars"), S.char_bag(k).alias("qbag"))
+    k = keys.select(F.col(key_col).alias("qkey"))
+    return k.select("qkey", F.length("qkey").alias("qlen"), S.chars_of("qkey").alias("qchars"),
+                    S.char_bag("qkey").alias("qbag"))
 
 
 def key_features(keys: DataFrame) -> DataFrame:
     """Per distinct pattern key: length, LCS bitmasks, initial vector, bag."""
-    plen = F.length("pkey")
-    nw, masks, init = S.pattern_bitmasks("pkey", plen)
-    return keys.select("*", plen.alias("plen"), nw.alias("pnw"), masks.alias("pmasks"),
+    nw, masks, init = S.pattern_bitmasks("pkey")
+    return keys.select("*", F.length("pkey").alias("plen"), nw.alias("pnw"), masks.alias("pmasks"),
                        init.alias("pinit"), S.char_bag("pkey").alias("pbag"))
 
 
