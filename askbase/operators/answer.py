@@ -84,7 +84,8 @@ def choose_response(preds: DataFrame, qa, key_col: str = "question_id",
     else:
         counts, rows = tag_response_table(qa, strip_tags)
         n = rows.count()
-    out = preds.join(sized_broadcast(counts.withColumnRenamed("tag", tag_col)), tag_col, "left")
+    # one count row per tag: never more rows than the n response rows
+    out = preds.join(_maybe_broadcast(counts.withColumnRenamed("tag", tag_col), n), tag_col, "left")
     out = out.withColumn("_ord", F.when(F.col("n_rows") > 0,
                                         F.pmod(md5_bucket(F.lit(seed), F.col(key_col)), F.col("n_rows"))))
     rows = rows.withColumnRenamed("tag", tag_col).withColumnRenamed("ord", "_ord")
@@ -142,7 +143,7 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
         q = q.withColumn("gate_passed", F.when(F.col("route").isNull(), F.lit(True)))
 
     q = predict(q)
-    q = label_decode(q, labels, "pred_id")
+    q = label_decode(q, labels, "pred_id", n_labels=kb.n_labels)
     q = q.withColumn("pred_tag", F.when(F.col("gate_passed"), F.col("pred_tag")))
     q = choose_response(q, kb, "question_id", "pred_tag", choice_seed, strip_tags)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from askbase.functions.text import strip_text
-from askbase.operators.sizing import sized_broadcast
+from askbase.operators.sizing import DEFAULT_MAX_ROWS, sized_broadcast
 
 QA_COLUMNS = ["Pattern", "Tag", "Response", "intent_pos", "pattern_pos", "response_pos"]
 ORDER = ["intent_pos", "pattern_pos", "response_pos"]
@@ -94,13 +94,19 @@ def label_encode(qa: DataFrame, labels: DataFrame, strip: bool = True) -> DataFr
 
 
 def label_decode(preds: DataFrame, labels: DataFrame, id_col: str = "pred_id",
-                 unseen: str | None = "unseen_tag", stripped: bool = True) -> DataFrame:
+                 unseen: str | None = "unseen_tag", stripped: bool = True,
+                 n_labels: int | None = None) -> DataFrame:
     """Class id -> label.  A model trained on this table knows the
     *stripped* labels (``stripped=True``, the reference's behaviour); ids
-    outside the table map to ``unseen``."""
+    outside the table map to ``unseen``.  ``n_labels``: a known row count of
+    ``labels`` (skips the size check)."""
     lab = labels.select(F.col("label_id").alias(id_col),
                         F.col("label" if stripped else "tag").alias("pred_tag"))
-    out = preds.join(sized_broadcast(lab), id_col, "left")
+    if n_labels is not None and n_labels <= DEFAULT_MAX_ROWS:
+        lab = F.broadcast(lab)
+    elif n_labels is None:
+        lab = sized_broadcast(lab)
+    out = preds.join(lab, id_col, "left")
     if unseen is not None:
         out = out.withColumn("pred_tag", F.coalesce("pred_tag", F.lit(unseen)))
     return out
@@ -127,13 +133,17 @@ class KnowledgeBase:
         qa = flatten_intents(intents, lenient)
         self.qa = qa.persist(StorageLevel.MEMORY_AND_DISK) if persist else qa
         self._labels = None
+        self.n_labels: int | None = None
         self._index = None
         self._responses = {}
 
     @property
     def labels(self) -> DataFrame:
+        """The label table, persisted; its row count is kept in ``n_labels``."""
         if self._labels is None:
-            self._labels = label_index(self.qa)
+            from pyspark import StorageLevel
+            self._labels = label_index(self.qa).persist(StorageLevel.MEMORY_AND_DISK)
+            self.n_labels = self._labels.count()
         return self._labels
 
     def response_table(self, strip_tags: bool = False):
@@ -150,6 +160,9 @@ class KnowledgeBase:
     def close(self) -> None:
         """Release the cached tables (the lineage stays valid)."""
         self.qa.unpersist()
+        if self._labels is not None:
+            self._labels.unpersist()
+            self._labels = None
         if self._index is not None:
             self._index.df.unpersist()
         for counts, rows, _ in self._responses.values():
