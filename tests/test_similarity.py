@@ -67,6 +67,10 @@ def test_half_even_rounding(spark):
                               S.ratio_from_matches(F.lit(109), F.lit(436)).alias("b")).first()
     assert r.a == int(round(100 * (2.0 * 109 / 400)))
     assert r.b == int(round(100 * (2.0 * 109 / 436)))
+    # an exact tie: 100 * 2/16 = 12.5 -> 12 (half-even), 100 * 6/16 = 37.5 -> 38
+    t = spark.range(1).select(S.ratio_from_matches(F.lit(1), F.lit(16)).alias("a"),
+                              S.ratio_from_matches(F.lit(3), F.lit(16)).alias("b")).first()
+    assert (t.a, t.b) == (int(round(100 * (2.0 * 1 / 16))), int(round(100 * (2.0 * 3 / 16)))) == (12, 38)
 
 
 def test_exact_ratio_matches_difflib_and_bounds(spark):
