@@ -27,7 +27,9 @@ def encode_pad(df: DataFrame, key_cols: list[str], text_col: str = "text",
     """``input_ids`` (truncated to ``max_len``, padded with 0 to the
     longest row of the set) and ``attention_mask`` (1 per token, 0 per pad)."""
     toks = df.select(*key_cols, F.posexplode(tokenize_clean(text_col)).alias("pos", "token"))
-    vocab = vocabulary(toks)
+    # the vocabulary is computed once: its count is the broadcast size check
+    from pyspark import StorageLevel
+    vocab = vocabulary(toks).persist(StorageLevel.MEMORY_AND_DISK)
     n_vocab = vocab.count()
     v = F.broadcast(vocab) if n_vocab <= MAX_BROADCAST_VOCAB else vocab
     ids = toks.join(v.select("token", "id"), "token").groupBy(*key_cols).agg(
