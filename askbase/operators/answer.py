@@ -4,8 +4,10 @@
 prediction, label decoding (J5), the known-tag test (J1), the repeatable
 response choice (R1) and the fallback (U3) into one lazy plan.  All lookups
 go against tables bounded by the knowledge base (tags, response rows) or by
-the calendar (one menu per day): they are broadcast after a size check; the
-question side is never shuffled except for the gate's key dedupe.
+the calendar (one menu per day): they are broadcast after a size check.
+The question side is shuffled only by the gate: the distinct keys (after a
+map-side combine) and, when the verdict table is too large to broadcast,
+the join of the verdicts back on the key.
 """
 
 from __future__ import annotations

@@ -142,3 +142,13 @@ def test_final_only_is_stateless_on_a_stream(spark, sf):
     got = sorted(tuple(r) for r in spark.read.parquet(sink).select("utterance_id", "seq", "text").collect())
     want = sorted(tuple(r) for r in CH.final_only(X.utterances(spark, sf)).select("utterance_id", "seq", "text").collect())
     assert got == want and len(got) > 0
+
+
+def test_document_layout_orders_files_by_name(spark):
+    rows = [(i, "t", [f"p{i}"], ["r"], "") for i in range(6)]
+    schema = "intent_pos int, tag string, patterns array<string>, responses array<string>, context_set string"
+    base = scratch_path(spark, "t-multi-doc")
+    SI.write_intents(spark.createDataFrame(rows[:4], schema), base + "/a", "document")
+    SI.write_intents(spark.createDataFrame(rows[4:], schema), base + "/b", "document")
+    back = SI.read_intents(spark, base + "/*", "document").collect()
+    assert sorted((r.intent_pos, r.patterns[0]) for r in back) == [(i, f"p{i}") for i in range(6)]
