@@ -100,6 +100,33 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
             .drop("_tokens", "_tf", "_features", "rawPrediction", "probability", "prediction"))
 
 
+def train_on_knowledge_base(kb, seed: int = 123, test_fraction: float = 0.25, **kw) -> tuple[PipelineModel, DataFrame]:
+    """C1 as the reference trains it: the flattened rows' *unstemmed* patterns
+    as text, the stripped tag's id (J4) as label, fitted on the train side of
+    the seeded split (R2).  Returns the model and the held-out rows."""
+    from askbase.operators.evaluate import train_test_split
+    from askbase.operators.knowledge import ORDER, label_encode
+    enc = label_encode(kb.qa, kb.labels).select(F.col("Pattern").alias("text"),
+                                                F.col("labels").cast("double").alias("label"), *ORDER)
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in ORDER])
+    split = train_test_split(enc, key, seed, test_fraction)
+    model = train_classifier(split.filter(F.col("split") == "train"), "text", "label", **kw)
+    return model, split.filter(F.col("split") == "test")
+
+
+def model_predictor(model: PipelineModel, text_col: str = "text"):
+    """A ``predict`` callable for ``answer_questions``: adds ``pred_id``."""
+    def predict(df: DataFrame) -> DataFrame:
+        scored = predict_frame(model, df, text_col)
+        return scored.withColumnRenamed("pred", "pred_id").drop("probs")
+    return predict
+
+
+def predict_frame(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
+    src = df if text_col == "text" else df.withColumn("text", F.col(text_col))
+    return predict(model, src)
+
+
 def save_model(model: PipelineModel, path: str, labels: DataFrame | None = None) -> None:
     """Persist the fitted pipeline (tokenizer and vocabulary included)
     and, when given, the label table (``label_id, tag, label``) beside it."""

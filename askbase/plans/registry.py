@@ -317,6 +317,14 @@ def q_answer_questions_exact(spark, sf):
                               metric="exact")
 
 
+@register("answer_questions_trained")
+def q_answer_questions_trained(spark, sf):
+    kb = _kb(spark, sf)
+    model, _ = CL.train_on_knowledge_base(kb, max_iter=50)
+    return A.answer_questions(X.questions(spark, sf), kb, R.WEB, predict=CL.model_predictor(model),
+                              menus=X.menus(spark, sf))
+
+
 @register("candidate_prune")
 def q_candidate_prune(spark, sf):
     kb = _kb(spark, sf)
