@@ -74,19 +74,37 @@ def train_test_split(df: DataFrame, key: Column, seed: int = K.SPLIT_SEED,
                      test_fraction: float = K.TEST_FRACTION, exact: bool = True) -> DataFrame:
     """R2: adds ``split`` in {'train','test'}.
 
-    Exact mode: rank rows by md5(seed:key) (distributed dense index) and send
-    the first ceil(fraction * n) to test.  Scale mode: md5 bucket below the
-    fraction of 2**32 (no shuffle, count approximate)."""
+    Rows are ordered by (md5(seed:key) bucket, key); ``key`` must identify a
+    row.  Exact mode sends the first ceil(fraction * n) rows to test without
+    sorting the table: a histogram of the hash's top 16 bits (at most 65,536
+    counts reach the driver) finds the bucket that holds the cut, only that
+    bucket is ranked, and every row is then compared with the cut value.
+    Scale mode: hash below the fraction of 2**32 (one pass, count approximate).
+    """
     h = _split_hash(key, seed)
     if not exact:
         cut = int(test_fraction * (1 << 32))
         return df.withColumn("split", F.when(h < cut, "test").otherwise("train"))
-    n = df.count()
+    cols = df.columns
+    d = df.withColumn("_h", h).withColumn("_k", key.cast("string"))
+    b = F.shiftright(F.col("_h"), 16)
+    hist = sorted((r["_b"], r["n"]) for r in d.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    n = sum(c for _, c in hist)
     n_test = math.ceil(test_fraction * n)
-    ranked = dense_index(df.withColumn("_h", h).withColumn("_k", key.cast("string")),
-                         [F.col("_h"), F.col("_k")], "_rank")
-    return ranked.withColumn("split", F.when(F.col("_rank") < n_test, "test").otherwise("train")).drop(
-        "_h", "_k", "_rank")
+    if n_test == 0 or n_test == n:
+        return df.withColumn("split", F.lit("test" if n_test else "train"))
+    seen = 0
+    for bucket, c in hist:
+        if seen + c >= n_test:
+            break
+        seen += c
+    need = n_test - seen                      # rows of this bucket that go to test (1..c)
+    inside = d.filter(b == bucket).select("_h", "_k")
+    ranked = dense_index(inside, [F.col("_h"), F.col("_k")], "_r")
+    cut = ranked.filter(F.col("_r") == need - 1).select("_h", "_k").first()
+    is_test = ((b < bucket) | ((b == bucket) & ((F.col("_h") < cut["_h"]) |
+               ((F.col("_h") == cut["_h"]) & (F.col("_k") <= cut["_k"])))))
+    return d.withColumn("split", F.when(is_test, "test").otherwise("train")).select(*cols, "split")
 
 
 def split_leakage(split_df: DataFrame, col: str = "Pattern") -> DataFrame:

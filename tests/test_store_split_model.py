@@ -152,3 +152,14 @@ def test_document_layout_orders_files_by_name(spark):
     SI.write_intents(spark.createDataFrame(rows[4:], schema), base + "/b", "document")
     back = SI.read_intents(spark, base + "/*", "document").collect()
     assert sorted((r.intent_pos, r.patterns[0]) for r in back) == [(i, f"p{i}") for i in range(6)]
+
+
+def test_exact_split_equals_global_rank(spark):
+    from pyspark.sql import Window
+    df = spark.range(5003).select(F.col("id").cast("string").alias("k"))
+    got = {r.k: r.split for r in EV.train_test_split(df, F.col("k")).collect()}
+    h = EV._split_hash(F.col("k"), 123)
+    ranked = df.withColumn("h", h).withColumn("r", F.row_number().over(Window.orderBy("h", "k")) - 1)
+    n_test = -(-5003 // 4)
+    want = {r.k: ("test" if r.r < n_test else "train") for r in ranked.collect()}
+    assert got == want and sum(v == "test" for v in got.values()) == n_test
