@@ -112,7 +112,8 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
                      carry: tuple[str, ...] = (), metric: str = "indel") -> DataFrame:
     """The whole decision per question.
 
-    ``questions``: ``question_id, text, as_of``; ``kb``: a ``KnowledgeBase``
+    ``questions``: ``question_id, text[, as_of]`` (without ``as_of`` the
+    query's current local time is used); ``kb``: a ``KnowledgeBase``
     or an intents table.  ``menus``: ``menu_date,
     menu`` (one row per day).  Output: ``question_id, route, gate_passed,
     tag, answer, is_unknown, reason``.  A tag stored with surrounding blanks
@@ -128,6 +129,10 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
     if predict is None:
         predict = fixture_predict(labels)
 
+    if "as_of" not in questions.columns:
+        # the reference reads the wall clock; one instant per query keeps
+        # the answers of a run consistent (pass ``as_of`` to make them repeatable)
+        questions = questions.withColumn("as_of", F.localtimestamp())
     q = questions.withColumn("text", F.coalesce("text", F.lit("")))  # G5: missing text = ''
     q = q.withColumn("route", route_expr(F.lower("text"), profile))
 

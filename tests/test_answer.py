@@ -132,3 +132,9 @@ def test_exact_gate_equals_bruteforce_difflib(spark, sf):
     for r in q.collect():
         want = any(ratio(p, r.text.lower()) >= 55 for p in patterns)
         assert got[r.question_id] == want, r.text
+
+
+def test_missing_as_of_uses_query_clock(spark):
+    q = spark.createDataFrame([(1, "saat kaç"), (2, "bugünün tarihi")], "question_id long, text string")
+    out = {r.question_id: r.answer for r in A.answer_questions(q, _kb(spark), WEB).collect()}
+    assert len(out[1]) == 8 and out[1][2] == ":" and out[2].startswith("Bugün ")
