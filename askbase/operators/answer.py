@@ -175,3 +175,15 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
     q = q.withColumn("reason", reason)
     return q.select("question_id", *carry, "route", "gate_passed", F.col("pred_tag").alias("tag"),
                     answer.alias("answer"), F.col("reason").isNotNull().alias("is_unknown"), "reason")
+
+
+def answer_one(spark, kb, text: str | None, as_of=None, profile: Profile = WEB, question_id: int = 0,
+               **kw) -> str:
+    """One question in, one answer out (the reference's ``predict(text)``),
+    through the same plan as ``answer_questions``.  For interactive use; batch
+    and stream callers pass tables."""
+    rows = [(question_id, text, as_of)] if as_of is not None else [(question_id, text)]
+    schema = ("question_id long, text string, as_of timestamp_ntz" if as_of is not None
+              else "question_id long, text string")
+    q = spark.createDataFrame(rows, schema)
+    return answer_questions(q, kb, profile, **kw).select("answer").first()["answer"]

@@ -138,3 +138,11 @@ def test_missing_as_of_uses_query_clock(spark):
     q = spark.createDataFrame([(1, "saat kaç"), (2, "bugünün tarihi")], "question_id long, text string")
     out = {r.question_id: r.answer for r in A.answer_questions(q, _kb(spark), WEB).collect()}
     assert len(out[1]) == 8 and out[1][2] == ":" and out[2].startswith("Bugün ")
+
+
+def test_answer_one(spark):
+    kb = _kb(spark)
+    t = dt.datetime(2024, 3, 1, 9, 15, 0)
+    assert A.answer_one(spark, kb, "Saat kaç?", as_of=t) == "09:15:00"
+    assert A.answer_one(spark, kb, "merhaba", as_of=t, predict=_predict_to(0)) in ("Merhaba!", "Selam!")
+    assert A.answer_one(spark, kb, None, as_of=t) == K.FALLBACK_ANSWER
