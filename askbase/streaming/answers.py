@@ -38,6 +38,14 @@ def message_stream(spark: SparkSession, sf_dir: str, max_files: int | None = Non
     return ev.select("event_id", F.col("user_id").alias("chat_id"), "ts", text.alias("text"))
 
 
+def _static(menus: DataFrame | None) -> DataFrame | None:
+    """Stream-static tables are materialised once, not per micro-batch."""
+    if menus is None:
+        return None
+    from pyspark import StorageLevel
+    return menus.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _answer_batch(batch: DataFrame, kb: KN.KnowledgeBase, menus: DataFrame | None, profile) -> DataFrame:
     q = batch.select(F.col("event_id").alias("question_id"), "chat_id", F.col("ts").alias("as_of"),
                      F.coalesce("text", F.lit("")).alias("text"))
@@ -50,6 +58,8 @@ def _answer_batch(batch: DataFrame, kb: KN.KnowledgeBase, menus: DataFrame | Non
 def stream_answers(stream: DataFrame, kb: KN.KnowledgeBase, sink: str, checkpoint: str,
                    menus: DataFrame | None = None, profile=R.WEB, available_now: bool = True):
     """Every message answered independently; one folder per batch id."""
+    menus = _static(menus)
+
     def handle(batch: DataFrame, batch_id: int):
         out = _answer_batch(batch, kb, menus, profile)
         out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
@@ -63,6 +73,8 @@ def stream_unknown(stream: DataFrame, kb: KN.KnowledgeBase, table: str, checkpoi
                    menus: DataFrame | None = None, profile=R.WEB, available_now: bool = True):
     """U1 across the life of the stream (insert-if-absent per batch; a
     replayed batch adds nothing)."""
+    menus = _static(menus)
+
     def handle(batch: DataFrame, batch_id: int):
         ans = _answer_batch(batch, kb, menus, profile).filter(F.col("is_unknown"))
         U.log_unknown(batch.sparkSession, ans.select("question", F.col("event_id").alias("arrival")), table)
@@ -76,6 +88,8 @@ def stream_turns(stream: DataFrame, kb: KN.KnowledgeBase, sink: str, checkpoint:
                  menus: DataFrame | None = None, profile=R.WEB, available_now: bool = True):
     """Each answered message appends (user, bot) rows keyed by chat and
     event time; turn numbers are assigned when the log is read (no state)."""
+    menus = _static(menus)
+
     def handle(batch: DataFrame, batch_id: int):
         out = _answer_batch(batch, kb, menus, profile)
         pair = F.array(F.struct(F.lit(0).alias("i"), F.lit("user").alias("role"), F.col("question").alias("text")),
