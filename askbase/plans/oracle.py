@@ -327,6 +327,10 @@ def oracle_sql() -> dict[str, str]:
         "write_intents": with_ctes(["export"], flatten_sql("export")),
         "append_question_log": with_ctes(["unk_q"], "SELECT text AS \"Question\" FROM unk_q "
                                                    "UNION ALL SELECT text FROM unk_q"),
+        "reset_unknown": with_ctes(["unk_q"], """SELECT (row_number() OVER (ORDER BY arrival, question))::BIGINT AS id,
+  question, NULL::VARCHAR AS answer FROM (SELECT text AS question, min(question_id) AS arrival FROM unk_q
+  GROUP BY text)"""),
+        "empty_qa": with_ctes(["qa"], 'SELECT "Pattern", "Tag", "Response" FROM qa'),
         "parse_requests": with_ctes(["req"], "SELECT event_id, chat_id, question, error FROM reqp", [_req_parsed()]),
         "format_replies": answer_sql("q", "SELECT question_id, json_object('answer', answer)::VARCHAR AS reply FROM ans"),
         # reshaping

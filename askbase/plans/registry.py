@@ -123,6 +123,27 @@ def q_write_intents(spark, sf):
     return KN.flatten_intents(SI.read_intents(spark, path, "documents"))
 
 
+@register("reset_unknown")
+def q_reset_unknown(spark, sf):
+    """S7 as a service start: a populated table is reset, then the current
+    unknown questions are logged; earlier rows are gone, ids restart at 1."""
+    path = scratch_path(spark, "unknown-reset")
+    X.unknown_table(spark, sf).write.mode("overwrite").parquet(path)
+    US.reset_unknown(spark, path)
+    batch = X.unknown_questions(spark, sf).select(F.col("text").alias("question"),
+                                                  F.col("question_id").alias("arrival"))
+    U.log_unknown(spark, batch, path)
+    return US.scan_unknown(spark, path)
+
+
+@register("empty_qa")
+def q_empty_qa(spark, sf):
+    """S12 as the seed for accumulation: the knowledge base's flat rows are
+    appended onto the empty fixed-column table."""
+    seed = SI.empty_qa(spark)
+    return KN.append_qa(seed, _qa(spark, sf).select("Pattern", "Tag", "Response"))
+
+
 @register("append_question_log")
 def q_append_question_log(spark, sf):
     path = scratch_path(spark, "question-log")
