@@ -146,3 +146,19 @@ def test_answer_one(spark):
     assert A.answer_one(spark, kb, "Saat kaç?", as_of=t) == "09:15:00"
     assert A.answer_one(spark, kb, "merhaba", as_of=t, predict=_predict_to(0)) in ("Merhaba!", "Selam!")
     assert A.answer_one(spark, kb, None, as_of=t) == K.FALLBACK_ANSWER
+
+
+def test_gate_dedupes_keys_map_side_with_a_hot_question(spark, sf):
+    """A third of the questions share one text: the key dedupe combines
+    map-side (partial aggregate before the exchange) and answers match the
+    per-row decision."""
+    from askbase.plans import fixtures as X
+    kb = KnowledgeBase(X.kb_intents(spark, sf))
+    q = X.questions(spark, sf)
+    hot = q.withColumn("text", F.when(F.col("question_id") % 3 == 0, F.lit("small ring")).otherwise(F.col("text")))
+    g = G.fuzzy_gate(hot, kb.pattern_index(), 55)
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    assert "partial" in plan.lower() or plan.count("HashAggregate") >= 2
+    per_row = {r.question_id: r.gate_passed for r in G.fuzzy_gate(hot, kb.pattern_index(), 55, bounds=False).collect()}
+    assert {r.question_id: r.gate_passed for r in g.collect()} == per_row
+    assert all(per_row[i] for i in per_row if i % 3 == 0)
