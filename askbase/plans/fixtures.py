@@ -118,13 +118,15 @@ def unknown_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ans.filter(F.col("is_unknown")).select("question_id", "text")
 
 
-def unknown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unknown_table(spark: SparkSession, sf_dir: str, unknown: DataFrame | None = None) -> DataFrame:
     """UNK: the distinct unknown texts, dense ids by first question id,
     answer = brand of that part, null when the id is even, '' when it is a
     multiple of 5."""
     from askbase.operators.indexing import dense_index
     part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("question_id"), "p_brand")
-    q = unknown_questions(spark, sf_dir).join(part, "question_id")
+    if unknown is None:
+        unknown = unknown_questions(spark, sf_dir)
+    q = unknown.join(part, "question_id")
     first = q.groupBy("text").agg(F.min_by(F.struct("question_id", "p_brand"), "question_id").alias("f"))
     ids = dense_index(first.select("text", F.col("f.question_id").alias("fq"), F.col("f.p_brand").alias("brand")),
                       [F.col("fq"), F.col("text")], "id", start=1)

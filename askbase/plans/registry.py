@@ -127,11 +127,12 @@ def q_write_intents(spark, sf):
 def q_reset_unknown(spark, sf):
     """S7 as a service start: a populated table is reset, then the current
     unknown questions are logged; earlier rows are gone, ids restart at 1."""
+    from pyspark import StorageLevel
     path = scratch_path(spark, "unknown-reset")
-    X.unknown_table(spark, sf).write.mode("overwrite").parquet(path)
+    unknown = X.unknown_questions(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    X.unknown_table(spark, sf, unknown).write.mode("overwrite").parquet(path)
     US.reset_unknown(spark, path)
-    batch = X.unknown_questions(spark, sf).select(F.col("text").alias("question"),
-                                                  F.col("question_id").alias("arrival"))
+    batch = unknown.select(F.col("text").alias("question"), F.col("question_id").alias("arrival"))
     U.log_unknown(spark, batch, path)
     return US.scan_unknown(spark, path)
 
