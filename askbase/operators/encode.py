@@ -32,7 +32,9 @@ def encode_pad(df: DataFrame, key_cols: list[str], text_col: str = "text",
     vocab = vocabulary(toks).persist(StorageLevel.MEMORY_AND_DISK)
     n_vocab = vocab.count()
     v = F.broadcast(vocab) if n_vocab <= MAX_BROADCAST_VOCAB else vocab
-    ids = toks.join(v.select("token", "id"), "token").groupBy(*key_cols).agg(
+    # truncation first: only a row's first max_len tokens are joined and regrouped
+    head = toks.filter(F.col("pos") < max_len)
+    ids = head.join(v.select("token", "id"), "token").groupBy(*key_cols).agg(
         F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_p"))
     ids = ids.select(*key_cols, F.slice(F.transform("_p", lambda s: s["id"].cast("int")), 1, max_len).alias("_ids"))
     base = df.select(*key_cols).join(ids, key_cols, "left").withColumn(
