@@ -162,3 +162,13 @@ def test_gate_dedupes_keys_map_side_with_a_hot_question(spark, sf):
     per_row = {r.question_id: r.gate_passed for r in G.fuzzy_gate(hot, kb.pattern_index(), 55, bounds=False).collect()}
     assert {r.question_id: r.gate_passed for r in g.collect()} == per_row
     assert all(per_row[i] for i in per_row if i % 3 == 0)
+
+
+def test_lookups_plan_as_broadcast_joins(spark, sf):
+    """J1 / J2 join against size-checked knowledge-base tables: broadcast."""
+    from askbase.plans.registry import queries
+    for name in ("tag_known", "responses_for_tag", "choose_response"):
+        df = queries()[name](spark, sf)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, name
