@@ -360,7 +360,7 @@ def oracle_sql() -> dict[str, str]:
         "casefold_lower": with_ctes(["chat"], "SELECT conv_id, turn, lower(text) AS text_lower FROM chat"),
         "token_sort_key": with_ctes(["chat"], f"SELECT conv_id, turn, {key('text')} AS sort_key FROM chat"),
         "tokenize_clean": with_ctes(["tokens"], "SELECT conv_id, turn, array_to_string(toks, ' ') AS tokens, "
-                                                "len(toks) AS n_tokens FROM tokens"),
+                                                "len(toks)::INTEGER AS n_tokens FROM tokens"),
         "strip_text": with_ctes(["kb"], f"""SELECT intent_pos, raw, {strip('raw')} AS stripped FROM (
   SELECT intent_pos, CASE WHEN intent_pos % 2 = 1 THEN concat(' ' || chr(9), tag, chr(160) || ' ') ELSE tag END AS raw FROM kb)"""),
         "utf8_clean": with_ctes(["chat"], "SELECT conv_id, turn, text AS clean FROM chat"),
