@@ -27,9 +27,10 @@ def latest_transcript(utterances: DataFrame) -> DataFrame:
 def command_match(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """messages holding ``/echo X`` anywhere (``.`` stops at a newline);
     the reply is X."""
-    t = F.col(text_col)
-    return (messages.filter(t.rlike(K.ECHO_PATTERN))
-            .withColumn("reply", F.regexp_extract(t, K.ECHO_PATTERN, 1)))
+    # one regex pass: the group is ``.+``, so it is non-empty exactly when the
+    # pattern matches (an unmatched or null text gives '' or null)
+    return (messages.withColumn("reply", F.regexp_extract(F.col(text_col), K.ECHO_PATTERN, 1))
+            .filter(F.col("reply") != ""))
 
 
 def role_flag(chat: DataFrame) -> DataFrame:
