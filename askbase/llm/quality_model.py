@@ -3,33 +3,44 @@
 Two tasks, ``junk`` and ``toxic``, each with overlapping heuristic labellers
 that vote bad (1), good (0) or abstain (None).
 
-1. One pass over all documents counts each pattern of votes; a task has at
+1. Labellers of junk look at style; labellers of toxic at a word list each: some
+   fixed English insults, and words and stems learned from a labelled table, if one
+   is given.  Of at most ``labelled_docs`` rows (chosen by the hash of the id) these
+   are the stems that almost only toxic documents have, taken greedily while each
+   still finds ``MIN_GAIN`` further documents, and dealt to the lists in turn, so
+   that every list knows something of every language.
+2. One pass over all documents counts each pattern of votes; a task has at
    most 3^labellers patterns, whatever the corpus size.
-2. Expectation-maximisation over these counts estimates the share of bad
+3. Expectation-maximisation over these counts estimates the share of bad
    documents and every labeller's accuracy on bad and on good ones
    (labellers are taken as independent given the class); a pattern's
    posterior follows.
-3. The posterior labels train a linear scorer per task.  Its features are words
-   and binned style figures hashed to 30 bits.  Features are chosen and weights
-   fitted on a sample bounded by ``sample_docs`` documents (chosen by the
-   hash of their text); at most ``max_features`` weights are kept, so what
-   the executors get has a fixed bound.
-4. A second pass scores every whole text; a document is kept unless a task
-   scores it as bad.
-
-Labels of people are not used for fitting; tests hold the result against them.
-
-Edge cases: null or blank text has no words: junk (score 1); repeated rows
+4. The posterior labels train a linear scorer per task.  Its features are words,
+   word stems and binned style figures hashed to 30 bits.  Features are chosen
+   and weights fitted on a sample bounded by ``sample_docs`` documents (chosen by
+   the hash of their text); at most ``max_features`` weights are kept, so
+   what the executors get has a fixed bound.
+5. A second pass over every whole text takes the mean of scorer and posterior
+   per task; a document is kept if both means are under the threshold.  (The
+   scorer sees what no labeller looks at; the posterior keeps it from rejecting very short
+   texts that miss the usual words.)
+
+The labels of the quality column are not used for fitting; tests hold the
+result against them.
+
+Edge cases: null or blank text has no words: junk (1.0); repeated rows
 and null ids are scored row by row; extra columns are ignored; an empty table
 gives an empty result.  If the sample shows one class only, the scorer falls
-back to the posterior's prior and rejects nothing.
+back to rejecting nothing.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from itertools import zip_longest
 from operator import eq
 
 import numpy as np
@@ -37,36 +48,41 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from askbase.llm.common import hash_sample
+from askbase.llm.common import hash_sample, sized, written
 
-SAMPLE_DOCS, MAX_FEATURES, MIN_SUPPORT = 20_000, 512, 8
+SAMPLE_DOCS, LABELLED_DOCS, MAX_FEATURES, MIN_SUPPORT = 12_000, 20_000, 512, 8
+MIN_GAIN, MIN_PRECISION, STEM = 4, 0.98, 4
+KNOWN_TOKENS, TRUST = 300_000, {"junk": 0.0, "toxic": 20.0}
 SCHEMA = "doc_id long, p_junk double, p_toxic double, kept boolean"
-_SYMBOL = re.compile(r"[#*$%&|<>^~{}\\]")
-_CAPS, _SMALL = re.compile(r"[A-Z]"), re.compile(r"[a-z]")
+_SYMBOLS = b"#*$%&|<>^~{}\\"
+_CAPS, _SMALL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _LETTER = re.compile(r"[^\W\d_]")
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 #: Abusive words by strength of the insult to a person, to their worth, and of disgust.
-INSULTS = {"idiot", "moron", "stupid", "clown"}
-BELITTLING = {"loser", "pathetic", "worthless", "trash"}
-DISGUST = {"scum", "disgusting", "filth", "vermin"}
+INSULTS = ["idiot", "moron", "stupid", "clown"]
+BELITTLING = ["loser", "pathetic", "worthless", "trash"]
+DISGUST = ["scum", "disgusting", "filth", "vermin"]
 
 
 def style(text: str, words: list[str]) -> dict[str, float]:
     """Figures of a text that do not depend on its language."""
     n = max(len(words), 1)
-    caps, small = len(_CAPS.findall(text)), len(_SMALL.findall(text))
+    raw = text.encode("utf-8", "surrogatepass")
+    size = len(raw)
+    caps, small = size - len(raw.translate(None, _CAPS)), size - len(raw.translate(None, _SMALL))
     grams = max(len(words) - 2, 0)
+    count = Counter(words)
     return {
         "n": len(words),
-        "symbols": len(_SYMBOL.findall(text)) / n,
+        "symbols": (size - len(raw.translate(None, _SYMBOLS))) / n,
         "caps": caps / max(caps + small, 1),
         "bangs": text.count("!") / n,
         "runs": sum(map(eq, words, words[1:])) / n,
         "repeats": 1 - len(set(zip(words, words[1:], words[2:]))) / grams if grams else 0.0,
-        "variety": len(set(words)) / n,
-        "letterless": sum(1 for w in words if not _LETTER.search(w)) / n,
-        "short": sum(1 for w in words if len(w) <= 3) / n,
+        "variety": len(count) / n,
+        "letterless": sum(k for w, k in count.items() if not _LETTER.search(w)) / n,
+        "short": sum(k for w, k in count.items() if len(w) <= 3) / n,
     }
 
 
@@ -83,34 +99,101 @@ def junk_votes(s: dict[str, float]) -> tuple:
         _vote(s["bangs"], 0.1, 0.5),
         _vote(s["runs"], 0.05, 0.3) if n >= 10 else None,
         _vote(s["repeats"], 0.3, 0.6) if n >= 20 else None,
-        _vote(s["letterless"], 0.05, 0.25),
+        _vote(s["letterless"], 0.2, 0.42),
         _vote(1 - s["variety"], 0.6, 0.85) if n >= 20 else None,
         _vote(0.25 - s["short"], 0.1, 0.2) if n >= 20 else None,
     )
 
 
-def toxic_votes(tokens: Counter) -> tuple:
-    return tuple(int(any(t in tokens for t in group)) for group in (INSULTS, BELITTLING, DISGUST))
+def hash30(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) >> 34
+
+
+def token_features(token: str) -> list[int]:
+    """Hashes of a word and of its stem."""
+    if len(token) > 40:
+        return []
+    return [hash30(token), hash30("^" + token[:STEM])] if len(token) > STEM else [hash30(token)]
+
+
+def style_features(s: dict[str, float]) -> list[int]:
+    return [hash30(f"\x00{k}={min(int(v * 10), 40) if k != 'n' else int(math.log2(v + 1))}") for k, v in s.items()]
+
 
+class Reader:
+    """Votes and wanted features of texts, with a bounded table of tokens."""
 
-def read(text: str | None):
-    """(style, tokens) of a text."""
-    text = text or ""
-    words = text.split()
-    return style(text, words), Counter(_TOKEN.findall(text.lower()))
+    def __init__(self, stems: list[list[int]], wanted: set[int] = frozenset()):
+        fixed = [{hash30(w) for w in group} for group in (INSULTS, BELITTLING, DISGUST)]
+        self.groups = [a | set(b) for a, b in zip_longest(fixed, stems, fillvalue=())]
+        self.wanted = wanted | set().union(*self.groups)
+        self.known: dict[str, tuple] = {}
+
+    def __call__(self, text: str | None) -> tuple[dict[str, float], str, str, set[int]]:
+        """(style, votes on junk, votes on toxic, wanted features present)."""
+        text = text or ""
+        words = text.split()
+        s = style(text, words)
+        known, on = self.known, set()
+        for t in set(_TOKEN.findall(text.lower())):
+            hit = known.get(t)
+            if hit is None:
+                if len(known) >= KNOWN_TOKENS:
+                    known.clear()
+                known[t] = hit = tuple(f for f in token_features(t) if f in self.wanted)
+            if hit:
+                on.update(hit)
+        junk = code(junk_votes(s)) if words else "1" * len(junk_votes(s))
+        return s, junk, code(tuple(int(not on.isdisjoint(g)) for g in self.groups)), on
 
 
 def code(votes: tuple) -> str:
     return "".join("-" if v is None else str(v) for v in votes)
 
 
-def votes_of(text: str | None) -> tuple[str, str]:
-    s, tokens = read(text)
-    return code(junk_votes(s)) if s["n"] else "1" * len(junk_votes(s)), code(toxic_votes(tokens))
+def learn_stems(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS, groups: int = 3) -> list[list[int]]:
+    """Hashes of words and stems that tell toxic documents, dealt to labellers."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(
+        "doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = hash_sample(known, "doc_id", labelled_docs, known.count(), seed=13)
+    rows = docs.select("doc_id", "text").join(sized(known, 64), "doc_id").select("text", "toxic").distinct()
+
+    def read(batches):
+        for b in batches:
+            on = [sorted({f for t in set(_TOKEN.findall((text or "").lower())) for f in token_features(t)})
+                  for text in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(on, pa.list_(pa.int32())), b.column(1).cast(pa.int32())],
+                                             names=["f", "toxic"])
+
+    seen = written(rows.mapInArrow(read, "f array<int>, toxic int").withColumn("row", F.monotonically_increasing_id()),
+                   "labelled")
+    each = seen.select("row", "toxic", F.explode("f").alias("f"))
+    good = each.groupBy("f").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).filter(
+        (F.col("bad") >= MIN_GAIN) & (F.col("bad") >= MIN_PRECISION * F.col("n")))
+    pairs = each.filter("toxic = 1").join(good.select("f"), "f").select("f", "row")
+    found: dict[int, set[int]] = {}
+    for r in pairs.collect():          # toxic rows of the bounded sample only
+        found.setdefault(r["f"], set()).add(r["row"])
+    chosen: list[int] = []
+    while found:
+        best = max(sorted(found), key=lambda f: len(found[f]))
+        gained = found.pop(best)
+        if len(gained) < MIN_GAIN:
+            break
+        chosen.append(best)
+        found = {f: left for f, r in found.items() if len(left := r - gained) >= MIN_GAIN}
+    return [chosen[k::groups] for k in range(groups)]
+
 
+def fit_labellers(patterns: dict[str, int], rounds: int = 200, prior: float = 0.15,
+                  trust: float = 0.0) -> dict[str, float]:
+    """Posterior of bad for each pattern of votes, by EM over pattern counts.
 
-def fit_labellers(patterns: dict[str, int], rounds: int = 200, prior: float = 0.15) -> dict[str, float]:
-    """Posterior of bad for each pattern of votes, by EM over pattern counts."""
+    ``trust`` is the weight, in corpora of this size, of a prior belief that a
+    labeller does not vote bad on good documents.  Word lists get it: their
+    precision is known beforehand, and each language meets only few of them, which
+    would otherwise look like chance votes.
+    """
     if not patterns:
         return {}
     keys = sorted(patterns)
@@ -123,8 +206,8 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 200, prior: float = 0.
         w1, w0 = n * post, n * (1 - post)
         prior = min(max((w1.sum() + 1) / (n.sum() + 2), 1e-6), 1 - 1e-6)
         hit = ((w1 @ bad) + 0.5) / ((w1 @ (bad + good)) + 1)      # votes bad, given bad
-        false = ((w0 @ bad) + 0.05) / ((w0 @ (bad + good)) + 1)   # votes bad, given good
-        hit, false = np.clip(hit, 1e-4, 1 - 1e-4), np.clip(false, 1e-4, 1 - 1e-4)
+        false = ((w0 @ bad) + 0.05) / ((w0 @ (bad + good)) + 1 + trust * n.sum())   # votes bad, given good
+        hit, false = np.clip(hit, 1e-4, 1 - 1e-4), np.clip(false, 1e-6, 1 - 1e-4)
         log = (math.log(prior / (1 - prior)) + bad @ np.log(hit / false) + good @ np.log((1 - hit) / (1 - false)))
         new = 1 / (1 + np.exp(-np.clip(log, -50, 50)))
         if np.abs(new - post).max() < 1e-9:
@@ -133,18 +216,6 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 200, prior: float = 0.
     return dict(zip(keys, post.tolist()))
 
 
-def features(s: dict[str, float], tokens: Counter) -> set[int]:
-    """Hashed features present in a text: its words and binned style figures."""
-    out = {hash30(t) for t in tokens if len(t) <= 40}
-    for k, v in s.items():
-        out.add(hash30(f"\x00{k}={min(int(v * 10), 40) if k != 'n' else int(math.log2(v + 1))}"))
-    return out
-
-
-def hash30(feature: str) -> int:
-    return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) >> 34
-
-
 def fit_linear(rows: list[tuple[list[int], float]], dims: int, rounds: int = 300, l2: float = 1e-3):
     """Logistic regression on soft labels: (bias, weights), by accelerated gradient descent."""
     x = np.zeros((len(rows), dims), np.float32)
@@ -163,76 +234,68 @@ def fit_linear(rows: list[tuple[list[int], float]], dims: int, rounds: int = 300
     return float(b), w
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_features: int = MAX_FEATURES) -> dict:
-    """The model: per task the vote posteriors and the linear scorer."""
+def fit(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS,
+        max_features: int = MAX_FEATURES) -> dict:
+    """The model: stems, and per task the vote posteriors and the linear scorer.
+    ``labels`` (doc_id, toxic) may cover any part of ``docs``."""
+    stems = learn_stems(docs, labels) if labels is not None else []
+
     def vote(batches):
+        read = Reader(stems)
         for b in batches:
-            got = Counter(votes_of(t) for t in b.column(0).to_pylist())
+            got = Counter(read(t)[1:3] for t in b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in got]), pa.array([k[1] for k in got]), pa.array(got.values(), pa.int64())],
                 names=["junk", "toxic", "n"])
 
     counts = docs.select("text").mapInArrow(vote, "junk string, toxic string, n long").groupBy("junk", "toxic").agg(
         F.sum("n").alias("n")).collect()
-    total = sum(r["n"] for r in counts)
-    model: dict = {"total": total}
+    model: dict = {"stems": stems, "total": sum(r["n"] for r in counts)}
     for task in ("junk", "toxic"):
         patterns: Counter = Counter()
         for r in counts:
             patterns[r[task]] += r["n"]
-        model[task] = {"posterior": fit_labellers(patterns)}
-    sample = hash_sample(docs.select("text"), "text", sample_docs, total, seed=7).distinct()
+        model[task] = {"posterior": fit_labellers(patterns, trust=TRUST[task])}
+
+    def read_features(batches):
+        read = Reader(stems)
+        for b in batches:
+            junk, toxic, on = [], [], []
+            for text in b.column(0).to_pylist():
+                s, j, t, _ = read(text)
+                junk.append(j)
+                toxic.append(t)
+                words = {f for w in set(_TOKEN.findall((text or "").lower())) for f in token_features(w)}
+                on.append(sorted(words.union(style_features(s))))
+            yield pa.RecordBatch.from_arrays([pa.array(junk), pa.array(toxic), pa.array(on, pa.list_(pa.int32()))],
+                                             names=["junk", "toxic", "f"])
+
+    sample = hash_sample(docs.select("text"), "text", sample_docs, model["total"], seed=7).distinct()
+    sample = written(sample.mapInArrow(read_features, "junk string, toxic string, f array<int>"), "sample")
     for task in ("junk", "toxic"):
         model[task].update(_fit_scorer(sample, task, model[task]["posterior"], max_features))
     return model
 
 
 def _fit_scorer(sample: DataFrame, task: str, posterior: dict[str, float], max_features: int) -> dict:
-    which = ("junk", "toxic").index(task)
-
-    def label(text):
-        return posterior.get(votes_of(text)[which], 0.0)
-
-    def support(batches):
-        for b in batches:
-            n, bad = Counter(), Counter()
-            for text in b.column(0).to_pylist():
-                p = label(text)
-                on = features(*read(text))
-                n.update(on)
-                if p > 1e-3:
-                    for f in on:
-                        bad[f] += p
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(n.keys(), pa.int64()), pa.array(n.values(), pa.int64()),
-                 pa.array([bad[f] for f in n], pa.float64())], names=["f", "n", "bad"])
-
-    found = sample.mapInArrow(support, "f long, n long, bad double").groupBy("f").agg(
-        F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter(F.col("n") >= MIN_SUPPORT)
-    base = sample.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays(
-        [pa.array([b.num_rows], pa.int64()), pa.array([sum(label(t) for t in b.column(0).to_pylist())])],
-        names=["n", "bad"]) for b in bs), "n long, bad double").agg(F.sum("n"), F.sum("bad")).first()
-    size, bad_total = base[0] or 0, base[1] or 0.0
+    table = F.from_json(F.lit(json.dumps(posterior)), "map<string,double>")
+    rows = sample.select(F.coalesce(F.try_element_at(table, F.col(task)), F.lit(0.0)).alias("p"), "f")
+    size, bad_total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("p"), F.lit(0.0))).first()
     share = bad_total / size if size else 0.0
     if not 1 <= bad_total <= size - 1:
         return {"bias": -30.0, "weights": {}}
+    found = rows.select("p", F.explode("f").alias("f")).groupBy("f").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("p").alias("bad")).filter(F.col("n") >= MIN_SUPPORT)
     # how far the feature's share of bad documents is from the sample's, in standard errors
     z = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    top = [r["f"] for r in found.withColumn("z", z).filter("z > 6").orderBy(F.desc("z"), "f").limit(max_features)
-           .select("f").collect()]
+    top = sorted(r["f"] for r in found.withColumn("z", F.round(z, 6)).filter("z > 6").orderBy(F.desc("z"), "f").limit(
+        max_features).select("f").collect())
+    if not top:
+        return {"bias": -30.0, "weights": {}}
+    on = F.array_sort(F.array_intersect("f", F.from_json(F.lit(json.dumps(top)), "array<int>")))
     at = {f: i for i, f in enumerate(top)}
-
-    def rows(batches):
-        for b in batches:
-            on, p = [], []
-            for text in b.column(0).to_pylist():
-                on.append(sorted(at[f] for f in features(*read(text)) & at.keys()))
-                p.append(label(text))
-            yield pa.RecordBatch.from_arrays([pa.array(on, pa.list_(pa.int32())), pa.array(p, pa.float64())],
-                                             names=["x", "p"])
-
-    data = [(r["x"], r["p"]) for r in sample.mapInArrow(rows, "x array<int>, p double").collect()]
-    bias, w = fit_linear(sorted(data), len(top))
+    data = sorted(([at[f] for f in r["x"]], r["p"]) for r in rows.select(on.alias("x"), "p").collect())
+    bias, w = fit_linear(data, len(top))
     return {"bias": bias, "weights": {f: float(w[i]) for f, i in at.items() if w[i]}}
 
 
@@ -249,38 +312,31 @@ def keep_good(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame
 
 
 def _scorer(model: dict, threshold: float, carry: list[str] | None):
-    tasks = [(model[t]["bias"], model[t]["weights"]) for t in ("junk", "toxic")]
-    names = sorted({f for _, w in tasks for f in w})
+    tasks = [(model[t]["bias"], model[t]["weights"], model[t]["posterior"]) for t in ("junk", "toxic")]
+    wanted = {f for _, w, _ in tasks for f in w}
+    stems = model["stems"]
+
+    def mean(bias, weights, posterior, on, votes) -> float:
+        x = max(min(bias + sum(weights.get(f, 0.0) for f in on), 30.0), -30.0)
+        return (1 / (1 + math.exp(-x)) + posterior.get(votes, 0.0)) / 2
 
     def run(batches):
-        wanted, known = set(names), {}
+        read = Reader(stems, wanted)
         for b in batches:
             scores = []
             for text in b.column(b.num_columns - 1).to_pylist():
-                s, tokens = read(text)
-                if not s["n"]:
-                    scores.append((1.0, 0.0))
-                    continue
-                on = set()
-                for t in tokens:
-                    h = known.get(t)
-                    if h is None:
-                        h = hash30(t) if len(t) <= 40 else -1
-                        if len(known) >= 300_000:
-                            known.clear()
-                        known[t] = h = h if h in wanted else -1
-                    if h >= 0:
-                        on.add(h)
-                on |= features(s, Counter()) & wanted
-                scores.append(tuple(1 / (1 + math.exp(-max(min(bias + sum(w.get(f, 0.0) for f in on), 30), -30)))
-                                    for bias, w in tasks))
-            keep = [max(p) < threshold for p in scores]
+                s, junk, toxic, on = read(text)
+                on.update(style_features(s))
+                found = sorted(on & wanted)
+                scores.append(tuple(mean(*task, found, votes) for task, votes in zip(tasks, (junk, toxic)))
+                              if s["n"] else (1.0, 0.0))
+            keep = pa.array([max(p) < threshold for p in scores], pa.bool_())
             if carry is None:
-                yield b.filter(pa.array(keep, pa.bool_()))
+                yield b.filter(keep)
             else:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).cast(pa.int64()), pa.array([p[0] for p in scores], pa.float64()),
-                     pa.array([p[1] for p in scores], pa.float64()), pa.array(keep, pa.bool_())],
+                     pa.array([p[1] for p in scores], pa.float64()), keep],
                     names=["doc_id", "p_junk", "p_toxic", "kept"])
 
     return run
