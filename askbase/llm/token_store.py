@@ -16,8 +16,9 @@ covers lost executors and any store that Spark reads will do):
 Ids come from the tokenizers library.  The normalizer and pre-tokenizer of
 the word-level file never join text across ASCII white space, so a text's
 ids are the ids of its white-space-separated pieces; every worker keeps the
-pieces it has seen, in a table bounded by ``CACHE_PIECES``.  Texts with
-control characters that Python and the library split differently are encoded whole.
+pieces and words it has seen, in tables bounded by ``CACHE_PIECES`` and
+``CACHE_WORDS``.  Texts with control characters that Python and the library
+split differently are encoded whole.
 
 Edge cases: null text is an empty document (its end id only); null doc_ids
 sort first; repeated rows are written as often as they come, in the order of
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from askbase.llm.common import hash_sample, text_key
 from askbase.llm.token_counts import load
 
-CACHE_PIECES, PIECE_CHARS = 600_000, 64
+CACHE_PIECES, CACHE_WORDS, PIECE_CHARS = 500_000, 1_000_000, 64
 BLOCK_BYTES, LEVEL = 4 << 20, 3
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 2_000, 16_384, 112_640
 #: str.split() breaks at these, the library's \s does not.
@@ -50,15 +51,41 @@ DICTIONARY = "dict_hash string, width int, end_id long, bytes binary"
 
 
 class PieceEncoder:
-    """Serialized ids (little-endian unsigned 32-bit) of texts, through a bounded table of pieces."""
+    """Serialized ids (little-endian unsigned 32-bit) of texts, through bounded
+    tables of pieces and of the lower-cased words in them."""
 
     def __init__(self, path: str):
         self.t = load(path)
         self.seen: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces.  Latin-1 letters with full stops or commas behind are two
+        matches of the pre-tokenizer at most, and the first is lower-cased."""
+        words, new, parts = self.words, {}, []
+        if len(words) > CACHE_WORDS:
+            words.clear()
+        for p in pieces:
+            word = p.rstrip(".,")
+            if word.isalpha() and max(word) < "\u0100":
+                part = (word.lower(), p[len(word):])
+            else:
+                part = (p, "")
+            parts.append(part)
+            for x in part:
+                if x not in words:
+                    new[x] = None
+        fresh = dict(zip(new, self._encode(list(new)))) if new else {}
+        long = {k: v for k, v in fresh.items() if len(k) > PIECE_CHARS}
+        words.update(fresh)
+        out = {p: words[x] + words[y] for p, (x, y) in zip(pieces, parts)}
+        for k in long:
+            del words[k]
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         seen, split, new = self.seen, [], {}
         for text in texts:
@@ -67,7 +94,7 @@ class PieceEncoder:
             for p in pieces or ():
                 if p not in seen:
                     new[p] = None
-        fresh = dict(zip(new, self._encode(list(new)))) if new else {}
+        fresh = self._pieces(list(new)) if new else {}
         keep = {k: v for k, v in fresh.items() if len(k) <= PIECE_CHARS}
         if len(seen) + len(keep) > CACHE_PIECES:
             self.seen = keep            # the old table still serves this call
