@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from askbase.llm.common import hash_sample, text_key
 from askbase.llm.token_counts import load
 
-CACHE_PIECES, CACHE_WORDS, PIECE_CHARS = 500_000, 1_000_000, 64
+CACHE_PIECES, CACHE_WORDS, PIECE_CHARS = 1_200_000, 1_000_000, 64
 BLOCK_BYTES, LEVEL = 4 << 20, 3
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 2_000, 16_384, 112_640
 #: str.split() breaks at these, the library's \s does not.
@@ -65,35 +66,35 @@ class PieceEncoder:
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces.  Latin-1 letters with full stops or commas behind are two
         matches of the pre-tokenizer at most, and the first is lower-cased."""
-        words, new, parts = self.words, {}, []
+        words = self.words
         if len(words) > CACHE_WORDS:
             words.clear()
+        heads, tails = [], []
         for p in pieces:
             word = p.rstrip(".,")
-            if word.isalpha() and max(word) < "\u0100":
-                part = (word.lower(), p[len(word):])
+            if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+                heads.append(word.lower())
+                tails.append(p[len(word):])
             else:
-                part = (p, "")
-            parts.append(part)
-            for x in part:
-                if x not in words:
-                    new[x] = None
-        fresh = dict(zip(new, self._encode(list(new)))) if new else {}
-        long = {k: v for k, v in fresh.items() if len(k) > PIECE_CHARS}
+                heads.append(p)
+                tails.append("")
+        new = list({*heads, *tails}.difference(words))
+        fresh = dict(zip(new, self._encode(new))) if new else {}
         words.update(fresh)
-        out = {p: words[x] + words[y] for p, (x, y) in zip(pieces, parts)}
-        for k in long:
-            del words[k]
+        get = words.__getitem__
+        out = dict(zip(pieces, map(add, map(get, heads), map(get, tails))))
+        for k in fresh:
+            if len(k) > PIECE_CHARS:
+                del words[k]
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        seen, split, new = self.seen, [], {}
+        seen, split, new = self.seen, [], set()
         for text in texts:
             pieces = None if _ODD.search(text) else text.split()
             split.append(pieces)
-            for p in pieces or ():
-                if p not in seen:
-                    new[p] = None
+            if pieces:
+                new |= {*pieces}.difference(seen)
         fresh = self._pieces(list(new)) if new else {}
         keep = {k: v for k, v in fresh.items() if len(k) <= PIECE_CHARS}
         if len(seen) + len(keep) > CACHE_PIECES:
