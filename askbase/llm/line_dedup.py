@@ -111,7 +111,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         per_doc = own.groupBy("doc_id", "tk", "h1", "h2", "pos").agg(F.count(F.lit(1)).alias("copies"))
         per_doc = per_doc.groupBy("doc_id", "tk", "h1", "h2").agg(F.max("copies").alias("copies"))
         runs.ingest(per_doc.select("h1", "h2", F.explode(F.sequence(F.lit(1), F.col("copies")))))
-    frequent = runs.merged().filter(F.col("n") >= min_docs).select("h1", "h2")
+    # a table of its own: joined as an exchange, so that AQE can split a hot line's rows
+    frequent = written(runs.merged().filter(F.col("n") >= min_docs).select("h1", "h2"), "frequent")
     gone = lines.join(frequent, ["h1", "h2"], "left_semi").select("doc_id", "tk", "pos")
     gone = gone.groupBy("doc_id", "tk").agg(F.collect_set("pos").alias("gone"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", text_key())

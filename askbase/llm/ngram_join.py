@@ -188,7 +188,8 @@ def _blocks(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """(hi, lo, rep, block, sets, grams): classes that share signatures with others."""
     posted = signed.select(F.explode("signatures").alias("sig"), "hi")
     shared = posted.groupBy("sig").agg(F.min("hi").alias("hub"), F.max("hi").alias("far")).filter("hub <> far")
-    stars = posted.join(shared.select("sig", "hub"), "sig").filter("hi <> hub")
+    # a table of its own: joined as an exchange, so that AQE can split a hot signature's rows
+    stars = posted.join(written(shared.select("sig", "hub"), "shared"), "sig").filter("hi <> hub")
     edges = stars.select(F.col("hi").alias("a"), F.col("hub").alias("b")).distinct()
     label = connected(written(edges, "sharing")).select(F.col("node").alias("hi"), F.col("component").alias("block"))
     members = classes.join(label, "hi")
