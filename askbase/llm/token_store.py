@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from askbase.llm.common import hash_sample, text_key
 from askbase.llm.token_counts import load
 
-CACHE_PIECES, CACHE_WORDS, PIECE_CHARS = 1_200_000, 1_000_000, 64
+CACHE_PIECES, CACHE_WORDS, PIECE_CHARS = 900_000, 800_000, 64
 BLOCK_BYTES, LEVEL = 4 << 20, 3
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 2_000, 16_384, 112_640
 #: str.split() breaks at these, the library's \s does not.
@@ -108,6 +108,16 @@ class PieceEncoder:
         return [self._encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
 
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The worker's encoder: its tables serve one task after the other."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: int) -> bytes:
     """A dictionary from the serialized ids of about ``DICT_DOCS`` short documents,
     chosen by the hash of their text.  Too few of them: no dictionary (empty)."""
@@ -115,7 +125,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
     sample = hash_sample(short, "text", DICT_DOCS, short.count(), seed=5)
 
     def run(batches):
-        encode = PieceEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for b in batches:
             ids = encode(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([narrow(x, end_id, width) for x in ids], pa.binary())], ["ids"])
@@ -147,7 +157,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
     shared = spark.sparkContext.broadcast(trained)   # at most DICT_BYTES
 
     def run(batches):
-        encode = PieceEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         d = zstandard.ZstdCompressionDict(shared.value) if shared.value else None
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=True).compress
         out = _Blocks(TaskContext.get().partitionId(), name)
