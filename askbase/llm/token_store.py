@@ -16,8 +16,8 @@ covers lost executors and any store that Spark reads will do):
 Ids come from the tokenizers library.  The normalizer and pre-tokenizer of
 the word-level file never join text across ASCII white space, so a text's
 ids are the ids of its white-space-separated pieces; every worker keeps the
-pieces and words it has seen, in tables bounded by ``CACHE_PIECES`` and
-``CACHE_WORDS``.  Texts with control characters that Python and the library
+pieces and words it has seen, in tables bounded by twice ``CACHE_PIECES``
+and ``CACHE_WORDS``.  Texts with control characters that Python and the library
 split differently are encoded whole.
 
 Edge cases: null text is an empty document (its end id only); null doc_ids
@@ -41,71 +41,120 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from askbase.llm.common import hash_sample, text_key
 from askbase.llm.token_counts import load
 
-CACHE_PIECES, CACHE_WORDS, PIECE_CHARS = 900_000, 800_000, 64
+CACHE_PIECES, CACHE_WORDS, PIECE_CHARS = 200_000, 300_000, 64
 BLOCK_BYTES, LEVEL = 4 << 20, 3
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 2_000, 16_384, 112_640
 #: str.split() breaks at these, the library's \s does not.
 _ODD = re.compile("[\x1c-\x1f]")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 BLOCKS = ("shard int, block int, dict_hash string, start long, n_ids long, first_id long, last_id long, "
           "doc_ids array<long>, offsets array<int>, counts array<long>, payload binary")
 DICTIONARY = "dict_hash string, width int, end_id long, bytes binary"
 
 
+class Recent:
+    """A table of what was used of late: two generations of at most ``half`` entries
+    before a call.  What is used moves to the young one; the old one goes when that is full."""
+
+    def __init__(self, half: int):
+        self.half, self.young, self.old = half, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: set) -> set:
+        """Keys that are in neither; the others are young from now on."""
+        keys = keys.difference(self.young)
+        absent = keys.difference(self.old)
+        for k in keys - absent:
+            self.young[k] = self.old[k]
+        return absent
+
+
 class PieceEncoder:
     """Serialized ids (little-endian unsigned 32-bit) of texts, through bounded
     tables of pieces and of the lower-cased words in them."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
         self.t = load(path)
-        self.seen: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Recent(CACHE_PIECES), Recent(CACHE_WORDS)
+        # for words that are normalized already: the same model without the steps before it
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.bare.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces.  Latin-1 letters with full stops or commas behind are two
-        matches of the pre-tokenizer at most, and the first is lower-cased."""
-        words = self.words
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        heads, tails = [], []
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters; a word's last token, and no other, has
+        the model's end-of-word mark."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 1000):
+            part = words[k:k + 1000]
+            e = self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.asarray(e.ids, "<u4")
+            raw, at = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            assert len(at) == len(part)
+            out += map(raw.__getitem__, map(slice, [0, *at[:-1]], at))
+        return out
+
+    def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces.  Latin-1 letters with ASCII marks other than an apostrophe
+        behind are two matches of the pre-tokenizer at most, the first lower-cased."""
+        heads, tails, whole = [], [], []
         for p in pieces:
-            word = p.rstrip(".,")
+            word = p.rstrip(_MARKS)
             if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
                 heads.append(word.lower())
                 tails.append(p[len(word):])
             else:
-                heads.append(p)
-                tails.append("")
-        new = list({*heads, *tails}.difference(words))
-        fresh = dict(zip(new, self._encode(new))) if new else {}
-        words.update(fresh)
-        get = words.__getitem__
-        out = dict(zip(pieces, map(add, map(get, heads), map(get, tails))))
-        for k in fresh:
-            if len(k) > PIECE_CHARS:
-                del words[k]
+                whole.append(p)
+                heads.append("")
+                tails.append(p)
+        words = self.words
+        words.turn()
+        new = [w for w in words.missing(set(heads)) if w]
+        fresh = dict(zip(new, self._encode_words(new))) if new else {}
+        words.young.update(fresh)
+        words.young[""] = b""
+        rest = list({*tails, *whole})
+        other = dict(zip(rest, self._encode(rest)))
+        out = dict(zip(pieces, map(add, map(words.young.__getitem__, heads), map(other.__getitem__, tails))))
+        _drop_long(words.young, fresh)
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        seen, split, new = self.seen, [], set()
+        split: list[list[str] | None] = []
+        used: set[str] = set()
+        self.pieces.turn()
         for text in texts:
             pieces = None if _ODD.search(text) else text.split()
             split.append(pieces)
             if pieces:
-                new |= {*pieces}.difference(seen)
-        fresh = self._pieces(list(new)) if new else {}
-        keep = {k: v for k, v in fresh.items() if len(k) <= PIECE_CHARS}
-        if len(seen) + len(keep) > CACHE_PIECES:
-            self.seen = keep            # the old table still serves this call
-            seen = {**seen, **fresh}
-        else:
-            seen.update(keep)
-            if len(keep) < len(fresh):
-                seen = {**{p: seen[p] for s in split for p in s or () if p in seen}, **fresh}
+                used |= {*pieces}.difference(self.pieces.young)
+        absent = self.pieces.missing(used)
+        seen = self.pieces.young
+        fresh = self._new_pieces(list(absent)) if absent else {}
+        seen.update(fresh)
         get = seen.__getitem__
-        return [self._encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+        out = [self._encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+        _drop_long(seen, fresh)
+        return out
+
+
+def _drop_long(table: dict, fresh: dict) -> None:
+    if max(map(len, fresh), default=0) > PIECE_CHARS:
+        for k in fresh:
+            if len(k) > PIECE_CHARS:
+                del table[k]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -121,8 +170,8 @@ def encoder(path: str) -> PieceEncoder:
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: int) -> bytes:
     """A dictionary from the serialized ids of about ``DICT_DOCS`` short documents,
     chosen by the hash of their text.  Too few of them: no dictionary (empty)."""
-    short = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= DICT_CHARS)
-    sample = hash_sample(short, "text", DICT_DOCS, short.count(), seed=5)
+    short = docs.select("text").filter(F.length("text") <= DICT_CHARS)
+    sample = hash_sample(short, "text", DICT_DOCS, docs.count(), seed=5)
 
     def run(batches):
         encode = encoder(tokenizer_path)
