@@ -48,7 +48,7 @@ N, NEED, PER = 3, 90, 100
 GROWTH = 1.4                     # sizes of a level span this factor
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
 MAX_CHOICES = 24
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 SIGNED = "doc_id long, n long, hi long, lo long, signatures array<long>"

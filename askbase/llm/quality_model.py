@@ -52,7 +52,7 @@ from askbase.llm.common import hash_sample, sized, written
 
 SAMPLE_DOCS, LABELLED_DOCS, MAX_FEATURES, MIN_SUPPORT = 12_000, 20_000, 512, 8
 MIN_GAIN, MIN_PRECISION, STEM = 4, 0.98, 4
-KNOWN_TOKENS, TRUST = 300_000, {"junk": 0.0, "toxic": 20.0}
+KNOWN_TOKENS, TRUST = 150_000, {"junk": 0.0, "toxic": 20.0}
 SCHEMA = "doc_id long, p_junk double, p_toxic double, kept boolean"
 _SYMBOLS = b"#*$%&|<>^~{}\\"
 _CAPS, _SMALL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"

@@ -15,7 +15,7 @@ covers lost executors and any store that Spark reads will do):
 
 Ids come from the tokenizers library.  The normalizer and pre-tokenizer of
 the word-level file never join text across ASCII white space, so a text's
-ids are the ids of its white-space-separated pieces; every worker keeps the
+ids are the ids of its white-space-separated pieces; every task keeps the
 pieces and words it has seen, in tables bounded by twice ``CACHE_PIECES``
 and ``CACHE_WORDS``.  Texts with control characters that Python and the library
 split differently are encoded whole.
@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from functools import cache
 from operator import add
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from askbase.llm.common import hash_sample, text_key
 from askbase.llm.token_counts import load
 
-CACHE_PIECES, CACHE_WORDS, PIECE_CHARS = 200_000, 300_000, 64
+CACHE_PIECES, CACHE_WORDS, PIECE_CHARS = 100_000, 150_000, 64
 BLOCK_BYTES, LEVEL = 4 << 20, 3
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 2_000, 16_384, 112_640
 #: str.split() breaks at these, the library's \s does not.
@@ -72,23 +73,31 @@ class Recent:
         return absent
 
 
+@cache
+def bare_model(path: str):
+    """The same model without the steps before it, for words that are normalized
+    already, and which ids end a word.  Once per Python worker."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    bare = Tokenizer.from_file(path)
+    bare.normalizer = normalizers.Sequence([])
+    bare.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    vocab = bare.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+    return bare, ends
+
+
 class PieceEncoder:
     """Serialized ids (little-endian unsigned 32-bit) of texts, through bounded
     tables of pieces and of the lower-cased words in them."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
         self.t = load(path)
+        self.bare, self.ends = bare_model(path)
+        # of this task only: they go when it ends
         self.pieces, self.words = Recent(CACHE_PIECES), Recent(CACHE_WORDS)
-        # for words that are normalized already: the same model without the steps before it
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocab = self.bare.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -157,16 +166,6 @@ def _drop_long(table: dict, fresh: dict) -> None:
                 del table[k]
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
-def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder: its tables serve one task after the other."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
-
-
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: int) -> bytes:
     """A dictionary from the serialized ids of about ``DICT_DOCS`` short documents,
     chosen by the hash of their text.  Too few of them: no dictionary (empty)."""
@@ -174,7 +173,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
     sample = hash_sample(short, "text", DICT_DOCS, docs.count(), seed=5)
 
     def run(batches):
-        encode = encoder(tokenizer_path)
+        encode = PieceEncoder(tokenizer_path)
         for b in batches:
             ids = encode(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([narrow(x, end_id, width) for x in ids], pa.binary())], ["ids"])
@@ -206,7 +205,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
     shared = spark.sparkContext.broadcast(trained)   # at most DICT_BYTES
 
     def run(batches):
-        encode = encoder(tokenizer_path)
+        encode = PieceEncoder(tokenizer_path)
         d = zstandard.ZstdCompressionDict(shared.value) if shared.value else None
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=True).compress
         out = _Blocks(TaskContext.get().partitionId(), name)
