@@ -94,17 +94,6 @@ def choose_response(preds: DataFrame, qa, key_col: str = "question_id",
     return out.join(_maybe_broadcast(rows, n), [tag_col, "_ord"], "left").drop("_ord")
 
 
-def fixture_predict(labels: DataFrame, seed: str = "7") -> Callable[[DataFrame], DataFrame]:
-    """Deterministic class scores: id = md5(seed:question_id) mod (num_labels+1);
-    the extra id is not in the label table and decodes to ``unseen_tag``."""
-    n = labels.select(F.count(F.lit(1))).scalar()
-
-    def predict(df: DataFrame) -> DataFrame:
-        return df.withColumn("pred_id", F.pmod(md5_bucket(F.lit(seed), F.col("question_id")), n + 1)
-                             .cast("int"))
-    return predict
-
-
 def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
                      predict: Callable[[DataFrame], DataFrame] | None = None,
                      menus: DataFrame | None = None, choice_seed: str = "42",
@@ -120,6 +109,9 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
     never matches its (stripped) predicted label, as in the reference;
     ``strip_tags=True`` compares stripped tags instead.  ``carry`` names
     input columns passed through to the output (no join back needed).
+    ``predict`` adds ``pred_id`` (an id of the knowledge base's labels, or one
+    outside them for an unseen tag) to a table with ``question_id`` and ``text``;
+    rows that were routed or stopped by the gate come with an empty text.
     ``metric``: ``indel`` (native M1, the default) or ``exact`` (the
     reference's Ratcliff-Obershelp ratio on the pairs M1 lets through).
     """
@@ -127,7 +119,8 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
         kb = KnowledgeBase(kb)
     qa, labels = kb.qa, kb.labels
     if predict is None:
-        predict = fixture_predict(labels)
+        raise TypeError("answer_questions needs predict: a function that adds pred_id, for example "
+                        "classify.model_predictor(model)")
 
     if "as_of" not in questions.columns:
         # the reference reads the wall clock; one instant per query keeps
@@ -149,7 +142,9 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
     else:
         q = q.withColumn("gate_passed", F.when(F.col("route").isNull(), F.lit(True)))
 
-    q = predict(q)
+    # classes are asked for after the gate only: other rows reach the classifier without words
+    q = q.withColumn("_text", F.col("text")).withColumn("text", F.when(F.col("gate_passed"), F.col("text")).otherwise(""))
+    q = predict(q).withColumn("text", F.col("_text")).drop("_text")
     q = label_decode(q, labels, "pred_id", n_labels=kb.n_labels)
     q = q.withColumn("pred_tag", F.when(F.col("gate_passed"), F.col("pred_tag")))
     q = choose_response(q, kb, "question_id", "pred_tag", choice_seed, strip_tags)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from askbase import schemas
@@ -31,8 +32,9 @@ def log_unknown(spark: SparkSession, batch: DataFrame, path: str, question_col:
     Idempotent: replaying a batch adds nothing.  Returns the rows added."""
     try:
         existing = spark.read.schema(schemas.UNKNOWN).parquet(path)
-        existing.limit(1).count()
-    except Exception:  # noqa: BLE001 - first write creates the table
+    except AnalysisException as e:   # only a missing table is an empty one
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         existing = spark.createDataFrame([], schemas.UNKNOWN)
     start = (existing.agg(F.max("id")).first()[0] or 0) + 1
     fresh = new_unknowns(batch, existing, question_col, arrival_col)

@@ -6,6 +6,8 @@ table.  The same rules are written in DuckDB SQL in ``plans/oracle.py``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from askbase.session import read_table
@@ -108,12 +110,25 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", role.alias("role"), text.alias("text"))
 
 
+def fixture_predict(labels: DataFrame, seed: str = "7") -> Callable[[DataFrame], DataFrame]:
+    """Deterministic class scores: id = md5(seed:question_id) mod (num_labels+1);
+    the extra id is not in the label table and decodes to ``unseen_tag``."""
+    from askbase.operators.answer import md5_bucket
+    n = labels.select(F.count(F.lit(1))).scalar()
+
+    def predict(df: DataFrame) -> DataFrame:
+        return df.withColumn("pred_id", F.pmod(md5_bucket(F.lit(seed), F.col("question_id")), n + 1)
+                             .cast("int"))
+    return predict
+
+
 def unknown_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions of Q the web answer flow cannot answer: question_id, text."""
     from askbase.operators.answer import answer_questions
     from askbase.operators.knowledge import KnowledgeBase
     from askbase.operators.routing import WEB
-    ans = answer_questions(questions(spark, sf_dir), KnowledgeBase(kb_intents(spark, sf_dir)), WEB,
+    kb = KnowledgeBase(kb_intents(spark, sf_dir))
+    ans = answer_questions(questions(spark, sf_dir), kb, WEB, predict=fixture_predict(kb.labels),
                            menus=menus(spark, sf_dir), carry=("text",))
     return ans.filter(F.col("is_unknown")).select("question_id", "text")
 

@@ -64,7 +64,8 @@ def _kb(spark, sf) -> KN.KnowledgeBase:
 
 
 def _answers(spark, sf, questions: DataFrame, profile=R.WEB, kb=None) -> DataFrame:
-    return A.answer_questions(questions, kb or _kb(spark, sf), profile, menus=X.menus(spark, sf))
+    kb = kb or _kb(spark, sf)
+    return A.answer_questions(questions, kb, profile, predict=X.fixture_predict(kb.labels), menus=X.menus(spark, sf))
 
 
 def _msg_questions(msgs: DataFrame) -> DataFrame:
@@ -681,7 +682,9 @@ def q_error_reply(spark, sf):
 def _message_answers(spark, sf, msgs=None):
     msgs = msgs if msgs is not None else X.messages(spark, sf)
     q = _msg_questions(msgs)
-    ans = A.answer_questions(q, _kb(spark, sf), R.WEB, menus=X.menus(spark, sf), carry=("chat_id",))
+    kb = _kb(spark, sf)
+    ans = A.answer_questions(q, kb, R.WEB, predict=X.fixture_predict(kb.labels), menus=X.menus(spark, sf),
+                             carry=("chat_id",))
     return ans.select(F.col("question_id").alias("event_id"), "chat_id", "answer", "is_unknown")
 
 

@@ -8,16 +8,24 @@ from pyspark.sql import DataFrame, functions as F
 def parse_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
     """``{"question": ...}`` -> ``question`` plus ``error``.
 
-    A missing key gives ''.  A JSON null value and malformed JSON give an
-    error row instead of failing the job (the reference fails on them).
+    A missing key gives ''.  A JSON null, a value that is no string, malformed
+    JSON and text behind the object give an error row instead of failing the
+    job (the reference fails on them).
     """
     body = F.col(body_col)
     keys = F.json_object_keys(body)          # null for malformed JSON
+    # the parsers stop at the end of the object; inside brackets and inside braces what follows is an error
+    inside = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    whole = inside.isNotNull() & F.try_parse_json(F.concat(F.lit('{"b":'), body, F.lit("}"))).isNotNull()
+    broken = keys.isNull() | ~whole
+    kind = F.schema_of_variant(F.try_variant_get(inside, "$[0].question", "variant"))
     parsed = F.get_json_object(body, "$.question")
     has_key = F.array_contains(keys, "question")
-    error = (F.when(keys.isNull(), F.lit("malformed request"))
-             .when(has_key & parsed.isNull(), F.lit("null question")))
-    question = F.when(keys.isNull(), F.lit(None)).when(~has_key, F.lit("")).otherwise(parsed)
+    error = (F.when(broken, F.lit("malformed request"))
+             .when(has_key & parsed.isNull(), F.lit("null question"))
+             .when(has_key & (kind != "STRING"), F.lit("question is not a string")))
+    question = (F.when(broken | (has_key & (kind != "STRING")), F.lit(None))
+                .when(~has_key, F.lit("")).otherwise(parsed))
     return requests.withColumn("question", question.cast("string")).withColumn("error", error)
 
 

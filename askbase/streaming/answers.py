@@ -10,6 +10,8 @@ checkpoint after a lost executor or driver gives the same result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from askbase.operators import answer as A
@@ -17,6 +19,8 @@ from askbase.operators import knowledge as KN
 from askbase.operators import routing as R
 from askbase.operators import unknowns as U
 
+Predict = Callable[[DataFrame], DataFrame]
+
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
@@ -46,22 +50,22 @@ def _static(menus: DataFrame | None) -> DataFrame | None:
     return menus.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _answer_batch(batch: DataFrame, kb: KN.KnowledgeBase, menus: DataFrame | None, profile) -> DataFrame:
+def _answer_batch(batch: DataFrame, kb: KN.KnowledgeBase, predict, menus: DataFrame | None, profile) -> DataFrame:
     q = batch.select(F.col("event_id").alias("question_id"), "chat_id", F.col("ts").alias("as_of"),
                      F.coalesce("text", F.lit("")).alias("text"))
-    ans = A.answer_questions(q, kb, profile, menus=menus, index=kb.pattern_index(),
+    ans = A.answer_questions(q, kb, profile, predict=predict, menus=menus, index=kb.pattern_index(),
                              carry=("chat_id", "as_of", "text"))
     return ans.select(F.col("question_id").alias("event_id"), "chat_id", F.col("as_of").alias("ts"),
                       F.col("text").alias("question"), "answer", "is_unknown")
 
 
-def stream_answers(stream: DataFrame, kb: KN.KnowledgeBase, sink: str, checkpoint: str,
+def stream_answers(stream: DataFrame, kb: KN.KnowledgeBase, sink: str, checkpoint: str, predict: Predict,
                    menus: DataFrame | None = None, profile=R.WEB, available_now: bool = True):
     """Every message answered independently; one folder per batch id."""
     menus = _static(menus)
 
     def handle(batch: DataFrame, batch_id: int):
-        out = _answer_batch(batch, kb, menus, profile)
+        out = _answer_batch(batch, kb, predict, menus, profile)
         out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
@@ -69,14 +73,14 @@ def stream_answers(stream: DataFrame, kb: KN.KnowledgeBase, sink: str, checkpoin
     return w.start()
 
 
-def stream_unknown(stream: DataFrame, kb: KN.KnowledgeBase, table: str, checkpoint: str,
+def stream_unknown(stream: DataFrame, kb: KN.KnowledgeBase, table: str, checkpoint: str, predict: Predict,
                    menus: DataFrame | None = None, profile=R.WEB, available_now: bool = True):
     """U1 across the life of the stream (insert-if-absent per batch; a
     replayed batch adds nothing)."""
     menus = _static(menus)
 
     def handle(batch: DataFrame, batch_id: int):
-        ans = _answer_batch(batch, kb, menus, profile).filter(F.col("is_unknown"))
+        ans = _answer_batch(batch, kb, predict, menus, profile).filter(F.col("is_unknown"))
         U.log_unknown(batch.sparkSession, ans.select("question", F.col("event_id").alias("arrival")), table)
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
@@ -84,14 +88,14 @@ def stream_unknown(stream: DataFrame, kb: KN.KnowledgeBase, table: str, checkpoi
     return w.start()
 
 
-def stream_turns(stream: DataFrame, kb: KN.KnowledgeBase, sink: str, checkpoint: str,
+def stream_turns(stream: DataFrame, kb: KN.KnowledgeBase, sink: str, checkpoint: str, predict: Predict,
                  menus: DataFrame | None = None, profile=R.WEB, available_now: bool = True):
     """Each answered message appends (user, bot) rows keyed by chat and
     event time; turn numbers are assigned when the log is read (no state)."""
     menus = _static(menus)
 
     def handle(batch: DataFrame, batch_id: int):
-        out = _answer_batch(batch, kb, menus, profile)
+        out = _answer_batch(batch, kb, predict, menus, profile)
         pair = F.array(F.struct(F.lit(0).alias("i"), F.lit("user").alias("role"), F.col("question").alias("text")),
                        F.struct(F.lit(1).alias("i"), F.lit("bot").alias("role"), F.col("answer").alias("text")))
         rows = out.select("chat_id", "ts", "event_id", F.explode(pair).alias("m")).select(

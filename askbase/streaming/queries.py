@@ -20,7 +20,8 @@ def _setup(spark, sf):
 def q_stream_answers(spark, sf):
     kb, menus, stream = _setup(spark, sf)
     sink = scratch_path(spark, "stream-answers")
-    q = S.stream_answers(stream, kb, sink, scratch_path(spark, "stream-answers-ckpt"), menus)
+    q = S.stream_answers(stream, kb, sink, scratch_path(spark, "stream-answers-ckpt"),
+                         X.fixture_predict(kb.labels), menus)
     q.awaitTermination()
     return spark.read.parquet(sink).select("event_id", "chat_id", "answer")
 
@@ -29,7 +30,8 @@ def q_stream_answers(spark, sf):
 def q_stream_unknown(spark, sf):
     kb, menus, stream = _setup(spark, sf)
     table = scratch_path(spark, "stream-unknown")
-    q = S.stream_unknown(stream, kb, table, scratch_path(spark, "stream-unknown-ckpt"), menus)
+    q = S.stream_unknown(stream, kb, table, scratch_path(spark, "stream-unknown-ckpt"),
+                         X.fixture_predict(kb.labels), menus)
     q.awaitTermination()
     return scan_unknown(spark, table)
 
@@ -38,6 +40,7 @@ def q_stream_unknown(spark, sf):
 def q_stream_turns(spark, sf):
     kb, menus, stream = _setup(spark, sf)
     sink = scratch_path(spark, "stream-turns")
-    q = S.stream_turns(stream, kb, sink, scratch_path(spark, "stream-turns-ckpt"), menus)
+    q = S.stream_turns(stream, kb, sink, scratch_path(spark, "stream-turns-ckpt"),
+                         X.fixture_predict(kb.labels), menus)
     q.awaitTermination()
     return S.read_turns(spark, sink).select("chat_id", "turn", "role", "text")

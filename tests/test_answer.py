@@ -33,7 +33,7 @@ def _predict_to(label_id):
 
 def test_routes_answer_without_gate(spark):
     q = _q(spark, [(1, "Bugünün tarihi ne?"), (2, "saat kaç"), (3, "yarın hangi gün"), (4, "bugün günlerden ne")])
-    out = {r.question_id: r for r in A.answer_questions(q, _kb(spark), WEB).collect()}
+    out = {r.question_id: r for r in A.answer_questions(q, _kb(spark), WEB, predict=_predict_to(0)).collect()}
     assert out[1].answer == "Bugün 31 Aralık 2024 Salı"
     assert out[2].answer == "23:59:58"
     assert out[3].answer == "Yarın 01 Ocak 2025 Çarşamba"
@@ -136,16 +136,16 @@ def test_exact_gate_equals_bruteforce_difflib(spark, sf):
 
 def test_missing_as_of_uses_query_clock(spark):
     q = spark.createDataFrame([(1, "saat kaç"), (2, "bugünün tarihi")], "question_id long, text string")
-    out = {r.question_id: r.answer for r in A.answer_questions(q, _kb(spark), WEB).collect()}
+    out = {r.question_id: r.answer for r in A.answer_questions(q, _kb(spark), WEB, predict=_predict_to(0)).collect()}
     assert len(out[1]) == 8 and out[1][2] == ":" and out[2].startswith("Bugün ")
 
 
 def test_answer_one(spark):
     kb = _kb(spark)
     t = dt.datetime(2024, 3, 1, 9, 15, 0)
-    assert A.answer_one(spark, kb, "Saat kaç?", as_of=t) == "09:15:00"
+    assert A.answer_one(spark, kb, "Saat kaç?", as_of=t, predict=_predict_to(0)) == "09:15:00"
     assert A.answer_one(spark, kb, "merhaba", as_of=t, predict=_predict_to(0)) in ("Merhaba!", "Selam!")
-    assert A.answer_one(spark, kb, None, as_of=t) == K.FALLBACK_ANSWER
+    assert A.answer_one(spark, kb, None, as_of=t, predict=_predict_to(0)) == K.FALLBACK_ANSWER
 
 
 def test_gate_dedupes_keys_map_side_with_a_hot_question(spark, sf):

@@ -102,8 +102,9 @@ def test_stream_equals_batch(spark, sf):
     msgs = X.messages(spark, sf)
     qs = msgs.select(F.col("event_id").alias("question_id"), F.coalesce("text", F.lit("")).alias("text"),
                      F.col("ts").alias("as_of"))
+    kb = KN.KnowledgeBase(X.kb_intents(spark, sf))
     batch = {(r.question_id, r.answer) for r in
-             A.answer_questions(qs, KN.KnowledgeBase(X.kb_intents(spark, sf)), WEB, menus=X.menus(spark, sf)).collect()}
+             A.answer_questions(qs, kb, WEB, predict=X.fixture_predict(kb.labels), menus=X.menus(spark, sf)).collect()}
     assert stream == batch
 
 
@@ -185,14 +186,15 @@ def test_stream_unknown_over_many_batches_equals_batch(spark, sf):
             .when(k == 2, F.lit("hey /echo a\nb")).otherwise(F.col("event_type")))
     msgs = stream.select("event_id", F.col("user_id").alias("chat_id"), "ts", text.alias("text"))
     table = scratch_path(spark, "t-stream-unk")
-    q = SA.stream_unknown(msgs, kb, table, scratch_path(spark, "t-stream-unk-ckpt"), menus)
+    q = SA.stream_unknown(msgs, kb, table, scratch_path(spark, "t-stream-unk-ckpt"),
+                          X.fixture_predict(kb.labels), menus)
     q.awaitTermination()
     assert len(q.recentProgress) >= 3
     got = sorted((r.id, r.question) for r in US.scan_unknown(spark, table).collect())
     batch_msgs = X.messages(spark, sf)
     qs = batch_msgs.select(F.col("event_id").alias("question_id"), F.coalesce("text", F.lit("")).alias("text"),
                            F.col("ts").alias("as_of"))
-    ans = A.answer_questions(qs, kb, WEB, menus=menus, carry=("text",)).filter("is_unknown")
+    ans = A.answer_questions(qs, kb, WEB, predict=X.fixture_predict(kb.labels), menus=menus, carry=("text",)).filter("is_unknown")
     first = ans.groupBy("text").agg(F.min("question_id").alias("a")).collect()
     want = [(i + 1, t) for i, (a, t) in enumerate(sorted((r.a, r.text) for r in first))]
     assert got == want
