@@ -22,13 +22,8 @@ from askbase.functions.text import strip_text, utf8_clean
 from askbase.operators import gate as G
 from askbase.operators.indexing import group_rank
 from askbase.operators.knowledge import ORDER, KnowledgeBase, label_decode
-from askbase.operators.sizing import sized_broadcast
 from askbase.operators.routing import WEB, Profile, route_expr
 
-# Response rows per broadcast; above it the (tag, ordinal) lookup is a shuffle join.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
 def md5_bucket(*parts) -> Column:
     """Non-negative bigint from the first 32 bits of md5(parts joined by ':')."""
     s = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(str(p))).cast("string") for p in parts])
@@ -46,10 +41,6 @@ def tag_response_table(qa: DataFrame, strip_tags: bool = False) -> tuple[DataFra
     return counts, rows
 
 
-def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= MAX_BROADCAST_ROWS else df
-
-
 def _tags(qa, tag_col: str) -> DataFrame:
     if isinstance(qa, KnowledgeBase):
         qa = qa.qa
@@ -58,21 +49,29 @@ def _tags(qa, tag_col: str) -> DataFrame:
 
 def tag_known(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag") -> DataFrame:
     """Predictions whose tag exists in the knowledge base (exact equality)."""
-    return preds.join(sized_broadcast(_tags(qa, tag_col)), tag_col, "left_semi")
+    return preds.join(_tags(qa, tag_col), tag_col, "left_semi")
 
 
 def tag_unknown(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag") -> DataFrame:
     """J1 complement: predictions that fall back."""
-    return preds.join(sized_broadcast(_tags(qa, tag_col)), tag_col, "left_anti")
+    return preds.join(_tags(qa, tag_col), tag_col, "left_anti")
+
+
+def flag_known(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag") -> DataFrame:
+    """J1 as a column ``known``: every prediction stays, one join."""
+    tags = _tags(qa, tag_col).withColumn("known", F.lit(True))
+    return preds.join(tags, tag_col, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def responses_for_tag(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag") -> DataFrame:
-    """Every response row of the predicted tag (duplicates kept)."""
+    """The responses of the predicted tag, each once with the number of its
+    rows in ``n_rows`` (patterns x responses repeat a text many times, so they
+    are counted before the join)."""
     if isinstance(qa, KnowledgeBase):
         qa = qa.qa
-    r = qa.select(F.col("Tag").alias(tag_col), F.col("Response").alias("response"),
-                  "intent_pos", "pattern_pos", "response_pos")
-    return preds.join(sized_broadcast(r, MAX_BROADCAST_ROWS), tag_col, "inner")
+    r = qa.groupBy(F.col("Tag").alias(tag_col), F.col("Response").alias("response")).agg(
+        F.count(F.lit(1)).alias("n_rows"))
+    return preds.join(r, tag_col, "inner")
 
 
 def choose_response(preds: DataFrame, qa, key_col: str = "question_id",
@@ -82,16 +81,14 @@ def choose_response(preds: DataFrame, qa, key_col: str = "question_id",
     tag unknown) and ``response``.  ``qa``: a flat QA table or a
     ``KnowledgeBase`` (whose response table is built once and reused)."""
     if isinstance(qa, KnowledgeBase):
-        counts, rows, n = qa.response_table(strip_tags)
+        counts, rows = qa.response_table(strip_tags)
     else:
         counts, rows = tag_response_table(qa, strip_tags)
-        n = rows.count()
-    # one count row per tag: never more rows than the n response rows
-    out = preds.join(_maybe_broadcast(counts.withColumnRenamed("tag", tag_col), n), tag_col, "left")
+    out = preds.join(counts.withColumnRenamed("tag", tag_col), tag_col, "left")
     out = out.withColumn("_ord", F.when(F.col("n_rows") > 0,
                                         F.pmod(md5_bucket(F.lit(seed), F.col(key_col)), F.col("n_rows"))))
     rows = rows.withColumnRenamed("tag", tag_col).withColumnRenamed("ord", "_ord")
-    return out.join(_maybe_broadcast(rows, n), [tag_col, "_ord"], "left").drop("_ord")
+    return out.join(rows, [tag_col, "_ord"], "left").drop("_ord")
 
 
 def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
@@ -145,13 +142,13 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
     # classes are asked for after the gate only: other rows reach the classifier without words
     q = q.withColumn("_text", F.col("text")).withColumn("text", F.when(F.col("gate_passed"), F.col("text")).otherwise(""))
     q = predict(q).withColumn("text", F.col("_text")).drop("_text")
-    q = label_decode(q, labels, "pred_id", n_labels=kb.n_labels)
+    q = label_decode(q, labels, "pred_id")
     q = q.withColumn("pred_tag", F.when(F.col("gate_passed"), F.col("pred_tag")))
     q = choose_response(q, kb, "question_id", "pred_tag", choice_seed, strip_tags)
 
     if menus is not None:
         m = menus.select(F.col("menu_date").alias("_d"), F.col("menu").alias("_menu"))
-        q = q.join(sized_broadcast(m), F.to_date("as_of") == F.col("_d"), "left")
+        q = q.join(m, F.to_date("as_of") == F.col("_d"), "left")
         menu_answer = F.coalesce(F.col("_menu"), F.lit(K.MENU_UNAVAILABLE))
     else:
         menu_answer = F.lit(K.MENU_UNAVAILABLE)

@@ -1,7 +1,7 @@
 """Classification.
 
 C1 re-aims the transformer fine-tune as a distributed Spark ML pipeline
-(tokenize -> term counts -> IDF -> multinomial logistic regression).  C2-C4
+(tokenize -> hashed term counts -> IDF -> multinomial logistic regression).  C2-C4
 are native array expressions over class scores, so any model that emits a
 score vector (or the fixture's stand-ins) goes through the same plan.
 """
@@ -10,15 +10,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IDF, RegexTokenizer
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Model parameters are collected to the driver only under this many numbers;
-# up to MAX_INLINE_VALUES they are inlined as literals, beyond that they are
-# joined as a one-row broadcast table.
-MAX_MODEL_VALUES = 50_000_000
-MAX_INLINE_VALUES = 100_000
+# Width of the hashed word counts (C1): every word has a place, at any size of
+# the vocabulary; words that share one are counted together.
+HASH_FEATURES = 1 << 18
 
 
 def _c(x) -> Column:
@@ -27,11 +25,12 @@ def _c(x) -> Column:
 
 def softmax(df: DataFrame, col: str, out: str = "probs") -> DataFrame:
     """Probabilities, shifted by the row maximum for stability."""
-    m = "_mx"
-    d = df.withColumn(m, F.array_max(col))
-    d = d.withColumn("_ex", F.transform(col, lambda v: F.exp(v - F.col(m))))
-    d = d.withColumn("_sum", F.aggregate("_ex", F.lit(0.0), lambda a, v: a + v))
-    return d.withColumn(out, F.transform("_ex", lambda v: v / F.col("_sum"))).drop(m, "_ex", "_sum")
+    def once(value, use):      # a lambda argument is evaluated once, a column in a lambda for every element
+        return F.transform(F.array(value), use)[0]
+
+    shifted = once(F.array_max(col), lambda m: F.transform(col, lambda v: F.exp(v - m)))
+    return df.withColumn(out, once(shifted, lambda ex: once(
+        F.aggregate(ex, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(ex, lambda v: v / total))))
 
 
 def argmax(x) -> Column:
@@ -40,52 +39,40 @@ def argmax(x) -> Column:
     return (F.array_position(x, F.array_max(x)) - 1).cast("int")
 
 
-def dot(a, b) -> Column:
-    """Sequential dot product of two numeric arrays."""
-    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
-def linear_scores(df: DataFrame, features: str, weights: list[list[float]], out: str = "scores") -> DataFrame:
-    """C4: scores[c] = <features, weights[c]> with the weights inlined as a
-    literal (a model is bounded by classes x dimensions, checked here)."""
-    n_values = sum(len(w) for w in weights)
-    if n_values > MAX_MODEL_VALUES:
-        raise ValueError("model too large for the driver; score with PipelineModel.transform")
-    if n_values <= MAX_INLINE_VALUES:
-        w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in weights])
-        return df.withColumn(out, F.transform(w, lambda row: dot(features, row)))
-    spark = df.sparkSession
-    model = spark.createDataFrame([(0, [[float(v) for v in row] for row in weights])],
-                                  "_k int, _w array<array<double>>")
-    scored = df.withColumn("_k", F.lit(0)).join(F.broadcast(model), "_k")
-    return scored.withColumn(out, F.transform("_w", lambda row: dot(features, row))).drop("_k", "_w")
-
-
-def centroid_weights(df: DataFrame, features: str, label: str) -> list[list[float]]:
-    """Per-class mean vectors (one row per class reaches the driver).  Each
-    dimension's mean is computed with one grouped aggregate."""
-    dims = df.select(F.max(F.size(features))).first()[0] or 0
-    n_classes = df.select(F.max(label)).first()[0]
-    if n_classes is None:
-        return []
-    if (n_classes + 1) * dims > MAX_MODEL_VALUES:
-        raise ValueError("too many model values")
-    agg = df.groupBy(label).agg(*[F.avg(F.col(features)[i]).alias(f"d{i}") for i in range(dims)])
-    rows = {r[label]: [r[f"d{i}"] for i in range(dims)] for r in agg.collect()}
-    return [rows.get(c, [0.0] * dims) for c in range(n_classes + 1)]
+def linear_scores(df: DataFrame, key_cols: list[str], features: str, weights: DataFrame,
+                  out: str = "scores") -> DataFrame:
+    """C4: ``key_cols`` and ``scores``, where scores[i] = <features, weights of the
+    i-th class> in ascending class order.
+
+    ``weights``: ``class, dim, w``.  The features meet the weights of their
+    dimension in an equi-join (a model that fits is broadcast by AQE); the
+    products of a row are summed before the shuffle, so one number per row and
+    class moves.  A row without features has no scores (an empty array); the
+    weights hold every dimension of every class.
+    """
+    x = df.select(*key_cols, F.posexplode_outer(features).alias("dim", "_x"))
+    s = x.join(weights, "dim", "left").groupBy(*key_cols, "class").agg(F.sum(F.col("_x") * F.col("w")).alias("_s"))
+    found = F.when(F.col("class").isNotNull(), F.struct("class", "_s"))
+    return s.groupBy(*key_cols).agg(F.transform(F.sort_array(F.collect_list(found)), lambda c: c["_s"]).alias(out))
+
+
+def centroid_weights(df: DataFrame, features: str, label: str) -> DataFrame:
+    """Per-class mean vectors as a table: ``class, dim, w``."""
+    x = df.select(F.col(label).alias("class"), F.posexplode(features).alias("dim", "_x"))
+    return x.groupBy("class", "dim").agg(F.avg("_x").alias("w"))
 
 
 def classifier_stages(text_col: str = "text", label_col: str = "label", reg: float = 0.01,
-                      max_iter: int = 100, vocab: int = 1 << 18) -> Pipeline:
-    """Word tokens (same word rule as T3) -> counts -> IDF -> multinomial LR."""
+                      max_iter: int = 100, width: int = HASH_FEATURES) -> Pipeline:
+    """Word tokens (same word rule as T3) -> hashed counts -> IDF -> multinomial LR."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", gaps=False,
                          pattern=r"[\p{L}\p{N}_]+", toLowercase=True)
-    cv = CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=vocab, minDF=1.0)
+    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=width)
     idf = IDF(inputCol="_tf", outputCol="_features")
     lr = LogisticRegression(featuresCol="_features", labelCol=label_col, family="multinomial",
                             regParam=reg, maxIter=max_iter, predictionCol="prediction",
                             probabilityCol="probability")
-    return Pipeline(stages=[tok, cv, idf, lr])
+    return Pipeline(stages=[tok, tf, idf, lr])
 
 
 def train_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label", **kw) -> PipelineModel:

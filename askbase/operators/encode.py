@@ -3,48 +3,50 @@
 The vocabulary is ``groupBy(token).count`` (partial aggregation), ranked by
 (count desc, token) with a distributed dense index; id 0 is padding, ids
 start at 1.  Rows are encoded by exploding their tokens, joining the
-vocabulary (broadcast when it is small, a shuffle join otherwise) and
-regrouping per row in token order.
+vocabulary (AQE broadcasts a small one) and regrouping per row in token order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from askbase.constants import MAX_LEN_TRAIN
 from askbase.functions.text import tokenize_clean
 from askbase.operators.indexing import dense_index
 
-MAX_BROADCAST_VOCAB = 1_000_000
 
+def vocabulary(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The vocabulary of a training set: ``token, id``, the most frequent first."""
+    tokens = df.select(F.explode(tokenize_clean(text_col)).alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return dense_index(counts, [F.col("n").desc(), F.col("token")], "id", start=1).select("token", "id")
 
-def vocabulary(tokens: DataFrame, token_col: str = "token") -> DataFrame:
-    counts = tokens.groupBy(F.col(token_col).alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    return dense_index(counts, [F.col("n").desc(), F.col("token")], "id", start=1)
 
-
-def encode_pad(df: DataFrame, key_cols: list[str], text_col: str = "text",
-               max_len: int = 256) -> DataFrame:
+def encode_pad(df: DataFrame, key_cols: list[str], text_col: str = "text", max_len: int = MAX_LEN_TRAIN,
+               vocab: DataFrame | None = None) -> DataFrame:
     """``input_ids`` (truncated to ``max_len``, padded with 0 to the
-    longest row of the set) and ``attention_mask`` (1 per token, 0 per pad)."""
-    toks = df.select(*key_cols, F.posexplode(tokenize_clean(text_col)).alias("pos", "token"))
-    # the vocabulary is computed once: its count is the broadcast size check
-    from pyspark import StorageLevel
-    vocab = vocabulary(toks).persist(StorageLevel.MEMORY_AND_DISK)
-    n_vocab = vocab.count()
-    v = F.broadcast(vocab) if n_vocab <= MAX_BROADCAST_VOCAB else vocab
+    longest row of the set) and ``attention_mask`` (1 per token, 0 per pad).
+
+    ``vocab``: the vocabulary of the training set, for texts that are scored
+    later (``max_len=MAX_LEN_SERVE``); a word that it lacks gets the id after its last.
+    Without it, the vocabulary of ``df`` itself.  A null or empty text is all
+    padding; ``key_cols`` identify a row.
+    """
+    if vocab is None:
+        vocab = vocabulary(df, text_col)
     # truncation first: only a row's first max_len tokens are joined and regrouped
-    head = toks.filter(F.col("pos") < max_len)
-    ids = head.join(v.select("token", "id"), "token").groupBy(*key_cols).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-    ids = ids.select(*key_cols, F.slice(F.transform("_p", lambda s: s["id"].cast("int")), 1, max_len).alias("_ids"))
-    base = df.select(*key_cols).join(ids, key_cols, "left").withColumn(
-        "_ids", F.coalesce("_ids", F.array().cast("array<int>")))
-    longest = base.select(F.max(F.size("_ids"))).scalar()
+    words = df.select(*key_cols, F.slice(tokenize_clean(text_col), 1, max_len).alias("_w"))
+    longest = words.select(F.coalesce(F.max(F.size("_w")), F.lit(0))).scalar()
+    unknown = vocab.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
+    head = words.select(*key_cols, F.posexplode_outer("_w").alias("pos", "token"))
+    found = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", unknown).cast("int").alias("id")))
+    ids = head.join(vocab, "token", "left").groupBy(*key_cols).agg(F.sort_array(F.collect_list(found)).alias("_p"))
+    ids = ids.select(*key_cols, F.transform("_p", lambda s: s["id"]).alias("_ids"))
     pad = longest - F.size("_ids")
-    return base.select(*key_cols,
-                       F.concat("_ids", F.array_repeat(F.lit(0), pad)).alias("input_ids"),
-                       F.concat(F.transform("_ids", lambda x: F.lit(1)), F.array_repeat(F.lit(0), pad))
-                       .alias("attention_mask"))
+    return ids.select(*key_cols,
+                      F.concat("_ids", F.array_repeat(F.lit(0), pad)).alias("input_ids"),
+                      F.concat(F.transform("_ids", lambda x: F.lit(1)), F.array_repeat(F.lit(0), pad))
+                      .alias("attention_mask"))
 
 
 def zip_examples(encoded: DataFrame, labels: DataFrame, key_cols: list[str], label_col: str = "label") -> DataFrame:

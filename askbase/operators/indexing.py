@@ -15,10 +15,6 @@ a third of them.  ``group_rank`` instead
    rows in earlier partitions.  Carries come from a table with one row per
    partition (first group, last group, rows of the last group), which is
    the only thing that reaches the driver.
-
-An input proven small by a count (at most ``SMALL_ROWS`` rows, e.g. the
-tags or response rows of a knowledge base) is numbered with a plain window:
-its largest task is bounded by that count.
 """
 
 from __future__ import annotations
@@ -27,9 +23,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from askbase.session import checkpoint_dir
 
-_LOW_BITS = (1 << 33) - 1
-SMALL_ROWS = 200_000
-
 
 def group_rank(df: DataFrame, group: list[str], order: list[Column], name: str = "rank",
                start: int = 0) -> DataFrame:
@@ -38,9 +31,6 @@ def group_rank(df: DataFrame, group: list[str], order: list[Column], name: str =
     spark = df.sparkSession
     cols = df.columns
     gcols = [F.col(g) for g in group]
-    if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        w = Window.partitionBy(*gcols).orderBy(*order) if group else Window.orderBy(*order)
-        return df.select(*cols, (F.row_number().over(w) - 1 + F.lit(start)).cast("bigint").alias(name))
     checkpoint_dir(spark)
     keys = gcols + list(order)
     numbered = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)

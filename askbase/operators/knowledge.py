@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from askbase.functions.text import strip_text
-from askbase.operators.sizing import DEFAULT_MAX_ROWS, sized_broadcast
 
 QA_COLUMNS = ["Pattern", "Tag", "Response", "intent_pos", "pattern_pos", "response_pos"]
 ORDER = ["intent_pos", "pattern_pos", "response_pos"]
@@ -89,23 +88,17 @@ def label_encode(qa: DataFrame, labels: DataFrame, strip: bool = True) -> DataFr
     lab = labels.select(F.col("label").alias("_label"), F.col("label2id").alias("labels")).distinct()
     key = strip_text("Tag") if strip else F.col("Tag")
     return (qa.withColumn("_label", key)
-            .join(sized_broadcast(lab), "_label", "left")
+            .join(lab, "_label", "left")
             .drop("_label"))
 
 
 def label_decode(preds: DataFrame, labels: DataFrame, id_col: str = "pred_id",
-                 unseen: str | None = "unseen_tag", stripped: bool = True,
-                 n_labels: int | None = None) -> DataFrame:
+                 unseen: str | None = "unseen_tag", stripped: bool = True) -> DataFrame:
     """Class id -> label.  A model trained on this table knows the
     *stripped* labels (``stripped=True``, the reference's behaviour); ids
-    outside the table map to ``unseen``.  ``n_labels``: a known row count of
-    ``labels`` (skips the size check)."""
+    outside the table map to ``unseen``."""
     lab = labels.select(F.col("label_id").alias(id_col),
                         F.col("label" if stripped else "tag").alias("pred_tag"))
-    if n_labels is not None and n_labels <= DEFAULT_MAX_ROWS:
-        lab = F.broadcast(lab)
-    elif n_labels is None:
-        lab = sized_broadcast(lab)
     out = preds.join(lab, id_col, "left")
     if unseen is not None:
         out = out.withColumn("pred_tag", F.coalesce("pred_tag", F.lit(unseen)))
@@ -133,28 +126,26 @@ class KnowledgeBase:
         qa = flatten_intents(intents, lenient)
         self.qa = qa.persist(StorageLevel.MEMORY_AND_DISK) if persist else qa
         self._labels = None
-        self.n_labels: int | None = None
         self._index = None
         self._responses = {}
 
     @property
     def labels(self) -> DataFrame:
-        """The label table, persisted; its row count is kept in ``n_labels``."""
+        """The label table, persisted."""
         if self._labels is None:
             from pyspark import StorageLevel
             self._labels = label_index(self.qa).persist(StorageLevel.MEMORY_AND_DISK)
-            self.n_labels = self._labels.count()
         return self._labels
 
     def response_table(self, strip_tags: bool = False):
-        """(tag -> n_rows, (tag, ordinal) -> response, total rows), built once."""
+        """(tag -> n_rows, (tag, ordinal) -> response), built once."""
         if strip_tags not in self._responses:
             from pyspark import StorageLevel
             from askbase.operators.answer import tag_response_table
             counts, rows = tag_response_table(self.qa, strip_tags)
             counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
             rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-            self._responses[strip_tags] = (counts, rows, rows.count())
+            self._responses[strip_tags] = (counts, rows)
         return self._responses[strip_tags]
 
     def close(self) -> None:
@@ -165,7 +156,7 @@ class KnowledgeBase:
             self._labels = None
         if self._index is not None:
             self._index.df.unpersist()
-        for counts, rows, _ in self._responses.values():
+        for counts, rows in self._responses.values():
             counts.unpersist()
             rows.unpersist()
         self._responses.clear()

@@ -63,21 +63,22 @@ def menus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_menu(pages).select(F.expr(MENU_DATE_SQL).alias("menu_date"), "menu")
 
 
-def first10(col: str = "embedding"):
-    return F.slice(F.col(col), 1, 10)
+# Classes that PRED guesses among; the knowledge base has fewer tags, so some
+# guesses have no label.
+PRED_CLASSES = 10
 
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRED: vec_id, label, pred (position of the largest of the first 10 values)."""
+    """PRED: vec_id, label, pred (position of the largest value, modulo the classes)."""
     e = read_table(spark, sf_dir, "embeddings")
-    x = first10()
-    return e.select("vec_id", "label", (F.array_position(x, F.array_max(x)) - 1).cast("int").alias("pred"))
+    x = F.col("embedding")
+    return e.select("vec_id", "label", ((F.array_position(x, F.array_max(x)) - 1) % PRED_CLASSES).cast("int").alias("pred"))
 
 
 def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VEC: vec_id, logits (first 10 values as double)."""
+    """VEC: vec_id, logits (the values as double)."""
     e = read_table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.transform(first10(), lambda v: v.cast("double")).alias("logits"))
+    return e.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("logits"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +104,20 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CHAT: conversations, assistant = bot, system dropped, every 5th turn blank."""
-    c = read_table(spark, sf_dir, "conversations").filter(F.col("role") != "system")
+    """CHAT: conversations, assistant = bot."""
+    c = read_table(spark, sf_dir, "conversations")
     role = F.when(F.col("role") == "assistant", F.lit("bot")).otherwise(F.col("role"))
-    text = F.when(F.col("turn") % 5 == 4, F.lit("")).otherwise(F.col("text"))
-    return c.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    return c.select("conv_id", "turn", role.alias("role"), "text")
+
+
+def chat_class():
+    """A class per role of CHAT: user 0, bot 1, others 2."""
+    return F.when(F.col("role") == "user", 0).when(F.col("role") == "bot", 1).otherwise(2).cast("int")
+
+
+def blank_turns(chat_df: DataFrame) -> DataFrame:
+    """F4's input: the text of every 5th turn is blank."""
+    return chat_df.withColumn("text", F.when(F.col("turn") % 5 == 4, F.lit("")).otherwise(F.col("text")))
 
 
 def fixture_predict(labels: DataFrame, seed: str = "7") -> Callable[[DataFrame], DataFrame]:

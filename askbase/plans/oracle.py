@@ -201,10 +201,10 @@ def with_ctes(needed: list[str], body: str, extra: list[tuple[str, str]] | None
 
 CTES.update({
     "chat": ([], """SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'bot' ELSE role END AS role,
-  CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS text FROM conversations WHERE role <> 'system'"""),
-    "pred": ([], """SELECT vec_id, label, (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::INTEGER
+  text FROM conversations"""),
+    "pred": ([], """SELECT vec_id, label, ((list_position(embedding, list_max(embedding)) - 1) % 10)::INTEGER
   AS pred FROM embeddings"""),
-    "vec": ([], """SELECT vec_id, list_transform(embedding[1:10], lambda v: v::DOUBLE) AS logits FROM embeddings"""),
+    "vec": ([], """SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS logits FROM embeddings"""),
     "req": ([], """SELECT event_id, user_id AS chat_id, ts, CASE event_id % 10 WHEN 7 THEN '{}'
   WHEN 8 THEN '{"question": null}' WHEN 9 THEN '{"question": ' ELSE concat('{"question": "', event_type, '"}') END
   AS body FROM events"""),
@@ -312,7 +312,7 @@ def _req_parsed() -> tuple[str, str]:
        THEN 'null question' END AS error FROM req""")
 
 
-def oracle_sql() -> dict[str, str]:
+def _plain_sql() -> dict[str, str]:
     qa_cols = 'SELECT "Pattern", "Tag", "Response", intent_pos, pattern_pos, response_pos FROM qa'
     thr = K.THRESHOLD_WEB
     month_names = "[" + ", ".join(lit(n) for n in K.MONTH_NAMES_TR) + "]"
@@ -350,7 +350,7 @@ def oracle_sql() -> dict[str, str]:
         "route_profiles": with_ctes(["q"], f"""SELECT question_id, 'web' AS profile, {route('lower(text)', 'web')} AS route,
   {K.THRESHOLD_WEB} AS threshold FROM q UNION ALL SELECT question_id, 'local', {route('lower(text)', 'local')},
   {K.THRESHOLD_LOCAL} FROM q"""),
-        "nonempty_input": with_ctes(["chat"], "SELECT * FROM chat WHERE text <> ''"),
+        "nonempty_input": with_ctes(["chat"], "SELECT * FROM chat WHERE text <> '' AND turn % 5 <> 4"),
         "final_only": with_ctes(["utter"], "SELECT utterance_id, seq, text FROM utter WHERE is_final"),
         "final_only_latest": with_ctes(["utter"], "SELECT utterance_id, arg_max(text, seq) AS text, max(seq) AS seq "
                                                   "FROM utter GROUP BY utterance_id"),
@@ -391,7 +391,7 @@ def oracle_sql() -> dict[str, str]:
         "label_encode_join": with_ctes(["qa", "labels"], f"""SELECT qa.*, l.labels FROM qa LEFT JOIN
   (SELECT label, max(label_id) AS labels FROM labels GROUP BY label) l ON l.label = {strip('qa."Tag"')}"""),
         "label_decode": with_ctes(["vec", "labels"], """SELECT vec_id, pred_id, coalesce(label, 'unseen_tag') AS pred_tag
-  FROM (SELECT vec_id, (list_position(logits, list_max(logits)) - 1)::INTEGER AS pred_id FROM vec) v
+  FROM (SELECT vec_id, ((list_position(logits, list_max(logits)) - 1) % 10)::INTEGER AS pred_id FROM vec) v
   LEFT JOIN labels ON labels.label_id = v.pred_id"""),
         "answer_questions": answer_sql("q", "SELECT * FROM ans"),
         "answer_questions_local": answer_sql("q", "SELECT * FROM ans", "local"),
@@ -445,7 +445,7 @@ def oracle_sql() -> dict[str, str]:
     (SELECT list(c ORDER BY label) AS w FROM (
        SELECT label, list(m ORDER BY d) AS c FROM (
          SELECT label, d, avg(logits[d]) AS m FROM (
-           SELECT vec.logits, pred.label, unnest(range(1, 11)) AS d FROM vec JOIN pred USING (vec_id))
+           SELECT vec.logits, pred.label, unnest(range(1, 65)) AS d FROM vec JOIN pred USING (vec_id))
          GROUP BY label, d) GROUP BY label)))"""),
         # dates
         "tr_month_name": f"SELECT event_id, {month_names}[month(ts)] AS month_name FROM events",
@@ -527,14 +527,32 @@ def _encode_ctes() -> list[tuple[str, str]]:
     ]
 
 
-_base_oracle = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811 - extends the table above
-    out = _base_oracle()
+def oracle_sql() -> dict[str, str]:
+    out = _plain_sql()
     out["encode_pad"] = with_ctes(["tokens"], """SELECT conv_id, turn,
   array_to_string(list_concat(ids, list_resize([]::BIGINT[], L - len(ids), 0)), ' ') AS ids,
   L::INTEGER AS padded_len, len(ids)::INTEGER AS n_tokens FROM base, mx""", _encode_ctes())
     out["zip_examples"] = with_ctes(["tokens"], """SELECT conv_id, turn,
-  CASE WHEN role = 'user' THEN 0 ELSE 1 END AS labels, len(ids)::INTEGER AS n_tokens FROM base""", _encode_ctes())
+  CASE role WHEN 'user' THEN 0 WHEN 'bot' THEN 1 ELSE 2 END AS labels, len(ids)::INTEGER AS n_tokens FROM base""", _encode_ctes())
+    held = ("held", f"""SELECT conv_id, turn, label FROM (SELECT conv_id, turn,
+  CASE role WHEN 'user' THEN 0 WHEN 'bot' THEN 1 ELSE 2 END AS label, row_number() OVER (ORDER BY
+  {md5_bucket("'123'", "concat_ws(':', conv_id, turn)")}, concat_ws(':', conv_id, turn)) - 1 AS rn, count(*) OVER () AS n
+  FROM chat) WHERE rn < ceil(0.25 * n)""")
+    out["encode_pad_serve"] = with_ctes(["tokens"], f"""SELECT conv_id, turn,
+  array_to_string(list_concat(ids, list_resize([]::BIGINT[], L - len(ids), 0)), ' ') AS ids, L::INTEGER AS padded_len
+  FROM sbase, (SELECT max(len(ids)) AS L FROM sbase)""", [
+        held, ("tk", "SELECT conv_id, turn, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM tokens"),
+        ("vocab", "SELECT token, row_number() OVER (ORDER BY n DESC, token) AS id FROM (SELECT token, count(*) AS n "
+                  "FROM tk ANTI JOIN held USING (conv_id, turn) GROUP BY token)"),
+        ("sids", f"""SELECT conv_id, turn, list(coalesce(id, (SELECT max(id) + 1 FROM vocab)) ORDER BY pos)
+  [1:{K.MAX_LEN_SERVE}] AS ids FROM tk SEMI JOIN held USING (conv_id, turn) LEFT JOIN vocab USING (token)
+  GROUP BY conv_id, turn"""),
+        ("sbase", "SELECT h.conv_id, h.turn, coalesce(sids.ids, []::BIGINT[]) AS ids FROM held h "
+                  "LEFT JOIN sids USING (conv_id, turn)")])
+    # what any right classifier gives on the held-out rows
+    out["train_classifier"] = with_ctes(["chat"], """SELECT conv_id, turn, label, true AS in_label_set, true AS accurate
+  FROM held""", [held])
+    out["save_load_model"] = with_ctes(["chat"], "SELECT conv_id, turn, true AS same, true AS named FROM held", [held])
+    out["eval_summary"] = with_ctes(["chat"], """SELECT count(*) AS n_rows, count(DISTINCT label) AS n_classes,
+  true AS same_accuracy, true AS same_f1, true AS same_precision, true AS same_recall FROM held""", [held])
     return out

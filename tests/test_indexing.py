@@ -5,9 +5,8 @@ from pyspark.sql import Window, functions as F
 from askbase.operators.indexing import dense_index, group_rank
 
 
-def test_group_rank_hot_group_matches_row_number(spark, monkeypatch):
+def test_group_rank_hot_group_matches_row_number(spark):
     import askbase.operators.indexing as I
-    monkeypatch.setattr(I, "SMALL_ROWS", 100)
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
         # group 0 holds about a third of the rows and spans several partitions
@@ -30,9 +29,8 @@ def test_dense_index_descending_with_start(spark):
     assert sorted((r.t, r.i) for r in got.collect()) == sorted((r.t, r.i) for r in want.collect())
 
 
-def test_distributed_path_forced(spark, monkeypatch):
+def test_rank_descending_with_start(spark):
     import askbase.operators.indexing as I
-    monkeypatch.setattr(I, "SMALL_ROWS", 10)
     df = spark.range(300).select((F.col("id") % 4).alias("g"), F.col("id"))
     got = I.group_rank(df, ["g"], [F.col("id").desc()], "r", start=1)
     want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.col("id").desc())))

@@ -119,13 +119,23 @@ def test_documents_layout_keeps_order_across_chunks(spark, monkeypatch):
     assert sorted((r.intent_pos, r.patterns[0]) for r in back) == [(i, f"p{i}") for i in range(50)]
 
 
-def test_linear_scores_join_path_equals_inline(spark, monkeypatch):
-    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, -1.0])], "id int, x array<double>")
+def test_linear_scores_of_a_weight_table(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, -1.0]), (3, []), (4, None)], "id int, x array<double>")
     w = [[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]
-    a = {r.id: r.scores for r in CL.linear_scores(df, "x", w).collect()}
-    monkeypatch.setattr(CL, "MAX_INLINE_VALUES", 1)
-    b = {r.id: r.scores for r in CL.linear_scores(df, "x", w).collect()}
-    assert a == b == {1: [1.0, 1.5, 2.0], 2: [3.0, 1.0, -1.0]}
+    w = spark.createDataFrame([(c, d, x) for c, row in enumerate(w) for d, x in enumerate(row)],
+                              "class int, dim int, w double")
+    got = {r.id: r.scores for r in CL.linear_scores(df, ["id"], "x", w).collect()}
+    assert got == {1: [1.0, 1.5, 2.0], 2: [3.0, 1.0, -1.0], 3: [], 4: []}
+
+
+def test_encode_with_the_training_vocabulary(spark):
+    from askbase.operators import encode as EN
+    train = spark.createDataFrame([(1, "a b a"), (2, "a c")], "id int, text string")
+    later = spark.createDataFrame([(7, "c a zzz"), (8, ""), (9, None), (10, "b b b b b")], "id int, text string")
+    e = EN.encode_pad(later, ["id"], "text", 4, EN.vocabulary(train))
+    got = {r.id: (r.input_ids, r.attention_mask) for r in e.collect()}
+    assert got == {7: ([3, 1, 4, 0], [1, 1, 1, 0]), 8: ([0] * 4, [0] * 4), 9: ([0] * 4, [0] * 4),
+                   10: ([2] * 4, [1] * 4)}
 
 
 def test_final_only_is_stateless_on_a_stream(spark, sf):
