@@ -1,17 +1,19 @@
-"""HTML extraction (H1-H4) as regex column expressions.
-
-A page is a string column; containers, rows and cells are found with
-non-greedy patterns (no nesting of the same tag inside a container).
-Entity decoding covers the named XML entities, ``&nbsp;`` and ``&apos;``;
-``html_text_exact`` (an Arrow UDF on the standard library parser) is the
-opt-in path for markup the patterns cannot read.
+"""HTML extraction (H1-H4) as native column expressions.
+
+An element is found by counting the start and end tags of its name, so
+elements of the same name inside it (a table within a cell) stay whole and are
+elements of their own, in document order, as a tree parser lists them.
+Comments, scripts and styles are no markup and go first.  An element that is
+never closed runs to the end of its parent.  Character references are decoded
+when they end in ``;``: all numeric ones and the names of HTML 4.
 """
 
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from askbase.functions.text import strip_text
 
@@ -20,61 +22,85 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def container_pattern(tag: str, cls: str) -> str:
-    """First ``<tag>`` whose class list holds the token ``cls``; group 1 = inner HTML."""
-    t, c = re.escape(tag), re.escape(cls)
-    return (r"(?is)<" + t + r"\b[^>]*?\sclass\s*=\s*[\"'](?:[^\"']*\s)?" + c
-            + r"(?:\s[^\"']*)?[\"'][^>]*>(.*?)</" + t + r"\s*>")
+NO_MARKUP = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
-def element_pattern(tag: str) -> str:
-    t = re.escape(tag)
-    return r"(?is)<" + t + r"\b[^>]*>(.*?)</" + t + r"\s*>"
+def _quoted(s: str) -> str:
+    """A pattern as a Spark SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def html_container(html, tag: str, cls: str) -> Column:
-    """H1: inner HTML of the first matching element, null when there is none.
+def _let(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    One regex pass over the page finds the whole element (never empty when
-    it matches); the inner part is then cut from that short match only.
-    """
-    pat = container_pattern(tag, cls)
-    whole = F.regexp_extract(_c(html), pat, 0)
-    return F.when(whole != "", F.regexp_extract(whole, pat, 1))
 
+def _inner_sql(html: str, tag: str, keep: str, pick: str) -> str:
+    """Over the tags of one name in ``html``: those start tags ``t`` for which
+    ``keep`` holds, each as the HTML up to its end tag.  ``pick`` is the number of
+    elements wanted (SQL).  Depth is counted with each tag; an element ends at the
+    first later tag that is less deep than its start."""
+    pat = _quoted(r"(?is)<" + re.escape(tag) + r"\b[^>]*>|</" + re.escape(tag) + r"\s*>")
+    depth = ("aggregate(tags, named_struct('d', 0, 'a', CAST(array() AS array<int>)), (s, t) -> named_struct("
+             "'d', greatest(0, s.d + IF(startswith(t, '</'), -1, 1)), 'a', array_append(s.a, "
+             "greatest(0, s.d + IF(startswith(t, '</'), -1, 1))))).a")
+    starts = (f"slice(filter(sequence(1, size(tags)), i -> element_at(tags, i) NOT LIKE '</%' AND "
+              f"{keep.format(t='element_at(tags, i)')}), 1, {pick})")
+    end = ("coalesce(element_at(filter(sequence(least(i + 1, size(tags)), size(tags)), j -> j > i AND "
+           "element_at(depths, j) < element_at(depths, i)), 1), size(tags) + 1)")
+    inner = ("concat(element_at(texts, i + 1), array_join(transform(filter(sequence(i, e), j -> j > i AND j < e), "
+             "j -> concat(element_at(tags, j), element_at(texts, j + 1))), ''))")
+    found = f"transform({starts}, i -> {_let(end.replace('element_at(filter', 'try_element_at(filter'), 'e', inner)})"
+    none = "CAST(array() AS array<string>)"
+    return _let(f"regexp_extract_all({html}, {pat}, 0)", "tags",
+                f"IF(size(tags) = 0, {none}, " + _let(f"split({html}, {pat})", "texts",
+                                                    _let(depth, "depths", found)) + ")")
 
-def decode_entities(x) -> Column:
-    c = _c(x)
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
 
+def html_container(html: str, tag: str, cls: str) -> Column:
+    """H1: inner HTML of the first ``<tag>`` whose class list holds ``cls``, null
+    when there is none.  ``html``: a column name."""
+    c = re.escape(cls)
+    has = _quoted(r"(?is)\sclass\s*=\s*(?:\"(?:[^\"]*\s)?" + c + r"(?:\s[^\"]*)?\"|'(?:[^']*\s)?" + c
+                  + r"(?:\s[^']*)?'|" + c + r"(?=[\s>]))")
+    clean = f"regexp_replace({html}, {_quoted(NO_MARKUP)}, '')"
+    found = _let(clean, "h", _inner_sql("h", tag, "regexp_like({t}, " + has.replace("{", "{{").replace("}", "}}") + ")", "1"))
+    # pages that do not hold the word at all are not taken apart
+    return F.expr(f"IF(contains({html}, {_quoted(cls)}), try_element_at({found}, 1), NULL)")
 
-def cell_text(x) -> Column:
-    """Text of a fragment: tags removed, entities decoded, Unicode-stripped."""
-    return strip_text(decode_entities(F.regexp_replace(_c(x), r"<[^>]*>", "")))
 
+def decode_entities(x) -> Column:
+    """Character references as characters; unknown names stay as they are, numbers
+    of no character become U+FFFD."""
+    names = F.expr("map(" + ", ".join(f"'{n}', {_quoted(chr(cp))}" for n, cp in sorted(name2codepoint.items())) + ")")
+
+    def one(ref):
+        hexed = F.lower(F.substring(ref, 2, 1)) == "x"
+        n = F.when(hexed, F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 8)).try_cast("bigint")
+        valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(ref.startswith("#"), F.when(valid, char).otherwise("\ufffd")).otherwise(
+            F.coalesce(F.try_element_at(names, ref), F.concat(F.lit("&"), ref, F.lit(";"))))
 
-def html_rows_cells(container, row_tag: str = "tr", cell_tag: str = "td") -> Column:
-    """H2: array<array<string>>; blank cells and rows left empty are dropped."""
-    rows = F.regexp_extract_all(_c(container), F.lit(element_pattern(row_tag)), 1)
-    cells = F.transform(rows, lambda r: F.filter(
-        F.transform(F.regexp_extract_all(r, F.lit(element_pattern(cell_tag)), 1), cell_text),
-        lambda s: s != ""))
-    return F.filter(cells, lambda r: F.size(r) > 0)
+    c = _c(x)
+    texts = F.split(c, REFERENCE)
+    chars = F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), 1), one)
+    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(texts.alias("t"), chars.alias("c")), lambda z: F.array(
+        z["t"], F.coalesce(z["c"], F.lit(""))))), "")
+    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 
-HREF_PATTERN = r'(?is)href\s*=\s*"([^"]*)"'
+def cell_text(x) -> Column:
+    """Text of a fragment: tags removed, references decoded, Unicode-stripped."""
+    return strip_text(decode_entities(F.regexp_replace(_c(x), r"<[^>]*>", "")))
 
 
-def link_rows(html, row_tag: str = "li") -> Column:
-    """H2 for link lists: each ``<li>`` gives the cells (href, label) of its anchor."""
-    rows = F.regexp_extract_all(_c(html), F.lit(element_pattern(row_tag)), 1)
-    cells = F.transform(rows, lambda r: F.filter(
-        F.array(strip_text(decode_entities(F.regexp_extract(r, HREF_PATTERN, 1))),
-                cell_text(r)),
-        lambda s: s != ""))
+def html_rows_cells(container: str, row_tag: str = "tr", cell_tag: str = "td") -> Column:
+    """H2: array<array<string>>; blank cells and rows left empty are dropped.
+    ``container``: a column name."""
+    every = str((1 << 31) - 1)
+    rows = F.expr(f"transform({_inner_sql(container, row_tag, 'true', every)}, r -> {_inner_sql('r', cell_tag, 'true', every)})")
+    cells = F.transform(rows, lambda r: F.filter(F.transform(r, cell_text), lambda s: s != ""))
     return F.filter(cells, lambda r: F.size(r) > 0)
 
 
@@ -94,30 +120,3 @@ def menu_text(rows) -> Column:
 def menu_error(rows) -> Column:
     """A row with a single cell cannot be formatted (the reference raises)."""
     return F.when(F.exists(_c(rows), lambda r: F.size(r) < 2), F.lit("row with one cell"))
-
-
-# ------------------------------------------------------------ opt-in exact path
-
-def _html_text_py(fragment):
-    from html.parser import HTMLParser
-
-    class _P(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.out = []
-
-        def handle_data(self, d):
-            self.out.append(d)
-
-    if fragment is None:
-        return None
-    p = _P()
-    p.feed(fragment)
-    p.close()
-    return "".join(p.out).strip()
-
-
-@F.pandas_udf(T.StringType())
-def html_text_exact(fragments):  # pragma: no cover - runs in workers
-    import pandas as pd
-    return pd.Series([_html_text_py(f) for f in fragments], dtype=object)

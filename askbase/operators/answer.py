@@ -22,8 +22,13 @@ from askbase.functions.text import strip_text, utf8_clean
 from askbase.operators import gate as G
 from askbase.operators.indexing import group_rank
 from askbase.operators.knowledge import ORDER, KnowledgeBase, label_decode
+from askbase.operators.sizing import sized_broadcast
 from askbase.operators.routing import WEB, Profile, route_expr
 
+# Join keys that the routed rows are dealt over.
+ROUTED_KEYS = 65_536
+
+
 def md5_bucket(*parts) -> Column:
     """Non-negative bigint from the first 32 bits of md5(parts joined by ':')."""
     s = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(str(p))).cast("string") for p in parts])
@@ -49,18 +54,18 @@ def _tags(qa, tag_col: str) -> DataFrame:
 
 def tag_known(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag") -> DataFrame:
     """Predictions whose tag exists in the knowledge base (exact equality)."""
-    return preds.join(_tags(qa, tag_col), tag_col, "left_semi")
+    return preds.join(sized_broadcast(_tags(qa, tag_col)), tag_col, "left_semi")
 
 
 def tag_unknown(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag") -> DataFrame:
     """J1 complement: predictions that fall back."""
-    return preds.join(_tags(qa, tag_col), tag_col, "left_anti")
+    return preds.join(sized_broadcast(_tags(qa, tag_col)), tag_col, "left_anti")
 
 
 def flag_known(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag") -> DataFrame:
     """J1 as a column ``known``: every prediction stays, one join."""
     tags = _tags(qa, tag_col).withColumn("known", F.lit(True))
-    return preds.join(tags, tag_col, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return preds.join(sized_broadcast(tags), tag_col, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def responses_for_tag(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag") -> DataFrame:
@@ -71,7 +76,7 @@ def responses_for_tag(preds: DataFrame, qa: DataFrame, tag_col: str = "pred_tag"
         qa = qa.qa
     r = qa.groupBy(F.col("Tag").alias(tag_col), F.col("Response").alias("response")).agg(
         F.count(F.lit(1)).alias("n_rows"))
-    return preds.join(r, tag_col, "inner")
+    return preds.join(sized_broadcast(r), tag_col, "inner")
 
 
 def choose_response(preds: DataFrame, qa, key_col: str = "question_id",
@@ -83,7 +88,7 @@ def choose_response(preds: DataFrame, qa, key_col: str = "question_id",
     if isinstance(qa, KnowledgeBase):
         counts, rows = qa.response_table(strip_tags)
     else:
-        counts, rows = tag_response_table(qa, strip_tags)
+        counts, rows = (sized_broadcast(t) for t in tag_response_table(qa, strip_tags))
     out = preds.join(counts.withColumnRenamed("tag", tag_col), tag_col, "left")
     out = out.withColumn("_ord", F.when(F.col("n_rows") > 0,
                                         F.pmod(md5_bucket(F.lit(seed), F.col(key_col)), F.col("n_rows"))))
@@ -129,9 +134,11 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
     if profile.threshold is not None:
         if index is None:
             index = kb.pattern_index()
-        q = q.withColumn("qkey", F.when(F.col("route").isNull(),
-                                        G.token_sort_key(F.lower("text"))))
-        passed = G.passing_keys(q.filter(F.col("qkey").isNotNull()), index, profile.threshold,
+        # a routed row gets one of many keys that no pattern has (keys hold no blank
+        # at an end): its verdict is not asked for, and all of them together are no hot key
+        apart = F.concat(F.lit(" "), F.pmod(F.xxhash64("question_id"), F.lit(ROUTED_KEYS)).cast("string"))
+        q = q.withColumn("qkey", F.when(F.col("route").isNull(), G.token_sort_key(F.lower("text"))).otherwise(apart))
+        passed = G.passing_keys(q.filter(F.col("route").isNull()), index, profile.threshold,
                                 metric=metric)
         q = (q.join(passed.withColumn("gate_passed", F.lit(True)), "qkey", "left")
              .withColumn("gate_passed", F.when(F.col("route").isNull(),
@@ -148,7 +155,7 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
 
     if menus is not None:
         m = menus.select(F.col("menu_date").alias("_d"), F.col("menu").alias("_menu"))
-        q = q.join(m, F.to_date("as_of") == F.col("_d"), "left")
+        q = q.join(sized_broadcast(m), F.to_date("as_of") == F.col("_d"), "left")
         menu_answer = F.coalesce(F.col("_menu"), F.lit(K.MENU_UNAVAILABLE))
     else:
         menu_answer = F.lit(K.MENU_UNAVAILABLE)

@@ -8,12 +8,17 @@ Plan shape, chosen for very many questions against a bounded pattern set:
    a key that holds a third of all questions costs one row after the
    map-side combine).
 2. The pattern side carries its per-key features (length, character bag,
-   LCS bitmasks) computed once; it is broadcast when its measured size is
-   under the limit, otherwise split into hash slices that each fit.
-3. A broadcast nested-loop **left-semi** join tests each question key; the
-   condition is ordered cheap-to-expensive (equality, length bound, bag
-   bound, exact LCS score), and the semi join stops at the first hit.
-   Both bounds are >= the LCS score, so pruning never loses a match (M4).
+   LCS bitmasks) computed once.  Under the broadcast budget (its bytes are
+   measured) it is broadcast and a **left-semi** join tests each question key;
+   the condition is ordered cheap-to-expensive (equality, length bound, bag
+   bound, exact LCS score), and the semi join stops at the first hit.  Both
+   bounds are >= the LCS score, so pruning never loses a match (M4).
+3. Over the budget nothing is broadcast: the two sides meet in an equi-join on
+   blocking keys that lose no match.  A pair that reaches the threshold shares
+   at least a known number of (character, occurrence) tokens, so the *prefixes*
+   of both sides, in one order of all tokens, share a token; and the lengths of
+   such a pair lie in neighbouring length bands.  The keys are (token, band); a
+   pair is tested under the first token that its prefixes share, so once.
 4. The verdict per key is joined back to the questions (AQE splits a hot key).
 """
 
@@ -32,16 +37,14 @@ BROADCAST_CONF = "askbase.gate.broadcastBytes"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+# Ratio of the upper to the lower end of a length band of the blocked join.
+BAND = 1.5
+
+
 @dataclass
 class PatternIndex:
     df: DataFrame          # pkey, plen, pnw, pmasks, pinit, pbag, first_pos, first_pattern
-    slices: int            # 1 = broadcast whole; k = hash slices of bounded size
-
-    def parts(self) -> list[DataFrame]:
-        if self.slices <= 1:
-            return [self.df]
-        h = F.pmod(F.xxhash64("pkey"), F.lit(self.slices))
-        return [self.df.filter(h == i) for i in range(self.slices)]
+    broadcast: bool        # small enough to broadcast; else the blocked join
 
 
 def question_features(keys: DataFrame, key_col: str = "qkey") -> DataFrame:
@@ -58,21 +61,24 @@ def key_features(keys: DataFrame) -> DataFrame:
                        init.alias("pinit"), S.char_bag("pkey").alias("pbag"))
 
 
-def pattern_features(qa: DataFrame) -> DataFrame:
+def pattern_features(intents: DataFrame) -> DataFrame:
     """Distinct pattern keys with everything the gate needs, plus the first
-    document position and raw pattern holding that key (for M5)."""
-    p = qa.select(token_sort_key(F.lower("Pattern")).alias("pkey"),
-                  F.struct("intent_pos", "pattern_pos").alias("pos"), "Pattern")
+    document position and raw pattern holding that key (for M5).  Taken from the
+    intents (patterns of those with a response), not from the patterns x
+    responses rows."""
+    p = intents.filter(F.size("responses") > 0).select(
+        "intent_pos", F.posexplode("patterns").alias("pattern_pos", "Pattern"))
+    p = p.select(token_sort_key(F.lower("Pattern")).alias("pkey"),
+                 F.struct("intent_pos", "pattern_pos").alias("pos"), "Pattern").filter(F.col("pkey").isNotNull())
     g = p.groupBy("pkey").agg(F.min_by(F.struct("pos", "Pattern"), "pos").alias("first"))
     return key_features(g.select("pkey", F.col("first.pos").alias("first_pos"),
                                  F.col("first.Pattern").alias("first_pattern")))
 
 
 def size_index(feats: DataFrame, max_bytes: int | None = None) -> PatternIndex:
-    """Measure a pattern-feature table and decide broadcast vs. slicing.
+    """Measure a pattern-feature table and decide broadcast vs. blocked join.
 
-    One small aggregate job estimates its bytes (key text, bitmask words, bag
-    entries); over the budget, the table is cut into hash slices that fit.
+    One small aggregate job estimates its bytes (key text, bitmask words, bag entries).
     """
     spark = feats.sparkSession
     if max_bytes is None:
@@ -81,14 +87,14 @@ def size_index(feats: DataFrame, max_bytes: int | None = None) -> PatternIndex:
         F.col("plen") * 4 + 64
         + F.size("pmasks") * (F.col("pnw") * 8 + 24)
         + F.size("pbag") * 24).alias("b")).first()["b"] or 0
-    return PatternIndex(feats, max(1, math.ceil(est / max_bytes)))
+    return PatternIndex(feats, est <= max_bytes)
 
 
-def build_pattern_index(qa: DataFrame, max_bytes: int | None = None, persist: bool = True) -> PatternIndex:
-    """The gate's pattern side from a flat QA table, sized for broadcast.
+def build_pattern_index(intents: DataFrame, max_bytes: int | None = None, persist: bool = True) -> PatternIndex:
+    """The gate's pattern side from the intents, sized for broadcast.
     The features are persisted (one row per distinct pattern key), so every
     question batch reuses the bitmasks instead of rebuilding them."""
-    feats = pattern_features(qa)
+    feats = pattern_features(intents)
     if persist:
         from pyspark import StorageLevel
         feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
@@ -106,12 +112,48 @@ def _pair_cond(threshold: int, bounds: bool = True) -> Column:
                & (score >= t)))
 
 
-def _theta(left: DataFrame, index: PatternIndex, cond: Column, how: str) -> DataFrame:
-    outs = [left.join(F.broadcast(p), cond, how) for p in index.parts()]
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+def _bound_cond(threshold: int) -> Column:
+    t = F.lit(int(threshold))
+    return (S.length_bound("qlen", "plen") >= t) & (S.bag_bound("qbag", "qlen", "pbag", "plen") >= t)
+
+
+def _least_share(threshold: int) -> float:
+    """k: a pair reaching the threshold t has 200 * common / (a + b) >= t - 0.5, and
+    common <= b, so common >= k * a; likewise with b, so both lengths are within 1 / k."""
+    r = (max(int(threshold), 1) - 0.5) / 200
+    return r / (1 - r)
+
+
+def _prefix(bag: str, length: str, threshold: int) -> Column:
+    """The first tokens (character, occurrence) of a key: one more than may be
+    missing from a pair that reaches the threshold.  Later occurrences come
+    first, as fewer keys hold them.  The empty key has one token of its own."""
+    tokens = F.flatten(F.transform(F.map_entries(bag), lambda e: F.transform(
+        F.sequence(F.lit(1), e["value"]), lambda o: F.struct(o.alias("o"), e["key"].alias("c")))))
+    least = F.greatest(F.lit(1), F.ceil(F.col(length) * _least_share(threshold) - 1e-9))
+    names = F.transform(F.sort_array(tokens, asc=False), lambda t: F.concat(t["c"], t["o"].cast("string")))
+    return F.when(F.col(length) == 0, F.array(F.lit(""))).otherwise(
+        F.slice(names, 1, (F.col(length) - least + 1).cast("int")))
+
+
+def _band(length: Column) -> Column:
+    return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / math.log(BAND)).cast("int")
+
+
+def _theta(left: DataFrame, index: PatternIndex, cond: Column, how: str, threshold: int) -> DataFrame:
+    """Question keys against pattern keys under ``cond``, which implies the length and
+    bag bounds of ``threshold``.  Blocked, a semi join gives a key once per
+    block that holds a match."""
+    if index.broadcast:
+        return left.join(F.broadcast(index.df), cond, how)
+    k = _least_share(threshold)
+    n = F.col("qlen")
+    q = left.withColumn("_qp", _prefix("qbag", "qlen", threshold)).withColumn("_qt", F.explode("_qp"))
+    q = q.withColumn("_qb", F.explode(F.sequence(_band(F.floor(n * k) - 1), _band(F.ceil(n / k) + 1))))
+    p = index.df.withColumn("_pp", _prefix("pbag", "plen", threshold)).withColumn("_pt", F.explode("_pp"))
+    p = p.withColumn("_pb", _band(F.col("plen")))
+    first = F.element_at(F.array_intersect("_qp", "_pp"), 1) == F.col("_qt")
+    return q.join(p, (F.col("_qt") == F.col("_pt")) & (F.col("_qb") == F.col("_pb")) & first & cond, how)
 
 
 def passing_keys(qkeys: DataFrame, index: PatternIndex, threshold: int, bounds: bool = True,
@@ -124,11 +166,11 @@ def passing_keys(qkeys: DataFrame, index: PatternIndex, threshold: int, bounds:
     the bounds exclude."""
     feats = question_features(qkeys.select("qkey").distinct())
     if metric == "exact":
-        cand = _theta(feats, index, _pair_cond(threshold, bounds), "inner").select("qkey", "pkey")
+        cand = _theta(feats, index, _pair_cond(threshold, bounds), "inner", threshold).select("qkey", "pkey")
         ok = cand.filter(S.exact_score("pkey", "qkey") >= int(threshold))
         return ok.select("qkey").distinct()
-    out = _theta(feats, index, _pair_cond(threshold, bounds), "left_semi").select("qkey")
-    return out.distinct() if index.slices > 1 else out
+    out = _theta(feats, index, _pair_cond(threshold, bounds), "left_semi", threshold).select("qkey")
+    return out if index.broadcast else out.distinct()
 
 
 def fuzzy_gate(questions: DataFrame, index: PatternIndex, threshold: int,
@@ -144,10 +186,7 @@ def candidate_pairs(qkeys: DataFrame, index: PatternIndex, threshold: int) -> Da
     """M4: (qkey, pkey) pairs whose length and bag bounds reach the threshold,
     i.e. the only pairs on which the exact score is ever computed."""
     feats = question_features(qkeys.select("qkey").distinct())
-    t = F.lit(int(threshold))
-    cond = ((S.length_bound("qlen", "plen") >= t)
-            & (S.bag_bound("qbag", "qlen", "pbag", "plen") >= t))
-    return _theta(feats, index, cond, "inner").select("qkey", "pkey")
+    return _theta(feats, index, _bound_cond(threshold), "inner", threshold).select("qkey", "pkey")
 
 
 def first_match(questions: DataFrame, index: PatternIndex, threshold: int,
@@ -157,30 +196,31 @@ def first_match(questions: DataFrame, index: PatternIndex, threshold: int,
     q = questions.withColumn("qkey", token_sort_key(F.lower(F.col(text_col))))
     feats = question_features(q.select("qkey").distinct())
     score = S.indel_score("qkey", "qlen", "qchars", "pkey", "plen", "pnw", "pmasks", "pinit")
-    pairs = _theta(feats, index, _pair_cond(threshold), "inner").select(
-        "qkey", "first_pos", "first_pattern", score.alias("score"))
-    best = pairs.groupBy("qkey").agg(
-        F.min_by(F.struct(F.col("first_pattern").alias("pattern"), "score"), "first_pos").alias("m"))
-    return q.join(best, "qkey").select(*questions.columns, "m.pattern", "m.score")
+    cond = (F.col("qkey") == F.col("pkey")) | _bound_cond(threshold)
+    # scored once per pair, behind the bounds; the best pair is kept as the pairs
+    # come, so none is stored.  A filter on the score would be pushed into the join
+    # and computed again.
+    pairs = _theta(feats, index, cond, "inner", threshold).select("qkey", "first_pos", "first_pattern", score.alias("score"))
+    best = pairs.groupBy("qkey").agg(F.min_by(
+        F.struct(F.col("first_pattern").alias("pattern"), "score"),
+        F.when(F.col("score") >= int(threshold), F.col("first_pos"))).alias("m"))
+    return q.join(best.filter(F.col("m").isNotNull()), "qkey").select(*questions.columns, "m.pattern", "m.score")
 
 
 def pair_scores(pairs: DataFrame, left_col: str, right_col: str, exact: bool = False) -> DataFrame:
     """M1 / M2 on given (question text, pattern text) pairs; both texts are
     lower-cased first, as the reference does.  Adds ``score``.
 
-    M1: the distinct pattern keys get their bitmasks once (a sized table,
-    broadcast or sliced) and are equi-joined back to the pairs.  M2: the
-    Arrow UDF on the prepared keys.
+    M1: the distinct pattern keys get their bitmasks once and are equi-joined
+    back to the pairs (a null text has a null score).  M2: the Arrow UDF on the
+    prepared keys.
     """
     keyed = (pairs.withColumn("qkey", token_sort_key(F.lower(F.col(left_col))))
              .withColumn("pkey", token_sort_key(F.lower(F.col(right_col)))))
     if exact:
         return keyed.withColumn("score", S.exact_score("pkey", "qkey")).drop("qkey", "pkey")
-    index = size_index(key_features(keyed.select("pkey").distinct()))
+    feats = key_features(keyed.select("pkey").filter(F.col("pkey").isNotNull()).distinct())
     q = keyed.withColumn("qlen", F.length("qkey")).withColumn("qchars", S.chars_of("qkey"))
     score = S.indel_score("qkey", "qlen", "qchars", "pkey", "plen", "pnw", "pmasks", "pinit")
-    outs = [q.join(F.broadcast(p), "pkey").withColumn("score", score) for p in index.parts()]
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out.select(*pairs.columns, "score")
+    scored = F.when(F.col("qkey").isNotNull() & F.col("pkey").isNotNull(), score)
+    return q.join(feats, "pkey", "left").withColumn("score", scored).select(*pairs.columns, "score")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from askbase.functions.text import strip_text
+from askbase.operators.sizing import sized_broadcast
 
 QA_COLUMNS = ["Pattern", "Tag", "Response", "intent_pos", "pattern_pos", "response_pos"]
 ORDER = ["intent_pos", "pattern_pos", "response_pos"]
@@ -88,7 +89,7 @@ def label_encode(qa: DataFrame, labels: DataFrame, strip: bool = True) -> DataFr
     lab = labels.select(F.col("label").alias("_label"), F.col("label2id").alias("labels")).distinct()
     key = strip_text("Tag") if strip else F.col("Tag")
     return (qa.withColumn("_label", key)
-            .join(lab, "_label", "left")
+            .join(sized_broadcast(lab), "_label", "left")
             .drop("_label"))
 
 
@@ -99,7 +100,7 @@ def label_decode(preds: DataFrame, labels: DataFrame, id_col: str = "pred_id",
     outside the table map to ``unseen``."""
     lab = labels.select(F.col("label_id").alias(id_col),
                         F.col("label" if stripped else "tag").alias("pred_tag"))
-    out = preds.join(lab, id_col, "left")
+    out = preds.join(sized_broadcast(lab), id_col, "left")
     if unseen is not None:
         out = out.withColumn("pred_tag", F.coalesce("pred_tag", F.lit(unseen)))
     return out
@@ -145,7 +146,7 @@ class KnowledgeBase:
             counts, rows = tag_response_table(self.qa, strip_tags)
             counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
             rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-            self._responses[strip_tags] = (counts, rows)
+            self._responses[strip_tags] = (sized_broadcast(counts), sized_broadcast(rows))
         return self._responses[strip_tags]
 
     def close(self) -> None:
@@ -165,5 +166,5 @@ class KnowledgeBase:
     def pattern_index(self, max_bytes: int | None = None):
         if self._index is None:
             from askbase.operators.gate import build_pattern_index
-            self._index = build_pattern_index(self.qa, max_bytes)
+            self._index = build_pattern_index(self.intents, max_bytes)
         return self._index

@@ -14,7 +14,7 @@ def daily_menu(pages: DataFrame, html_col: str = "html", container=K.MENU_CONTAI
     has no container; ``menu_error`` flags a one-cell row (the reference
     raises there, we keep the row and report it)."""
     # Each stage is its own column so no page is scanned twice.
-    return (pages.withColumn("_box", H.html_container(F.col(html_col), *container))
+    return (pages.withColumn("_box", H.html_container(html_col, *container))
             .withColumn("_cells", H.html_rows_cells("_box", row_tag, cell_tag))
             .withColumn("_rows", H.trim_header_footer("_cells"))
             .withColumn("menu", F.when(F.col("_box").isNull(), F.lit(K.MENU_UNAVAILABLE))

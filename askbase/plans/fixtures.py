@@ -56,10 +56,28 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.expr(AS_OF_SQL).alias("as_of"))
 
 
+def menu_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MENU: every page with its navigation list as a menu table, written in one
+    of four ways: a class among others, a bare class in capitals, behind an old
+    table in a comment, and with a table inside a cell."""
+    p = read_table(spark, sf_dir, "pages").select("page_id", "html")
+    nav = F.regexp_extract("html", r"(?s)<nav><ul>(.*?)</ul></nav>", 1)
+    rows = F.regexp_replace(nav, r'<li><a href="([^"]*)">(.*?)</a></li>',
+                            "<tr><td>$1</td><td> <b>$2</b> &ccedil;&#252;&#x131; </td></tr>")
+    kind = F.col("page_id") % 4
+    table = (F.when(kind == 0, F.concat(F.lit('<table class="x has-background">'), rows, F.lit("</table>")))
+             .when(kind == 1, F.concat(F.lit("<TABLE id=m class=has-background>"), rows, F.lit("</TABLE>")))
+             .when(kind == 2, F.concat(F.lit('<!-- <table class="has-background"><tr><td>a</td><td>b</td></tr></table> -->'
+                                             '<table class="has-background">'), rows, F.lit("</table>")))
+             .otherwise(F.concat(F.lit("<table class='has-background y'><tr><td>G</td><td><table><tr><td>i</td><td>&Ouml;"
+                                       "</td></tr></table></td></tr>"), rows, F.lit("</table>"))))
+    return p.select("page_id", F.replace("html", F.concat(F.lit("<nav><ul>"), nav, F.lit("</ul></nav>")), table).alias("html"))
+
+
 def menus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Menu page snapshots keyed by day, answered by H5."""
     from askbase.operators.menu import daily_menu
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = menu_pages(spark, sf_dir)
     return daily_menu(pages).select(F.expr(MENU_DATE_SQL).alias("menu_date"), "menu")
 
 

@@ -63,9 +63,10 @@ def _kb(spark, sf) -> KN.KnowledgeBase:
     return KN.KnowledgeBase(X.kb_intents(spark, sf))
 
 
-def _answers(spark, sf, questions: DataFrame, profile=R.WEB, kb=None) -> DataFrame:
-    kb = kb or _kb(spark, sf)
-    return A.answer_questions(questions, kb, profile, predict=X.fixture_predict(kb.labels), menus=X.menus(spark, sf))
+def _answers(spark, sf, questions: DataFrame, profile=R.WEB, carry=()) -> DataFrame:
+    kb = _kb(spark, sf)
+    return A.answer_questions(questions, kb, profile, predict=X.fixture_predict(kb.labels), menus=X.menus(spark, sf),
+                              carry=carry)
 
 
 def _msg_questions(msgs: DataFrame) -> DataFrame:
@@ -90,6 +91,23 @@ def q_read_intents_document(spark, sf):
     return _intents_scalar(SI.read_intents(spark, path, "documents"))
 
 
+@register("read_intents_files")
+def q_read_intents_files(spark, sf):
+    """S1 / S6 in the reference's form: indented documents without positions."""
+    path = scratch_path(spark, "intents-files")
+    SI.write_intents(X.kb_intents(spark, sf), path, "document")
+    return _intents_scalar(SI.read_intents(spark, path, "document"))
+
+
+@register("read_qa_array")
+def q_read_qa_array(spark, sf):
+    """S2 / S3 in the reference's form: indented arrays of records."""
+    path = scratch_path(spark, "qa-arrays")
+    SI.write_qa_records(_qa(spark, sf), path, "array")
+    r = SI.read_qa_records(spark, path, "array")
+    return r.select("Pattern", "Tag", "Response", "record_pos")
+
+
 @register("write_qa_records")
 def q_write_qa_records(spark, sf):
     path = scratch_path(spark, "qa-records")
@@ -423,6 +441,12 @@ def q_answer_questions(spark, sf):
     return _answers(spark, sf, X.questions(spark, sf), R.WEB)
 
 
+@register("answer_questions_ungated")
+def q_answer_questions_ungated(spark, sf):
+    """J6 without keywords and gate: every text is classified."""
+    return _answers(spark, sf, X.questions(spark, sf), R.TRAIN)
+
+
 @register("answer_questions_local")
 def q_answer_questions_local(spark, sf):
     return _answers(spark, sf, X.questions(spark, sf), R.LOCAL)
@@ -627,41 +651,44 @@ def q_time_string(spark, sf):
 
 # ---------------------------------------------------------------- html
 
-def _pages(spark, sf):
-    return read_table(spark, sf, "pages").select("page_id", "html")
-
-
 def _explode_cells(df: DataFrame, col: str) -> DataFrame:
     rows = df.select("page_id", F.posexplode(col).alias("row_pos", "cells"))
     return rows.select("page_id", "row_pos", F.posexplode("cells").alias("cell_pos", "cell"))
 
 
+def _menu_box(spark, sf):
+    return X.menu_pages(spark, sf).select("page_id", H.html_container("html", *K.MENU_CONTAINER).alias("box"))
+
+
+def _menu_rows(spark, sf):
+    return _menu_box(spark, sf).select("page_id", H.html_rows_cells("box").alias("rows"))
+
+
 @register("html_container")
 def q_html_container(spark, sf):
-    return _pages(spark, sf).select("page_id", H.html_container("html", "div", "ad").alias("inner"))
+    return _menu_box(spark, sf)
 
 
 @register("html_rows_cells")
 def q_html_rows_cells(spark, sf):
-    return _explode_cells(_pages(spark, sf).withColumn("rows", H.link_rows("html")), "rows")
+    return _explode_cells(_menu_rows(spark, sf), "rows")
 
 
 @register("trim_header_footer")
 def q_trim_header_footer(spark, sf):
-    p = _pages(spark, sf).withColumn("rows", H.link_rows("html"))
+    p = _menu_rows(spark, sf)
     return _explode_cells(p.withColumn("kept", H.trim_header_footer("rows")), "kept")
 
 
 @register("menu_text")
 def q_menu_text(spark, sf):
-    p = _pages(spark, sf).withColumn("rows", H.link_rows("html"))
-    p = p.withColumn("kept", H.trim_header_footer("rows"))
+    p = _menu_rows(spark, sf).withColumn("kept", H.trim_header_footer("rows"))
     return p.select("page_id", H.menu_text("kept").alias("menu"))
 
 
 @register("daily_menu")
 def q_daily_menu(spark, sf):
-    return daily_menu(_pages(spark, sf)).select("page_id", "menu")
+    return daily_menu(X.menu_pages(spark, sf)).select("page_id", "menu")
 
 
 # -------------------------------------------------------------- unknowns
@@ -696,10 +723,12 @@ def q_merge_answered(spark, sf):
 
 def _request_answers(spark, sf):
     req = EVL.parse_requests(X.requests(spark, sf))
+    carry = ("chat_id", "ts", "question", "error")
     ok = req.filter(F.col("error").isNull()).select(
-        F.col("event_id").alias("question_id"), F.col("question").alias("text"), F.col("ts").alias("as_of"))
-    ans = _answers(spark, sf, ok).select(F.col("question_id").alias("event_id"), "answer")
-    return req.join(ans, "event_id", "left")
+        F.col("event_id").alias("question_id"), F.col("question").alias("text"), F.col("ts").alias("as_of"), *carry)
+    ans = _answers(spark, sf, ok, carry=carry).select(F.col("question_id").alias("event_id"), *carry, "answer")
+    failed = req.filter(F.col("error").isNotNull()).select("event_id", *carry, F.lit(None).cast("string").alias("answer"))
+    return ans.unionByName(failed)
 
 
 @register("append_turns")
@@ -736,6 +765,5 @@ def q_message_fanout(spark, sf):
 def q_missing_text(spark, sf):
     msgs = X.messages(spark, sf).filter(F.col("text").isNull())
     m = C.missing_text(msgs)
-    ans = _answers(spark, sf, _msg_questions(m))
-    return m.select("event_id", F.col("text").alias("question")).join(
-        ans.select(F.col("question_id").alias("event_id"), "answer", "is_unknown"), "event_id")
+    ans = _answers(spark, sf, _msg_questions(m), carry=("text",))
+    return ans.select(F.col("question_id").alias("event_id"), F.col("text").alias("question"), "answer", "is_unknown")

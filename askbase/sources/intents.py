@@ -7,10 +7,13 @@ Three layouts:
 * ``documents``: one ``{"offset": n, "intents": [...]}`` document per line,
   each holding a bounded chunk of consecutive intents; ``offset`` is the
   position of its first intent, so order survives any file layout.
-* ``document``: the reference's single ``{"intents": [...]}`` document.
-  Reading keeps document order through ``posexplode``; writing one
-  document funnels every intent through one task, so it is an opt-in for
-  small exports only.
+* ``document``: the reference's ``{"intents": [...]}`` document, indented or
+  not.  Written as one such file per chunk of consecutive intents, in folders
+  whose names sort in that order (a knowledge base of one chunk is one file).
+
+QA records likewise: ``lines`` with their positions, or ``array``, the reference's
+file with one indented array of records.  A file that holds no such document or
+record fails; it is never read as null rows.
 """
 
 from __future__ import annotations
@@ -38,15 +41,15 @@ def read_intents(spark: SparkSession, path: str, layout: str = "lines") -> DataF
         x = d.select("offset", F.posexplode("intents").alias("_pos", "i"))
         return x.select((F.col("offset") + F.col("_pos")).cast("int").alias("intent_pos"),
                         *[F.col("i")[f].alias(f) for f in INTENT_FIELDS])
-    docs = (spark.read.schema(schemas.INTENTS_DOC).option("multiLine", True)
-            .option("encoding", "UTF-8").json(path)
-            .withColumn("_file", F.input_file_name()))
+    docs = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    docs = docs.select(F.input_file_name().alias("_file"), F.from_json("value", schemas.INTENTS_DOC)["intents"].alias("intents"))
+    docs = docs.withColumn("intents", F.coalesce("intents", F.raise_error(F.lit("a file holds no intents document"))))
     x = docs.select("_file", F.posexplode("intents").alias("_pos", "i"))
     sizes = docs.groupBy("_file").agg(F.sum(F.size("intents")).alias("_n"))
     from pyspark.sql import Window
     off = sizes.select("_file", F.coalesce(F.sum("_n").over(
         Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (x.join(F.broadcast(off), "_file")
+    return (x.join(off, "_file")
             .select((F.col("_off") + F.col("_pos")).cast("int").alias("intent_pos"),
                     *[F.col("i")[f].alias(f) for f in INTENT_FIELDS]))
 
@@ -65,24 +68,47 @@ def write_intents(intents: DataFrame, path: str, layout: str = "lines") -> None:
             F.transform("a", lambda s: F.struct(*[s[f].alias(f) for f in INTENT_FIELDS])).alias("intents")))
             .alias("value")).write.mode("overwrite").text(path)
         return
-    doc = intents.agg(F.sort_array(F.collect_list(F.struct("intent_pos", *INTENT_FIELDS))).alias("a"))
-    doc = doc.select(F.to_json(F.struct(
-        F.transform(F.coalesce("a", F.array()), lambda s: F.struct(*[s[f].alias(f) for f in INTENT_FIELDS]))
-        .alias("intents"))).alias("value"))
-    doc.coalesce(1).write.mode("overwrite").text(path)
+    part = F.lpad(F.floor(F.col("intent_pos") / F.lit(CHUNK_INTENTS)).cast("string"), 10, "0")
+    g = intents.groupBy(part.alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("intent_pos", *INTENT_FIELDS))).alias("a"))
+    g.select("part", F.to_json(F.struct(
+        F.transform("a", lambda s: F.struct(*[s[f].alias(f) for f in INTENT_FIELDS])).alias("intents")),
+        {"pretty": "true"}).alias("value")).write.mode("overwrite").partitionBy("part").text(path)
 
 
-def write_qa_records(qa: DataFrame, path: str) -> None:
-    """Flat QA rows as JSON records (with positions, so order survives)."""
-    qa.write.mode("overwrite").json(path)
+def write_qa_records(qa: DataFrame, path: str, layout: str = "lines") -> None:
+    """Flat QA rows as JSON records (with positions, so order survives), or as
+    files of one indented array each, an intent's rows in order (``array``)."""
+    if layout == "lines":
+        qa.write.mode("overwrite").json(path)
+        return
+    rows = F.sort_array(F.collect_list(F.struct("pattern_pos", "response_pos", *schemas.QA.names)))
+    g = qa.groupBy(F.lpad(F.col("intent_pos").cast("string"), 10, "0").alias("part")).agg(rows.alias("a"))
+    g.select("part", F.to_json(F.transform("a", lambda s: F.struct(*[s[f].alias(f) for f in schemas.QA.names])),
+                               {"pretty": "true"}).alias("value")).write.mode("overwrite").partitionBy("part").text(path)
 
 
 QA_RECORD_SCHEMA = schemas.QA_POS
 
 
-def read_qa_records(spark: SparkSession, path: str) -> DataFrame:
-    """S3: read the records back with an explicit schema (lossless round trip)."""
-    return spark.read.schema(QA_RECORD_SCHEMA).json(path)
+def read_qa_records(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """S3: read the records back with an explicit schema (lossless round trip).
+
+    ``array``: files of one array of ``Pattern, Tag, Response`` records; adds ``file``
+    and ``record_pos``, the place in the file's array.  A record with none of
+    the three, or a file without an array, fails.
+    """
+    if layout == "lines":
+        rows, names = spark.read.schema(QA_RECORD_SCHEMA).json(path), QA_RECORD_SCHEMA.names
+    else:
+        files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+            F.input_file_name().alias("file"), F.from_json("value", T.ArrayType(schemas.QA)).alias("a"))
+        files = files.withColumn("a", F.coalesce("a", F.raise_error(F.lit("a file holds no array of QA records"))))
+        rows = files.select("file", F.posexplode("a").alias("record_pos", "r")).select("file", "record_pos", "r.*")
+        names = rows.columns
+    bad = F.coalesce(*schemas.QA.names).isNull()
+    return rows.select(F.when(bad, F.raise_error(F.lit("a line or array element is no QA record"))).otherwise(
+        F.col("Pattern")).alias("Pattern"), *[n for n in names if n != "Pattern"]).select(*names)
 
 
 def empty_qa(spark: SparkSession) -> DataFrame:

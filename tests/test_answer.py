@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from askbase import constants as K
+from askbase.functions.text import token_sort_key
 from askbase.operators import answer as A
 from askbase.operators import gate as G
 from askbase.operators.knowledge import KnowledgeBase
@@ -99,16 +100,38 @@ def test_pruned_gate_equals_unpruned(spark, sf):
         assert a == b
 
 
-def test_sliced_index_equals_broadcast(spark, sf):
+def test_blocked_join_equals_broadcast(spark, sf):
+    """Over the budget: an equi-join without a nested loop, and the same results."""
     from askbase.plans import fixtures as X
     kb = KnowledgeBase(X.kb_intents(spark, sf))
-    q = X.questions(spark, sf)
+    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(
+        ["", "?", "a", "aa", "aaaaaaaa", "zzz", "ab ba", "yarın hangi", None, "x" * 300])], "question_id long, text string")
+    q = X.questions(spark, sf).select("question_id", "text").unionByName(extra)
     whole = kb.pattern_index()
-    sliced = G.size_index(whole.df, max_bytes=2000)
-    assert sliced.slices > 1
-    a = {r.question_id: r.gate_passed for r in G.fuzzy_gate(q, whole, 55).collect()}
-    b = {r.question_id: r.gate_passed for r in G.fuzzy_gate(q, sliced, 55).collect()}
-    assert a == b
+    blocked = G.size_index(whole.df, max_bytes=2000)
+    assert whole.broadcast and not blocked.broadcast
+    for t in (20, 55, 90):
+        for run in (lambda i: G.fuzzy_gate(q, i, t).select("question_id", "gate_passed"),
+                    lambda i: G.first_match(q, i, t).select("question_id", "pattern", "score"),
+                    lambda i: G.candidate_pairs(q.select(token_sort_key(F.lower("text")).alias("qkey")).dropna(), i, t)):
+            a, b = run(whole), run(blocked)
+            assert sorted(a.collect()) == sorted(b.collect())
+    plan = G.fuzzy_gate(q, blocked, 55)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_blocking_loses_no_pair_of_random_keys(spark):
+    import random
+    rnd = random.Random(5)
+    keys = ["".join(rnd.choice("ab c") for _ in range(rnd.randrange(0, 14))).strip() for _ in range(60)] + [""]
+    intents = spark.createDataFrame([(i, "t", [k], ["r"], "") for i, k in enumerate(keys)],
+                                    "intent_pos int, tag string, patterns array<string>, responses array<string>, "
+                                    "context_set string")
+    feats = G.pattern_features(intents)
+    q = spark.createDataFrame([(i, k) for i, k in enumerate(keys[::-1])], "question_id long, text string")
+    for t in (1, 50, 100):
+        a, b = (sorted(G.first_match(q, G.PatternIndex(feats, whole), t).collect()) for whole in (True, False))
+        assert a == b and a
 
 
 def test_exact_gate_equals_bruteforce_difflib(spark, sf):

@@ -91,6 +91,24 @@ def test_daily_menu_cases(spark):
     assert out[4].menu == K.MENU_UNAVAILABLE
 
 
-def test_exact_html_text_udf(spark):
-    df = spark.createDataFrame([("<b>a &amp; b</b> &eacute;",)], "h string")
-    assert df.select(H.html_text_exact("h").alias("t")).first().t == "a & b é"
+HARD = [
+    ('<table class=has-background><tr><td>a</td></tr></table>', [["a"]]),
+    ("<TABLE id=x CLASS='m has-background'\n><TR><TD>a</TD><TD> &Ccedil;orba: Mercimek &#252;&#x1F600;&nbsp;</TD></TR></TABLE>",
+     [["a", "Çorba: Mercimek ü😀"]]),
+    ('<!-- <table class="has-background"><tr><td>old</td></tr></table> --><table class="has-background"><tr><td>new</td></tr></table>',
+     [["new"]]),
+    ('<table class="has-background"><tr><td>o<table><tr><td>i</td><td>j</td></tr></table></td><td>p</td></tr><tr><td>q</td></tr></table>'
+     '<table><tr><td>no</td></tr></table>', [["oij", "i", "j", "p"], ["i", "j"], ["q"]]),
+    ('<table class="has-background-x"><tr><td>x</td></tr></table><table class="b has-background c"><tr><td>y</td></tr></table>',
+     [["y"]]),
+    ('<table class="has-background"><tr><td>&unknown; &amp;lt; &#0; a&b</td></tr>', [["&unknown; &lt; \ufffd a&b"]]),
+    ('<script>var t = "<table class=has-background>";</script><p>has-background</p>', None),
+    ('', None), (None, None), ('<table class="has-background"></table>', []),
+]
+
+
+def test_markup_that_plain_patterns_get_wrong(spark):
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(HARD)], "i int, html string")
+    box = df.withColumn("box", H.html_container("html", *K.MENU_CONTAINER))
+    got = {r.i: r.rows for r in box.select("i", H.html_rows_cells("box").alias("rows")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(HARD)}
