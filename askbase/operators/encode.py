@@ -38,9 +38,10 @@ def encode_pad(df: DataFrame, key_cols: list[str], text_col: str = "text", max_l
     words = df.select(*key_cols, F.slice(tokenize_clean(text_col), 1, max_len).alias("_w"))
     longest = words.select(F.coalesce(F.max(F.size("_w")), F.lit(0))).scalar()
     unknown = vocab.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
-    head = words.select(*key_cols, F.posexplode_outer("_w").alias("pos", "token"))
-    found = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", unknown).cast("int").alias("id")))
-    ids = head.join(vocab, "token", "left").groupBy(*key_cols).agg(F.sort_array(F.collect_list(found)).alias("_p"))
+    vocab = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
+    head = words.select(*key_cols, F.posexplode_outer("_w").alias("_pos", "_token"))
+    found = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", unknown).cast("int").alias("id")))
+    ids = head.join(vocab, "_token", "left").groupBy(*key_cols).agg(F.sort_array(F.collect_list(found)).alias("_p"))
     ids = ids.select(*key_cols, F.transform("_p", lambda s: s["id"]).alias("_ids"))
     pad = longest - F.size("_ids")
     return ids.select(*key_cols,

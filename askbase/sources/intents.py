@@ -8,8 +8,8 @@ Three layouts:
   each holding a bounded chunk of consecutive intents; ``offset`` is the
   position of its first intent, so order survives any file layout.
 * ``document``: the reference's ``{"intents": [...]}`` document, indented or
-  not.  Written as one such file per chunk of consecutive intents, in folders
-  whose names sort in that order (a knowledge base of one chunk is one file).
+  not.  Written as one such file per chunk of consecutive intents, with names
+  that sort in that order (a knowledge base of one chunk is one file).
 
 QA records likewise: ``lines`` with their positions, or ``array``, the reference's
 file with one indented array of records.  A file that holds no such document or
@@ -54,6 +54,13 @@ def read_intents(spark: SparkSession, path: str, layout: str = "lines") -> DataF
                     *[F.col("i")[f].alias(f) for f in INTENT_FIELDS]))
 
 
+def _one_file_each(docs: DataFrame, path: str) -> DataFrame:
+    """Write each ``value`` as a file; file names sort in the order of ``part``."""
+    docs.repartitionByRange("part").sortWithinPartitions("part").select("value").write.mode("overwrite").option(
+        "maxRecordsPerFile", 1).text(path)
+    return docs
+
+
 def write_intents(intents: DataFrame, path: str, layout: str = "lines") -> None:
     """Write intents as UTF-8 JSON (non-ASCII kept as is)."""
     if layout == "lines":
@@ -73,7 +80,7 @@ def write_intents(intents: DataFrame, path: str, layout: str = "lines") -> None:
         F.sort_array(F.collect_list(F.struct("intent_pos", *INTENT_FIELDS))).alias("a"))
     g.select("part", F.to_json(F.struct(
         F.transform("a", lambda s: F.struct(*[s[f].alias(f) for f in INTENT_FIELDS])).alias("intents")),
-        {"pretty": "true"}).alias("value")).write.mode("overwrite").partitionBy("part").text(path)
+        {"pretty": "true"}).alias("value")).transform(_one_file_each, path)
 
 
 def write_qa_records(qa: DataFrame, path: str, layout: str = "lines") -> None:
@@ -85,7 +92,7 @@ def write_qa_records(qa: DataFrame, path: str, layout: str = "lines") -> None:
     rows = F.sort_array(F.collect_list(F.struct("pattern_pos", "response_pos", *schemas.QA.names)))
     g = qa.groupBy(F.lpad(F.col("intent_pos").cast("string"), 10, "0").alias("part")).agg(rows.alias("a"))
     g.select("part", F.to_json(F.transform("a", lambda s: F.struct(*[s[f].alias(f) for f in schemas.QA.names])),
-                               {"pretty": "true"}).alias("value")).write.mode("overwrite").partitionBy("part").text(path)
+                               {"pretty": "true"}).alias("value")).transform(_one_file_each, path)
 
 
 QA_RECORD_SCHEMA = schemas.QA_POS
