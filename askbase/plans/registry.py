@@ -527,10 +527,6 @@ def _chat_labelled(spark, sf):
     return c.withColumn("label", X.chat_class().cast("double"))
 
 
-#: The role of a turn follows from its words nearly always; one class for all gets about half.
-LEAST_ACCURACY = 0.75
-
-
 def _fit_chat(spark, sf):
     data = EV.train_test_split(_chat_labelled(spark, sf), _chat_key())
     train = data.filter(F.col("split") == "train")
@@ -541,10 +537,13 @@ def _fit_chat(spark, sf):
 @register("train_classifier")
 def q_train_classifier(spark, sf):
     """Every held-out row with its true class, whether its prediction is one of
-    the classes, and whether the accuracy over all of them reaches ``LEAST_ACCURACY``."""
+    the classes, and whether the model is right more often than the largest class is
+    found (what naming that class for every row would give)."""
     model, test = _fit_chat(spark, sf)
     p = CL.predict(model, test).withColumn("label", F.col("label").cast("int"))
-    good = EV.accuracy(p).select(F.col("Accuracy") >= LEAST_ACCURACY).scalar()
+    by_class = p.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+                                      F.sum((F.col("label") == F.col("pred")).cast("bigint")).alias("hits"))
+    good = by_class.select(F.sum("hits") > F.max("n")).scalar()
     return p.select("conv_id", "turn", "label", F.col("pred").isin(0, 1, 2).alias("in_label_set"),
                     good.alias("accurate"))
 
