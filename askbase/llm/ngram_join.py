@@ -11,7 +11,9 @@ the smallest id that links reach.
    into m > d parts, so at least m - d parts are equal in both.  A
    signature is the hash of k = m - d parts taken together (of every such
    choice while m is small, else of single parts); linked sets share a
-   signature.  m follows from a size level; a set also signs for the next
+   signature.  Of single parts a set signs with its d + 1 largest: the largest
+   of the m - d equal ones has m - d - 1 smaller ones in either set, so it is among
+   them.  m follows from a size level; a set also signs for the next
    level if its size can link up there.  Sets that share a signature are put in
    one block (components of the sharing), not paired.
 3. *Product*: per block the incidence rows of its classes are multiplied,
@@ -121,7 +123,7 @@ class Levels:
         """(m, k): parts, and how many a signature takes together."""
         if level not in self._parts:
             d = self.differ(self.tops[level], self.tops[level])
-            best = (d + 2, 1)        # one part more than needed: a linked pair shares two
+            best = (d + 1 + max(1, d // 4), 1)   # more parts than needed, so that the smallest can be left out
             share = 1 / (d + 2)      # of the n-grams that a signature sees; more is more selective
             for m in range(d + 1, d + 9):
                 k = m - d
@@ -150,10 +152,10 @@ def signatures(grams: np.ndarray, levels: Levels) -> np.ndarray:
         if k > 1:
             out.append(_mix(digest[levels.choices(m, k)].sum(axis=1, dtype=np.uint64) * _M2 + salt))
             continue
-        empty = np.bincount(part, minlength=m) == 0
-        # two parts at least are equal: one of them holds n-grams unless both sets have two empty parts
-        keep = ~empty if empty.sum() < 2 else np.ones(m, bool)
-        out.append(digest[keep])
+        # small parts are those that unrelated sets share; equal parts rank alike in both sets
+        held = np.bincount(part, minlength=m)
+        top = levels.tops[level]
+        out.append(digest[np.lexsort((digest, held))[m - levels.differ(top, top) - 1:]])
     return np.unique(np.concatenate(out))
 
 

@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of n-gram near duplicates."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group of n-gram near duplicates: five words, similarity 0.8 or more."""
+    return ngram_join.one_of_each(docs, n=5, need=80, per=100)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,16 @@ def test_stages_take_edge_cases(spark, sf):
         assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in docs.collect()}
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_near_duplicate_stage_equals_brute_force_of_five_words(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = {i for i, (_, c) in components(rows, need=80, n=5).items() if c == i}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()} == want
+    assert want != {i for i, (_, c) in components(rows).items() if c == i}
+
+
+def test_pipeline_equals_plain_stages_of_five_words(spark, sf, monkeypatch):
+    monkeypatch.setitem(globals(), "components", lambda rows, plain=components: plain(rows, need=80, n=5))
+    test_pipeline_equals_plain_stages(spark, sf)

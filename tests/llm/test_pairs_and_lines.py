@@ -66,6 +66,22 @@ def test_linked_sets_share_a_signature(sizes):
             assert set(ngram_join.signatures(x, levels)) & set(ngram_join.signatures(y, levels))
 
 
+@pytest.mark.parametrize("size", [30, 100, 256, 1030])
+def test_linked_sets_at_four_fifths_share_a_signature(size):
+    import numpy as np
+    levels, rnd = ngram_join.Levels(80, 100), np.random.default_rng(2)
+    linked = 0
+    for _ in range(60):
+        own = rnd.integers(0, 2 ** 63, 2 * size, dtype=np.uint64)
+        a, b = (size // 9, size // 9) if rnd.random() < .5 else (0, size // 4)     # changed in both, or only more in one
+        x, y = np.unique(own[:size]), np.unique(np.concatenate([own[a:size], own[size:size + b]]))
+        inter = len(np.intersect1d(x, y))
+        if 100 * inter >= 80 * (len(x) + len(y) - inter):
+            linked += 1
+            assert set(ngram_join.signatures(x, levels)) & set(ngram_join.signatures(y, levels))
+    assert linked > 20
+
+
 def test_components_edge_cases(spark):
     docs = with_clashes(edge_docs(spark))
     rows = ngram_join.jaccard_components(docs).collect()
