@@ -259,3 +259,15 @@ def test_licenses_equal_exact_search(spark, sf):
             for n, t in license_scan.TEMPLATES.items() if t in line}
     got = {(r["doc_id"], r["line_no"], r["license"]) for r in license_scan.scan_licenses(docs).collect() if r["exact"]}
     assert got == want and want
+
+
+def test_licenses_in_long_lines():
+    rnd, scan = np.random.default_rng(1), license_scan.Scanner()
+    for size in (60, 300, 1200, 6000):
+        for name, text in license_scan.TEMPLATES.items():
+            prose = [f"w{i}" for i in rnd.integers(0, 5000, size)]
+            at = int(rnd.integers(0, size))
+            got = scan(" ".join([*prose[:at], text, *prose[at:]]))
+            assert got is not None and (got[0], got[4], got[5], got[6]) == (name, 0, size, True)
+    got = scan("the work under the license is free " * 900 + license_scan.TEMPLATES["GPL-3.0"].replace("version", "release"))
+    assert got[0] == "GPL-3.0" and got[4] == 1
