@@ -271,3 +271,22 @@ def test_licenses_in_long_lines():
             assert got is not None and (got[0], got[4], got[5], got[6]) == (name, 0, size, True)
     got = scan("the work under the license is free " * 900 + license_scan.TEMPLATES["GPL-3.0"].replace("version", "release"))
     assert got[0] == "GPL-3.0" and got[4] == 1
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<article class='post has-sidebar'><p>Text</p></article>", "Text"),
+    ("<div class='content-with-sidebar'><article><p>Text</p></article></div>", "Text"),
+    ("<div id='search-page'><main><p>Text</p></main></div>", "Text"),
+    ("<div class='sidebar'><p>Side</p><div role=main><p>Text</p></div></div>", "Text"),
+    ("<div class='social'><article><p>Text</p></article></div>", "Text"),
+    ("<main class=search><p>Text</p></main><div class=search><p>Find</p></div>", "Text"),
+    ("<article><h1 class='article-header'>Title</h1><p>Text</p></article>", "Title\n\nText"),
+    ("<article><header class='entry-header'><h1>Title</h1></header><p>Text</p></article>", "Title\n\nText"),
+    ("<article><p>Text</p><div class='post-share'>Share</div><div class='cookie-banner'>Ok</div></article>", "Text"),
+    ("<article><p>Text</p><article class=comment><p>Me too</p></article></article>", "Text"),
+    ("<article><p>Text</p></article><div id=comments><article><p>Me too</p></article></div>", "Text"),
+    ("<nav><main><p>Menu</p></main></nav><p>Text</p>", "Text"),
+    ("<main hidden><p>Old</p></main><p>Text</p>", "Text"),
+])
+def test_class_words_do_not_lose_main_parts(page, want):
+    assert html_extract.main_text(f"<html><body>{page}</body></html>", None) == want
