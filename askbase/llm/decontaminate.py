@@ -10,7 +10,7 @@ skips a whole window less one word.
 Words are maximal runs of bytes outside ASCII punctuation and space after
 A-Z are lower-cased, so any non-ASCII character belongs to a word.
 
-Edge cases: null texts have no words; items with a null id are ignored;
+Edge cases: null texts have no words; items with a null id mark hits but name no item;
 repeated item rows count once; rows of documents are searched one by one, so
 repeated rows and null ids give their own rows; extra columns are ignored.
 
@@ -70,13 +70,15 @@ class WuManber:
             end += 1
 
 
-def build(items: list[tuple[str, str | None]], window: int) -> list[WuManber]:
+def build(items: list[tuple[str | None, str | None]], window: int) -> list[WuManber]:
     by_length: dict[int, dict[tuple, set[str]]] = {}
     for item_id, text in items:
         words = words_of(text)
         m = min(window, len(words))
         for i in range(len(words) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(tuple(words[i:i + m]), set()).add(item_id)
+            ids = by_length.setdefault(m, {}).setdefault(tuple(words[i:i + m]), set())
+            if item_id is not None:
+                ids.add(item_id)
     return [WuManber(m, p) for m, p in sorted(by_length.items())]
 
 
@@ -96,8 +98,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     and ids of the items that occur, as sorted strings.  With ``carry_key`` also
     the row's ``text_key`` as tk."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(
-        "item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
     # a word of a text is in at most `window` windows
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] * window
     slices = max(1, -(-size // table_bytes))

@@ -141,6 +141,15 @@ def test_decontamination_slices_and_edges(spark):
     assert len(none) == docs.count() and not any(r["hits"] for r in none)
 
 
+def test_benchmark_items_without_id_mark_hits(spark):
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "four five"), (3, "six")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (None, "four five"), (7, "Four five")], "item_id long, text string")
+    for size in (16 << 20, 64):
+        got = {r["doc_id"]: (r["hits"], r["items"]) for r in
+               decontaminate.find_benchmark(docs, bench, table_bytes=size).collect()}
+        assert got == {1: ([1, 2, 3], []), 2: ([0, 1], ["7"]), 3: ([], [])}
+
+
 def brute_lines(rows, least):
     def k(line):
         return line.strip(" \t\n\x0b\f\r").translate({c: c + 32 for c in range(65, 91)})
