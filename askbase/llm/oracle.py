@@ -91,6 +91,42 @@ FROM judged
 """
 
 
+PREFIX_TRIE = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, xor(list_reduce(
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ord(d)::BIGINT),
+    lambda crc, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END),
+      xor(crc, byte)), 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h
+  FROM turns GROUP BY conv_id),
+heads AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS k FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+rebuilt AS (
+  SELECT h.conv_id, t.pos, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.base AND t.pos < h.h
+  UNION ALL SELECT h.conv_id, t.pos - h.h + h.k, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.pos >= h.h),
+path AS (
+  SELECT conv_id, pos + 1 AS depth, octet_length(encode(text)) AS n_bytes,
+    string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY pos) AS k FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+node AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_bytes) AS n_bytes FROM path GROUP BY depth, k),
+born AS (SELECT depth - 1 AS depth, substr(k, 1, 64 * (depth - 1)::INTEGER) AS k, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1, 2),
+valued AS (SELECT node.*, coalesce(born.n, 0) AS n_children FROM node LEFT JOIN born USING (depth, k)),
+whole AS (
+  SELECT d AS depth, substr(k, 1, 64 * d::INTEGER) AS k, count(*) FILTER (n_children = 0) AS n_leaves,
+    sum((n_convs - 1) * n_bytes)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM valued) GROUP BY 1, 2),
+ends AS (
+  SELECT depth, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS e
+  FROM (SELECT conv_id, max(depth) AS depth, arg_max(k, depth) AS k FROM path GROUP BY conv_id) GROUP BY depth, k)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, w.n_leaves, w.saved_tokens,
+  coalesce(e.e, sha256('')) AS ends_sha256
+FROM valued v JOIN whole w USING (depth, k) LEFT JOIN ends e USING (depth, k)
+LEFT JOIN node p ON p.depth = v.depth - 1 AND p.k = substr(v.k, 1, 64 * greatest(v.depth - 1, 0)::INTEGER)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op2_ngram_jaccard": NGRAM_JACCARD, "op4_decontamination": DECONTAMINATION, "op8_line_dedup": LINE_DEDUP,
-            "op9_quality_rules": QUALITY_RULES}
+            "op9_quality_rules": QUALITY_RULES, "op11_prefix_trie": PREFIX_TRIE}

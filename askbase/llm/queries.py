@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from askbase.llm import (decontaminate, html_extract, license_scan, line_dedup, mixing, ngram_join, quality_model,
-                         quality_rules, token_counts, token_store)
+from askbase.llm import (decontaminate, html_extract, license_scan, line_dedup, mixing, ngram_join, prefix_trie,
+                         quality_model, quality_rules, token_counts, token_store)
 from askbase.llm.common import table
 from askbase.session import scratch_path
 
@@ -80,6 +80,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.rank_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.borrow_heads(turns))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,5 +93,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_html_extraction, op2_ngram_jaccard, op3_token_output, op4_decontamination, op5_token_counts, op6_mixing,
-           op7_quality_classifier, op8_line_dedup, op9_quality_rules, op10_license_scan, pipeline)
+           op7_quality_classifier, op8_line_dedup, op9_quality_rules, op10_license_scan, op11_prefix_trie, pipeline)
     return {f.__name__: f for f in own}
