@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, with production parameters on whole tables."""
+"""The operators as registered queries, with production parameters on whole tables."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from askbase.llm import (decontaminate, html_extract, license_scan, line_dedup, mixing, ngram_join, prefix_trie,
-                         quality_model, quality_rules, token_counts, token_store)
+from askbase.llm import (decontaminate, graph_index, html_extract, license_scan, line_dedup, mixing, ngram_join, prefix_trie,
+                         quality_model, quality_rules, token_counts, token_store, whitening)
 from askbase.llm.common import table
 from askbase.session import scratch_path
 
@@ -85,6 +85,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.borrow_heads(turns))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_index.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), count=8)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,5 +101,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_html_extraction, op2_ngram_jaccard, op3_token_output, op4_decontamination, op5_token_counts, op6_mixing,
-           op7_quality_classifier, op8_line_dedup, op9_quality_rules, op10_license_scan, op11_prefix_trie, pipeline)
+           op7_quality_classifier, op8_line_dedup, op9_quality_rules, op10_license_scan, op11_prefix_trie, op12_nearest_neighbours,
+           op13_whitening, pipeline)
     return {f.__name__: f for f in own}
