@@ -46,6 +46,8 @@ EXPAND = 4
 ALPHA = 1.2
 #: Nodes that enter the graph in one round, at most.
 ROUND = 512
+#: Nodes that a search begins at: the middle one and the first to enter, so that groups far apart are all near one.
+STARTS = 32
 #: Queries of a block.
 BLOCK = 512
 #: Beam entries that are measured again in double precision, for each result asked for.
@@ -64,23 +66,27 @@ class Graph:
         wide = vecs / self.scale
         self.mean = wide.mean(axis=0)
         self.x = np.ascontiguousarray(wide - self.mean, dtype=np.float32)
-        self.sq = np.einsum("ij,ij->i", self.x, self.x)
-        self.start = int(self.sq.argmin())
+        start = int(np.einsum("ij,ij->i", self.x, self.x).argmin())
+        self.order = np.concatenate([[start], np.delete(np.arange(self.n), start)])
         self.edges = edges if edges is not None else self._build()
 
     def place(self, queries: np.ndarray) -> np.ndarray:
         return (queries / self.scale - self.mean).astype(np.float32)
 
-    def search(self, q: np.ndarray, beam: int) -> np.ndarray:
-        """Greedy beam search of all rows of ``q`` (placed) at once: nodes, nearest first."""
+    def search(self, q: np.ndarray, beam: int, entered: int | None = None) -> np.ndarray:
+        """Greedy beam search of all rows of ``q`` (placed) at once: nodes, nearest first.
+        ``entered``: how many nodes the graph has so far."""
         n, rows = self.n, len(q)
         nodes = np.full((rows, beam), n, np.int32)
         far = np.full((rows, beam), np.inf, np.float32)
         todo = np.zeros((rows, beam), bool)
-        nodes[:, 0], todo[:, 0] = self.start, True
-        far[:, 0] = self.sq[self.start] - 2 * (q @ self.x[self.start])
+        starts = self.order[:min(STARTS, beam, n if entered is None else entered)]
+        begin = ((self.x[starts][None] - q[:, None]) ** 2).sum(axis=2)
+        order = np.argsort(begin, axis=1, kind="stable")
+        nodes[:, :len(starts)], todo[:, :len(starts)] = starts[order], True
+        far[:, :len(starts)] = np.take_along_axis(begin, order, 1)
         seen = np.zeros((rows, n + 1), bool)
-        seen[:, [self.start, n]] = True
+        seen[:, starts] = seen[:, n] = True
         seen, slot = seen.ravel(), np.empty(rows * (n + 1), np.int32)
         live = np.arange(rows)
         while len(live):
@@ -96,7 +102,8 @@ class Graph:
             new = new[slot[cell] == np.arange(len(new))]
             row, near = row[new], near[new]
             seen[live[row] * (n + 1) + near] = True
-            d = self.sq[near] - 2 * np.einsum("ij,ij->i", self.x[near], q[live[row]])
+            away = self.x[near] - q[live[row]]          # differences: near vectors far from the origin stay apart
+            d = np.einsum("ij,ij->i", away, away)
             close = d < far[live[row], -1]
             row, near, d = row[close], near[close], d[close]
             if len(row):
@@ -117,12 +124,13 @@ class Graph:
         n, rows = self.n, np.arange(len(of))
         none = (cand == n) | (cand == of[:, None])
         safe = np.where(none, 0, cand)
-        x, sq = self.x[safe], self.sq[safe]
-        d = np.maximum(sq + self.sq[of][:, None] - 2 * np.einsum("bcd,bd->bc", x, self.x[of]), 0)
+        x = self.x[safe] - self.x[of][:, None, :]      # around the node, where float32 tells near ones apart
+        d = np.einsum("bcd,bcd->bc", x, x)
         d[none] = np.inf
         order = np.argsort(d, axis=1, kind="stable")
-        cand, d, sq = (np.take_along_axis(a, order, 1) for a in (cand, d, sq))
+        cand, d = np.take_along_axis(cand, order, 1), np.take_along_axis(d, order, 1)
         x = np.take_along_axis(x, order[:, :, None], 1)
+        sq = np.einsum("bcd,bcd->bc", x, x)
         apart = np.maximum(sq[:, :, None] + sq[:, None, :] - 2 * np.matmul(x, x.transpose(0, 2, 1)), 0) * ALPHA ** 2
         kept, left = np.full((len(of), FULL), n, np.int32), np.isfinite(d)
         for k in range(DEGREE):
@@ -138,12 +146,11 @@ class Graph:
     def _build(self) -> np.ndarray:
         n = self.n
         self.edges = np.full((n, FULL), n, np.int32)
-        order = np.concatenate([[self.start], np.delete(np.arange(n), self.start)])
         done = 1
         while done < n:
-            new = order[done:done + min(done, ROUND)]
+            new = self.order[done:done + min(done, ROUND)]
+            self.edges[new] = self._prune(new, self.search(self.x[new], BUILD_BEAM, done))
             done += len(new)
-            self.edges[new] = self._prune(new, self.search(self.x[new], BUILD_BEAM))
             src, dst = np.repeat(new, FULL), self.edges[new].ravel()
             src, dst = src[dst < n], dst[dst < n]
             by = np.argsort(dst, kind="stable")

@@ -120,7 +120,7 @@ def prefixes(rebuilt: DataFrame) -> DataFrame:
         c = F.coalesce(f"c{i}", F.lit(0))
         y = y.withColumn(f"k{i}", F.col(f"l{i}").bitwiseXOR(c)).withColumn(
             f"anc{i}", F.when(F.col(f"c{i}").isNull(), F.col(f"anc{i}")).otherwise(
-                F.transform(f"anc{i}", lambda v, c=c: v.bitwiseXOR(c))))
+                F.expr(f"transform(anc{i}, v -> v ^ c{i})")))
         y = y.withColumn(f"p{i}", F.col(f"k{i}").bitwiseXOR(F.col(f"a{i}")))
     return y.select("conv_id", *KEY, "p1", "p2", "anc1", "anc2", "n_bytes")
 
