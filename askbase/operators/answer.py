@@ -21,7 +21,8 @@ from askbase.functions import calendar as D
 from askbase.functions.text import strip_text, utf8_clean
 from askbase.operators import gate as G
 from askbase.operators.indexing import group_rank
-from askbase.operators.knowledge import ORDER, KnowledgeBase, label_decode
+from askbase.operators.knowledge import ORDER, KnowledgeBase
+from askbase.operators.menu import MenuTable
 from askbase.operators.sizing import sized_broadcast
 from askbase.operators.routing import WEB, Profile, route_expr
 
@@ -98,7 +99,7 @@ def choose_response(preds: DataFrame, qa, key_col: str = "question_id",
 
 def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
                      predict: Callable[[DataFrame], DataFrame] | None = None,
-                     menus: DataFrame | None = None, choice_seed: str = "42",
+                     menus: DataFrame | MenuTable | None = None, choice_seed: str = "42",
                      index: G.PatternIndex | None = None, strip_tags: bool = False,
                      carry: tuple[str, ...] = (), metric: str = "indel") -> DataFrame:
     """The whole decision per question.
@@ -111,26 +112,16 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
     never matches its (stripped) predicted label, as in the reference;
     ``strip_tags=True`` compares stripped tags instead.  ``carry`` names
     input columns passed through to the output (no join back needed).
-    ``predict`` adds ``pred_id`` (an id of the knowledge base's labels, or one
-    outside them for an unseen tag) to a table with ``question_id`` and ``text``;
-    rows that were routed or stopped by the gate come with an empty text.
+    ``predict`` adds ``pred_tag``, the class decoded by the *model's* label table
+    (``labels.TrainedModel.predict`` or ``labels.decoded``), to a table with
+    ``question_id`` and ``text``; whether the knowledge base has that tag is asked
+    here.  Rows that were routed or stopped by the gate come with an empty text.
     ``metric``: ``indel`` (native M1, the default) or ``exact`` (the
     reference's Ratcliff-Obershelp ratio on the pairs M1 lets through).
     """
     if not isinstance(kb, KnowledgeBase):
         kb = KnowledgeBase(kb)
-    qa, labels = kb.qa, kb.labels
-    if predict is None:
-        raise TypeError("answer_questions needs predict: a function that adds pred_id, for example "
-                        "classify.model_predictor(model)")
-
-    if "as_of" not in questions.columns:
-        # the reference reads the wall clock; one instant per query keeps
-        # the answers of a run consistent (pass ``as_of`` to make them repeatable)
-        questions = questions.withColumn("as_of", F.localtimestamp())
-    q = questions.withColumn("text", F.coalesce("text", F.lit("")))  # G5: missing text = ''
-    q = q.withColumn("route", route_expr(F.lower("text"), profile))
-
+    q = _routed(questions, profile, predict)
     if profile.threshold is not None:
         if index is None:
             index = kb.pattern_index()
@@ -145,17 +136,49 @@ def answer_questions(questions: DataFrame, kb, profile: Profile = WEB,
                                                F.coalesce("gate_passed", F.lit(False)))))
     else:
         q = q.withColumn("gate_passed", F.when(F.col("route").isNull(), F.lit(True)))
+    return _decided(q, kb, predict, menus, choice_seed, strip_tags, carry)
+
+
+def answer_rows(questions: DataFrame, kb: KnowledgeBase, profile: Profile = WEB,
+                predict: Callable[[DataFrame], DataFrame] | None = None, menus: DataFrame | MenuTable | None = None,
+                choice_seed: str = "42", strip_tags: bool = False, carry: tuple[str, ...] = (),
+                packed: DataFrame | None = None) -> DataFrame:
+    """J6 row by row: no aggregation, no shuffle and no state, so ``questions`` may be a
+    stream (with ``as_of``).  All other sides are static tables within the broadcast budget."""
+    q = _routed(questions, profile, predict)
+    ask = F.col("route").isNull()
+    if profile.threshold is not None:
+        q = G.row_gate(q, G.pack_index(kb.pattern_index()) if packed is None else packed, profile.threshold, ask)
+    else:
+        q = q.withColumn("gate_passed", F.when(ask, F.lit(True)))
+    return _decided(q, kb, predict, menus, choice_seed, strip_tags, carry)
+
+
+def _routed(questions: DataFrame, profile: Profile, predict) -> DataFrame:
+    if predict is None:
+        raise TypeError("answer_questions needs predict: a function that adds pred_tag, for example "
+                        "TrainedModel.predict of operators.labels")
+    if "as_of" not in questions.columns:
+        # the reference reads the wall clock; one instant per query keeps
+        # the answers of a run consistent (pass ``as_of`` to make them repeatable)
+        questions = questions.withColumn("as_of", F.localtimestamp())
+    q = questions.withColumn("text", F.coalesce("text", F.lit("")))  # G5: missing text = ''
+    return q.withColumn("route", route_expr(F.lower("text"), profile))
+
 
+def _decided(q: DataFrame, kb: KnowledgeBase, predict, menus, choice_seed: str, strip_tags: bool,
+             carry: tuple[str, ...]) -> DataFrame:
+    """Routed and gated questions to answers: classify, J1, R1, menus, U2, U3."""
     # classes are asked for after the gate only: other rows reach the classifier without words
     q = q.withColumn("_text", F.col("text")).withColumn("text", F.when(F.col("gate_passed"), F.col("text")).otherwise(""))
     q = predict(q).withColumn("text", F.col("_text")).drop("_text")
-    q = label_decode(q, labels, "pred_id")
     q = q.withColumn("pred_tag", F.when(F.col("gate_passed"), F.col("pred_tag")))
     q = choose_response(q, kb, "question_id", "pred_tag", choice_seed, strip_tags)
 
     if menus is not None:
-        m = menus.select(F.col("menu_date").alias("_d"), F.col("menu").alias("_menu"))
-        q = q.join(sized_broadcast(m), F.to_date("as_of") == F.col("_d"), "left")
+        menus = menus if isinstance(menus, MenuTable) else MenuTable(menus)
+        m = menus.df.select(F.col("menu_date").alias("_d"), F.col("menu").alias("_menu"))
+        q = q.join(m, F.to_date("as_of") == F.col("_d"), "left")
         menu_answer = F.coalesce(F.col("_menu"), F.lit(K.MENU_UNAVAILABLE))
     else:
         menu_answer = F.lit(K.MENU_UNAVAILABLE)

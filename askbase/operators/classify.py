@@ -87,13 +87,16 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
             .drop("_tokens", "_tf", "_features", "rawPrediction", "probability", "prediction"))
 
 
-def train_on_knowledge_base(kb, seed: int = 123, test_fraction: float = 0.25, **kw) -> tuple[PipelineModel, DataFrame]:
+def train_on_knowledge_base(kb, seed: int = 123, test_fraction: float = 0.25, labels: DataFrame | None = None,
+                            **kw) -> tuple[PipelineModel, DataFrame]:
     """C1 as the reference trains it: the flattened rows' *unstemmed* patterns
     as text, the stripped tag's id (J4) as label, fitted on the train side of
-    the seeded split (R2).  Returns the model and the held-out rows."""
+    the seeded split (R2).  Returns the model and the held-out rows.  ``labels``:
+    the label table to train under (see ``labels.extend_labels``), by default the
+    knowledge base's own; save it with the model."""
     from askbase.operators.evaluate import train_test_split
     from askbase.operators.knowledge import ORDER, label_encode
-    enc = label_encode(kb.qa, kb.labels).select(F.col("Pattern").alias("text"),
+    enc = label_encode(kb.qa, kb.labels if labels is None else labels).select(F.col("Pattern").alias("text"),
                                                 F.col("labels").cast("double").alias("label"), *ORDER)
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in ORDER])
     split = train_test_split(enc, key, seed, test_fraction)
@@ -102,7 +105,7 @@ def train_on_knowledge_base(kb, seed: int = 123, test_fraction: float = 0.25, **
 
 
 def model_predictor(model: PipelineModel, text_col: str = "text"):
-    """A ``predict`` callable for ``answer_questions``: adds ``pred_id``."""
+    """Adds ``pred_id``; ``labels.decoded`` makes it a ``predict`` for ``answer_questions``."""
     def predict(df: DataFrame) -> DataFrame:
         scored = predict_frame(model, df, text_col)
         return scored.withColumnRenamed("pred", "pred_id").drop("probs")

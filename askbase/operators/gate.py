@@ -182,6 +182,33 @@ def fuzzy_gate(questions: DataFrame, index: PatternIndex, threshold: int,
             .withColumn("gate_passed", F.coalesce("gate_passed", F.lit(False))))
 
 
+def pack_index(index: PatternIndex) -> DataFrame:
+    """The pattern side as one row for ``row_gate``: only where it fits the broadcast budget."""
+    if not index.broadcast:
+        raise ValueError(f"the pattern index exceeds {BROADCAST_CONF}: it cannot be packed into a row")
+    p = index.df.select("pkey", "plen", "pnw", "pmasks", "pinit", "pbag")
+    return p.agg(F.collect_list(F.struct(*p.columns)).alias("_patterns")).withColumn("_all", F.lit(0))
+
+
+def row_gate(questions: DataFrame, packed: DataFrame, threshold: int, ask: Column, text_col: str = "text") -> DataFrame:
+    """M3 row by row, for streams: ``gate_passed`` for the rows where ``ask`` holds, else null.
+
+    No aggregation and no state: every row meets the broadcast pattern array and
+    leaves it at the first pattern that passes, like the reference's loop.
+    """
+    t = int(threshold)
+    length = S.ratio_sql("least(qlen, p.plen)", "qlen + p.plen")
+    bag = S.ratio_sql(S.bag_common_sql("qbag", "p.pbag"), "qlen + p.plen")
+    lcs = S.lcs_sql("qchars", "p.plen", "p.pnw", "p.pmasks", "p.pinit")
+    passes = (f"qkey = p.pkey OR ({length} >= {t} AND {bag} >= {t} AND "
+              f"least(qlen, p.plen) > 0 AND {S.ratio_sql(lcs, 'qlen + p.plen')} >= {t})")
+    q = questions.withColumn("qkey", F.when(ask, token_sort_key(F.lower(F.col(text_col)))))
+    q = q.withColumn("qlen", F.length("qkey")).withColumn("qchars", S.chars_of("qkey")).withColumn("qbag", S.char_bag("qkey"))
+    q = q.withColumn("_all", F.lit(0)).join(F.broadcast(packed), "_all", "left")
+    found = F.when(F.col("qkey").isNotNull(), F.expr(f"coalesce(exists(_patterns, p -> {passes}), false)"))
+    return q.withColumn("gate_passed", found).drop("qkey", "qlen", "qchars", "qbag", "_all", "_patterns")
+
+
 def candidate_pairs(qkeys: DataFrame, index: PatternIndex, threshold: int) -> DataFrame:
     """M4: (qkey, pkey) pairs whose length and bag bounds reach the threshold,
     i.e. the only pairs on which the exact score is ever computed."""

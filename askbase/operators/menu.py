@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from askbase import constants as K
 from askbase.functions import markup as H
+from askbase.operators.sizing import sized_broadcast
+from askbase.session import scratch_path
 
 
 def daily_menu(pages: DataFrame, html_col: str = "html", container=K.MENU_CONTAINER,
@@ -13,11 +15,20 @@ def daily_menu(pages: DataFrame, html_col: str = "html", container=K.MENU_CONTAI
     """H1 -> H4 per page: ``menu`` text, or the fixed sentence when the page
     has no container; ``menu_error`` flags a one-cell row (the reference
     raises there, we keep the row and report it)."""
-    # Each stage is its own column so no page is scanned twice.
-    return (pages.withColumn("_box", H.html_container(html_col, *container))
-            .withColumn("_cells", H.html_rows_cells("_box", row_tag, cell_tag))
-            .withColumn("_rows", H.trim_header_footer("_cells"))
-            .withColumn("menu", F.when(F.col("_box").isNull(), F.lit(K.MENU_UNAVAILABLE))
-                        .otherwise(H.menu_text("_rows")))
-            .withColumn("menu_error", F.when(F.col("_box").isNotNull(), H.menu_error("_rows")))
-            .drop("_box", "_cells", "_rows"))
+    # one reading of the page; the answers below are taken from its rows
+    rows = H.html_container_cells(html_col, *container, row_tag, cell_tag)
+    read = F.transform(F.array(H.trim_header_footer(rows)), lambda r: F.struct(
+        F.when(r.isNull(), F.lit(K.MENU_UNAVAILABLE)).otherwise(H.menu_text(r)).alias("menu"),
+        F.when(r.isNotNull(), H.menu_error(r)).alias("error")))[0]
+    out = pages.withColumn("_menu", read)
+    return out.withColumn("menu", F.col("_menu.menu")).withColumn("menu_error", F.col("_menu.error")).drop("_menu")
+
+
+class MenuTable:
+    """``menu_date, menu`` as a lookup: the pages behind it are read once, whatever
+    is asked of the table, and its size is taken from the result."""
+
+    def __init__(self, menus: DataFrame):
+        path = scratch_path(menus.sparkSession, "menus")
+        menus.select("menu_date", "menu").write.parquet(path)
+        self.df = sized_broadcast(menus.sparkSession.read.parquet(path))

@@ -2,46 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from askbase import schemas
-from askbase.operators.indexing import dense_index
 from askbase.operators.knowledge import flatten_intents
-from askbase.sources.unknown_store import export_intents, with_positions
-
-
-def new_unknowns(batch: DataFrame, existing: DataFrame, question_col: str = "question",
-                 arrival_col: str = "arrival") -> DataFrame:
-    """U1 core: the questions of ``batch`` not yet stored, one row per exact
-    (case-sensitive) text with its first arrival; nulls are ignored.
-
-    Partial + final aggregation collapses a hot question before the shuffle;
-    the anti join against the stored questions is a shuffle join on the text
-    (the table grows with traffic, so it is not broadcast).
-    """
-    b = batch.filter(F.col(question_col).isNotNull()).groupBy(F.col(question_col).alias("question")).agg(
-        F.min(arrival_col).alias("arrival"))
-    return b.join(existing.select("question"), "question", "left_anti")
+from askbase.sources.unknown_store import UnknownStore, export_intents, with_positions
 
 
 def log_unknown(spark: SparkSession, batch: DataFrame, path: str, question_col: str = "question",
                 arrival_col: str = "arrival") -> DataFrame:
     """Insert every absent question in its original casing; ids continue
-    densely after the current maximum in arrival order; ``answer`` is null.
-    Idempotent: replaying a batch adds nothing.  Returns the rows added."""
-    try:
-        existing = spark.read.schema(schemas.UNKNOWN).parquet(path)
-    except AnalysisException as e:   # only a missing table is an empty one
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        existing = spark.createDataFrame([], schemas.UNKNOWN)
-    start = (existing.agg(F.max("id")).first()[0] or 0) + 1
-    fresh = new_unknowns(batch, existing, question_col, arrival_col)
-    added = dense_index(fresh, [F.col("arrival"), F.col("question")], "id", start)
-    added = added.select("id", "question", F.lit(None).cast("string").alias("answer"))
-    added.write.mode("append").parquet(path)
-    return added
+    densely after the current maximum in arrival order; ``answer`` is null; nulls
+    are ignored.  Idempotent (replaying a batch adds nothing) and safe under
+    several writers.  Returns the rows added."""
+    return UnknownStore(spark, path).insert_absent(
+        batch.select(F.col(question_col).alias("question"), F.col(arrival_col).alias("arrival")))
 
 
 def unknown_sites(answers: DataFrame) -> DataFrame:

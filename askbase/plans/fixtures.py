@@ -8,10 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from askbase.session import read_table
 
+EVENTS_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
+])
+
 Q_TEXT_SQL = """
 case p_partkey % 8
   when 0 then p_name
@@ -110,15 +116,47 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.col("user_id").alias("chat_id"), "ts", body.alias("body"))
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MSG: chat messages, some echo commands, some without text."""
-    ev = read_table(spark, sf_dir, "events")
+def as_messages(events: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as chat messages: some echo commands, some without text."""
     r = F.col("event_id") % 5
     text = (F.when(r == 0, F.concat(F.lit("/echo "), F.col("event_type")))
             .when(r == 1, F.lit(None).cast("string"))
             .when(r == 2, F.lit("hey /echo a\nb"))
             .otherwise(F.col("event_type")))
-    return ev.select("event_id", F.col("user_id").alias("chat_id"), "ts", text.alias("text"))
+    return events.select("event_id", F.col("user_id").alias("chat_id"), "ts", text.alias("text"))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MSG: chat messages."""
+    return as_messages(read_table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The events below ``path`` as an unbounded source of files."""
+    return spark.readStream.schema(EVENTS_SCHEMA).options(**options).parquet(path)
+
+
+def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MSG as an unbounded source: the events table read as a file stream."""
+    return as_messages(event_stream(spark, sf_dir, pathGlobFilter="events.parquet"))
+
+
+def as_bodies(events: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as request bodies: echo commands, questions, and
+    bodies that are empty, null-valued or broken."""
+    r = F.col("event_id") % 10
+    body = (F.when(r == 7, F.lit("{}"))
+            .when(r == 8, F.lit('{"question": null}'))
+            .when(r == 9, F.lit('{"question": '))
+            .when(r % 5 == 0, F.concat(F.lit('{"question": "/echo '), F.col("event_type"), F.lit('"}')))
+            .otherwise(F.concat(F.lit('{"question": "'), F.col("event_type"), F.lit('"}'))))
+    return events.select("event_id", F.col("user_id").alias("chat_id"), "ts", body.alias("body"))
+
+
+def as_utterances(events: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as speech transcripts: partial results and finals."""
+    return events.select(F.col("user_id").alias("utterance_id"), F.col("event_id").alias("seq"), "ts",
+                         (F.col("event_type") == "purchase").alias("is_final"), F.col("event_type").alias("text"))
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,15 +177,24 @@ def blank_turns(chat_df: DataFrame) -> DataFrame:
 
 
 def fixture_predict(labels: DataFrame, seed: str = "7") -> Callable[[DataFrame], DataFrame]:
-    """Deterministic class scores: id = md5(seed:question_id) mod (num_labels+1);
-    the extra id is not in the label table and decodes to ``unseen_tag``."""
+    """Deterministic class scores of a model with ``labels``: id = md5(seed:question_id)
+    mod (num_labels+1); the extra id is not in the table and decodes to ``unseen_tag``."""
     from askbase.operators.answer import md5_bucket
-    n = labels.select(F.count(F.lit(1))).scalar()
+    from askbase.operators.labels import decoded
+    n = labels.count()
 
     def predict(df: DataFrame) -> DataFrame:
-        return df.withColumn("pred_id", F.pmod(md5_bucket(F.lit(seed), F.col("question_id")), n + 1)
+        return df.withColumn("pred_id", F.pmod(md5_bucket(F.lit(seed), F.col("question_id")), F.lit(n + 1))
                              .cast("int"))
-    return predict
+    return decoded(predict, labels)
+
+
+def drifted_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KB some time after training: a tag new at the front, the third one gone."""
+    kb = kb_intents(spark, sf_dir)
+    new = kb.filter(F.col("intent_pos") == 0).withColumn("tag", F.lit("AAA NEW"))
+    old = kb.filter(F.col("intent_pos") != 2).withColumn("intent_pos", (F.col("intent_pos") + 1).cast("int"))
+    return new.unionByName(old)
 
 
 def unknown_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +233,4 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech transcripts: partial results and finals per utterance."""
-    ev = read_table(spark, sf_dir, "events")
-    return ev.select(F.col("user_id").alias("utterance_id"), F.col("event_id").alias("seq"),
-                     (F.col("event_type") == "purchase").alias("is_final"),
-                     F.col("event_type").alias("text"))
+    return as_utterances(read_table(spark, sf_dir, "events")).drop("ts")

@@ -260,6 +260,22 @@ def answer_sql(src_cte: str, body: str, profile: str = "web", extra_src=None) ->
     return with_ctes(needed, body, (extra_src or []) + answer_ctes(src_cte, profile))
 
 
+def drifted_answer_sql() -> str:
+    """J6 over a KB that has a new first tag and lacks the third one; class ids
+    keep the meaning they have in the label table of the original KB."""
+    kb2 = """SELECT 0 AS intent_pos, 'AAA NEW' AS tag, patterns, responses FROM kb WHERE intent_pos = 0
+  UNION ALL SELECT intent_pos + 1, tag, patterns, responses FROM kb WHERE intent_pos <> 2"""
+    later = [("kb2", kb2), ("qa2", flatten_sql("kb2"))]
+    for name in ("tag_counts", "qa_ord", "pk"):
+        later.append((f"{name}2", CTES[name][1].replace("FROM qa", "FROM qa2")))
+    flow = []
+    for name, sql in answer_ctes("q"):
+        for t in ("tag_counts", "qa_ord"):
+            sql = sql.replace(f"JOIN {t} ", f"JOIN {t}2 ")
+        flow.append((name, sql.replace("FROM pk ", "FROM pk2 ")))
+    return with_ctes(["labels", "menus", "q"], "SELECT * FROM ans", later + flow)
+
+
 def cells_explode(rows_expr: str, src: str) -> str:
     return f"""SELECT page_id, row_pos, (cell_pos - 1)::INTEGER AS cell_pos, cells[cell_pos] AS cell FROM (
   SELECT page_id, row_pos, cells, unnest(range(1, len(cells) + 1)) AS cell_pos FROM (
@@ -367,6 +383,10 @@ def _plain_sql() -> dict[str, str]:
   FROM (SELECT vec_id, ((list_position(logits, list_max(logits)) - 1) % 10)::INTEGER AS pred_id FROM vec) v
   LEFT JOIN labels ON labels.label_id = v.pred_id"""),
         "answer_questions": answer_sql("q", "SELECT * FROM ans"),
+        "answer_questions_drifted": drifted_answer_sql(),
+        "extended_labels": with_ctes(["labels"], """SELECT label_id, tag, label, label_id AS label2id,
+  (count(*) OVER ())::INTEGER AS num_labels, since FROM (SELECT label_id, tag, label, 1 AS since FROM labels
+  UNION ALL SELECT count(*)::INTEGER, 'AAA NEW', 'AAA NEW', 2 FROM labels)"""),
         "answer_questions_ungated": with_ctes(["labels", "tag_counts", "qa_ord", "q"], f"""SELECT question_id, route,
   gate_passed, pred_tag AS tag, CASE WHEN reason IS NULL THEN response ELSE {lit(K.FALLBACK_ANSWER)} END AS answer,
   reason IS NOT NULL AS is_unknown, reason FROM (SELECT *, CASE WHEN n_rows IS NULL THEN 'unknown_tag' END AS reason
@@ -470,6 +490,15 @@ def _plain_sql() -> dict[str, str]:
                                       [msg_src] + answer_ctes("msgq"))
     out["missing_text"] = with_ctes(ANSWER_BASE + ["msg"], """SELECT event_id, '' AS question, answer, is_unknown
   FROM msg JOIN ans ON ans.question_id = msg.event_id WHERE msg.text IS NULL""", [msg_src] + answer_ctes("msgq"))
+    out["stream_transcripts"] = out["final_only_latest"]
+    body_src = ("bodies", """SELECT event_id, user_id AS chat_id, ts, CASE event_id % 10 WHEN 7 THEN '' WHEN 0 THEN
+  concat('/echo ', event_type) WHEN 5 THEN concat('/echo ', event_type) ELSE event_type END AS question FROM events""")
+    out["stream_fanout"] = with_ctes(ANSWER_BASE, f"""SELECT event_id, chat_id, 'answer' AS kind, answer AS reply, is_unknown
+  FROM bodies JOIN ans ON ans.question_id = bodies.event_id
+  UNION ALL SELECT event_id, chat_id, 'echo', substr(question, 7), false FROM bodies WHERE event_id % 5 = 0
+  UNION ALL SELECT event_id, chat_id, 'error', {lit(K.BOT_ERROR_MESSAGE)}, false FROM bodies WHERE event_id % 10 >= 8""",
+                                     [body_src, ("bodyq", "SELECT event_id AS question_id, question AS text, ts AS as_of FROM "
+                                                          "bodies WHERE event_id % 10 < 8")] + answer_ctes("bodyq"))
     out["stream_answers"] = with_ctes(ANSWER_BASE + ["msg"], """SELECT event_id, chat_id, answer
   FROM msg JOIN ans ON ans.question_id = msg.event_id""", [msg_src] + answer_ctes("msgq"))
     out["stream_unknown"] = with_ctes(ANSWER_BASE + ["msg"], """SELECT (row_number() OVER (ORDER BY arrival, question))::BIGINT

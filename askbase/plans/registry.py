@@ -25,6 +25,7 @@ from askbase.operators import encode as EN
 from askbase.operators import evaluate as EV
 from askbase.operators import gate as G
 from askbase.operators import knowledge as KN
+from askbase.operators import labels as L
 from askbase.operators import routing as R
 from askbase.operators import unknowns as U
 from askbase.operators.menu import daily_menu
@@ -126,7 +127,7 @@ def q_read_qa_records(spark, sf):
 @register("scan_unknown")
 def q_scan_unknown(spark, sf):
     path = scratch_path(spark, "unknown")
-    X.unknown_table(spark, sf).write.mode("overwrite").parquet(path)
+    US.write_unknown(X.unknown_table(spark, sf), path)
     return US.scan_unknown(spark, path)
 
 
@@ -149,10 +150,11 @@ def q_reset_unknown(spark, sf):
     from pyspark import StorageLevel
     path = scratch_path(spark, "unknown-reset")
     unknown = X.unknown_questions(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
-    X.unknown_table(spark, sf, unknown).write.mode("overwrite").parquet(path)
+    US.write_unknown(X.unknown_table(spark, sf, unknown), path)
     US.reset_unknown(spark, path)
     batch = unknown.select(F.col("text").alias("question"), F.col("question_id").alias("arrival"))
     U.log_unknown(spark, batch, path)
+    unknown.unpersist()
     return US.scan_unknown(spark, path)
 
 
@@ -372,9 +374,23 @@ def q_answer_questions_exact(spark, sf):
 @register("answer_questions_trained")
 def q_answer_questions_trained(spark, sf):
     kb = _kb(spark, sf)
-    model, _ = CL.train_on_knowledge_base(kb, max_iter=50)
-    return A.answer_questions(X.questions(spark, sf), kb, R.WEB, predict=CL.model_predictor(model),
-                              menus=X.menus(spark, sf))
+    model, _ = L.retrain(L.ModelStore(spark, scratch_path(spark, "models")), kb, max_iter=50)
+    return A.answer_questions(X.questions(spark, sf), kb, R.WEB, predict=model.predict, menus=X.menus(spark, sf))
+
+
+@register("answer_questions_drifted")
+def q_answer_questions_drifted(spark, sf):
+    """The knowledge base has changed since the model was trained; ids
+    keep the meaning of the model's table, tags that are gone are unknown (J1)."""
+    trained = _kb(spark, sf)
+    return A.answer_questions(X.questions(spark, sf), KN.KnowledgeBase(X.drifted_intents(spark, sf)), R.WEB,
+                              predict=X.fixture_predict(trained.labels), menus=X.menus(spark, sf))
+
+
+@register("extended_labels")
+def q_extended_labels(spark, sf):
+    """The label table of a model trained anew on the changed knowledge base."""
+    return L.extend_labels(L.extend_labels(None, _qa(spark, sf)), KN.flatten_intents(X.drifted_intents(spark, sf)))
 
 
 @register("candidate_prune")

@@ -9,6 +9,7 @@ from askbase.functions.text import token_sort_key
 from askbase.operators import answer as A
 from askbase.operators import gate as G
 from askbase.operators.knowledge import KnowledgeBase
+from askbase.operators.labels import decoded
 from askbase.operators.routing import LOCAL, WEB
 
 INTENTS = [
@@ -28,13 +29,14 @@ def _q(spark, rows):
     return spark.createDataFrame([(i, x, t) for i, x in rows], "question_id long, text string, as_of timestamp_ntz")
 
 
-def _predict_to(label_id):
-    return lambda df: df.withColumn("pred_id", F.lit(label_id))
+def _predict_to(label_id, kb):
+    return decoded(lambda df: df.withColumn("pred_id", F.lit(label_id)), kb.labels)
 
 
 def test_routes_answer_without_gate(spark):
     q = _q(spark, [(1, "Bugünün tarihi ne?"), (2, "saat kaç"), (3, "yarın hangi gün"), (4, "bugün günlerden ne")])
-    out = {r.question_id: r for r in A.answer_questions(q, _kb(spark), WEB, predict=_predict_to(0)).collect()}
+    kb = _kb(spark)
+    out = {r.question_id: r for r in A.answer_questions(q, kb, WEB, predict=_predict_to(0, kb)).collect()}
     assert out[1].answer == "Bugün 31 Aralık 2024 Salı"
     assert out[2].answer == "23:59:58"
     assert out[3].answer == "Yarın 01 Ocak 2025 Çarşamba"
@@ -45,7 +47,7 @@ def test_routes_answer_without_gate(spark):
 def test_gate_classify_and_fallback(spark):
     kb = _kb(spark)
     q = _q(spark, [(1, "merhaba"), (2, "tamamen alakasız bir cümle"), (3, "")])
-    out = {r.question_id: r for r in A.answer_questions(q, kb, WEB, predict=_predict_to(0)).collect()}
+    out = {r.question_id: r for r in A.answer_questions(q, kb, WEB, predict=_predict_to(0, kb)).collect()}
     assert out[1].gate_passed and out[1].tag == "greeting" and out[1].answer in ("Merhaba!", "Selam!")
     assert out[2].answer == K.FALLBACK_ANSWER and out[2].reason == "no_match"
     assert out[3].reason == "no_match"
@@ -54,20 +56,20 @@ def test_gate_classify_and_fallback(spark):
 def test_unknown_tag_and_trailing_blank(spark):
     kb = _kb(spark)
     q = _q(spark, [(1, "merhaba")])
-    r = A.answer_questions(q, kb, WEB, predict=_predict_to(99)).first()
+    r = A.answer_questions(q, kb, WEB, predict=_predict_to(99, kb)).first()
     assert r.tag == "unseen_tag" and r.reason == "unknown_tag" and r.answer == K.FALLBACK_ANSWER
-    r = A.answer_questions(q, kb, WEB, predict=_predict_to(2)).first()
+    r = A.answer_questions(q, kb, WEB, predict=_predict_to(2, kb)).first()
     # the model knows the stripped label; the stored tag keeps its blank -> unknown
     assert r.tag == "padded" and r.reason == "unknown_tag"
-    r = A.answer_questions(q, kb, WEB, predict=_predict_to(2), strip_tags=True).first()
+    r = A.answer_questions(q, kb, WEB, predict=_predict_to(2, kb), strip_tags=True).first()
     assert r.tag == "padded" and not r.is_unknown and r.answer == "Başvuru ekimde."
 
 
 def test_choice_is_repeatable(spark):
     kb = _kb(spark)
     q = _q(spark, [(i, "selam nasılsın") for i in range(40)])
-    a = sorted((r.question_id, r.answer) for r in A.answer_questions(q, kb, WEB, predict=_predict_to(0)).collect())
-    b = sorted((r.question_id, r.answer) for r in A.answer_questions(q, kb, WEB, predict=_predict_to(0)).collect())
+    a = sorted((r.question_id, r.answer) for r in A.answer_questions(q, kb, WEB, predict=_predict_to(0, kb)).collect())
+    b = sorted((r.question_id, r.answer) for r in A.answer_questions(q, kb, WEB, predict=_predict_to(0, kb)).collect())
     assert a == b and {x for _, x in a} == {"Merhaba!", "Selam!"}
 
 
@@ -159,16 +161,16 @@ def test_exact_gate_equals_bruteforce_difflib(spark, sf):
 
 def test_missing_as_of_uses_query_clock(spark):
     q = spark.createDataFrame([(1, "saat kaç"), (2, "bugünün tarihi")], "question_id long, text string")
-    out = {r.question_id: r.answer for r in A.answer_questions(q, _kb(spark), WEB, predict=_predict_to(0)).collect()}
+    out = {r.question_id: r.answer for r in A.answer_questions(q, kb, WEB, predict=_predict_to(0, kb)).collect()}
     assert len(out[1]) == 8 and out[1][2] == ":" and out[2].startswith("Bugün ")
 
 
 def test_answer_one(spark):
     kb = _kb(spark)
     t = dt.datetime(2024, 3, 1, 9, 15, 0)
-    assert A.answer_one(spark, kb, "Saat kaç?", as_of=t, predict=_predict_to(0)) == "09:15:00"
-    assert A.answer_one(spark, kb, "merhaba", as_of=t, predict=_predict_to(0)) in ("Merhaba!", "Selam!")
-    assert A.answer_one(spark, kb, None, as_of=t, predict=_predict_to(0)) == K.FALLBACK_ANSWER
+    assert A.answer_one(spark, kb, "Saat kaç?", as_of=t, predict=_predict_to(0, kb)) == "09:15:00"
+    assert A.answer_one(spark, kb, "merhaba", as_of=t, predict=_predict_to(0, kb)) in ("Merhaba!", "Selam!")
+    assert A.answer_one(spark, kb, None, as_of=t, predict=_predict_to(0, kb)) == K.FALLBACK_ANSWER
 
 
 def test_gate_dedupes_keys_map_side_with_a_hot_question(spark, sf):

@@ -1,8 +1,12 @@
 """Date sentences against datetime; menu extraction against html.parser."""
 
 import datetime as dt
+import random
+import time
 from html.parser import HTMLParser
 
+from pyspark.sql import functions as F
+
 from askbase import constants as K
 from askbase.functions import calendar as D
 from askbase.functions import markup as H
@@ -112,3 +116,67 @@ def test_markup_that_plain_patterns_get_wrong(spark):
     box = df.withColumn("box", H.html_container("html", *K.MENU_CONTAINER))
     got = {r.i: r.rows for r in box.select("i", H.html_rows_cells("box").alias("rows")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(HARD)}
+
+
+class _Tree(HTMLParser):
+    """Elements with their nesting, by the rule that an end tag closes everything back to its own start."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in H.TABLE_NAMES:
+            e = {"tag": tag, "cls": (dict(attrs).get("class") or "").split(), "up": list(self.open), "text": []}
+            self.found.append(e)
+            self.open.append(e)
+
+    def handle_endtag(self, tag):
+        if any(e["tag"] == tag for e in self.open):
+            while self.open.pop()["tag"] != tag:
+                pass
+
+    def handle_data(self, data):
+        for e in self.open:
+            e["text"].append(data)
+
+
+def tree_cells(html):
+    t = _Tree()
+    t.feed(html)
+    t.close()
+    box = next((e for e in t.found if e["tag"] == "table" and "has-background" in e["cls"]), None)
+    if box is None:
+        return None
+    inside = lambda e, up: any(u is up for u in e["up"])
+    rows = [e for e in t.found if e["tag"] == "tr" and inside(e, box)]
+    out = [[s for c in t.found if c["tag"] == "td" and inside(c, r) and (s := "".join(c["text"]).strip())] for r in rows]
+    return [r for r in out if r]
+
+
+def test_malformed_tables_equal_a_tree_parser(spark):
+    rnd = random.Random(7)
+    pieces = ["<table class=has-background>", "<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<td class='a'>", "x", "y ", "<b>z</b>",
+              "</TD >", "<TR\n>"]
+    pages = ["<table class=has-background>" + "".join(rnd.choices(pieces, k=rnd.randrange(2, 40))) for _ in range(400)]
+    pages += ["<p>" + "".join(rnd.choices(pieces, k=20)) for _ in range(100)]
+    pages += ["<table class=has-background><tr><td>a<td>b<tr><td>c</table>d<tr><td>e", "<td><table class='has-background'><tr><td>a</td></td><tr><td>b"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string").repartition(4)
+    box = df.withColumn("box", H.html_container("html", *K.MENU_CONTAINER))
+    got = {r.i: r.rows for r in box.select("i", H.html_rows_cells("box").alias("rows")).collect()}
+    assert got == {i: tree_cells(p) for i, p in enumerate(pages)}
+
+
+def test_reader_is_linear_in_the_rows(spark):
+    def page(n):
+        return ("<table class=has-background>" + "<tr><td>a</td><td>b</td></tr>" * n + "</table>")
+
+    def seconds(n):
+        df = spark.createDataFrame([(n, page(n))], "n int, html string").withColumn("box", H.html_container("html", *K.MENU_CONTAINER))
+        start = time.perf_counter()
+        assert df.select(F.size(H.html_rows_cells("box")).alias("s")).first()["s"] == n
+        return time.perf_counter() - start
+
+    seconds(4000)
+    few, many = min(seconds(4000) for _ in range(3)), min(seconds(32000) for _ in range(2))
+    assert many < 8 * 3 * max(few, 0.2)      # the square would be 64 times

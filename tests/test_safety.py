@@ -3,13 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from askbase.operators import answer as A, unknowns as U
+from askbase.operators import answer as A
 from askbase.operators.routing import WEB
 from askbase.plans import fixtures as X
 from askbase.operators.knowledge import KnowledgeBase
-from askbase.session import scratch_path
+from askbase.operators.labels import decoded
 from askbase.sources.envelopes import parse_requests
-from askbase.sources.unknown_store import scan_unknown
 
 
 def test_answers_need_a_classifier(spark, sf):
@@ -20,35 +19,18 @@ def test_answers_need_a_classifier(spark, sf):
 
 def test_classifier_sees_gate_passed_texts_only(spark, sf):
     kb = KnowledgeBase(X.kb_intents(spark, sf))
+    first = kb.labels.filter("label_id = 0").first()["label"]
 
     def predict(df):
         return df.withColumn("pred_id", F.when(F.length("text") > 0, 0).otherwise(1 << 20).cast("int"))
 
-    out = A.answer_questions(X.questions(spark, sf), kb, WEB, predict=predict, carry=("text",)).collect()
-    first = kb.labels.filter("id = 0").first() if "id" in kb.labels.columns else None
+    out = A.answer_questions(X.questions(spark, sf), kb, WEB, predict=decoded(predict, kb.labels), carry=("text",)).collect()
     assert any(r["gate_passed"] for r in out) and any(not r["gate_passed"] for r in out)
     assert all((r["tag"] is not None) == bool(r["gate_passed"]) for r in out)
-    assert first is None or {r["tag"] for r in out if r["gate_passed"]} == {first["label"] if "label" in first else first[1]}
+    assert {r["tag"] for r in out if r["gate_passed"]} == {first}
     assert all(r["text"] for r in out)
 
 
-def test_unreadable_file_is_no_empty_table(spark, tmp_path):
-    path = scratch_path(spark, "unknown")
-    asked = lambda rows: spark.createDataFrame(rows, "question string, arrival long")
-    U.log_unknown(spark, asked([("a", 1), ("b", 2)]), path)
-    before = sorted(tuple(r) for r in scan_unknown(spark, path).collect())
-    broken = path.removeprefix("file:") + "/part-broken.parquet"
-    with open(broken, "wb") as f:
-        f.write(b"not parquet")
-    with pytest.raises(Exception):
-        U.log_unknown(spark, asked([("b", 3), ("c", 4)]), path)
-    import os
-    os.rename(broken, str(tmp_path / "away"))
-    assert sorted(tuple(r) for r in scan_unknown(spark, path).collect()) == before
-    U.log_unknown(spark, asked([("b", 3), ("c", 4)]), path)
-    assert sorted(r["question"] for r in scan_unknown(spark, path).collect()) == ["a", "b", "c"]
-
-
 def test_requests_that_are_no_single_object_with_a_string(spark):
     bodies = {'{"question": "a"}': ("a", None), '{}': ("", None), '{"question": null}': (None, "null question"),
               '{"question": 5}': (None, "question is not a string"), '{"question": true}': (None, "question is not a string"),

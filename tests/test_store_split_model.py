@@ -142,10 +142,7 @@ def test_final_only_is_stateless_on_a_stream(spark, sf):
     """F5 applied to a streaming DataFrame equals the batch result."""
     from askbase.operators import chat as CH
     from askbase.plans import fixtures as X
-    from askbase.streaming.answers import EVENTS_SCHEMA
-    ev = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
-    utt = ev.select(F.col("user_id").alias("utterance_id"), F.col("event_id").alias("seq"),
-                    (F.col("event_type") == "purchase").alias("is_final"), F.col("event_type").alias("text"))
+    utt = X.as_utterances(X.event_stream(spark, sf, pathGlobFilter="events.parquet"))
     sink = scratch_path(spark, "t-final-stream")
     q = (CH.final_only(utt).writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", scratch_path(spark, "t-final-ckpt")).trigger(availableNow=True).start())
@@ -174,37 +171,3 @@ def test_exact_split_equals_global_rank(spark):
     n_test = -(-5003 // 4)
     want = {r.k: ("test" if r.r < n_test else "train") for r in ranked.collect()}
     assert got == want and sum(v == "test" for v in got.values()) == n_test
-
-
-def test_stream_unknown_over_many_batches_equals_batch(spark, sf):
-    """G7 across several micro-batches (one file each) equals U1 on the whole table."""
-    from askbase.operators import answer as A
-    from askbase.plans import fixtures as X
-    from askbase.operators.routing import WEB
-    from askbase.streaming import answers as SA
-    src = scratch_path(spark, "t-events-split")
-    ev = spark.read.parquet(f"{sf}/events.parquet")
-    for i, (lo, hi) in enumerate([(0, 300), (300, 650), (650, 10 ** 9)]):
-        ev.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi)).coalesce(1) \
-          .write.mode("overwrite").parquet(f"{src}/part{i}")
-    kb = KN.KnowledgeBase(X.kb_intents(spark, sf))
-    menus = X.menus(spark, sf)
-    stream = (spark.readStream.schema(SA.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
-    k = F.col("event_id") % 5
-    text = (F.when(k == 0, F.concat(F.lit("/echo "), F.col("event_type"))).when(k == 1, F.lit(None).cast("string"))
-            .when(k == 2, F.lit("hey /echo a\nb")).otherwise(F.col("event_type")))
-    msgs = stream.select("event_id", F.col("user_id").alias("chat_id"), "ts", text.alias("text"))
-    table = scratch_path(spark, "t-stream-unk")
-    q = SA.stream_unknown(msgs, kb, table, scratch_path(spark, "t-stream-unk-ckpt"),
-                          X.fixture_predict(kb.labels), menus)
-    q.awaitTermination()
-    assert len(q.recentProgress) >= 3
-    got = sorted((r.id, r.question) for r in US.scan_unknown(spark, table).collect())
-    batch_msgs = X.messages(spark, sf)
-    qs = batch_msgs.select(F.col("event_id").alias("question_id"), F.coalesce("text", F.lit("")).alias("text"),
-                           F.col("ts").alias("as_of"))
-    ans = A.answer_questions(qs, kb, WEB, predict=X.fixture_predict(kb.labels), menus=menus, carry=("text",)).filter("is_unknown")
-    first = ans.groupBy("text").agg(F.min("question_id").alias("a")).collect()
-    want = [(i + 1, t) for i, (a, t) in enumerate(sorted((r.a, r.text) for r in first))]
-    assert got == want
