@@ -20,15 +20,16 @@ the smallest id that links reach.
    overlap counts are accumulated n-gram by n-gram, and pairs below the
    size-derived overlap bound are discarded.  Only a forest of links leaves the
    task: rows already reached are not multiplied again.  A block over
-   ``block_sets`` sets or ``block_grams`` n-grams is cut into tiles, and every
-   pair of tiles is a task of its own.
+   ``block_sets`` sets or ``block_grams`` n-grams (32 MB) is cut into tiles, and every
+   pair of tiles is a task of its own; most blocks are one tile, and n-grams are
+   shuffled once for them.
 4. *Components* of the links over classes, then membership of the documents.
 
 Words are runs outside ASCII white space after A-Z are lower-cased; a text
 with fewer words than ``n`` is one n-gram.  Null, empty or blank texts have an
 empty set and link with nothing.  Rows with a null doc_id keep their size, get
-a null component and link nothing.  Repeated rows give a row each.  Extra
-columns are ignored.
+a null component and link nothing.  Repeated rows give a row each; an id with several
+texts has the links of all of them.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,9 +49,10 @@ from askbase.llm.components import connected
 
 N, NEED, PER = 3, 90, 100
 GROWTH = 1.4                     # sizes of a level span this factor
-BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
+BLOCK_SETS, BLOCK_GRAMS = 1 << 14, 1 << 22
 MAX_CHOICES = 24
 CACHE_WORDS = 150_000
+_UPPER, _BLANKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\x20\x09-\x0D]+"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 SIGNED = "doc_id long, n long, hi long, lo long, signatures array<long>"
@@ -240,12 +242,13 @@ def overlaps(grams: list[np.ndarray], need: int, per: int, split: int | None = N
 
 def _multiply(need: int, per: int):
     def run(group):
-        t = group.to_pydict()
-        grams = [np.array(g, np.int64).view(np.uint64) for g in t["grams"]]
-        links = overlaps(grams, need, per) if len(grams) > 1 else []
-        ids = t["doc_id"]
-        return pa.Table.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()),
-                                     pa.array([ids[j] for _, j in links], pa.int64())], names=["a", "b"])
+        t = group.combine_chunks()
+        ids, lists = t.column("doc_id").to_numpy(), t.column("grams").combine_chunks()
+        at = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        grams = [flat[i:j] for i, j in zip(at, at[1:])]
+        links = np.array(overlaps(grams, need, per) if len(grams) > 1 else [], np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(ids[links[:, 0]], pa.int64()), pa.array(ids[links[:, 1]], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -253,25 +256,26 @@ def _multiply(need: int, per: int):
 def _links(docs: DataFrame, blocks: DataFrame, n: int, need: int, per: int, block_sets: int,
            block_grams: int) -> DataFrame:
     def fetch(batches):
-        shingle = Shingler(n)
+        shingle, sent = Shingler(n), set()
         for b in batches:
             for k in range(0, b.num_rows, 128):
                 part = b.slice(k, 128)
                 grams = [shingle(t) for t in part.column(1).to_pylist()]
-                found = [_set_hash(g) if len(g) else (0, 0) for g in grams]
-                out = part.drop_columns(["text"])
+                # a repeated id can have other texts: the class's own count; and of equal rows one a task is enough
+                own, keep = zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()), []
+                for i, (doc_id, hi, lo) in enumerate(own):
+                    if len(grams[i]) and (hi, lo) == _set_hash(grams[i]) and (doc_id, hi, lo) not in sent:
+                        sent.add((doc_id, hi, lo))
+                        keep.append(i)
+                out = part.drop_columns(["text", "hi", "lo"]).take(pa.array(keep, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [*out.columns, pa.array([h for h, _ in found], pa.int64()), pa.array([z for _, z in found], pa.int64()),
-                     pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))],
-                    names=[*out.schema.names, "own_hi", "own_lo", "grams"])
+                    [*out.columns, pa.array([grams[i].view(np.int64) for i in keep], pa.list_(pa.int64()))],
+                    names=[*out.schema.names, "grams"])
 
     wanted = blocks.select(F.col("rep").alias("doc_id"), "hi", "lo", "block", "sets", F.col("grams").alias("total"))
     rows = docs.select("doc_id", "text").join(sized(wanted, 80), "doc_id").select(
         "doc_id", "text", "hi", "lo", "block", "sets", "total")
-    rows = rows.mapInArrow(fetch, "doc_id long, hi long, lo long, block long, sets long, total long, "
-                                  "own_hi long, own_lo long, grams array<long>")
-    # a repeated id can have other texts: only the class's own counts, once
-    rows = rows.filter("hi = own_hi and lo = own_lo").dropDuplicates(["doc_id"])
+    rows = rows.mapInArrow(fetch, "doc_id long, block long, sets long, total long, grams array<long>")
     tiles = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("total") / block_grams)).cast("int")
     rows = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     # a task per pair of tiles; tiles of one are the block itself
@@ -301,7 +305,20 @@ def jaccard_components(docs: DataFrame, n: int = N, need: int = NEED, per: int =
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document per component: the one whose id names it."""
+    """``docs`` with one document per component: the one whose id names it.
+
+    Of several rows with that id one stays (the smallest text); rows without an id stay
+    apart from all others, one of each sequence of words.
+    """
     found = jaccard_components(docs, **options)
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(sized(gone, 16), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(sized(gone, 16), "doc_id", "left_anti").select(*docs.columns)
+    often = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    often = sized(written(often, "repeated"), 16)
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("_row")
+    once = left.join(often, "doc_id", "left_semi").select(*docs.columns).groupBy("doc_id").agg(first).select("_row.*")
+    words = F.split(F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), _UPPER, _UPPER.lower()), _BLANKS, " ")), " ")
+    bare = left.filter("doc_id is null").groupBy(F.xxhash64(F.lit(1), words).alias("_a"), F.xxhash64(F.lit(2), words).alias("_b")).agg(
+        first).select("_row.*")
+    rest = left.filter("doc_id is not null").join(often, "doc_id", "left_anti").select(*docs.columns)
+    return rest.unionByName(once).unionByName(bare)

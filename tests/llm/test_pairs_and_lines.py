@@ -97,6 +97,18 @@ def test_components_edge_cases(spark):
     assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_an_id_with_several_texts_keeps_the_links_of_all(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (5, "x y z w"), (5, "x y z w"), (9, "other words here")]
+    rows += [(None, "Null  id"), (None, "null id"), (None, None), (None, ""), (4, "null id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (5, 5), (9, 9), (4, 4), (None, None)}
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs).collect()), key=repr)
+    assert len(kept) == 6 and [k for k in kept if k[0] == 5] == [(5, "x y z w")] and (1, a) in kept
+    assert sum(i is None for i, _ in kept) == 2
+
+
 def test_connected_on_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (300, 300), (None, 4)]
     got = {r["node"]: r["component"] for r in cc.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
