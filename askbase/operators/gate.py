@@ -13,12 +13,16 @@ Plan shape, chosen for very many questions against a bounded pattern set:
    the condition is ordered cheap-to-expensive (equality, length bound, bag
    bound, exact LCS score), and the semi join stops at the first hit.  Both
    bounds are >= the LCS score, so pruning never loses a match (M4).
-3. Over the budget nothing is broadcast: the two sides meet in an equi-join on
-   blocking keys that lose no match.  A pair that reaches the threshold shares
-   at least a known number of (character, occurrence) tokens, so the *prefixes*
-   of both sides, in one order of all tokens, share a token; and the lengths of
-   such a pair lie in neighbouring length bands.  The keys are (token, band); a
-   pair is tested under the first token that its prefixes share, so once.
+3. Over the budget the loop of the reference is kept, with its early exit: at thresholds
+   this low a question passes *some* pattern soon if there are many.  Slices of the patterns
+   that grow (and fit a row each) are tried in turn, and only the keys that no slice has
+   passed go on (``SLICES``).  What is left after the last slice meets the remaining
+   patterns in an equi-join on blocking keys that lose no match: a pair that reaches
+   the threshold shares at least a known number of (character, occurrence) tokens, so the
+   *prefixes* of both sides share a token, in an order of all tokens by how
+   few pattern keys hold them (measured); and the lengths of such a pair lie in neighbouring
+   length bands.  The keys are (token, band); a pair is tested under the first
+   token that its prefixes share, so once.
 4. The verdict per key is joined back to the questions (AQE splits a hot key).
 """
 
@@ -31,6 +35,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from askbase.functions import similarity as S
 from askbase.functions.text import token_sort_key
+from askbase.operators.indexing import dense_index
+from askbase.operators.sizing import sized_broadcast
+from askbase.session import scratch_path
 
 # Pattern-side broadcast budget; a cluster can raise it per session.
 BROADCAST_CONF = "askbase.gate.broadcastBytes"
@@ -39,12 +46,28 @@ DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Ratio of the upper to the lower end of a length band of the blocked join.
 BAND = 1.5
+# Patterns that are tried one after the other before the blocked join, slice by slice: where each ends.
+SLICES = (64, 512, 4096, 16384)
 
 
 @dataclass
 class PatternIndex:
-    df: DataFrame          # pkey, plen, pnw, pmasks, pinit, pbag, first_pos, first_pattern
-    broadcast: bool        # small enough to broadcast; else the blocked join
+    df: DataFrame          # pkey, plen, pnw, pmasks, pinit, pbag, first_pos, first_pattern[, rank]
+    broadcast: bool        # small enough to broadcast; else slices and the blocked join
+    rarity: DataFrame | None = None      # token -> order, over the budget
+
+    def sliced(self) -> PatternIndex:
+        """With ``rank`` in document order and the order of tokens by rarity, written once."""
+        if self.rarity is None:
+            spark = self.df.sparkSession
+            path = scratch_path(spark, "patterns")
+            dense_index(self.df, [F.col("first_pos"), F.col("pkey")], "rank").write.parquet(path)
+            self.df = spark.read.parquet(path)
+            tokens = self.df.select(F.explode(_tokens("pbag")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+            path = scratch_path(spark, "tokens")
+            dense_index(tokens, [F.col("n"), F.col("t")], "ord").select("t", F.col("ord").cast("int").alias("ord")).write.parquet(path)
+            self.rarity = spark.read.parquet(path)
+        return self
 
 
 def question_features(keys: DataFrame, key_col: str = "qkey") -> DataFrame:
@@ -124,16 +147,23 @@ def _least_share(threshold: int) -> float:
     return r / (1 - r)
 
 
-def _prefix(bag: str, length: str, threshold: int) -> Column:
-    """The first tokens (character, occurrence) of a key: one more than may be
-    missing from a pair that reaches the threshold.  Later occurrences come
-    first, as fewer keys hold them.  The empty key has one token of its own."""
-    tokens = F.flatten(F.transform(F.map_entries(bag), lambda e: F.transform(
-        F.sequence(F.lit(1), e["value"]), lambda o: F.struct(o.alias("o"), e["key"].alias("c")))))
+def _tokens(bag: str) -> Column:
+    """Tokens (character, occurrence) of a key; the empty key has one of its own."""
+    t = F.flatten(F.transform(F.map_entries(bag), lambda e: F.transform(
+        F.sequence(F.lit(1), e["value"]), lambda o: F.concat(e["key"], o.cast("string")))))
+    return F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("")))
+
+
+def _prefixed(keys: DataFrame, key: str, bag: str, length: str, rarity: DataFrame, threshold: int, out: str) -> DataFrame:
+    """``keys`` with the prefix of each key in ``out``: its rarest tokens, one more than may be
+    missing from a pair that reaches the threshold.  A token that no pattern has comes first."""
+    t = keys.select(key, length, F.explode(_tokens(bag)).alias("t")).join(sized_broadcast(rarity), "t", "left")
     least = F.greatest(F.lit(1), F.ceil(F.col(length) * _least_share(threshold) - 1e-9))
-    names = F.transform(F.sort_array(tokens, asc=False), lambda t: F.concat(t["c"], t["o"].cast("string")))
-    return F.when(F.col(length) == 0, F.array(F.lit(""))).otherwise(
-        F.slice(names, 1, (F.col(length) - least + 1).cast("int")))
+    t = t.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("ord", F.lit(-1)).alias("o"), "t"))).alias("_s"),
+                           F.first(length).alias(length))
+    t = t.select(key, F.slice(F.transform("_s", lambda x: x["t"]), 1,
+                              F.greatest(F.lit(1), F.col(length) - least + 1).cast("int")).alias(out))
+    return keys.join(t, key)
 
 
 def _band(length: Column) -> Column:
@@ -146,16 +176,79 @@ def _theta(left: DataFrame, index: PatternIndex, cond: Column, how: str, thresho
     block that holds a match."""
     if index.broadcast:
         return left.join(F.broadcast(index.df), cond, how)
+    index = index.sliced()
+    return _blocked(left, index.df, index.rarity, cond, how, threshold)
+
+
+def _blocked(left: DataFrame, patterns: DataFrame, rarity: DataFrame, cond: Column, how: str, threshold: int) -> DataFrame:
     k = _least_share(threshold)
     n = F.col("qlen")
-    q = left.withColumn("_qp", _prefix("qbag", "qlen", threshold)).withColumn("_qt", F.explode("_qp"))
+    q = _prefixed(left, "qkey", "qbag", "qlen", rarity, threshold, "_qp").withColumn("_qt", F.explode("_qp"))
     q = q.withColumn("_qb", F.explode(F.sequence(_band(F.floor(n * k) - 1), _band(F.ceil(n / k) + 1))))
-    p = index.df.withColumn("_pp", _prefix("pbag", "plen", threshold)).withColumn("_pt", F.explode("_pp"))
+    p = _prefixed(patterns, "pkey", "pbag", "plen", rarity, threshold, "_pp").withColumn("_pt", F.explode("_pp"))
     p = p.withColumn("_pb", _band(F.col("plen")))
     first = F.element_at(F.array_intersect("_qp", "_pp"), 1) == F.col("_qt")
     return q.join(p, (F.col("_qt") == F.col("_pt")) & (F.col("_qb") == F.col("_pb")) & first & cond, how)
 
 
+def _slices(index: PatternIndex):
+    """(lo, hi, packed patterns) of growing slices in document order; then what is left as (lo, None, table).
+
+    A slice that would not fit the broadcast budget is not packed: the rest starts there."""
+    spark = index.df.sparkSession
+    budget = int(spark.conf.get(BROADCAST_CONF, str(DEFAULT_BROADCAST_BYTES)))
+    lo = 0
+    for hi in SLICES:
+        part = index.df.filter((F.col("rank") >= lo) & (F.col("rank") < hi))
+        size = size_index(part, budget)
+        if not size.broadcast:
+            break
+        yield lo, hi, pack_index(size)
+        lo = hi
+    yield lo, None, index.df.filter(F.col("rank") >= lo)
+
+
+def _in_turn(feats: DataFrame, index: PatternIndex, threshold: int, best: bool) -> DataFrame:
+    """``qkey`` and, if ``best``, the first passing pattern as ``m`` (pattern, score), slice by slice."""
+    spark, index = feats.sparkSession, index.sliced()
+    found, open_ = [], feats
+    passes = _passes_sql(threshold)
+    for lo, hi, patterns in _slices(index):
+        if hi is None:
+            if best:
+                score = S.indel_score("qkey", "qlen", "qchars", "pkey", "plen", "pnw", "pmasks", "pinit")
+                cond = (F.col("qkey") == F.col("pkey")) | _bound_cond(threshold)
+                pairs = _blocked(open_, patterns, index.rarity, cond, "inner", threshold)
+                pairs = pairs.select("qkey", "first_pos", "first_pattern", score.alias("score"))
+                last = pairs.groupBy("qkey").agg(F.min_by(
+                    F.struct(F.col("first_pattern").alias("pattern"), "score"),
+                    F.when(F.col("score") >= int(threshold), F.col("first_pos"))).alias("m")).filter(F.col("m").isNotNull())
+            else:
+                last = _blocked(open_, patterns, index.rarity, _pair_cond(threshold), "left_semi", threshold).select("qkey").distinct()
+            found.append(last)
+            break
+        met = open_.withColumn("_all", F.lit(0)).join(F.broadcast(patterns), "_all", "left").drop("_all")
+        hit = f"try_element_at(filter(_patterns, p -> {passes}), 1)" if best else f"exists(_patterns, p -> {passes})"
+        path = scratch_path(spark, "gate")
+        met.withColumn("_hit", F.expr(hit)).drop("_patterns").write.parquet(path)
+        met = spark.read.parquet(path)
+        if best:
+            pat = F.col("_hit")
+            score = S.indel_score("qkey", "qlen", "qchars", "_hit.pkey", "_hit.plen", "_hit.pnw", "_hit.pmasks", "_hit.pinit")
+            found.append(met.filter(pat.isNotNull()).select("qkey", F.struct(
+                F.col("_hit.first_pattern").alias("pattern"), score.alias("score")).alias("m")))
+            open_ = met.filter(pat.isNull()).drop("_hit")
+        else:
+            found.append(met.filter(F.coalesce("_hit", F.lit(False))).select("qkey"))
+            open_ = met.filter(~F.coalesce("_hit", F.lit(False))).drop("_hit")
+        if open_.isEmpty():
+            break
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def passing_keys(qkeys: DataFrame, index: PatternIndex, threshold: int, bounds: bool = True,
                  metric: str = "indel") -> DataFrame:
     """M3 over distinct keys: the question keys for which some pattern passes.
@@ -169,8 +262,9 @@ def passing_keys(qkeys: DataFrame, index: PatternIndex, threshold: int, bounds:
         cand = _theta(feats, index, _pair_cond(threshold, bounds), "inner", threshold).select("qkey", "pkey")
         ok = cand.filter(S.exact_score("pkey", "qkey") >= int(threshold))
         return ok.select("qkey").distinct()
-    out = _theta(feats, index, _pair_cond(threshold, bounds), "left_semi", threshold).select("qkey")
-    return out if index.broadcast else out.distinct()
+    if not index.broadcast:
+        return _in_turn(feats, index, threshold, best=False)
+    return _theta(feats, index, _pair_cond(threshold, bounds), "left_semi", threshold).select("qkey")
 
 
 def fuzzy_gate(questions: DataFrame, index: PatternIndex, threshold: int,
@@ -186,8 +280,21 @@ def pack_index(index: PatternIndex) -> DataFrame:
     """The pattern side as one row for ``row_gate``: only where it fits the broadcast budget."""
     if not index.broadcast:
         raise ValueError(f"the pattern index exceeds {BROADCAST_CONF}: it cannot be packed into a row")
-    p = index.df.select("pkey", "plen", "pnw", "pmasks", "pinit", "pbag")
-    return p.agg(F.collect_list(F.struct(*p.columns)).alias("_patterns")).withColumn("_all", F.lit(0))
+    p = index.df.select("first_pos", "pkey", "plen", "pnw", "pmasks", "pinit", "pbag", "first_pattern")
+    # in document order, by the position alone: maps cannot be compared
+    rows = p.select(F.collect_list(F.struct(*p.columns)).alias("r"))
+    order = "array_sort(r, (a, b) -> CASE WHEN a.first_pos < b.first_pos THEN -1 WHEN a.first_pos > b.first_pos THEN 1 ELSE 0 END)"
+    return rows.select(F.expr(order).alias("_patterns"), F.lit(0).alias("_all"))
+
+
+def _passes_sql(threshold: int) -> str:
+    """The gate's condition on a question's features and a packed pattern ``p``, cheap tests first."""
+    t = int(threshold)
+    length = S.ratio_sql("least(qlen, p.plen)", "qlen + p.plen")
+    bag = S.ratio_sql(S.bag_common_sql("qbag", "p.pbag"), "qlen + p.plen")
+    lcs = S.lcs_sql("qchars", "p.plen", "p.pnw", "p.pmasks", "p.pinit")
+    return (f"qkey = p.pkey OR ({length} >= {t} AND {bag} >= {t} AND "
+            f"least(qlen, p.plen) > 0 AND {S.ratio_sql(lcs, 'qlen + p.plen')} >= {t})")
 
 
 def row_gate(questions: DataFrame, packed: DataFrame, threshold: int, ask: Column, text_col: str = "text") -> DataFrame:
@@ -196,12 +303,7 @@ def row_gate(questions: DataFrame, packed: DataFrame, threshold: int, ask: Colum
     No aggregation and no state: every row meets the broadcast pattern array and
     leaves it at the first pattern that passes, like the reference's loop.
     """
-    t = int(threshold)
-    length = S.ratio_sql("least(qlen, p.plen)", "qlen + p.plen")
-    bag = S.ratio_sql(S.bag_common_sql("qbag", "p.pbag"), "qlen + p.plen")
-    lcs = S.lcs_sql("qchars", "p.plen", "p.pnw", "p.pmasks", "p.pinit")
-    passes = (f"qkey = p.pkey OR ({length} >= {t} AND {bag} >= {t} AND "
-              f"least(qlen, p.plen) > 0 AND {S.ratio_sql(lcs, 'qlen + p.plen')} >= {t})")
+    passes = _passes_sql(threshold)
     q = questions.withColumn("qkey", F.when(ask, token_sort_key(F.lower(F.col(text_col)))))
     q = q.withColumn("qlen", F.length("qkey")).withColumn("qchars", S.chars_of("qkey")).withColumn("qbag", S.char_bag("qkey"))
     q = q.withColumn("_all", F.lit(0)).join(F.broadcast(packed), "_all", "left")
@@ -222,6 +324,9 @@ def first_match(questions: DataFrame, index: PatternIndex, threshold: int,
     threshold, with its score; questions with no match are absent."""
     q = questions.withColumn("qkey", token_sort_key(F.lower(F.col(text_col))))
     feats = question_features(q.select("qkey").distinct())
+    if not index.broadcast:
+        best = _in_turn(feats, index, threshold, best=True)
+        return q.join(best, "qkey").select(*questions.columns, "m.pattern", "m.score")
     score = S.indel_score("qkey", "qlen", "qchars", "pkey", "plen", "pnw", "pmasks", "pinit")
     cond = (F.col("qkey") == F.col("pkey")) | _bound_cond(threshold)
     # scored once per pair, behind the bounds; the best pair is kept as the pairs

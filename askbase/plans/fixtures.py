@@ -189,6 +189,30 @@ def fixture_predict(labels: DataFrame, seed: str = "7") -> Callable[[DataFrame],
     return decoded(predict, labels)
 
 
+def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules table: a piece of every part name, one to twelve letters from one of its first
+    four, for one of two profiles; the part is the priority and its type the route."""
+    p = read_table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    piece = F.lower(F.substring("p_name", (key % 4 + 1).cast("int"), (key % 12 + 1).cast("int")))
+    return p.select(F.when(key % 2 == 0, F.lit("even")).otherwise(F.lit("odd")).alias("profile"), key.cast("int").alias("priority"),
+                    F.col("p_type").alias("route"), piece.alias("phrase"))
+
+
+def many_keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A knowledge base of one intent per type whose patterns are all its distinct (name, brand, size)
+    texts, and questions that are such texts of other parts, changed."""
+    p = read_table(spark, sf_dir, "part")
+    text = F.concat_ws(" ", "p_name", F.lower("p_brand"), F.concat(F.lit("s"), F.col("p_size")))
+    from askbase.operators.indexing import dense_index
+    g = p.filter(F.col("p_partkey") % 2 == 0).groupBy(F.col("p_type").alias("tag")).agg(F.sort_array(F.collect_set(text)).alias("patterns"))
+    intents = dense_index(g, [F.col("tag")], "intent_pos").select(
+        F.col("intent_pos").cast("int").alias("intent_pos"), "tag", "patterns", F.array(F.lit("x")).alias("responses"), F.lit("").alias("context_set"))
+    k = F.col("p_partkey") % 6
+    asked = (F.when(k == 1, F.reverse(text)).when(k == 3, F.concat(text, F.lit(" nedir acaba"))).otherwise(F.md5(text)))
+    return intents, p.filter(F.col("p_partkey") % 2 == 1).select(F.col("p_partkey").alias("question_id"), asked.alias("text"))
+
+
 def drifted_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KB some time after training: a tag new at the front, the third one gone."""
     kb = kb_intents(spark, sf_dir)

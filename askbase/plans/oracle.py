@@ -339,6 +339,14 @@ def _plain_sql() -> dict[str, str]:
         "route_profiles": with_ctes(["q"], f"""SELECT question_id, 'web' AS profile, {route('lower(text)', 'web')} AS route,
   {K.THRESHOLD_WEB} AS threshold FROM q UNION ALL SELECT question_id, 'local', {route('lower(text)', 'local')},
   {K.THRESHOLD_LOCAL} FROM q"""),
+        "route_rules": with_ctes(["q"], """SELECT question_id, profile, arg_min(route, (priority, phrase)) AS route,
+  min(priority) AS priority, arg_min(phrase, (priority, phrase)) AS phrase FROM (SELECT question_id, p.profile, priority, route, phrase
+  FROM q CROSS JOIN (SELECT DISTINCT profile FROM rules) p LEFT JOIN rules r
+  ON r.profile = p.profile AND contains(lower(q.text), r.phrase)) GROUP BY question_id, profile""", [
+            ("rules", """SELECT CASE WHEN p_partkey % 2 = 0 THEN 'even' ELSE 'odd' END AS profile, p_partkey::INTEGER AS priority,
+  p_type AS route, lower(substr(p_name, (p_partkey % 4 + 1)::INTEGER, (p_partkey % 12 + 1)::INTEGER)) AS phrase FROM part""")]),
+        "route_rules_built_in": with_ctes(["q"], f"""SELECT question_id, 'web' AS profile, {route('lower(text)', 'web')} AS route
+  FROM q UNION ALL SELECT question_id, 'local', {route('lower(text)', 'local')} FROM q"""),
         "nonempty_input": with_ctes(["chat"], "SELECT * FROM chat WHERE text <> '' AND turn % 5 <> 4"),
         "final_only": with_ctes(["utter"], "SELECT utterance_id, seq, text FROM utter WHERE is_final"),
         "final_only_latest": with_ctes(["utter"], "SELECT utterance_id, arg_max(text, seq) AS text, max(seq) AS seq "

@@ -27,6 +27,8 @@ from askbase.operators import gate as G
 from askbase.operators import knowledge as KN
 from askbase.operators import labels as L
 from askbase.operators import routing as R
+from askbase.operators import rules as RT
+from askbase.operators import training as TR
 from askbase.operators import unknowns as U
 from askbase.operators.menu import daily_menu
 from askbase.plans import fixtures as X
@@ -240,6 +242,18 @@ def q_route_profiles(spark, sf):
     return R.route_profiles(X.questions(spark, sf)).select("question_id", "profile", "route", "threshold")
 
 
+@register("route_rules")
+def q_route_rules(spark, sf):
+    """F1-F3 with a rules table of thousands of phrases: parts of every part name."""
+    return RT.route_by_rules(X.questions(spark, sf), X.phrase_rules(spark, sf))
+
+
+@register("route_rules_built_in")
+def q_route_rules_built_in(spark, sf):
+    """The reference's own rules as a table give the routes of F3."""
+    return RT.route_by_rules(X.questions(spark, sf), RT.built_in_rules(spark)).select("question_id", "profile", "route")
+
+
 @register("nonempty_input")
 def q_nonempty_input(spark, sf):
     return C.nonempty_input(X.blank_turns(X.chat(spark, sf)))
@@ -353,6 +367,16 @@ def q_fuzzy_gate(spark, sf):
     return outs[0].unionByName(outs[1])
 
 
+@register("fuzzy_gate_many")
+def q_fuzzy_gate_many(spark, sf):
+    """M3 and M5 over many distinct keys with a pattern side beyond its broadcast budget (1 MB here)."""
+    intents, questions = X.many_keys(spark, sf)
+    idx = G.build_pattern_index(intents, max_bytes=1 << 20, persist=False)
+    passed = G.fuzzy_gate(questions, idx, K.THRESHOLD_WEB).select("question_id", "gate_passed")
+    first = G.first_match(questions, idx, K.THRESHOLD_WEB).select("question_id", "pattern", "score")
+    return passed.join(first, "question_id", "left")
+
+
 @register("fuzzy_gate_exact")
 def q_fuzzy_gate_exact(spark, sf):
     kb = _kb(spark, sf)
@@ -564,6 +588,19 @@ def q_train_classifier(spark, sf):
                     good.alias("accurate"))
 
 
+@register("train_best_checkpoint")
+def q_train_best_checkpoint(spark, sf):
+    """C1 in steps: the held-out loss of every evaluation, the step that A6 keeps, and its accuracy."""
+    data = EV.train_test_split(_chat_labelled(spark, sf), _chat_key())
+    settings = TR.Settings(classes=3, steps=100)
+    sides = [TR.examples(data.filter(F.col("split") == s), settings) for s in ("train", "test")]
+    saved = TR.train(*sides, scratch_path(spark, "steps"), settings)
+    best = EV.best_checkpoint(saved.history()).first()["step"]
+    hits = TR.predict(sides[1], saved.load(best)[0]).select(F.avg((F.col("label") == F.col("pred")).cast("double"))).first()[0]
+    return saved.history().withColumn("best", F.col("step") == best).withColumn(
+        "accuracy", F.when(F.col("best"), F.lit(hits)))
+
+
 @register("eval_summary")
 def q_eval_summary(spark, sf):
     """A7 against the same figures taken from the confusion counts (A5), class by class."""
@@ -593,17 +630,16 @@ def q_eval_summary(spark, sf):
 @register("save_load_model")
 def q_save_load_model(spark, sf):
     model, test = _fit_chat(spark, sf)
-    path = scratch_path(spark, "model")
     labels = X.chat(spark, sf).select(X.chat_class().alias("label_id"), F.col("role").alias("tag"),
                                       F.col("role").alias("label")).distinct()
-    CL.save_model(model, path, labels)
-    again = CL.load_model(path)
-    names = CL.load_labels(spark, path).select(F.col("label_id").alias("pred"), F.col("tag").alias("pred_role"))
+    store = L.ModelStore(spark, scratch_path(spark, "model"))
+    store.save(model, labels)
+    again = store.load()
     # both models score the same row side by side; nothing is joined back
     both = CL.predict(model, test).withColumnRenamed("pred", "pred_saved").drop("probs")
-    both = CL.predict(again, both).join(names, "pred", "left")
-    return both.select("conv_id", "turn", (F.col("pred_saved") == F.col("pred")).alias("same"),
-                       F.col("pred_role").isNotNull().alias("named"))
+    both = again.predict(both)
+    return both.select("conv_id", "turn", (F.col("pred_saved") == F.col("pred_id")).alias("same"),
+                       (F.col("pred_tag") != "unseen_tag").alias("named"))
 
 
 @register("softmax_scores")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from askbase import constants as K
@@ -102,8 +103,10 @@ def test_pruned_gate_equals_unpruned(spark, sf):
         assert a == b
 
 
-def test_blocked_join_equals_broadcast(spark, sf):
-    """Over the budget: an equi-join without a nested loop, and the same results."""
+@pytest.mark.parametrize("slices", [(), (8, 20), G.SLICES])
+def test_gate_over_the_budget_equals_broadcast(spark, sf, slices, monkeypatch):
+    """Over the budget: slices with an early exit, then an equi-join; no nested loop, and the same results."""
+    monkeypatch.setattr(G, "SLICES", slices)
     from askbase.plans import fixtures as X
     kb = KnowledgeBase(X.kb_intents(spark, sf))
     extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(
@@ -160,6 +163,7 @@ def test_exact_gate_equals_bruteforce_difflib(spark, sf):
 
 
 def test_missing_as_of_uses_query_clock(spark):
+    kb = _kb(spark)
     q = spark.createDataFrame([(1, "saat kaç"), (2, "bugünün tarihi")], "question_id long, text string")
     out = {r.question_id: r.answer for r in A.answer_questions(q, kb, WEB, predict=_predict_to(0, kb)).collect()}
     assert len(out[1]) == 8 and out[1][2] == ":" and out[2].startswith("Bugün ")
