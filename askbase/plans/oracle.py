@@ -307,6 +307,7 @@ def _plain_sql() -> dict[str, str]:
         "read_intents": with_ctes(["kb"], _intents_scalar("kb")),
         "read_intents_document": with_ctes(["kb"], _intents_scalar("kb")),
         "read_intents_files": with_ctes(["kb"], _intents_scalar("kb")),
+        "read_intents_split": with_ctes(["kb"], _intents_scalar("kb")),
         "read_qa_array": with_ctes(["qa"], """SELECT "Pattern", "Tag", "Response", (row_number() OVER (
   PARTITION BY intent_pos ORDER BY pattern_pos, response_pos) - 1)::INTEGER AS record_pos FROM qa"""),
         "write_qa_records": with_ctes(["qa"], qa_cols),
@@ -563,6 +564,21 @@ def oracle_sql() -> dict[str, str]:
   GROUP BY conv_id, turn"""),
         ("sbase", "SELECT h.conv_id, h.turn, coalesce(sids.ids, []::BIGINT[]) AS ids FROM held h "
                   "LEFT JOIN sids USING (conv_id, turn)")])
+    counted = [held, ("words", """SELECT token, label, count(*) AS n FROM (SELECT unnest(toks) AS token, CASE role WHEN 'user'
+  THEN 0 WHEN 'bot' THEN 1 ELSE 2 END AS label FROM tokens JOIN chat USING (conv_id, turn) ANTI JOIN held USING (conv_id, turn))
+  GROUP BY token, label"""),
+               ("classes", """SELECT label, count(*) AS n_rows, (SELECT coalesce(sum(n), 0) FROM words w WHERE w.label = c.label) AS n_words
+  FROM (SELECT CASE role WHEN 'user' THEN 0 WHEN 'bot' THEN 1 ELSE 2 END AS label FROM chat ANTI JOIN held USING (conv_id, turn)) c
+  GROUP BY label"""),
+               ("scores", """SELECT t.conv_id, t.turn, c.label AS pred, round(ln(c.n_rows / (SELECT sum(n_rows) FROM classes))
+  + coalesce((SELECT sum(ln(w.n + 1.0::DOUBLE)) FROM (SELECT unnest(t.toks) AS token) x JOIN words w ON w.token = x.token AND w.label = c.label), 0)
+  - len(t.toks) * ln(c.n_words + (SELECT count(DISTINCT token) FROM words) + 1.0::DOUBLE), 9) AS score
+  FROM tokens t SEMI JOIN held USING (conv_id, turn) CROSS JOIN classes c"""),
+               ("guess", """SELECT held.conv_id, held.turn, held.label, arg_min(pred, (-score, pred)) AS pred, max(score) AS score
+  FROM held JOIN scores USING (conv_id, turn) GROUP BY ALL""")]
+    out["train_count_model"] = with_ctes(["tokens"], "SELECT conv_id, turn, label, pred, round(score, 6) AS score FROM guess", counted)
+    out["eval_count_model"] = with_ctes(["tokens"], out["macro_prf"][out["macro_prf"].index("SELECT round(sum(tp)"):].replace(
+        "FROM pred", "FROM guess"), counted)
     # what any right classifier gives on the held-out rows
     out["train_classifier"] = with_ctes(["chat"], """SELECT conv_id, turn, label, true AS in_label_set, true AS accurate
   FROM held""", [held])

@@ -21,6 +21,7 @@ from askbase.functions.stemming import stem_text
 from askbase.operators import answer as A
 from askbase.operators import chat as C
 from askbase.operators import classify as CL
+from askbase.operators import count_model as CM
 from askbase.operators import encode as EN
 from askbase.operators import evaluate as EV
 from askbase.operators import gate as G
@@ -102,6 +103,14 @@ def q_read_intents_files(spark, sf):
     return _intents_scalar(SI.read_intents(spark, path, "document"))
 
 
+@register("read_intents_split")
+def q_read_intents_split(spark, sf):
+    """S1 for documents of any size: read by lines, split over tasks."""
+    path = scratch_path(spark, "intents-files")
+    SI.write_intents(X.kb_intents(spark, sf), path, "document")
+    return _intents_scalar(SI.read_intents(spark, path, "split"))
+
+
 @register("read_qa_array")
 def q_read_qa_array(spark, sf):
     """S2 / S3 in the reference's form: indented arrays of records."""
@@ -588,6 +597,31 @@ def q_train_classifier(spark, sf):
                     good.alias("accurate"))
 
 
+def _count_predictions(spark, sf, reload: bool = False):
+    data = EV.train_test_split(_chat_labelled(spark, sf), _chat_key())
+    model = CM.fit(data.filter(F.col("split") == "train"))
+    if reload:
+        path = scratch_path(spark, "count-model")
+        model.save(path)
+        model = CM.CountModel.load(spark, path)
+    test = data.filter(F.col("split") == "test")
+    pred = CM.predict(model, test, ["conv_id", "turn"])
+    return test.select("conv_id", "turn", F.col("label").cast("int").alias("label")).join(pred, ["conv_id", "turn"])
+
+
+@register("train_count_model")
+def q_train_count_model(spark, sf):
+    """C1 with the model of word counts: the class of every held-out turn and its score."""
+    return _count_predictions(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@register("eval_count_model")
+def q_eval_count_model(spark, sf):
+    """The metrics of that model, saved and loaded again (S11), on the held-out turns."""
+    m = EV.metrics(_count_predictions(spark, sf, reload=True))
+    return m.select(*[F.round(c, 9).alias(c) for c in ("Accuracy", "F1", "Precision", "Recall")])
+
+
 @register("train_best_checkpoint")
 def q_train_best_checkpoint(spark, sf):
     """C1 in steps: the held-out loss of every evaluation, the step that A6 keeps, and its accuracy."""

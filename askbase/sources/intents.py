@@ -36,6 +36,9 @@ def read_intents(spark: SparkSession, path: str, layout: str = "lines") -> DataF
     """
     if layout == "lines":
         return spark.read.schema(LINE_SCHEMA).json(path)
+    if layout == "split":        # the document layout, however large a file: many tasks read it
+        from askbase.sources.split_document import read_intents_document
+        return read_intents_document(spark, path)
     if layout == "documents":
         d = spark.read.schema(CHUNK_SCHEMA).json(path)
         x = d.select("offset", F.posexplode("intents").alias("_pos", "i"))

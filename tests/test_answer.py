@@ -201,3 +201,18 @@ def test_lookups_plan_as_broadcast_joins(spark, sf):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, name
+
+
+def test_many_keys_beyond_the_budget_equal_broadcast(spark, sf):
+    """`fuzzy_gate_many`: the verdicts and first matches of the broadcast gate, and far fewer pairs than keys x patterns left to the join."""
+    from askbase.plans import fixtures as X
+    from askbase.plans.registry import queries
+    intents, q = X.many_keys(spark, sf)
+    whole = G.build_pattern_index(intents, persist=False)
+    assert whole.broadcast
+    a = G.fuzzy_gate(q, whole, K.THRESHOLD_WEB).select("question_id", "gate_passed")
+    a = a.join(G.first_match(q, whole, K.THRESHOLD_WEB).select("question_id", "pattern", "score"), "question_id", "left")
+    b = queries()["fuzzy_gate_many"](spark, sf)
+    assert sorted(a.collect()) == sorted(b.collect())
+    passed = [r["gate_passed"] for r in a.collect()]
+    assert any(passed) and not all(passed)

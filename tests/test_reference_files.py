@@ -41,3 +41,34 @@ def test_documents_in_chunks_keep_their_order(spark, monkeypatch):
     SI.write_intents(df, path, "document")
     back = SI.read_intents(spark, path, "document").collect()
     assert sorted((r.intent_pos, r.tag) for r in back) == [(i, f"t{i}") for i in range(11)]
+
+
+def _documents():
+    plain = {"intents": [{"tag": f"t{i} \\\" {{[", "patterns": ["p]}", "ğ\n\t", "x" * (i * 7)], "responses": ["r\\"], "context_set": ""}
+                         for i in range(60)]}
+    other = {"version": "1", "other": [{"tag": "no", "patterns": [{"a": [1]}]}], "meta": {"intents": "no", "k": [1, [2]]},
+             "intents": plain["intents"][:3], "last": [{"tag": "no"}]}
+    return plain, other
+
+
+@pytest.mark.parametrize("form", [dict(indent=2), dict(indent=4, separators=(" ,", " : ")), dict(), dict(indent=0)])
+def test_a_split_document_equals_the_whole_one(spark, tmp_path, form):
+    for k, doc in enumerate(_documents()):
+        (tmp_path / f"{k}.json").write_text(json.dumps(doc, ensure_ascii=False, **form), encoding="utf-8")
+    (tmp_path / "2.json").write_text('{"intents": []}')
+    want = sorted(SI.read_intents(spark, str(tmp_path), "document").collect())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        assert sorted(SI.read_intents(spark, str(tmp_path), "split").collect()) == want and len(want) == 63
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_a_split_document_that_is_none_fails(spark, tmp_path):
+    for text in ("[1, 2]", '{"intents": [{"tag": "a"}', '{"other": []}', "oops"):
+        with pytest.raises(Exception, match="no intents document"):
+            SI.read_intents(spark, _file(tmp_path, text), "split").collect()

@@ -128,3 +128,34 @@ def test_no_rows(spark, sides):
     settings, (data, held) = sides
     n, loss, g = TR.loss_and_gradient(data.limit(0), np.zeros((3, 257)))
     assert (n, loss) == (0, 0) and not g.any()
+
+
+def test_count_model_equals_a_loop(spark):
+    import math
+    from collections import Counter
+    from askbase.operators import count_model as CM
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choices("a b c d e f".split(), k=rnd.randrange(0, 9))), rnd.choice([0, 1, 1, 2])) for i in range(120)]
+    rows += [(200, None, 1), (201, "a ? b", None), (202, "!!", 0)]
+    df = spark.createDataFrame(rows, "id int, text string, label int").repartition(3)
+    model = CM.fit(df)
+    count, total, docs = {c: Counter() for c in range(3)}, Counter(), Counter(r[2] for r in rows if r[2] is not None)
+    clean = lambda t: [w for w in (t or "").split() if w not in ("?", "!!")]
+    for _, t, c in rows:
+        if c is not None:
+            count[c].update(clean(t))
+            total[c] += len(clean(t))
+    vocabulary = len({w for c in count.values() for w in c})
+    asked = rows + [(300, "a zzz b b", None)]
+
+    def best(t):
+        return min((-round(math.log(docs[c] / sum(docs.values())) + sum(math.log(count[c][w] + 1) for w in clean(t) if w in {
+            x for k in count.values() for x in k}) - len(clean(t)) * math.log(total[c] + vocabulary + 1), 9), c) for c in range(3))
+
+    got = {r["id"]: (-r["score"], r["pred"]) for r in CM.predict(
+        model, spark.createDataFrame(asked, "id int, text string, label int"), ["id"]).collect()}
+    assert got.keys() == {r[0] for r in asked}
+    for i, t, _ in asked:
+        low, c = best(t)
+        assert got[i][1] == c and abs(got[i][0] - low) < 1e-8
+    assert CM.predict(model, df.limit(0), ["id"]).count() == 0 and CM.predict(CM.fit(df.limit(0)), df, ["id"]).count() == 0
