@@ -542,8 +542,58 @@ def _encode_ctes() -> list[tuple[str, str]]:
     ]
 
 
+def _stem_ctes() -> list[tuple[str, str]]:
+    """T4 over the distinct tokens, a step of the published algorithm per relation: ``stems`` (t, w)."""
+    from askbase.functions.stemming import STEP2, STEP3, STEP4
+    form = ("CASE WHEN w = '' THEN '' ELSE list_reduce(string_split(w, ''), lambda a, ch: a || CASE WHEN ch IN ('a', 'e', 'i', 'o', 'u') "
+            "OR (ch = 'y' AND ends_with(a, 'c')) THEN 'v' ELSE 'c' END, '') END")
+    m = "(length({0}) - length(replace({0}, 'vc', '')))".format       # twice the measure
+    w, f = "w[:length(w) - {}]".format, "f[:length(w) - {}]".format
+    doubled = "(length(w) >= 2 AND w[-1] = w[-2] AND ends_with(f, 'c'))"
+    cvc = lambda w, f: f"(ends_with({f}, 'cvc') AND right({w}, 1) NOT IN ('w', 'x', 'y'))"
+
+    def rules(table, least, extra=""):
+        return "CASE WHEN length(t) <= 2 THEN w " + " ".join(
+            f"WHEN ends_with(w, '{s}') THEN CASE WHEN {m(f(len(s)))} > {least}{extra if s == 'ion' else ''} THEN {w(len(s))} || '{r}' "
+            f"ELSE w END" for s, r in table) + " ELSE w END"
+
+    steps = [
+        f"CASE WHEN length(t) <= 2 OR ends_with(w, 'ss') AND NOT ends_with(w, 'sses') THEN w WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') "
+        f"THEN {w(2)} WHEN ends_with(w, 's') THEN {w(1)} ELSE w END",
+        f"CASE WHEN length(t) <= 2 THEN w WHEN ends_with(w, 'eed') THEN CASE WHEN {m(f(3))} > 0 THEN {w(1)} ELSE w END "
+        f"WHEN ends_with(w, 'ed') AND contains({f(2)}, 'v') THEN {w(2)} || '#' WHEN ends_with(w, 'ing') AND contains({f(3)}, 'v') "
+        f"THEN {w(3)} || '#' ELSE w END",
+    ]
+    mend = (f"CASE WHEN NOT cut THEN w WHEN ends_with(w, 'at') OR ends_with(w, 'bl') OR ends_with(w, 'iz') THEN w || 'e' "
+            f"WHEN {doubled} AND w[-1] NOT IN ('l', 's', 'z') THEN {w(1)} WHEN {m('f')} = 2 AND {cvc('w', 'f')} THEN w || 'e' ELSE w END")
+    later = [
+        f"CASE WHEN length(t) > 2 AND ends_with(w, 'y') AND contains({f(1)}, 'v') THEN {w(1)} || 'i' ELSE w END",
+        rules(STEP2, 0), rules(STEP3, 0), rules([(x, "") for x in STEP4], 2, f" AND right({w(3)}, 1) IN ('s', 't')"),
+        f"CASE WHEN length(t) > 2 AND ends_with(w, 'e') AND ({m(f(1))} > 2 OR ({m(f(1))} = 2 AND NOT {cvc(w(1), f(1))})) THEN {w(1)} ELSE w END",
+        f"CASE WHEN length(t) > 2 AND {m('f')} > 2 AND {doubled} AND ends_with(w, 'l') THEN {w(1)} ELSE w END",
+    ]
+    out, src = [("p0", "SELECT DISTINCT t, t AS w FROM (SELECT unnest(toks) AS t FROM tokens)")], "p0"
+
+    def add(expr, extra=""):
+        nonlocal src
+        n = f"p{len(out)}"
+        out.append((n, f"SELECT t, {expr} AS w{extra} FROM (SELECT *, {form} AS f FROM {src})"))
+        src = n
+
+    for e in steps:
+        add(e)
+    out.append(("marked", f"SELECT t, CASE WHEN length(t) > 2 THEN rtrim(w, '#') ELSE w END AS w, length(t) > 2 AND ends_with(w, '#') AS cut FROM {src}"))
+    src = "marked"
+    for e in [mend, *later]:
+        add(e)
+    return out + [("stems", f"SELECT t, w FROM {src}")]
+
+
 def oracle_sql() -> dict[str, str]:
     out = _plain_sql()
+    out["stem_tokens"] = with_ctes(["tokens"], """SELECT conv_id, turn, coalesce(s, '') AS stemmed FROM tokens LEFT JOIN (
+  SELECT conv_id, turn, string_agg(w, ' ' ORDER BY pos) AS s FROM (SELECT conv_id, turn, unnest(toks) AS t, unnest(range(len(toks))) AS pos
+  FROM tokens) JOIN stems USING (t) GROUP BY conv_id, turn) USING (conv_id, turn)""", _stem_ctes())
     out["encode_pad"] = with_ctes(["tokens"], """SELECT conv_id, turn,
   array_to_string(list_concat(ids, list_resize([]::BIGINT[], L - len(ids), 0)), ' ') AS ids,
   L::INTEGER AS padded_len, len(ids)::INTEGER AS n_tokens FROM base, mx""", _encode_ctes())

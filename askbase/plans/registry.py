@@ -17,7 +17,7 @@ from askbase import constants as K
 from askbase.functions import calendar as D
 from askbase.functions import markup as H
 from askbase.functions import text as TX
-from askbase.functions.stemming import stem_text
+from askbase.functions.stemming import stem_tokens
 from askbase.operators import answer as A
 from askbase.operators import chat as C
 from askbase.operators import classify as CL
@@ -303,7 +303,8 @@ def q_tokenize_clean(spark, sf):
 
 @register("stem_tokens")
 def q_stem_tokens(spark, sf):
-    return X.chat(spark, sf).select("conv_id", "turn", stem_text(TX.tokenize_clean("text")).alias("stemmed"))
+    c = X.chat(spark, sf).select("conv_id", "turn", TX.tokenize_clean("text").alias("tokens"))
+    return stem_tokens(c, ["conv_id", "turn"], "tokens")
 
 
 @register("strip_text")
