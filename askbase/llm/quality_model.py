@@ -9,18 +9,18 @@ that vote bad (1), good (0) or abstain (None).
    are the stems that almost only toxic documents have, taken greedily while each
    still finds ``MIN_GAIN`` further documents, and dealt to the lists in turn, so
    that every list knows something of every language.
-2. One pass over all documents counts each pattern of votes; a task has at
-   most 3^labellers patterns, whatever the corpus size.
+2. One pass over every whole text writes, per row, the votes and the hashed
+   features (words, word stems and binned style figures, 30 bits each); everything after
+   it reads that table and no text.  The patterns of votes are counted over all rows.
 3. Expectation-maximisation over these counts estimates the share of bad
    documents and every labeller's accuracy on bad and on good ones
    (labellers are taken as independent given the class); a pattern's
    posterior follows.
-4. The posterior labels train a linear scorer per task.  Its features are words,
-   word stems and binned style figures hashed to 30 bits.  Features are chosen
+4. The posterior labels train a linear scorer per task.  Features are chosen
    and weights fitted on a sample bounded by ``sample_docs`` documents (chosen by
    the hash of their text); at most ``max_features`` weights are kept, so
    what the executors get has a fixed bound.
-5. A second pass over every whole text takes the mean of scorer and posterior
+5. Every row of the table gets the mean of scorer and posterior
    per task; a document is kept if both means are under the threshold.  (The
    scorer sees what no labeller looks at; the posterior keeps it from rejecting very short
    texts that miss the usual words.)
@@ -40,7 +40,7 @@ import json
 import math
 import re
 from collections import Counter
-from itertools import zip_longest
+from itertools import chain, zip_longest
 from operator import eq
 
 import numpy as np
@@ -53,7 +53,7 @@ from askbase.llm.common import hash_sample, sized, written
 SAMPLE_DOCS, LABELLED_DOCS, MAX_FEATURES, MIN_SUPPORT = 12_000, 20_000, 512, 8
 MIN_GAIN, MIN_PRECISION, STEM = 4, 0.98, 4
 KNOWN_TOKENS, TRUST = 150_000, {"junk": 0.0, "toxic": 20.0}
-SCHEMA = "doc_id long, p_junk double, p_toxic double, kept boolean"
+SEED = 7
 _SYMBOLS = b"#*$%&|<>^~{}\\"
 _CAPS, _SMALL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -111,8 +111,6 @@ def hash30(feature: str) -> int:
 
 def token_features(token: str) -> list[int]:
     """Hashes of a word and of its stem."""
-    if len(token) > 40:
-        return []
     return [hash30(token), hash30("^" + token[:STEM])] if len(token) > STEM else [hash30(token)]
 
 
@@ -121,30 +119,30 @@ def style_features(s: dict[str, float]) -> list[int]:
 
 
 class Reader:
-    """Votes and wanted features of texts, with a bounded table of tokens."""
+    """Votes and features of texts, with a bounded table of tokens."""
 
-    def __init__(self, stems: list[list[int]], wanted: set[int] = frozenset()):
+    def __init__(self, stems: list[list[int]]):
         fixed = [{hash30(w) for w in group} for group in (INSULTS, BELITTLING, DISGUST)]
         self.groups = [a | set(b) for a, b in zip_longest(fixed, stems, fillvalue=())]
-        self.wanted = wanted | set().union(*self.groups)
-        self.known: dict[str, tuple] = {}
+        self.known: dict[str, list[int]] = {}
 
-    def __call__(self, text: str | None) -> tuple[dict[str, float], str, str, set[int]]:
-        """(style, votes on junk, votes on toxic, wanted features present)."""
+    def __call__(self, text: str | None) -> tuple[int, str, str, set[int]]:
+        """(words, votes on junk, votes on toxic, features)."""
         text = text or ""
         words = text.split()
         s = style(text, words)
         known, on = self.known, set()
+        if len(known) >= KNOWN_TOKENS:
+            known.clear()
         for t in set(_TOKEN.findall(text.lower())):
             hit = known.get(t)
             if hit is None:
-                if len(known) >= KNOWN_TOKENS:
-                    known.clear()
-                known[t] = hit = tuple(f for f in token_features(t) if f in self.wanted)
-            if hit:
-                on.update(hit)
+                known[t] = hit = token_features(t)
+            on.update(hit)
         junk = code(junk_votes(s)) if words else "1" * len(junk_votes(s))
-        return s, junk, code(tuple(int(not on.isdisjoint(g)) for g in self.groups)), on
+        toxic = code(tuple(int(not on.isdisjoint(g)) for g in self.groups))
+        on.update(style_features(s))
+        return s["n"], junk, toxic, on
 
 
 def code(votes: tuple) -> str:
@@ -234,44 +232,51 @@ def fit_linear(rows: list[tuple[list[int], float]], dims: int, rounds: int = 300
     return float(b), w
 
 
+def read(docs: DataFrame, stems: list[list[int]], carry: list[str]) -> DataFrame:
+    """One reading of every text: ``c0, c1, ...`` (the columns of ``carry``), ``h`` (hash of the
+    text), ``n`` (words), ``junk`` and ``toxic`` (votes) and ``f`` (features, ascending)."""
+    at = carry.index("text") if "text" in carry else len(carry)
+    src = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)],
+                      *([] if "text" in carry else [F.col("text").alias(f"c{at}")]), F.xxhash64(F.lit(SEED), "text").alias("h"))
+    keep = [f"c{i}" for i in range(len(carry))] + ["h"]
+    schema = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in keep)
+
+    def run(batches):
+        reader = Reader(stems)
+        for b in batches:
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
+                got = [reader(t) for t in part.column(at).to_pylist()]
+                on = [sorted(g[3]) for g in got]
+                offsets = np.cumsum([0, *map(len, on)]).astype(np.int32)
+                flat = np.fromiter(chain.from_iterable(on), np.int32, int(offsets[-1]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(part.schema.get_field_index(n)) for n in keep), pa.array([g[0] for g in got], pa.int32()),
+                     pa.array([g[1] for g in got]), pa.array([g[2] for g in got]),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*keep, "n", "junk", "toxic", "f"])
+
+    return src.mapInArrow(run, f"{schema}, n int, junk string, toxic string, f array<int>")
+
+
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS,
         max_features: int = MAX_FEATURES) -> dict:
     """The model: stems, and per task the vote posteriors and the linear scorer.
     ``labels`` (doc_id, toxic) may cover any part of ``docs``."""
     stems = learn_stems(docs, labels) if labels is not None else []
+    return fit_table(written(read(docs, stems, []), "votes"), stems, sample_docs, max_features)
 
-    def vote(batches):
-        read = Reader(stems)
-        for b in batches:
-            got = Counter(read(t)[1:3] for t in b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in got]), pa.array([k[1] for k in got]), pa.array(got.values(), pa.int64())],
-                names=["junk", "toxic", "n"])
 
-    counts = docs.select("text").mapInArrow(vote, "junk string, toxic string, n long").groupBy("junk", "toxic").agg(
-        F.sum("n").alias("n")).collect()
+def fit_table(rows: DataFrame, stems: list[list[int]], sample_docs: int = SAMPLE_DOCS, max_features: int = MAX_FEATURES) -> dict:
+    """``fit`` over what ``read`` has written."""
+    counts = rows.groupBy("junk", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     model: dict = {"stems": stems, "total": sum(r["n"] for r in counts)}
     for task in ("junk", "toxic"):
         patterns: Counter = Counter()
         for r in counts:
             patterns[r[task]] += r["n"]
         model[task] = {"posterior": fit_labellers(patterns, trust=TRUST[task])}
-
-    def read_features(batches):
-        read = Reader(stems)
-        for b in batches:
-            junk, toxic, on = [], [], []
-            for text in b.column(0).to_pylist():
-                s, j, t, _ = read(text)
-                junk.append(j)
-                toxic.append(t)
-                words = {f for w in set(_TOKEN.findall((text or "").lower())) for f in token_features(w)}
-                on.append(sorted(words.union(style_features(s))))
-            yield pa.RecordBatch.from_arrays([pa.array(junk), pa.array(toxic), pa.array(on, pa.list_(pa.int32()))],
-                                             names=["junk", "toxic", "f"])
-
-    sample = hash_sample(docs.select("text"), "text", sample_docs, model["total"], seed=7).distinct()
-    sample = written(sample.mapInArrow(read_features, "junk string, toxic string, f array<int>"), "sample")
+    sample = hash_sample(rows, "h", sample_docs, model["total"], seed=SEED).dropDuplicates(["h"])
+    sample = written(sample.select("junk", "toxic", "f"), "sample")
     for task in ("junk", "toxic"):
         model[task].update(_fit_scorer(sample, task, model[task]["posterior"], max_features))
     return model
@@ -301,42 +306,63 @@ def _fit_scorer(sample: DataFrame, task: str, posterior: dict[str, float], max_f
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """(doc_id, p_junk, p_toxic, kept) per row, in the order of the input's partitions."""
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model, threshold, ["doc_id"]), SCHEMA)
+    return _named(_scored(read(docs, model["stems"], ["doc_id"]), model, threshold), ["doc_id"])
 
 
 def keep_good(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns: a filter in one pass."""
-    extra = [c for c in docs.columns if c != "text"]
-    run = _scorer(model, threshold, None)
-    return docs.select(*extra, "text").mapInArrow(run, docs.select(*extra, "text").schema).select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their columns."""
+    rows = _scored(read(docs, model["stems"], docs.columns), model, threshold).filter("kept")
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame | None, threshold: float = 0.5) -> DataFrame:
+    """``score`` by the model of ``docs`` themselves, their texts read once."""
+    stems = learn_stems(docs, labels) if labels is not None else []
+    rows = written(read(docs, stems, ["doc_id"]), "votes")
+    return _named(_scored(rows, fit_table(rows, stems), threshold), ["doc_id"])
+
 
+def fit_and_keep(docs: DataFrame, labels: DataFrame | None, threshold: float = 0.5) -> DataFrame:
+    """``keep_good`` by the model of ``docs`` themselves, their texts read once."""
+    stems = learn_stems(docs, labels) if labels is not None else []
+    rows = written(read(docs, stems, docs.columns), "votes")
+    kept = _scored(rows, fit_table(rows.drop(*[f"c{i}" for i in range(len(docs.columns))]), stems), threshold).filter("kept")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _named(rows: DataFrame, carry: list[str]) -> DataFrame:
+    out = rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "p_junk", "p_toxic", "kept")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
-def _scorer(model: dict, threshold: float, carry: list[str] | None):
-    tasks = [(model[t]["bias"], model[t]["weights"], model[t]["posterior"]) for t in ("junk", "toxic")]
-    wanted = {f for _, w, _ in tasks for f in w}
-    stems = model["stems"]
 
-    def mean(bias, weights, posterior, on, votes) -> float:
-        x = max(min(bias + sum(weights.get(f, 0.0) for f in on), 30.0), -30.0)
-        return (1 / (1 + math.exp(-x)) + posterior.get(votes, 0.0)) / 2
+def _scored(rows: DataFrame, model: dict, threshold: float) -> DataFrame:
+    """Rows of ``read`` with ``p_junk, p_toxic, kept`` in place of votes and features."""
+    tasks = []
+    for t in ("junk", "toxic"):
+        top = np.array(sorted(model[t]["weights"]), np.int32)
+        tasks.append((model[t]["bias"], top, np.array([model[t]["weights"][int(f)] for f in top]), model[t]["posterior"]))
+    keep = [c for c in rows.columns if c[0] == "c" and c[1:].isdigit()]
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in keep)
 
     def run(batches):
-        read = Reader(stems, wanted)
         for b in batches:
-            scores = []
-            for text in b.column(b.num_columns - 1).to_pylist():
-                s, junk, toxic, on = read(text)
-                on.update(style_features(s))
-                found = sorted(on & wanted)
-                scores.append(tuple(mean(*task, found, votes) for task, votes in zip(tasks, (junk, toxic)))
-                              if s["n"] else (1.0, 0.0))
-            keep = pa.array([max(p) < threshold for p in scores], pa.bool_())
-            if carry is None:
-                yield b.filter(keep)
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).cast(pa.int64()), pa.array([p[0] for p in scores], pa.float64()),
-                     pa.array([p[1] for p in scores], pa.float64()), keep],
-                    names=["doc_id", "p_junk", "p_toxic", "kept"])
+            words = b.column("n").to_numpy()
+            lists = b.column("f")
+            f = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            p = []
+            for (bias, top, weight, posterior), task in zip(tasks, ("junk", "toxic")):
+                x = np.full(b.num_rows, bias)
+                if len(top):
+                    at = np.minimum(np.searchsorted(top, f), len(top) - 1)
+                    hit = top[at] == f
+                    x += np.bincount(row[hit], weights=weight[at[hit]], minlength=b.num_rows)
+                votes = np.array([posterior.get(v, 0.0) for v in b.column(task).to_pylist()])
+                p.append((1 / (1 + np.exp(-np.clip(x, -30, 30))) + votes) / 2)
+            junk, toxic = np.where(words > 0, p[0], 1.0), np.where(words > 0, p[1], 0.0)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(n) for n in keep), pa.array(junk, pa.float64()), pa.array(toxic, pa.float64()),
+                 pa.array(np.maximum(junk, toxic) < threshold)], names=[*keep, "p_junk", "p_toxic", "kept"])
 
-    return run
+    return rows.select(*keep, "n", "junk", "toxic", "f").mapInArrow(
+        run, ", ".join(x for x in (schema, "p_junk double, p_toxic double, kept boolean") if x))

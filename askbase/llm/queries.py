@@ -63,8 +63,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+    return quality_model.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,21 @@ def test_piece_encoder_equals_library(spark, sf, monkeypatch):
         assert e(part) == [np.asarray(x.ids, "<u4").tobytes() for x in t.encode_batch(part, add_special_tokens=False)]
 
 
+def test_word_counter_equals_library_on_every_character(spark, sf):
+    t, count = token_counts.load(BYTE), token_counts.WordCounter(BYTE)
+    whole = lambda texts: [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    texts = [f"a{c} b{c}c\n{c}d {c} e{c}{c}" for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x30000, 7), 0x1F600, 0x10FFFF])]
+    for k in range(0, len(texts), 2000):
+        assert count(texts[k:k + 2000]) == whole(texts[k:k + 2000])
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += ["", " ", "\n", "a  b", "a \n b", "\na", "a\n", " a", "a ", "a\n\nb", "x <|endoftext|> y", "<|endo", "it's we'll\nI'd 'S", "a\x00b c",
+              "a\tb", "x" * 300 + " y", "1 22 333", "\u00a0a b", "a\u2028b c", "don 't 's"]
+    assert count(texts) == whole(texts)
+    count.known.clear()
+    for x in texts:
+        assert count([x]) == whole([x])
+
+
 @pytest.mark.parametrize("chunk,overlap", [(64, 40), (300, 64), (1000, 256)])
 def test_spliced_counts_equal_whole_counts(spark, chunk, overlap):
     texts = ["it's <|endoftext|> we'll see   \n\n  " * 90, "x" * 4000, "a" * 700 + " b" * 900, " " * 3000 + "z",
@@ -214,6 +229,35 @@ def test_quality_model_against_labels(spark):
     assert {r["doc_id"] for r in rows if r["kept"]} <= {r["doc_id"] for r in kept.select("doc_id").collect()}
 
 
+def test_one_reading_gives_what_two_give(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    odd = spark.createDataFrame([(None, None), (3, 1), (3, 1), (4, None), (None, 1)], "doc_id long, toxic int")
+    labels = labels.select("doc_id", "toxic").unionByName(odd)
+    model = quality_model.fit(docs, labels)
+    rows = quality_model.score(docs, model).collect()
+    assert key(quality_model.fit_and_score(docs, labels).collect()) == key(rows)
+    kept = quality_model.fit_and_keep(docs, labels)
+    assert kept.columns == docs.columns
+    assert key(kept.collect()) == key(docs.join(quality_model.score(docs, model).filter("kept").select("doc_id"), "doc_id").select(*docs.columns).collect())
+    assert key(quality_model.fit_and_score(docs, labels.limit(0)).collect()) == key(quality_model.fit_and_score(docs, None).collect())
+
+
+def test_scores_equal_a_plain_sum(spark, sf):
+    """The scorer of the model written out: bias and weights of the features that a text has, and its votes' posterior."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_model.fit(docs, labels)
+    reader = quality_model.Reader(model["stems"])
+    got = {r["doc_id"]: (r["p_junk"], r["p_toxic"]) for r in quality_model.score(docs, model).collect()}
+    for r in docs.collect():
+        n, junk, toxic, on = reader(r["text"])
+        for p, task, votes in zip(got[r["doc_id"]], ("junk", "toxic"), (junk, toxic)):
+            x = model[task]["bias"] + sum(model[task]["weights"].get(f, 0.0) for f in on)
+            x = min(max(x, -30), 30)
+            assert not n or abs(p - (1 / (1 + np.exp(-x)) + model[task]["posterior"].get(votes, 0.0)) / 2) < 1e-9
+    long = reader("x" * 50 + " " + "y" * 41)[3]
+    assert quality_model.hash30("x" * 50) in long and quality_model.hash30("^yyyy") in long
+
+
 def test_quality_model_edge_cases(spark):
     docs = with_clashes(edge_docs(spark))
     model = quality_model.fit(docs)
