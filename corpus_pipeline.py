@@ -18,7 +18,7 @@ from askbase.llm.queries import DOMAIN_WEIGHTS, domain_labels, tokens_round_trip
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return quality_model.keep_good(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+    return quality_model.fit_and_keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
