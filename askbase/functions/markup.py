@@ -38,7 +38,7 @@ def _let(value: str, name: str, body: str) -> str:
 
 #: Names whose tags end each other's elements: an end tag closes what is open inside its element.
 TABLE_NAMES = ("table", "tr", "td")
-_CHUNK = 64
+_CHUNK = 192
 
 
 def _tokens_sql(html: str, names: tuple[str, ...], body: str) -> str:
