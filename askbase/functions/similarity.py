@@ -14,14 +14,14 @@ fold over the question's characters, with no array copies.  The carry of
 the word addition is propagated across words; 62-bit words keep every sum
 below 2**63, so ANSI overflow checks never fire.
 
-M2 is the reference-parity ratio (Ratcliff/Obershelp via ``difflib``) as an
-Arrow-batched pandas UDF; it is only applied to pairs that survive the exact
-bounds of M4, because M1 >= M2 for every pair.
+M2 is the reference-parity ratio (Ratcliff/Obershelp: the longest common block, and
+again on both sides of it), a fold over a stack of segments; it is only applied
+to pairs that M1 lets through, because M1 >= M2 for every pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 WORD_BITS = 62
 FULL_WORD = (1 << WORD_BITS) - 1
@@ -151,24 +151,45 @@ def bag_bound(q_bag: str, q_len: str, p_bag: str, p_len: str) -> Column:
 
 # ---------------------------------------------------------------- M2 (exact)
 
-def _ratio_exact_py(pattern_key: str, question_key: str) -> int:
-    """Reference-parity token-sort score of two prepared keys."""
-    from difflib import SequenceMatcher
-    if pattern_key == question_key:
-        return 100
-    if not pattern_key or not question_key:
-        return 0
-    r = SequenceMatcher(None, pattern_key, question_key).ratio()
-    return int(round(100 * r))
-
-
-@F.pandas_udf(T.IntegerType())
-def ratio_exact_udf(pattern_key, question_key):  # pragma: no cover - runs in workers
-    import pandas as pd
-    return pd.Series([_ratio_exact_py(a, b) for a, b in zip(pattern_key, question_key)],
-                     dtype="int32")
-
-
-def exact_score(p_key, q_key) -> Column:
-    """M2: argument order matters (the matcher is asymmetric)."""
-    return ratio_exact_udf(_c(p_key), _c(q_key))
+def _matched_sql(a: str, b: str) -> str:
+    """Characters in the matching blocks of two strings of length > 0.
+
+    The longest block that both have (the first in ``a``, then in ``b``, of equal ones), and
+    the same again on what lies before it and behind it in both; the segments that are still to be
+    looked at are kept in a stack.  Characters that are popular in a long ``b`` begin
+    no block, but a block grows over them on both sides.
+    """
+    popular = "IF(size(bs) < 200, CAST(array() AS array<string>), filter(array_distinct(bs), c -> size(filter(bs, x -> x = c)) > size(bs) div 100 + 1))"
+    seg = "named_struct('al', {}, 'ah', {}, 'bl', {}, 'bh', {})".format
+    # one row of block lengths per character of the segment of a: a block goes on from the place before
+    row = ("transform(slice(bn, g.bl + 1, g.bh - g.bl), (c, y) -> IF(c = element_at(as, i + 1), "
+           "IF(y = 0, 0, element_at(t.row, y)) + 1, 0))")
+    better = "named_struct('k', mx, 'i', i - mx + 1, 'j', CAST(g.bl + array_position(r, mx) - mx AS INT), 'row', r)"
+    keep = "named_struct('k', t.k, 'i', t.i, 'j', t.j, 'row', r)"
+    longest = (f"aggregate(sequence(g.al, g.ah - 1), named_struct('k', 0, 'i', g.al, 'j', g.bl, 'row', array_repeat(0, g.bh - g.bl)), "
+               f"(t, i) -> {_sql_let(row, 'r', _sql_let('array_max(r)', 'mx', f'IF(mx > t.k, {better}, {keep})'))})")
+
+    def run(count, differ):         # how many of the next ``count`` places agree
+        return _sql_let(count, "w", f"coalesce(try_element_at(filter(sequence(1, greatest(1, w)), x -> x <= w AND {differ}), 1) - 1, w)")
+
+    left = run("least(h.i - g.al, h.j - g.bl)", "element_at(as, h.i - x + 1) <> element_at(bs, h.j - x + 1)")
+    right = run("least(g.ah - h.i - h.k, g.bh - h.j - h.k)", "element_at(as, h.i + h.k + x) <> element_at(bs, h.j + h.k + x)")
+    wider = _sql_let(left, "l", _sql_let(right, "q", "named_struct('k', h.k + l + q, 'i', h.i - l, 'j', h.j - l)"))
+    grown = f"IF(size(ps) = 0, named_struct('k', h.k, 'i', h.i, 'j', h.j), {wider})"
+    before = f"IF(m.i > g.al AND m.j > g.bl, array({seg('g.al', 'm.i', 'g.bl', 'm.j')}), {{none}})"
+    after = f"IF(m.i + m.k < g.ah AND m.j + m.k < g.bh, array({seg('m.i + m.k', 'g.ah', 'm.j + m.k', 'g.bh')}), {{none}})"
+    none = f"filter(array({seg('0', '0', '0', '0')}), z -> false)"
+    left_over = f"concat(slice(s.todo, 1, size(s.todo) - 1), {before.format(none=none)}, {after.format(none=none)})"
+    found = f"IF(m.k = 0, named_struct('n', s.n, 'todo', slice(s.todo, 1, size(s.todo) - 1)), named_struct('n', s.n + m.k, 'todo', {left_over}))"
+    step = _sql_let("element_at(s.todo, -1)", "g", _sql_let(longest, "h", _sql_let(grown, "m", found)))
+    start = f"named_struct('n', 0, 'todo', array({seg('0', 'size(as)', '0', 'size(bs)')}))"
+    fold = f"aggregate(sequence(1, 2 * least(size(as), size(bs)) + 1), {start}, (s, u) -> IF(size(s.todo) = 0, s, {step})).n"
+    body = _sql_let(popular, "ps", _sql_let("transform(bs, c -> IF(array_contains(ps, c), '', c))", "bn", fold))
+    return _sql_let(chars_sql(a), "as", _sql_let(chars_sql(b), "bs", body))
+
+
+def exact_score(p_key: str, q_key: str) -> Column:
+    """M2 of two prepared keys (column names): argument order matters, the matcher is asymmetric."""
+    ratio = ratio_sql(_matched_sql(p_key, q_key), f"length({p_key}) + length({q_key})")
+    return F.expr(f"CASE WHEN {p_key} IS NULL OR {q_key} IS NULL THEN NULL WHEN {p_key} = {q_key} THEN 100 "
+                  f"WHEN {p_key} = '' OR {q_key} = '' THEN 0 ELSE {ratio} END")

@@ -253,15 +253,13 @@ def passing_keys(qkeys: DataFrame, index: PatternIndex, threshold: int, bounds:
                  metric: str = "indel") -> DataFrame:
     """M3 over distinct keys: the question keys for which some pattern passes.
 
-    ``metric="exact"`` is the reference-parity mode: pairs whose native M1
-    score reaches the threshold (M1 >= M2, so no true match is lost) are the
-    only ones scored by the Arrow ``difflib`` UDF; the UDF never sees a pair
-    the bounds exclude."""
+    ``metric="exact"`` is the reference-parity mode: a pair whose native M1
+    score reaches the threshold (M1 >= M2, so no true match is lost) must reach it by M2 too."""
     feats = question_features(qkeys.select("qkey").distinct())
     if metric == "exact":
-        cand = _theta(feats, index, _pair_cond(threshold, bounds), "inner", threshold).select("qkey", "pkey")
-        ok = cand.filter(S.exact_score("pkey", "qkey") >= int(threshold))
-        return ok.select("qkey").distinct()
+        cond = _pair_cond(threshold, bounds) & (S.exact_score("pkey", "qkey") >= int(threshold))
+        out = _theta(feats, index, cond, "left_semi", threshold).select("qkey")
+        return out if index.broadcast else out.distinct()
     if not index.broadcast:
         return _in_turn(feats, index, threshold, best=False)
     return _theta(feats, index, _pair_cond(threshold, bounds), "left_semi", threshold).select("qkey")
@@ -344,7 +342,7 @@ def pair_scores(pairs: DataFrame, left_col: str, right_col: str, exact: bool = F
     lower-cased first, as the reference does.  Adds ``score``.
 
     M1: the distinct pattern keys get their bitmasks once and are equi-joined
-    back to the pairs (a null text has a null score).  M2: the Arrow UDF on the
+    back to the pairs (a null text has a null score).  M2: its own fold on the
     prepared keys.
     """
     keyed = (pairs.withColumn("qkey", token_sort_key(F.lower(F.col(left_col))))

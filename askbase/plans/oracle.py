@@ -542,6 +542,43 @@ def _encode_ctes() -> list[tuple[str, str]]:
     ]
 
 
+def _block_ctes(pairs: str) -> list[tuple[str, str]]:
+    """M2 of the pairs (a, b) of a relation ``pairs`` (keys under 200 characters): ``exact`` (a, b, score).
+
+    Longest common blocks by a table of lengths, segments by recursion."""
+    grid = ("list_reduce(range(al, ah), lambda acc, i: list_append(acc, list_transform(range(bl, bh), lambda j: CASE WHEN "
+            "substr(a, i::INTEGER + 1, 1) = substr(b, j::INTEGER + 1, 1) THEN 1 + coalesce(acc[len(acc)][j - bl], 0) ELSE 0 END::INTEGER)), "
+            "[list_transform(range(bl, bh), lambda j: 0::INTEGER)])")
+    cells = ("list_transform(range(al, ah), lambda i: list_transform(range(bl, bh), lambda j: "
+             "{'k': grid[i - al + 2][j - bl + 1], 'i': -i, 'j': -j}))")
+    best = (f"SELECT a, b, al, ah, bl, bh, m.k AS k, -m.i - m.k + 1 AS i, -m.j - m.k + 1 AS j FROM (SELECT *, list_sort(flatten({cells}), 'DESC')[1] AS m "
+            f"FROM (SELECT *, {grid} AS grid FROM seg))")
+    return [
+        ("seg(a, b, al, ah, bl, bh)", f"""SELECT DISTINCT a, b, 0::BIGINT, length(a)::BIGINT, 0::BIGINT, length(b)::BIGINT FROM {pairs} WHERE a <> '' AND b <> ''
+  UNION ALL SELECT a, b, c.al, c.ah, c.bl, c.bh FROM (SELECT a, b, unnest([{{'al': al, 'ah': i, 'bl': bl, 'bh': j}},
+    {{'al': i + k, 'ah': ah, 'bl': j + k, 'bh': bh}}]) AS c FROM ({best}) WHERE k > 0) WHERE c.al < c.ah AND c.bl < c.bh"""),
+        ("blocks", f"SELECT a, b, sum(k) AS n FROM ({best}) GROUP BY a, b"),
+        ("exact", f"""SELECT p.a, p.b, CASE WHEN p.a = p.b THEN 100 WHEN p.a = '' OR p.b = '' THEN 0
+  ELSE {ratio('n', 'length(p.a) + length(p.b)')} END AS score FROM (SELECT DISTINCT a, b FROM {pairs}) p LEFT JOIN blocks USING (a, b)""")]
+
+
+def _exact_sql() -> dict[str, str]:
+    def recursive(sql):
+        return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+    own = ("own", f"SELECT q.question_id, {key('lower(p.p_name)')} AS a, {key('lower(q.text)')} AS b FROM q JOIN part p ON p.p_partkey = q.question_id")
+    out = {"token_sort_ratio_exact": recursive(with_ctes(
+        ["q"], "SELECT question_id, score FROM own JOIN exact USING (a, b)", [own, *_block_ctes("own")]))}
+    every = ("every", f"SELECT pkey AS a, qkey AS b FROM pk, (SELECT DISTINCT {key('lower(text)')} AS qkey FROM q)")
+    out["fuzzy_gate_exact"] = recursive(with_ctes(["q", "pk"], f"""SELECT question_id, t AS threshold,
+  EXISTS (SELECT 1 FROM exact WHERE b = {key('lower(q.text)')} AND score >= t) AS passed
+  FROM q, (VALUES ({K.THRESHOLD_WEB}), ({K.THRESHOLD_LOCAL})) th(t)""", [every, *_block_ctes("every")]))
+    flow = [(n, f"SELECT qkey FROM qk WHERE EXISTS (SELECT 1 FROM exact WHERE b = qkey AND score >= {K.THRESHOLD_WEB})" if n == "passed" else sql)
+            for n, sql in answer_ctes("q")]
+    out["answer_questions_exact"] = recursive(with_ctes(ANSWER_BASE + ["q"], "SELECT * FROM ans", [every, *_block_ctes("every"), *flow]))
+    return out
+
+
 def _stem_ctes() -> list[tuple[str, str]]:
     """T4 over the distinct tokens, a step of the published algorithm per relation: ``stems`` (t, w)."""
     from askbase.functions.stemming import STEP2, STEP3, STEP4
@@ -590,7 +627,7 @@ def _stem_ctes() -> list[tuple[str, str]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = _plain_sql()
+    out = _plain_sql() | _exact_sql()
     out["stem_tokens"] = with_ctes(["tokens"], """SELECT conv_id, turn, coalesce(s, '') AS stemmed FROM tokens LEFT JOIN (
   SELECT conv_id, turn, string_agg(w, ' ' ORDER BY pos) AS s FROM (SELECT conv_id, turn, unnest(toks) AS t, unnest(range(len(toks))) AS pos
   FROM tokens) JOIN stems USING (t) GROUP BY conv_id, turn) USING (conv_id, turn)""", _stem_ctes())

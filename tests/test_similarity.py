@@ -95,3 +95,20 @@ def test_exact_ratio_matches_difflib_and_bounds(spark):
 def test_token_sort_key_matches_python(spark, s):
     got = spark.createDataFrame([(s,)], "s string").select(token_sort_key("s").alias("k")).first().k
     assert got == py_key(s)
+
+
+def test_matched_blocks_equal_difflib(spark):
+    """Short alphabets (many ties), long texts with popular characters, empty keys."""
+    rnd = random.Random(9)
+    word = lambda n, abc: "".join(rnd.choices(abc, k=n))
+    pairs = [(word(rnd.randrange(0, 14), "ab"), word(rnd.randrange(0, 14), "abc")) for _ in range(300)]
+    pairs += [(word(rnd.randrange(1, 40), "abcdefşğ "), word(rnd.randrange(1, 40), "abcdefşğ ")) for _ in range(150)]
+    pairs += [(word(rnd.randrange(20, 60), "abcdefghij "), word(rnd.randrange(198, 240), "abcdefghij xyz1234567890")) for _ in range(25)]
+    pairs += [("a" * 30 + "bcd", "a" * 150 + "bcd" + "x" * 60), ("xaaab", "a" * 210 + "b"), ("abc", "abc"), ("", "a"), ("a", "")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").repartition(8)
+    got = {r["i"]: r["s"] for r in df.select("i", S.exact_score("a", "b").alias("s")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        want = 100 if a == b else 0 if not a or not b else int(round(100 * SequenceMatcher(None, a, b).ratio()))
+        assert got[i] == want, (a, b)
+    null = spark.createDataFrame([(None, "a"), ("a", None), (None, None)], "a string, b string")
+    assert [r["s"] for r in null.select(S.exact_score("a", "b").alias("s")).collect()] == [None] * 3
