@@ -52,8 +52,9 @@ from askbase.llm.common import hash_sample, sized, written
 
 SAMPLE_DOCS, LABELLED_DOCS, MAX_FEATURES, MIN_SUPPORT = 12_000, 20_000, 512, 8
 MIN_GAIN, MIN_PRECISION, STEM = 4, 0.98, 4
-KNOWN_TOKENS, TRUST = 150_000, {"junk": 0.0, "toxic": 20.0}
-SEED = 7
+KNOWN_TOKENS, TRUST = 60_000, {"junk": 0.0, "toxic": 20.0}
+#: Rows looked at together, and the seed of the sample.
+SLICE, SEED = 512, 7
 _SYMBOLS = b"#*$%&|<>^~{}\\"
 _CAPS, _SMALL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -109,9 +110,9 @@ def hash30(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) >> 34
 
 
-def token_features(token: str) -> list[int]:
+def token_features(token: str) -> tuple[int, ...]:
     """Hashes of a word and of its stem."""
-    return [hash30(token), hash30("^" + token[:STEM])] if len(token) > STEM else [hash30(token)]
+    return (hash30(token), hash30("^" + token[:STEM])) if len(token) > STEM else (hash30(token),)
 
 
 def style_features(s: dict[str, float]) -> list[int]:
@@ -124,7 +125,7 @@ class Reader:
     def __init__(self, stems: list[list[int]]):
         fixed = [{hash30(w) for w in group} for group in (INSULTS, BELITTLING, DISGUST)]
         self.groups = [a | set(b) for a, b in zip_longest(fixed, stems, fillvalue=())]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> tuple[int, str, str, set[int]]:
         """(words, votes on junk, votes on toxic, features)."""
@@ -244,8 +245,8 @@ def read(docs: DataFrame, stems: list[list[int]], carry: list[str]) -> DataFrame
     def run(batches):
         reader = Reader(stems)
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
+            for k in range(0, b.num_rows, SLICE):
+                part = b.slice(k, SLICE)
                 got = [reader(t) for t in part.column(at).to_pylist()]
                 on = [sorted(g[3]) for g in got]
                 offsets = np.cumsum([0, *map(len, on)]).astype(np.int32)
@@ -336,33 +337,35 @@ def _named(rows: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def _scored(rows: DataFrame, model: dict, threshold: float) -> DataFrame:
-    """Rows of ``read`` with ``p_junk, p_toxic, kept`` in place of votes and features."""
+    """Rows of ``read`` with ``p_junk, p_toxic, kept`` in place of votes and features.
+    Only those go to Python, slice by slice; carried columns stay where they are."""
     tasks = []
     for t in ("junk", "toxic"):
         top = np.array(sorted(model[t]["weights"]), np.int32)
         tasks.append((model[t]["bias"], top, np.array([model[t]["weights"][int(f)] for f in top]), model[t]["posterior"]))
-    keep = [c for c in rows.columns if c[0] == "c" and c[1:].isdigit()]
-    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in keep)
 
-    def run(batches):
-        for b in batches:
-            words = b.column("n").to_numpy()
-            lists = b.column("f")
-            f = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
-            p = []
-            for (bias, top, weight, posterior), task in zip(tasks, ("junk", "toxic")):
-                x = np.full(b.num_rows, bias)
-                if len(top):
-                    at = np.minimum(np.searchsorted(top, f), len(top) - 1)
-                    hit = top[at] == f
-                    x += np.bincount(row[hit], weights=weight[at[hit]], minlength=b.num_rows)
-                votes = np.array([posterior.get(v, 0.0) for v in b.column(task).to_pylist()])
-                p.append((1 / (1 + np.exp(-np.clip(x, -30, 30))) + votes) / 2)
-            junk, toxic = np.where(words > 0, p[0], 1.0), np.where(words > 0, p[1], 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(n) for n in keep), pa.array(junk, pa.float64()), pa.array(toxic, pa.float64()),
-                 pa.array(np.maximum(junk, toxic) < threshold)], names=[*keep, "p_junk", "p_toxic", "kept"])
-
-    return rows.select(*keep, "n", "junk", "toxic", "f").mapInArrow(
-        run, ", ".join(x for x in (schema, "p_junk double, p_toxic double, kept boolean") if x))
+    def some(n: pa.Array, votes: list[pa.Array], lists: pa.Array) -> pa.Array:
+        f = lists.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(n), dtype=np.int32), lists.value_lengths().to_numpy())
+        p = []
+        for (bias, top, weight, posterior), vote in zip(tasks, votes):
+            x = np.full(len(n), bias)
+            if len(top):
+                at = np.minimum(np.searchsorted(top, f), len(top) - 1)
+                hit = top[at] == f
+                x += np.bincount(row[hit], weights=weight[at[hit]], minlength=len(n))
+            prior = np.array([posterior.get(v, 0.0) for v in vote.to_pylist()])
+            p.append((1 / (1 + np.exp(-np.clip(x, -30, 30))) + prior) / 2)
+        words = n.to_numpy() > 0
+        return pa.StructArray.from_arrays([pa.array(np.where(words, p[0], 1.0)), pa.array(np.where(words, p[1], 0.0))],
+                                          names=["p_junk", "p_toxic"])
+
+    def score_rows(n: pa.Array, junk: pa.Array, toxic: pa.Array, f: pa.Array) -> pa.Array:
+        parts = [some(n.slice(k, SLICE), [junk.slice(k, SLICE), toxic.slice(k, SLICE)], f.slice(k, SLICE))
+                 for k in range(0, len(n), SLICE)]
+        return pa.concat_arrays(parts) if parts else some(n, [junk, toxic], f)
+
+    scores = F.arrow_udf(score_rows, "p_junk double, p_toxic double")(F.col("n"), F.col("junk"), F.col("toxic"), F.col("f"))
+    keep = [c for c in rows.columns if c[0] == "c" and c[1:].isdigit()]
+    out = rows.select(*keep, scores.alias("_p")).select(*keep, "_p.p_junk", "_p.p_toxic")
+    return out.withColumn("kept", F.greatest("p_junk", "p_toxic") < threshold)

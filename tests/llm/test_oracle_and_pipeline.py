@@ -79,3 +79,14 @@ def test_near_duplicate_stage_equals_brute_force_of_five_words(spark, sf):
     want = {i for i, (_, c) in components(rows, need=80, n=5).items() if c == i}
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()} == want
     assert want != {i for i, (_, c) in components(rows).items() if c == i}
+
+
+def test_pipeline_on_empty_tables(spark, sf, tmp_path):
+    none, few = str(tmp_path / "none"), str(tmp_path / "few")
+    for name in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{sf}/{name}.parquet")
+        rows.limit(0).write.parquet(f"{none}/{name}.parquet")
+        (rows.filter("doc_id < 40") if name == "documents" else rows.limit(0)).write.parquet(f"{few}/{name}.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
+    got = [r["doc_id"] for r in corpus_pipeline.run(spark, few).collect()]
+    assert 0 < len(set(got)) <= 40 and set(got) <= set(range(40))
