@@ -48,7 +48,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from askbase.llm.common import hash_sample, sized, written
+from askbase.llm.common import hash_sample, sized, text_key, written
 
 SAMPLE_DOCS, LABELLED_DOCS, MAX_FEATURES, MIN_SUPPORT = 12_000, 20_000, 512, 8
 MIN_GAIN, MIN_PRECISION, STEM = 4, 0.98, 4
@@ -324,11 +324,15 @@ def fit_and_score(docs: DataFrame, labels: DataFrame | None, threshold: float =
 
 
 def fit_and_keep(docs: DataFrame, labels: DataFrame | None, threshold: float = 0.5) -> DataFrame:
-    """``keep_good`` by the model of ``docs`` themselves, their texts read once."""
+    """``keep_good`` by the model of ``docs`` themselves, their texts read once; rejected rows are
+    told by id and text hash, so no text is written."""
     stems = learn_stems(docs, labels) if labels is not None else []
-    rows = written(read(docs, stems, docs.columns), "votes")
-    kept = _scored(rows, fit_table(rows.drop(*[f"c{i}" for i in range(len(docs.columns))]), stems), threshold).filter("kept")
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rows = written(read(docs.select("doc_id", "text", text_key().alias("tk")), stems, ["doc_id", "tk"]), "votes")
+    gone = _scored(rows, fit_table(rows.drop("c0", "c1"), stems), threshold).filter(~F.col("kept"))
+    gone = written(gone.select(F.col("c0").alias("_gone_id"), F.col("c1").alias("_gone_key")).distinct(), "rejected")
+    keyed = docs.withColumn("_own_key", text_key())
+    return keyed.join(sized(gone, 48), keyed["doc_id"].eqNullSafe(gone["_gone_id"]) & (
+        keyed["_own_key"] == gone["_gone_key"]), "left_anti").select(*docs.columns)
 
 
 def _named(rows: DataFrame, carry: list[str]) -> DataFrame:
