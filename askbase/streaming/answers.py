@@ -2,7 +2,8 @@
 
 The answer flow is one streaming plan: every message is routed, gated row by row
 against the broadcast pattern array, classified and joined to static lookup
-tables (``answer_rows``), with no aggregation, no state and no ``foreachBatch``.  Append
+tables (``answer_rows``), with no aggregation, no state and no ``foreachBatch``; messages are
+dealt over all cores first.  Append
 sinks are Spark's file sink, whose own log makes a replayed micro-batch count once.
 
 Where a stream needs more than that:
@@ -71,6 +72,8 @@ class Answering:
                             F.coalesce("text", F.lit("")).alias("text"), *carry)
         keep = ("chat_id", "as_of", "text", *carry)
         if self.by_row:
+            if messages.isStreaming:      # a file or topic partition may hold a whole micro-batch
+                q = q.repartition(messages.sparkSession.sparkContext.defaultParallelism)
             ans = A.answer_rows(q, self.kb, self.profile, self.predict, self.menus, carry=keep, packed=self.packed)
         else:
             ans = A.answer_questions(q, self.kb, self.profile, self.predict, self.menus, carry=keep)
