@@ -21,6 +21,7 @@ to pairs that M1 lets through, because M1 >= M2 for every pair.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 WORD_BITS = 62
@@ -149,6 +150,76 @@ def bag_bound(q_bag: str, q_len: str, p_bag: str, p_len: str) -> Column:
     return F.expr(ratio_sql(bag_common_sql(q_bag, p_bag), f"{q_len} + {p_len}"))
 
 
+# ------------------------------------------------- M1 for a block of patterns
+
+# Patterns and keys that are compared at once, and what the masks of so many patterns may take.
+BLOCK_PATTERNS, BLOCK_KEYS, BLOCK_BYTES = 512, 64, 64 << 20
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in a row, and the length of each."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return flat, np.array([len(t) for t in texts], dtype=np.int64)
+
+
+def _lcs_block(keys: list[str], patterns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """LCS of every key with every pattern by the recurrence above; lengths of keys and patterns."""
+    flat, plen = _codes(patterns)
+    chars, at = np.unique(flat, return_inverse=True)
+    n_words = max(1, -(-int(plen.max(initial=0)) // WORD_BITS))
+    starts = np.cumsum(plen) - plen
+    place = np.arange(len(flat)) - np.repeat(starts, plen)
+    bit = np.left_shift(np.uint64(1), (place % WORD_BITS).astype(np.uint64))
+    masks = np.zeros((n_words, len(chars) + 1, len(patterns)), dtype=np.uint64)      # the last character: none
+    np.bitwise_or.at(masks, (place // WORD_BITS, at, np.repeat(np.arange(len(patterns)), plen)), bit)
+    init = np.bitwise_or.reduce(masks, axis=1)
+    kflat, klen = _codes(keys)
+    code = np.full((len(keys), int(klen.max(initial=0))), len(chars), dtype=np.int64)
+    if len(chars) and len(kflat):
+        near = np.minimum(np.searchsorted(chars, kflat), len(chars) - 1)
+        code[np.arange(code.shape[1]) < klen[:, None]] = np.where(chars[near] == kflat, near, len(chars))
+    full, top = np.uint64(FULL_WORD), np.uint64(WORD_BITS)
+    v = [np.repeat(w[None, :], len(keys), axis=0) for w in init]
+    for j in range(code.shape[1]):
+        carry = None
+        for w in range(n_words):
+            m = masks[w][code[:, j]]
+            u = v[w] & m
+            total = v[w] + u
+            if carry is not None:
+                total += carry
+            if w + 1 < n_words:
+                carry = total >> top
+            v[w] = (total & full) | (v[w] ^ u)
+    left = sum(np.bitwise_count(x & i).astype(np.int64) for x, i in zip(v, init))
+    return plen[None, :] - left, klen, plen
+
+
+def first_passing(keys: list[str | None], patterns: list[str], threshold: int) -> np.ndarray:
+    """Per key the place of the first pattern that M1 lets through at ``threshold``, -1 without one.
+
+    Blocks of patterns are tried in turn, and only keys that none has let through go on."""
+    out = np.full(len(keys), -1, dtype=np.int64)
+    order = sorted((i for i, k in enumerate(keys) if k is not None), key=lambda i: len(keys[i]))
+    lo = 0
+    while lo < len(patterns) and order:
+        n = BLOCK_PATTERNS if lo else BLOCK_PATTERNS // 8
+        part = patterns[lo:lo + n]
+        while len(part) > 1 and 8 * len(part) * len(set().union(*part)) * (max(map(len, part)) // WORD_BITS + 1) > BLOCK_BYTES:
+            part = part[:len(part) // 2]
+        for k in range(0, len(order), BLOCK_KEYS):
+            some = order[k:k + BLOCK_KEYS]
+            lcs, klen, plen = _lcs_block([keys[i] for i in some], part)
+            a, b = klen[:, None], plen[None, :]
+            score = np.rint(100.0 * ((2.0 * lcs) / np.maximum(a + b, 1)))
+            hit = (a == b) & (lcs == a) | (a > 0) & (b > 0) & (score >= int(threshold))
+            found = np.where(hit.any(axis=1), lo + hit.argmax(axis=1), -1)
+            out[some] = found
+        lo += len(part)
+        order = [i for i in order if out[i] < 0]
+    return out
+
+
 # ---------------------------------------------------------------- M2 (exact)
 
 def _matched_sql(a: str, b: str) -> str:

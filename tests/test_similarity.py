@@ -112,3 +112,31 @@ def test_matched_blocks_equal_difflib(spark):
         assert got[i] == want, (a, b)
     null = spark.createDataFrame([(None, "a"), ("a", None), (None, None)], "a string, b string")
     assert [r["s"] for r in null.select(S.exact_score("a", "b").alias("s")).collect()] == [None] * 3
+
+
+def test_first_passing_equals_a_loop(monkeypatch):
+    """The block comparison of the fuzzy gate: first pattern over the threshold, any length, character and block."""
+    import random
+    rnd = random.Random(4)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    def passes(a, b, t):
+        return a == b or bool(a and b) and round(100.0 * (2.0 * lcs(a, b) / (len(a) + len(b)))) >= t
+
+    def text():
+        return "".join(rnd.choices("abçş😀d ", k=rnd.choice([0, 1, 4, 20, 61, 62, 63, 130])))
+
+    monkeypatch.setattr(S, "BLOCK_PATTERNS", 40)
+    monkeypatch.setattr(S, "BLOCK_KEYS", 7)
+    for t in (20, 55, 90):
+        keys, patterns = [text() for _ in range(60)] + [None], [text() for _ in range(90)]
+        want = [next((i for i, p in enumerate(patterns) if k is not None and passes(k, p, t)), -1) for k in keys]
+        assert S.first_passing(keys, patterns, t).tolist() == want
+    assert S.first_passing(["a", None], [], 55).tolist() == [-1, -1] and S.first_passing([], ["a"], 55).tolist() == []
