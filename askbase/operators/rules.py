@@ -7,7 +7,8 @@ that the fewest texts hold (counted over all texts).  Texts meet the phrases in
 equi-join on those grams, and only those pairs are tested for the phrase itself.
 
 Texts are reduced to distinct ones first, so a text asked a million times is tested
-once.  Phrases shorter than a gram are looked up whole.
+once.  Phrases shorter than a gram are looked up whole.  Rules that share profile and phrase
+are reduced to the first of them before they meet the texts.
 """
 
 from __future__ import annotations
@@ -79,7 +80,10 @@ def route_by_rules(questions: DataFrame, rules: DataFrame, id_col: str = "questi
     low = F.lower(F.col(text_col))
     texts = _kept(questions.select(low.alias("low")).filter(F.col("low").isNotNull()).distinct(), "texts")
     rules = rules.select("profile", "priority", "route", "phrase")
-    won = match_phrases(texts, rules).join(sized_broadcast(rules), "phrase").groupBy("low", "profile").agg(
+    # of the rules of a profile with the same phrase only the first can win: a matched phrase meets one rule a profile
+    first = rules.groupBy("profile", "phrase").agg(F.min(F.struct("priority", "route")).alias("f"))
+    first = _kept(first.select("profile", "phrase", "f.priority", "f.route"), "first-rules")
+    won = match_phrases(texts, rules).join(sized_broadcast(first), "phrase").groupBy("low", "profile").agg(
         F.min(F.struct("priority", "phrase", "route")).alias("r"))
     won = won.groupBy("low").agg(F.map_from_entries(F.collect_list(F.struct("profile", "r"))).alias("by"))
     profiles = [r["profile"] for r in rules.select("profile").distinct().orderBy("profile").collect()]

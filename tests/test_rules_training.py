@@ -159,3 +159,15 @@ def test_count_model_equals_a_loop(spark):
         low, c = best(t)
         assert got[i][1] == c and abs(got[i][0] - low) < 1e-8
     assert CM.predict(model, df.limit(0), ["id"]).count() == 0 and CM.predict(CM.fit(df.limit(0)), df, ["id"]).count() == 0
+
+
+def test_rules_with_the_same_phrase_meet_the_texts_once(spark, monkeypatch):
+    """`route_rules`: thousands of rules that share a phrase are reduced before the join, and the first still wins."""
+    kept, keep = {}, RT._kept
+    monkeypatch.setattr(RT, "_kept", lambda df, name: kept.setdefault(name, keep(df, name)))
+    rules = [("xy"[i % 2], 3000 - i, f"r{i}", "ab"[i % 4 // 2]) for i in range(3000)] + [("x", 1, "r0", "b"), ("x", 1, "q", "b")]
+    texts = [(i, "ab" * (i % 3)) for i in range(30)]
+    got = RT.route_by_rules(spark.createDataFrame(texts, "question_id long, text string"), spark.createDataFrame(rules, RT.RULES)).collect()
+    assert {tuple(r) for r in got} == {(i, "x", "q", 1, "b") if t and p == "x" else (i, "y", "r2999", 1, "b") if t else
+                                       (i, p, None, None, None) for i, t in texts for p in "xy"}
+    assert kept["first-rules"].count() == 4
