@@ -147,3 +147,9 @@ def test_latest_transcripts_for_any_cut(spark, sf, at):
     S.stream_transcripts(X.as_utterances(cut(spark, sf, at)()), sink, scratch_path(spark, "t-ckpt"), "1 hour").awaitTermination()
     got = sorted(tuple(r) for r in C.latest_transcript(spark.read.parquet(sink)).collect())
     assert got == sorted(tuple(r) for r in C.latest_transcript(X.utterances(spark, sf)).collect())
+
+
+def test_the_row_gate_meets_patterns_as_blocks(spark, sf, answering):
+    """A message does not carry the pattern array through the plan: its distinct keys are tested as a block."""
+    plan = answering(X.as_messages(cut(spark, sf, [500])()))._jdf.queryExecution().analyzed().toString()
+    assert "_patterns" not in plan and "lambda p" not in plan and "passes(" in plan
