@@ -808,7 +808,7 @@ def q_merge_answered(spark, sf):
 # ---------------------------------------------------------------- chat
 
 def _request_answers(spark, sf):
-    req = EVL.parse_requests(X.requests(spark, sf))
+    req = EVL.parse_requests_once(X.requests(spark, sf))
     carry = ("chat_id", "ts", "question", "error")
     ok = req.filter(F.col("error").isNull()).select(
         F.col("event_id").alias("question_id"), F.col("question").alias("text"), F.col("ts").alias("as_of"), *carry)

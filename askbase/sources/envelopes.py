@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from askbase.session import scratch_path
+
 
 def parse_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
     """``{"question": ...}`` -> ``question`` plus ``error``.
@@ -17,6 +19,15 @@ def parse_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
     return requests.withColumn("question", read["question"]).withColumn("error", read["error"])
 
 
+def parse_requests_once(requests: DataFrame, body_col: str = "body") -> DataFrame:
+    """S9, written to the shared scratch folder: the optimizer copies the reading of a body into
+    every later use of ``question`` and ``error``, such as each phrase of the routing rules."""
+    spark, out = requests.sparkSession, parse_requests(requests, body_col)
+    path = scratch_path(spark, "requests")
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def _read_body(body: Column) -> Column:
     keys = F.json_object_keys(body)          # null for malformed JSON
     # the parsers stop at the end of a value: as the only element of an array, and from brace to brace

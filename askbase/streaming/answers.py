@@ -38,7 +38,7 @@ from askbase.operators import routing as R
 from askbase.operators import unknowns as U
 from askbase.operators.menu import MenuTable
 from askbase.sources.commit_log import CommitLog
-from askbase.sources.envelopes import parse_requests
+from askbase.sources.envelopes import parse_requests_once
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -190,7 +190,7 @@ def fan_out(requests: DataFrame, answering: Answering) -> DataFrame:
     A body that is no request gives one ``error`` row with the fixed message; a
     question gives an ``answer`` row and, if it holds an echo command, an ``echo`` row too.
     """
-    read = parse_requests(requests).withColumn("text", F.col("question"))
+    read = parse_requests_once(requests).withColumn("text", F.col("question"))
     good = answering(read.filter(F.col("error").isNull()))
     cols = ["event_id", "chat_id", "ts", "kind", "question", "reply", "is_unknown"]
     answers = good.withColumn("kind", F.lit(ANSWER)).withColumn("reply", F.col("answer"))

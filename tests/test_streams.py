@@ -153,3 +153,11 @@ def test_the_row_gate_meets_patterns_as_blocks(spark, sf, answering):
     """A message does not carry the pattern array through the plan: its distinct keys are tested as a block."""
     plan = answering(X.as_messages(cut(spark, sf, [500])()))._jdf.queryExecution().analyzed().toString()
     assert "_patterns" not in plan and "lambda p" not in plan and "passes(" in plan
+
+
+def test_bodies_are_read_once(spark, sf, answering):
+    """`append_turns`, `error_reply`, `stream_fanout`: no reading of JSON is left in what follows the parser."""
+    from askbase.plans.registry import queries
+    rows = S.fan_out(X.as_bodies(X.read_table(spark, sf, "events")), answering)
+    for df in (rows, queries()["append_turns"](spark, sf), queries()["error_reply"](spark, sf)):
+        assert "json" not in df._jdf.queryExecution().optimizedPlan().toString()
