@@ -14,8 +14,12 @@ the smallest id that links reach.
    signature.  Of single parts a set signs with its d + 1 largest: the largest
    of the m - d equal ones has m - d - 1 smaller ones in either set, so it is among
    them.  m follows from a size level; a set also signs for the next
-   level if its size can link up there.  Sets that share a signature are put in
-   one block (components of the sharing), not paired.
+   level if its size can link up there.  Sets that share a signature are compared by
+   a parity sketch of about a bit per n-gram: every n-gram flips one bit, so sketches of linked
+   sets differ in at most d bits, and unrelated ones in nearly half of all.  What is
+   alike in that sense is put in one block (components), so no link is lost and
+   blocks are hardly larger than the result's components.  Of signatures with the same holders one
+   is looked at; one with over ``block_sets`` holders is cut into tiles as blocks are.
 3. *Product*: per block the incidence rows of its classes are multiplied,
    overlap counts are accumulated n-gram by n-gram, and pairs below the
    size-derived overlap bound are discarded.  Only a forest of links leaves the
@@ -42,7 +46,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from askbase.llm.common import sized, written
 from askbase.llm.components import connected
@@ -55,7 +59,8 @@ CACHE_WORDS = 150_000
 _UPPER, _BLANKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\x20\x09-\x0D]+"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
-SIGNED = "doc_id long, n long, hi long, lo long, signatures array<long>"
+SKETCH_BITS = 1 << 6, 1 << 16
+SIGNED = "doc_id long, n long, hi long, lo long, sketch binary, signatures array<long>"
 SETS = "block long, doc_id long, hi long, lo long, grams array<long>"
 
 
@@ -161,6 +166,14 @@ def signatures(grams: np.ndarray, levels: Levels) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def sketch_of(grams: np.ndarray) -> bytes:
+    """Parities of the n-grams dealt over a power of two of bits, at least one bit per n-gram (up to a bound)."""
+    low, high = SKETCH_BITS
+    bits = min(max(low, 1 << (len(grams) - 1).bit_length()), high)
+    at = (_mix(grams ^ _M2) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
 def _set_hash(grams: np.ndarray) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(grams.tobytes())
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
@@ -172,30 +185,109 @@ def sign(docs: DataFrame, n: int, need: int, per: int) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                ids, size, hi, lo, sigs = part.column(0).to_pylist(), [], [], [], []
+                ids, size, hi, lo, sketch, sigs = part.column(0).to_pylist(), [], [], [], [], []
                 for doc_id, text in zip(ids, part.column(1).to_pylist()):
                     g = shingle(text)
                     size.append(len(g))
                     a, z = _set_hash(g) if len(g) else (0, 0)
                     hi.append(a)
                     lo.append(z)
-                    sigs.append(signatures(g, levels).view(np.int64) if len(g) and doc_id is not None else [])
+                    signs = len(g) and doc_id is not None
+                    sketch.append(sketch_of(g) if signs else None)
+                    sigs.append(signatures(g, levels).view(np.int64) if signs else [])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(hi, pa.int64()),
-                     pa.array(lo, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "hi", "lo", "signatures"])
+                     pa.array(lo, pa.int64()), pa.array(sketch, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "hi", "lo", "sketch", "signatures"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
-def _blocks(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(hi, lo, rep, block, sets, grams): classes that share signatures with others."""
+def alike(size: np.ndarray, sketches: list[bytes], need: int, per: int) -> list[tuple[int, int]]:
+    """A forest of the pairs of rows whose sketches differ in no more bits than linked sets may."""
+    width = min(map(len, sketches))
+    rows = np.empty((len(sketches), width), np.uint8)
+    for i, raw in enumerate(sketches):
+        bits = np.frombuffer(raw, np.uint8)
+        while len(bits) > width:           # as if dealt over half as many bits
+            bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+        rows[i] = bits
+    rows = rows.view(np.uint64)
+    left, links, queue = np.arange(1, len(rows)), [], [0]
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            continue
+        i = queue.pop()
+        may = (size[left] + size[i]) * (per - need) // (per + need)
+        ok = np.abs(size[left] - size[i]) <= may
+        ok[ok] = np.bitwise_count(rows[left[ok]] ^ rows[i]).sum(axis=1, dtype=np.int64) <= may[ok]
+        for j in left[ok].tolist():
+            links.append((i, j))
+            queue.append(j)
+        left = left[~ok]
+    return links
+
+
+def _alike(need: int, per: int):
+    """Links of sets that are alike, for rows sorted by signature and tiles."""
+    def forest(b):
+        """Links of the groups of ``b``; its last group, which may go on, is left."""
+        keys = np.stack([b.column(c).to_numpy() for c in ("sig", "t1", "t2")])
+        starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+        hi, n, sketch = b.column("hi").to_numpy(), b.column("n").to_numpy(), b.column("sketch").to_pylist()
+        out = []
+        for i, j in zip(starts, [*starts[1:], b.num_rows]):
+            if j - i > 1 and j < b.num_rows:
+                out += [(hi[i + x], hi[i + y]) for x, y in alike(n[i:j], sketch[i:j], need, per)]
+        return out, int(starts[-1])
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rest = b if rest is None else pa.concat_batches([rest, b])
+            out, at = forest(rest)
+            rest = rest.slice(at)
+            yield _pairs(out)
+        if rest is not None and rest.num_rows > 1:
+            hi = rest.column("hi").to_numpy()
+            links = alike(rest.column("n").to_numpy(), rest.column("sketch").to_pylist(), need, per)
+            yield _pairs([(hi[x], hi[y]) for x, y in links])
+
+    return run
+
+
+def _pairs(links: list) -> pa.RecordBatch:
+    t = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(t.max(axis=1), pa.int64()), pa.array(t.min(axis=1), pa.int64())], names=["a", "b"])
+
+
+def _tiled(rows: DataFrame, tiles: Column, by: str) -> DataFrame:
+    """``rows`` with (tiles, t1, t2): a task per pair of tiles; tiles of one are the group itself."""
+    rows = rows.withColumn("tiles", F.ceil(tiles).cast("int")).withColumn("tile", F.pmod(F.xxhash64(by), F.col("tiles")).cast("int"))
+    other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumn("other", other)
+    rows = rows.withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other"))
+    return rows.filter("tiles = 1 or t1 <> t2").drop("tile", "other")
+
+
+def _blocks(signed: DataFrame, classes: DataFrame, need: int, per: int, block_sets: int) -> DataFrame:
+    """(hi, lo, rep, block, sets, grams): classes with others that are alike and share a signature."""
     posted = signed.select(F.explode("signatures").alias("sig"), "hi")
     shared = posted.groupBy("sig").agg(F.min("hi").alias("hub"), F.max("hi").alias("far")).filter("hub <> far")
-    # a table of its own: joined as an exchange, so that AQE can split a hot signature's rows
-    stars = posted.join(written(shared.select("sig", "hub"), "shared"), "sig").filter("hi <> hub")
-    edges = stars.select(F.col("hi").alias("a"), F.col("hub").alias("b")).distinct()
-    label = connected(written(edges, "sharing")).select(F.col("node").alias("hi"), F.col("component").alias("block"))
+    shared = written(shared.select("sig"), "shared")
+    held = written(posted.join(sized(shared, 16), "sig").distinct(), "held")
+    # signatures with the same holders: one of them asks for all
+    holders = held.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"), *[
+        F.bit_xor(F.xxhash64(F.lit(k), "hi")).alias(f"x{k}") for k in (1, 2)])
+    asked = written(holders.groupBy("sets", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "sets"), "asked")
+    sketches = signed.filter("sketch is not null").groupBy("hi").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    rows = _tiled(held.join(sized(asked, 24), "sig"), F.col("sets") / block_sets, "hi").select("sig", "t1", "t2", "hi")
+    rows = rows.join(sketches, "hi").repartition("sig", "t1", "t2").sortWithinPartitions("sig", "t1", "t2")
+    edges = rows.mapInArrow(_alike(need, per), "a long, b long")
+    label = connected(written(edges, "alike")).select(F.col("node").alias("hi"), F.col("component").alias("block"))
     members = classes.join(label, "hi")
     size = members.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
     return members.join(size, "block").select("hi", "lo", "rep", "block", "sets", "grams")
@@ -276,14 +368,8 @@ def _links(docs: DataFrame, blocks: DataFrame, n: int, need: int, per: int, bloc
     rows = docs.select("doc_id", "text").join(sized(wanted, 80), "doc_id").select(
         "doc_id", "text", "hi", "lo", "block", "sets", "total")
     rows = rows.mapInArrow(fetch, "doc_id long, block long, sets long, total long, grams array<long>")
-    tiles = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("total") / block_grams)).cast("int")
-    rows = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    # a task per pair of tiles; tiles of one are the block itself
-    other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.withColumn("other", other)
-    rows = rows.select("block", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tiles",
-                       "doc_id", "grams").filter("tiles = 1 or t1 <> t2")
+    rows = _tiled(rows, F.greatest(F.col("sets") / block_sets, F.col("total") / block_grams), "doc_id")
+    rows = rows.select("block", "t1", "t2", "doc_id", "grams")
     return rows.groupBy("block", "t1", "t2").applyInArrow(_multiply(need, per), "a long, b long")
 
 
@@ -293,7 +379,7 @@ def jaccard_components(docs: DataFrame, n: int = N, need: int = NEED, per: int =
     signed = written(sign(docs, n, need, per), "signed")
     named = signed.filter("n > 0 and doc_id is not null")
     classes = named.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    blocks = written(_blocks(signed, classes), "blocks")
+    blocks = written(_blocks(signed, classes, need, per, block_sets), "blocks")
     links = written(_links(docs, blocks, n, need, per, block_sets, block_grams), "links")
     label = connected(links).select(F.col("node").alias("rep"), "component")
     named_class = classes.select("hi", "lo", "rep").join(label, "rep", "left").select(

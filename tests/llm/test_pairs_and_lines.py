@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from askbase.llm import components as cc, decontaminate, line_dedup, ngram_join, quality_rules
 from tests.llm.helpers import components, edge_docs, key, with_clashes
@@ -82,6 +83,37 @@ def test_linked_sets_at_four_fifths_share_a_signature(size):
     assert linked > 20
 
 
+def test_sets_that_only_share_signatures_make_no_block(spark):
+    import numpy as np
+    levels, own = ngram_join.Levels(80, 100), np.random.default_rng(3).integers(0, 2 ** 63, 20_000, dtype=np.uint64)
+    grams = [np.unique(np.concatenate([own[:90], own[200 * i + 100:200 * i + 150]])) for i in range(60)]
+    rows = [(i, len(g), i + 1, i, ngram_join.sketch_of(g), [1] + ngram_join.signatures(g, levels).view(np.int64).tolist())
+            for i, g in enumerate(grams)]
+    signed = spark.createDataFrame(rows, ngram_join.SIGNED)
+    classes = signed.select("hi", "lo", F.col("doc_id").alias("rep"), "n")
+    assert ngram_join._blocks(signed, classes, 80, 100, 1 << 14).count() == 0
+    near = spark.createDataFrame([(99, len(grams[5]), 500, 99, ngram_join.sketch_of(grams[5][1:]), [1])], ngram_join.SIGNED)
+    classes = classes.unionByName(near.select("hi", "lo", F.col("doc_id").alias("rep"), "n"))
+    for sets in (7, 1 << 14):
+        got = ngram_join._blocks(signed.unionByName(near), classes, 80, 100, sets).collect()
+        assert {r["rep"] for r in got} == {5, 99}
+
+
+def test_sketches_lose_no_link():
+    import numpy as np
+    rnd = np.random.default_rng(4)
+    for size in (1, 9, 60, 130, 500, 3000):
+        for need in (80, 90):
+            own = rnd.integers(0, 2 ** 63, 2 * size + 9, dtype=np.uint64)
+            longest = size * 100 // need
+            for y in (own[:longest], own[size // 19:size + size // 19]):
+                x, y = np.unique(own[:size]), np.unique(y)
+                inter = len(np.intersect1d(x, y))
+                linked = 100 * inter >= need * (len(x) + len(y) - inter)
+                got = ngram_join.alike(np.array([len(x), len(y)]), [ngram_join.sketch_of(x), ngram_join.sketch_of(y)], need, 100)
+                assert got == [(0, 1)] or not linked
+
+
 def test_components_edge_cases(spark):
     docs = with_clashes(edge_docs(spark))
     rows = ngram_join.jaccard_components(docs).collect()
