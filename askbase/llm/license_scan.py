@@ -3,13 +3,14 @@
 A block is a line.  A block is a candidate if it holds a cue: a word that
 license notices use and prose hardly does.  A long candidate is read in
 windows of words that overlap by half, so that a notice lies in one of them
-whole.  Every template is confirmed exactly: its words are
-aligned with the window's, and the block carries the license if at most
-``max_diff`` of the template's words are missing or changed.  Words beyond
+whole.  The window is compressed alone and with every template as zstandard raw
+dictionary; the bytes saved rank the templates.  In that order words confirm
+them: a template's words are aligned with the window's, and the block carries the
+license if at most ``max_diff`` of the template's words are missing or changed.  Words beyond
 the template (a notice run on into prose) are counted but do not count against it.
-The window is compressed alone and with each confirmed template as zstandard raw
-dictionary; the bytes saved rank templates with as many differences.  The bytes
-in the result are those of the window.
+The first template without a difference ends the window; while there is none, the
+next ones are aligned too, as saved bytes are only a rank: in long lines an exact notice can
+save none.  The bytes in the result are those of the window.
 
 Edge cases: null text has no lines; a block that no template confirms gives no
 row; a block that several confirm gives the best by differences, then by saved bytes,
@@ -94,23 +95,27 @@ class Scanner:
             part = found[k:k + 2 * self.half]
             yield line[part[0].start():part[-1].end()], [m[0].lower() for m in part], len(found) - len(part)
 
+    def ranked(self, raw: bytes, alone: int) -> list[tuple[int, str, list[str], int]]:
+        """(bytes lost, license, its words, bytes with it) of all templates, the one that saves most first."""
+        sizes = [(name, tw, len(pack.compress(raw))) for name, tw, pack in self.templates]
+        return sorted((with_it - alone, name, tw, with_it) for name, tw, with_it in sizes)
+
     def _scan(self, line: str) -> tuple | None:
         best = None
         for text, block, outside in self.windows(line):
-            own, alone, raw = set(block), None, b""
-            for name, tw, pack in self.templates:
+            own, raw = set(block), text.encode("utf-8", "surrogatepass")
+            alone = self.plain(raw)
+            for lost, name, tw, with_it in self.ranked(raw, alone):
                 # words that the window lacks are changed for certain
                 if not tw or sum(w not in own for w in tw) > self.max_diff * len(tw):
                     continue
                 changed, beyond = differences(tw, block)
                 if changed > self.max_diff * len(tw):
                     continue
-                if alone is None:
-                    raw = text.encode("utf-8", "surrogatepass")
-                    alone = self.plain(raw)
-                with_it = len(pack.compress(raw))
-                got = (changed, with_it - alone, name, with_it, beyond + outside, alone)
+                got = (changed, lost, name, with_it, beyond + outside, alone)
                 best = got if best is None or got < best else best
+                if not changed:
+                    break       # exact, and all others save less
         if best is None:
             return None
         changed, lost, name, with_it, beyond, alone = best

@@ -305,6 +305,18 @@ def test_licenses_equal_exact_search(spark, sf):
     assert got == want and want
 
 
+def test_licenses_are_confirmed_in_the_order_of_saved_bytes(monkeypatch):
+    asked, scan = [], license_scan.Scanner()
+    real = license_scan.differences
+    monkeypatch.setattr(license_scan, "differences", lambda tw, block: asked.append(" ".join(tw)) or real(tw, block))
+    line = "This work is licensed under the GNU General Public License, version 3. All rights reserved."
+    raw = line.encode()
+    order = [name for _, name, _, _ in scan.ranked(raw, scan.plain(raw))]
+    assert len(order) == len(license_scan.TEMPLATES) and order[0] == "GPL-3.0"
+    assert scan(line)[0] == "GPL-3.0" and scan(line)[-1]
+    assert asked == [" ".join(license_scan.words(license_scan.TEMPLATES["GPL-3.0"]))]
+
+
 def test_licenses_in_long_lines():
     rnd, scan = np.random.default_rng(1), license_scan.Scanner()
     for size in (60, 300, 1200, 6000):
