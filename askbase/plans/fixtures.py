@@ -83,7 +83,9 @@ def menu_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def menus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Menu page snapshots keyed by day, answered by H5."""
     from askbase.operators.menu import daily_menu
-    pages = menu_pages(spark, sf_dir)
+    # reading a page takes milliseconds, and a file of few row groups gives few tasks
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pages = menu_pages(spark, sf_dir).repartition(tasks)
     return daily_menu(pages).select(F.expr(MENU_DATE_SQL).alias("menu_date"), "menu")
 
 

@@ -161,3 +161,12 @@ def test_bodies_are_read_once(spark, sf, answering):
     rows = S.fan_out(X.as_bodies(X.read_table(spark, sf, "events")), answering)
     for df in (rows, queries()["append_turns"](spark, sf), queries()["error_reply"](spark, sf)):
         assert "json" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_menu_pages_are_read_by_many_tasks(spark, sf):
+    """`stream_unknown`, `stream_turns`: the pages of a file with one row group do not meet in one task."""
+    from askbase.operators.menu import daily_menu
+    menus = X.menus(spark, sf)
+    assert X.read_table(spark, sf, "pages").rdd.getNumPartitions() < 4 <= menus.rdd.getNumPartitions()
+    plain = daily_menu(X.menu_pages(spark, sf)).select(F.expr(X.MENU_DATE_SQL).alias("menu_date"), "menu")
+    assert sorted(menus.collect(), key=repr) == sorted(plain.collect(), key=repr)
