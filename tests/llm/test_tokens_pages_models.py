@@ -346,3 +346,22 @@ def test_licenses_in_long_lines():
 ])
 def test_class_words_do_not_lose_main_parts(page, want):
     assert html_extract.main_text(f"<html><body>{page}</body></html>", None) == want
+
+
+def test_repeated_runs_decide_inside_an_article(spark):
+    """An id that may be a slug is not enough: the block goes if it repeats under other articles of its host."""
+    box = "<p id='newsletter-box'>Get our weekly letter with all the news of this site for free</p>"
+    story = "<h2 id='social-history'>Social history</h2><p id='menu-planning'>Plan {0}: how cooks of house number {0} write a menu for one week</p>"
+    rows = [(i, f"https://h.example/{i}", f"<article><h1>Story {i}</h1>{story.format(i)}{box}</article><footer>Host {i}</footer>") for i in range(3)]
+    rows.append((7, "https://h.example/copy", rows[0][2].replace("Host 0", "Host 7")))               # a copied article keeps its text
+    rows.append((8, "https://other.example/", f"<article>{story.format(8)}{box}</article>"))         # nothing repeats
+    rows.append((9, "https://other.example/b", "<article><p>Text</p><p id='cookie-notice'>Cookies</p><p class='ad-slot'>Buy</p></article>"))
+    rows += [(20 + i, f"https://c.example/{i}", f"<article>{story.format(0)}</article><footer>Side {i}</footer>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    letter = "Get our weekly letter with all the news of this site for free"
+    plan = "Social history\n\nPlan {0}: how cooks of house number {0} write a menu for one week"
+    for i, n in ((0, 0), (1, 1), (2, 2), (7, 0)):
+        assert got[i] == f"Story {n}\n\n{plan.format(n)}"
+    assert got[8] == f"{plan.format(8)}\n\n{letter}" and got[9] == "Text"
+    assert got[20] == got[21] == plan.format(0)
+    assert all(letter in html_extract.main_text(h, None) for i, _, h in rows if i in (0, 1, 2))      # the runs alone decide
